@@ -32,3 +32,68 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = simhash_components(load(spark, sf_dir, "documents"), words=4, seed=42, distance=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.line_dedup import dedup_lines
+
+    return dedup_lines(load(spark, sf_dir, "documents"), edits=2, least_chars=12)
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.decontaminate import contamination
+
+    return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(load(spark, sf_dir, "documents"), width=100)
+
+
+@query
+def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.sharding import kd_shards
+
+    return kd_shards(load(spark, sf_dir, "documents"), shards=24)
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.url_filter import judge_urls
+
+    return judge_urls(load(spark, sf_dir, "pages"))
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.quality import quality_scores
+
+    return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), threshold=0.3)
+
+
+@query
+def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.merkle import document_fingerprints
+
+    return document_fingerprints(load(spark, sf_dir, "documents"))
+
+
+#: The mixing tree's weights; domains are groups of sources.
+MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "*": 2}, "lang": {"en": 6, "de": 2, "fr": 2, "*": 1}, "source": {"*": 1}}
+MIX_DOMAINS = "case when source in ('src0','src1','src2','src3','src4','src5','src6') then 'web' when source in ('src7','src8','src9','src10','src11','src12','src13') then 'books' when source is null then null else 'forums' end"
+
+
+def mix_levels() -> dict:
+    return {"domain": F.expr(MIX_DOMAINS), "lang": F.col("lang"), "source": F.col("source")}
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.mixing import mix
+
+    return mix(load(spark, sf_dir, "documents"), levels=mix_levels(), weights=MIX_WEIGHTS, budget_share=(1, 2), max_epochs=2, seed=13)

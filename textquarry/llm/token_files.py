@@ -19,11 +19,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs, ipc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import batches, cut, fresh_dir, text_or_empty
+from textquarry.llm.common import cut, fresh_dir, text_or_empty
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "seq_path string, idx_path string, first_doc_id long, roll int, n_docs long, n_tokens long, n_sequences long"
@@ -48,31 +49,74 @@ def _tokenizer(name: str):
 
 
 class WordEncoder:
-    """Encodes texts by white-space words and remembers each word's ids.
+    """Encodes texts by their distinct white-space words and remembers each word's ids over a worker's tasks.
 
     Only for tokenizers that drop white space and never join over it, where a text's ids are its words' ids in order;
     `whole=True` encodes each text at once instead.
     """
 
     def __init__(self, name: str, dtype: str, whole: bool = False):
-        self.tokenizer, self.dtype, self.whole = _tokenizer(name), dtype, whole
+        self.tokenizer, self.dtype, self.whole = _tokenizer(name), np.dtype(dtype), whole
         self.known: dict[str, bytes] = {}
+        alone = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = alone[0] if len(alone) == 1 else None
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pack = lambda e: np.asarray(e.ids, dtype=self.dtype).tobytes()
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's ids end."""
         if self.whole:
-            return [pack(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            each = [np.asarray(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([*each, np.zeros(0, self.dtype)]), np.cumsum([len(x) for x in each], dtype=np.int64)
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        distinct, which = words.dictionary.to_pylist(), words.indices.to_numpy()
         if len(self.known) > REMEMBERED_WORDS:
             self.known.clear()
-        words = [t.split() if t.isascii() else t.translate(PLAIN_SPACES).split(" ") for t in texts]
-        new = list({w for ws in words for w in ws}.difference(self.known))
-        self.known.update(zip(new, map(pack, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        self._learn([w for w in distinct if w not in self.known])
+        ids = list(map(self.known.__getitem__, distinct))
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.dtype.itemsize
+        flat, starts = np.frombuffer(b"".join(ids), dtype=self.dtype), np.cumsum(sizes) - sizes
+        own = sizes[which]
+        ends = np.cumsum(own)
+        total = int(ends[-1]) if len(ends) else 0
+        out = flat[np.repeat(starts[which] - (ends - own), own) + np.arange(total)]
+        per_text = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        return out, np.concatenate([[0], ends])[per_text]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode words in long lines, a mark between each two, which costs a fraction of one call for each."""
+        odd = [w for w in new if self.mark is None or MARK in w]
+        plain = [w for w in new if MARK not in w] if self.mark is not None else []
+        for w in odd:
+            self.known[w] = np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids)
+            stops = np.flatnonzero(ids == self.mark)
+            raw, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+            for w, i, j in zip(part, [0, *(stops + 1).tolist()], [*stops.tolist(), len(ids)]):
+                self.known[w] = raw[i * size : j * size]
+
+
+#: A character that stands alone as one id; words that contain it are encoded by themselves.
+MARK = "\x01"
 
 
-#: White space that both Python and the tokenizer's pattern know; other kinds stay inside a word for the tokenizer.
-PLAIN_SPACES = {9: " ", 10: " ", 13: " "}
+@lru_cache(maxsize=2)
+def _encoder(name: str, dtype: str, whole: bool) -> WordEncoder:
+    return WordEncoder(name, dtype, whole)
+
+
+def _pieces(it: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterator[tuple[list, pa.StringArray]]:
+    """(keys, texts) of at most about `most` bytes, or a single longer text."""
+    for batch in it:
+        keys, texts = batch.column(0).to_pylist(), batch.column(1)
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(keys):
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield keys[at:stop], texts.slice(at, stop - at)
+            at = stop
 
 
 def _open_fs(uri: str) -> tuple[fs.FileSystem, str]:
@@ -192,15 +236,16 @@ def write_token_files(
     """
 
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, rows, roll, last = WordEncoder(tokenizer, dtype, whole_texts), None, [], 0, None
-        end = np.asarray([end_id], dtype=dtype).tobytes()
-        for keys, texts in batches(it, "k", "t"):
-            for k, ids in zip(keys, encoder.encode([t.decode("utf-8", "replace") for t in texts])):
+        encoder, writer, rows, roll, last = _encoder(tokenizer, dtype, whole_texts), None, [], 0, None
+        end = np.asarray([end_id], dtype=dtype)
+        for keys, texts in _pieces(it):
+            ids, stops = encoder.encode(texts)
+            for k, i, j in zip(keys, [0, *stops[:-1].tolist()], stops.tolist()):
                 if writer and writer.tokens >= shard_tokens and k != last:
                     rows.append(writer.close(roll))
                     writer, roll = None, roll + 1
                 writer = writer or ShardWriter(out_dir, sequence_length, batch_sequences, dtype)
-                writer.add(k, np.frombuffer(ids + end, dtype=dtype))
+                writer.add(k, np.concatenate([ids[i:j], end]))
                 last = k
         if writer:
             rows.append(writer.close(roll))
