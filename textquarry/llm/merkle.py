@@ -3,8 +3,9 @@
 A text splits at line ends into paragraphs, and a paragraph at spaces into words. A run of words ends after a word whose
 hash is 0 modulo `run`, a section after a paragraph whose digest is 0 modulo `section`: an edit moves no boundary but
 those beside it. A leaf hashes its exact bytes, a node its children's digests, so equal roots mean equal texts and, of two
-trees, only branches with different digests need to be entered to find the edits. A fingerprint string holds the root
-and, behind a colon, the leaves' short digests; the likeness of two is the Dice share of common leaves, with repeats.
+trees, only branches with different digests need to be entered to find the edits. A fingerprint string holds the root,
+the leaves' short digests and, for texts of few words, those of the single words, between colons; the likeness of two is
+the Dice share of common leaves, or of common words where both have them, with repeats.
 
 Defined cases: a null text is the empty text; texts without characters have equal fingerprints and likeness 1; equal
 texts, wherever they are, have equal fingerprints; a table with one row is its own next document; an empty table
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from textquarry.llm.common import cut, text_or_empty
 
 LEAF_HEX = 5
+#: Texts of fewer words carry their words too: a half of them may not hold one whole leaf.
+FEW_WORDS = 128
 
 
 def _digest(data: bytes) -> bytes:
@@ -117,15 +120,19 @@ def fingerprint(text: bytes, run: int = 4, section: int = 4) -> str:
             part = []
     if part:
         root.update(_digest(b"s" + b"".join(part)))
-    return f"{root.hexdigest()}:{''.join(x.hex()[:LEAF_HEX] for x in leaves)}"
+    words = text.split() if text.count(b" ") < FEW_WORDS else []
+    fine = "".join(_digest(w).hex()[:LEAF_HEX] for w in words) if len(words) < FEW_WORDS else ""
+    return f"{root.hexdigest()}:{''.join(x.hex()[:LEAF_HEX] for x in leaves)}:{fine}"
 
 
 def likeness(a: str, b: str) -> float:
     """0 to 1; 1 for equal fingerprints."""
     if a == b:
         return 1.0
-    x, y = (Counter(s[i : i + LEAF_HEX] for i in range(17, len(s), LEAF_HEX)) for s in (a, b))
-    return min(2 * sum((x & y).values()) / max(1, x.total() + y.total()), 1 - 1e-9)
+    (_, *x), (_, *y) = a.split(":"), b.split(":")
+    level = 1 if x[1] and y[1] else 0
+    p, q = (Counter(s[level][i : i + LEAF_HEX] for i in range(0, len(s[level]), LEAF_HEX)) for s in (x, y))
+    return min(2 * sum((p & q).values()) / max(1, p.total() + q.total()), 1 - 1e-9)
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

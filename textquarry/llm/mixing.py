@@ -112,3 +112,13 @@ def mix(
     looked = seen.where("bin = cross_bin").withColumn("extra", F.when((F.col("rest") > 0) & (F.col("cross_start") + F.sum("tokens").over(inside) <= F.col("rest")), 1).otherwise(0))
     out = [x.select("doc_id", *names, "tokens", (F.col("full") + F.col("extra")).cast("int").alias("copies")) for x in (taken, passed, looked)]
     return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def mixed(docs: DataFrame, *, levels: dict[str, Column], key: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs that `mix` takes, each as often as it is taken, with all their columns."""
+    names = {n: f"_mix_{n}" for n in levels}
+    chosen = mix(docs, levels=levels, key=key, **options).where("copies > 0")
+    chosen = chosen.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_mix_key"), *(F.col(n).alias(m) for n, m in names.items())).agg(F.max("copies").alias("_mix_copies"))
+    own = docs.select("*", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("_mix_key"), *(F.coalesce(levels[n].cast("string"), F.lit(UNKNOWN)).alias(m) for n, m in names.items()))
+    taken = own.join(chosen, ["_mix_key", *names.values()])
+    return taken.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(*docs.columns)

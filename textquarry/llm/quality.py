@@ -213,3 +213,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
     model = train(stats, labels.where(~held_out_rows(key)), key=key, most_rows=most_rows, **options)
     scored = stats.select("doc_id", held_out_rows("doc_id").alias("held_out"), model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.3, most_rows: int = 20_000, **options) -> DataFrame:
+    """The rows of docs that score at least `threshold`, with all their columns; texts are not shuffled."""
+    import pandas as pd
+
+    known = labels.select(F.col(key).cast("long").alias("_id"), F.col("quality")).where("_id is not null and quality is not null")
+    seen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(known.select("_id").distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
+    model = train(cut(text_statistics(seen)), known.withColumnRenamed("_id", "doc_id"), most_rows=most_rows, **options)
+
+    def measure(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([statistics(t.encode()) for t in texts], columns=list(FEATURES), dtype=np.float64)
+
+    # Not deterministic as far as the optimiser knows, so that it measures a text once and not for each use of a statistic.
+    measured = F.pandas_udf(measure, ", ".join(f"{c} double" for c in FEATURES)).asNondeterministic()
+    scored = docs.withColumn("_statistics", measured(text_or_empty(text)))
+    return scored.where(model.column(lambda i: F.col("_statistics")[FEATURES[i]]) >= threshold).select(*docs.columns)

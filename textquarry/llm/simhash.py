@@ -18,7 +18,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import batches, cut, text_or_empty
@@ -157,3 +157,25 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     named = roots.join(least, "root").select(F.col("node").alias("fp"), "root_least")
     by_class = classes.join(named, "fp", "left").select("fp", F.coalesce("root_least", "least_id").alias("component_id"))
     return fps.join(by_class, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
+    """The rows of docs without near copies: of each component the row with the least id (a null one last), all columns.
+
+    Rows with the same id are told apart by a hash of their texts, and equal rows by nothing: one of them stays.
+    """
+    k, th = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(text_or_empty(text))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            fps = np.array([simhash((t.as_py() or "").encode(), words, seed) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["k", "th", "fp"])
+
+    fps = docs.select(k.alias("k"), th.alias("th"), text_or_empty(text).alias("t")).mapInArrow(run, "k long, th long, fp long")
+    classes = cut(fps.groupBy("fp").agg(F.min(F.struct("k", "th")).alias("least")))
+    roots = components(near_links(classes, distance))
+    named = classes.join(roots, F.col("node") == F.col("fp"), "left").withColumn("root", F.coalesce("root", "fp"))
+    keep = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.k").alias("_k"), F.col("least.th").alias("_th"))
+    kept = docs.withColumn("_k", k).withColumn("_th", th).join(keep, ["_k", "_th"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("_k", "_th").orderBy(F.lit(0)))
+    return kept.withColumn("_n", first).where("_n = 1").select(*docs.columns)
