@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -217,8 +218,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.3, most_rows: int = 20_000, **options) -> DataFrame:
     """The rows of docs that score at least `threshold`, with all their columns; texts are not shuffled."""
-    import pandas as pd
-
     known = labels.select(F.col(key).cast("long").alias("_id"), F.col("quality")).where("_id is not null and quality is not null")
     seen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(known.select("_id").distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
     model = train(cut(text_statistics(seen)), known.withColumnRenamed("_id", "doc_id"), most_rows=most_rows, **options)

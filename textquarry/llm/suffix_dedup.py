@@ -33,7 +33,7 @@ from textquarry.llm.common import cut
 from textquarry.llm.minimizers import BASE_2, RollingHash, anchors, mix
 
 NO_ID = -(1 << 63)
-SCAN_BYTES = 4 << 20
+SCAN_BYTES = 2 << 20
 PARTS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("k", pa.int64()), ("th", pa.int64()), ("blob", pa.binary())])
 PARTS_SQL = "kind int, bucket int, k long, th long, blob binary"
 COPIED, OPEN, ANCHORS = 1, 2, 0
@@ -366,7 +366,7 @@ def _finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def copied_spans(rows: DataFrame, *, width: int = 100, k: int = 32, bucket_anchors: int = 1_000_000, hot_rows: int = 10_000, sample_docs: int = 2000) -> DataFrame:
+def copied_spans(rows: DataFrame, *, width: int = 100, k: int = 32, bucket_anchors: int = 250_000, hot_rows: int = 10_000, sample_docs: int = 2000) -> DataFrame:
     """(k, th, blob of spans) of rows (k, th, t): the bytes to remove, as parts that may overlap."""
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     expected = 2 * size.b / (width - k + 2)
