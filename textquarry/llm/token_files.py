@@ -29,7 +29,7 @@ from textquarry.llm.common import cut, fresh_dir, text_or_empty
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "seq_path string, idx_path string, first_doc_id long, roll int, n_docs long, n_tokens long, n_sequences long"
 #: Distinct words whose ids a worker remembers before it starts anew.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 900_000
 
 
 def tokenizer_path(name: str) -> str:
