@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import cut
+from textquarry.llm.common import cut, small_batches
 from textquarry.llm.minimizers import BASE_2, RollingHash, anchors, mix
 
 NO_ID = -(1 << 63)
-SCAN_BYTES = 2 << 20
+SCAN_BYTES = 1 << 20
 PARTS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("k", pa.int64()), ("th", pa.int64()), ("blob", pa.binary())])
 PARTS_SQL = "kind int, bucket int, k long, th long, blob binary"
 COPIED, OPEN, ANCHORS = 1, 2, 0
@@ -366,37 +366,38 @@ def _finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def copied_spans(rows: DataFrame, *, width: int = 100, k: int = 32, bucket_anchors: int = 250_000, hot_rows: int = 10_000, sample_docs: int = 2000) -> DataFrame:
+def copied_spans(rows: DataFrame, *, width: int = 100, k: int = 32, bucket_anchors: int = 100_000, hot_rows: int = 10_000, sample_docs: int = 2000) -> DataFrame:
     """(k, th, blob of spans) of rows (k, th, t): the bytes to remove, as parts that may overlap."""
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
-    expected = 2 * size.b / (width - k + 2)
-    buckets = max(1, math.ceil(expected / bucket_anchors))
-    # Bytes that a bounded sample of documents meets again and again would fill a bucket alone: they are open at once.
-    share = max(1, size.n // (sample_docs * max(1, buckets // 64)))
-    sampled = rows.where(F.pmod(F.xxhash64("k", "th"), F.lit(share)) == 0).mapInArrow(_anchor_hashes(width, k), "kh long")
-    hot = sampled.groupBy("kh").agg(F.count("*").alias("n")).where(F.col("n") >= max(20, sample_docs // 100)).select("kh")
-    hot_hashes = np.sort(np.array([r.kh for r in hot.collect()], dtype=np.int64).view(np.uint64))  # bounded by the sample
-    scanned = rows.mapInArrow(_scan(width, k, buckets, hot_hashes), PARTS_SQL)
-    settled = cut(scanned.groupBy("bucket").applyInArrow(_settle(width, buckets), PARTS_SQL))
-    opened = settled.where(F.col("kind") == OPEN).groupBy("k", "th").agg(F.collect_list("blob").alias("blobs"))
-    suffixes = cut(rows.join(opened.hint("shuffle_hash"), ["k", "th"]).select("k", "th", "t", "blobs").mapInArrow(_fetch(width, k), SUFFIX))
-    leads = suffixes.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("lead")
-    leads = cut(leads)
-    some_hot = leads.limit(1).count() > 0
-    common = suffixes.join(leads, "lead", "left_anti") if some_hot else suffixes
-    columns = [c.split()[0] for c in SUFFIX.split(", ")]
-    sorted_rows = common.select(*columns).repartitionByRange("lead").sortWithinPartitions("lead")
-    found = [settled.where(F.col("kind") == COPIED), sorted_rows.mapInArrow(_sort_bucket(width), PARTS_SQL)]
-    if some_hot:
-        strings = cut(suffixes.join(leads, "lead", "left_semi").select(*columns).mapInArrow(_each_string(width), "kind int, " + STRING))
-        local = strings.where(F.col("kind") == COPIED).groupBy("k", "th").agg(F.collect_list("s").alias("ss"))
-        found.append(local.select(F.lit(COPIED).alias("kind"), F.lit(0).alias("bucket"), "k", "th", _pack_spans("ss", width).alias("blob")))
-        ranged = strings.where(F.col("kind") == OPEN).select("string", "k", "th", "s").repartitionByRange("string").sortWithinPartitions("string", "k", "th", "s")
-        found.append(ranged.mapInArrow(_neighbours(width), PARTS_SQL))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return cut(out.select("k", "th", "blob"))
+    with small_batches(rows.sparkSession):
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
+        expected = 2 * size.b / (width - k + 2)
+        buckets = max(1, math.ceil(expected / bucket_anchors))
+        # Bytes that a bounded sample of documents meets again and again would fill a bucket alone: they are open at once.
+        share = max(1, size.n // (sample_docs * max(1, buckets // 64)))
+        sampled = rows.where(F.pmod(F.xxhash64("k", "th"), F.lit(share)) == 0).mapInArrow(_anchor_hashes(width, k), "kh long")
+        hot = sampled.groupBy("kh").agg(F.count("*").alias("n")).where(F.col("n") >= max(20, sample_docs // 100)).select("kh")
+        hot_hashes = np.sort(np.array([r.kh for r in hot.collect()], dtype=np.int64).view(np.uint64))  # bounded by the sample
+        scanned = rows.mapInArrow(_scan(width, k, buckets, hot_hashes), PARTS_SQL)
+        settled = cut(scanned.groupBy("bucket").applyInArrow(_settle(width, buckets), PARTS_SQL))
+        opened = settled.where(F.col("kind") == OPEN).groupBy("k", "th").agg(F.collect_list("blob").alias("blobs"))
+        suffixes = cut(rows.join(opened.hint("shuffle_hash"), ["k", "th"]).select("k", "th", "t", "blobs").mapInArrow(_fetch(width, k), SUFFIX))
+        leads = suffixes.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("lead")
+        leads = cut(leads)
+        some_hot = leads.limit(1).count() > 0
+        common = suffixes.join(leads, "lead", "left_anti") if some_hot else suffixes
+        columns = [c.split()[0] for c in SUFFIX.split(", ")]
+        sorted_rows = common.select(*columns).repartitionByRange("lead").sortWithinPartitions("lead")
+        found = [settled.where(F.col("kind") == COPIED), sorted_rows.mapInArrow(_sort_bucket(width), PARTS_SQL)]
+        if some_hot:
+            strings = cut(suffixes.join(leads, "lead", "left_semi").select(*columns).mapInArrow(_each_string(width), "kind int, " + STRING))
+            local = strings.where(F.col("kind") == COPIED).groupBy("k", "th").agg(F.collect_list("s").alias("ss"))
+            found.append(local.select(F.lit(COPIED).alias("kind"), F.lit(0).alias("bucket"), "k", "th", _pack_spans("ss", width).alias("blob")))
+            ranged = strings.where(F.col("kind") == OPEN).select("string", "k", "th", "s").repartitionByRange("string").sortWithinPartitions("string", "k", "th", "s")
+            found.append(ranged.mapInArrow(_neighbours(width), PARTS_SQL))
+        out = found[0]
+        for f in found[1:]:
+            out = out.unionByName(f)
+        return cut(out.select("k", "th", "blob"))
 
 
 def _pack_spans(starts: str, width: int):
