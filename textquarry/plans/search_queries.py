@@ -141,7 +141,7 @@ def vector_knn_approx(spark, t):
     e = t("embeddings")
     rows, centres = S.ivf_index(e, "vec_id", "embedding", lists=10)
     q = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return S.ivf_search(rows, centres, q, "vec_id", "embedding", k=10, probes=5)
+    return S.ivf_search(rows, centres, q, "vec_id", "embedding", k=10, probes=8)
 
 
 @query()
@@ -152,7 +152,7 @@ def hashed_embeddings(spark, t):
 
 HYBRID = BM25 + f""",
 k as (select query_id, doc_id, score, rank from ranked where rank <= 20),
-vs as (select v.query_id, e.vec_id as doc_id, {COS.replace('q.embedding', 'v.embedding')} as score from embeddings e, (select vec_id + 1 as query_id, embedding from embeddings where vec_id in (0, 1, 2, 4)) v),
+vs as (select v.query_id, e.vec_id as doc_id, {COS.replace('q.embedding', 'v.embedding')} as score from embeddings e, (select cast(vec_id + 1 as integer) as query_id, embedding from embeddings where vec_id in (0, 1, 2, 4)) v),
 v as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from vs qualify rank <= 20),
 f as (select coalesce(k.query_id, v.query_id) as query_id, coalesce(k.doc_id, v.doc_id) as doc_id, v.score as vs, v.rank as vr, k.rank as kr,
   coalesce(0.6 / (60.0 + v.rank), 0) + coalesce(0.4 / (60.0 + k.rank), 0) as rrf from k full join v on k.query_id = v.query_id and k.doc_id = v.doc_id),

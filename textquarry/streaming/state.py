@@ -115,8 +115,12 @@ def stale_locks(locks: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
 
 def windowed_counts(events: DataFrame, ts: str, by: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Tumbling counts with a watermark; the same on a stream and on a table."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    counts = timed.groupBy(F.window(ts, width).alias("w"), by).agg(F.count("*").alias("n"))
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("start"), by, "n")
 
 
 def session_counts(events: DataFrame, ts: str, by: str, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
-    return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    counts = timed.groupBy(F.session_window(ts, gap).alias("w"), by).agg(F.count("*").alias("n"))
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("start"), by, "n")
