@@ -37,20 +37,21 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     return named.groupBy("id", "line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
 
 
-def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 0, size) of the edits+1 even segments of a line of this length; later ones are longer."""
+def _segment(n: Column, i: Column, edits: int) -> tuple[Column, Column]:
+    """(start from 0, size) of segment i of edits+1 even segments of a line of length n; later ones are longer."""
     k = edits + 1
-    base, short = F.expr(f"{_sql(length)} div {k}"), k - F.expr(f"{_sql(length)} % {k}")
-    return [(base * i + F.greatest(F.lit(0), F.lit(i) - short), base + F.when(F.lit(i) >= short, 1).otherwise(0)) for i in range(k)]
+    base, short = F.floor(n / k), k - n % k
+    return base * i + F.greatest(F.lit(0), i - short), base + F.when(i >= short, 1).otherwise(0)
 
 
-def _sql(c: Column | str) -> str:
-    return c if isinstance(c, str) else "n"
+def index_keys(line: Column, n: Column, edits: int) -> Column:
+    """Hashes of the segments of a line of length n, with length and number."""
 
+    def key(i: Column) -> Column:
+        start, size = _segment(n, i, edits)
+        return F.xxhash64(n, i, F.substring(line, (start + 1).cast("int"), size.cast("int")))
 
-def index_keys(line: Column, edits: int) -> list[Column]:
-    """Of a row with its length in column n: hashes of its segments."""
-    return [F.xxhash64(F.col("n"), F.lit(i), F.substring(line, start + 1, size)) for i, (start, size) in enumerate(segments(F.col("n"), edits))]
+    return F.transform(F.array(*map(F.lit, range(edits + 1))), key)
 
 
 def probe_shifts(edits: int) -> list[tuple[int, int, int]]:
@@ -63,67 +64,79 @@ def probe_shifts(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def probe_keys(line: Column, edits: int) -> list[Column]:
-    """Of a row with its length in n and the lengths probed in n0, n1, ...: hashes of the selected substrings."""
-    out = []
-    for d, i, s in probe_shifts(edits):
-        k = edits + 1
-        base, short = F.expr(f"(n - {d}) div {k}"), F.lit(k) - F.expr(f"(n - {d}) % {k}")
-        start = base * i + F.greatest(F.lit(0), F.lit(i) - short) + s
-        size = base + F.when(F.lit(i) >= short, 1).otherwise(0)
-        fits = (start >= 0) & (start + size <= F.col("n"))
-        out.append(F.when(fits, F.xxhash64(F.col("n") - d, F.lit(i), F.substring(line, start + 1, size))))
-    return out
+def probe_keys(line: Column, n: Column, edits: int) -> Column:
+    """Hashes of the selected substrings of a line of length n, as the index of each length has them; null where none fits."""
+
+    def key(x: Column) -> Column:
+        start, size = _segment(n - x["d"], x["i"], edits)
+        start = start + x["s"]
+        return F.when((start >= 0) & (start + size <= n), F.xxhash64(n - x["d"], x["i"], F.substring(line, (start + 1).cast("int"), size.cast("int"))))
+
+    shifts = [F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in probe_shifts(edits)]
+    return F.transform(F.array(*shifts), key)
+
+
+def _shared(a: Column, b: Column, most: Column, part) -> Column:
+    """The greatest length at which part(a, from, size) equals part(b, from, size) for all sizes up to it, by halving."""
+    steps = F.array(*[F.lit(1 << i) for i in range(24, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= most) & (part(a, p, s) == part(b, p, s)), p + s).otherwise(p))
 
 
 def edit_distance(a: Column, b: Column, edits: int) -> Column:
-    """Edit distance of a and b if it is at most `edits` (under 31), else a larger number; one word of bits per column.
+    """Edit distance of a and b if it is at most `edits` (under 31), else a larger number.
 
-    Bit i of a column's words is the cell `i` rows below the band's top; from one column to the next the band moves down
-    by one, so the words of vertical differences shift by one. `d` follows the band's lower edge to the last row, then
-    that row.
+    Common ends are cut off first. Then one word holds a column's band of 2*edits+1 cells: bit i is the cell `i` rows below
+    the band's top. From one column to the next the band moves down by one, so words of vertical differences shift by
+    one. `d` follows the band's lower edge to the last row, then that row.
     """
+    m, n = F.length(a), F.length(b)
+    ahead = _shared(a, b, F.least(m, n), lambda x, p, s: F.substring(x, p + 1, s))
+
+    def without_ends(p: Column) -> Column:
+        behind = _shared(a, b, F.least(m, n) - p, lambda x, q, s: F.substring(x, F.length(x) - q - s + 1, s))
+        cut_off = lambda x, q: F.substring(x, p + 1, F.length(x) - p - q)
+        return _let(behind, lambda q: _let(F.struct(cut_off(a, q).alias("a"), cut_off(b, q).alias("b")), lambda x: _banded(x["a"], x["b"], edits)))
+
+    return F.when(F.abs(m - n) > edits, edits + 1).otherwise(_let(ahead, without_ends))
+
+
+def _banded(a: Column, b: Column, edits: int) -> Column:
     width = 2 * edits + 1
-    mask = (1 << width) - 1
-    pattern, text = F.split(a, ""), F.split(b, "")
+    mask = F.lit((1 << width) - 1).cast("long")
     m, n = F.length(a), F.length(b)
 
-    def step(state: Column, j: Column) -> Column:
-        p, t, rows = state["p"], F.get(state["t"], j - 1), state["m"]
-        match = F.lit(0).cast("long")
-        for i in range(width):
-            match = match + F.when(F.get(p, j - 1 - edits + i) == t, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-        vp, vn = state["vp"], state["vn"]
+    def scan(chars: Column) -> Column:
+        def step(state: Column, j: Column) -> Column:
+            vp, vn = state["vp"], state["vn"]
 
-        def diagonal(x: Column) -> Column:
-            return ((x.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(mask)
+            def column(x: Column) -> Column:
+                d0 = (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(mask)
+                return _let(d0, finish)
 
-        def finish(d0: Column) -> Column:
-            hp = vn.bitwiseOR(F.lit(mask).cast("long").bitwiseXOR(d0.bitwiseOR(vp)))
-            hn = d0.bitwiseAND(vp)
+            def finish(d0: Column) -> Column:
+                def after(h: Column) -> Column:
+                    below = F.shiftright(d0, 1)
+                    at = F.least(F.greatest(chars["m"] - j + edits, F.lit(0)), F.lit(width - 1))
+                    bit = lambda w: F.getbit(w, at).cast("int")
+                    edge = F.lit(1) - F.shiftright(d0, width - 1).cast("int")
+                    d = state["d"] + F.when(j <= chars["m"] - edits, edge).otherwise(bit(h["p"]) - bit(h["n"]))
+                    return F.struct(h["n"].bitwiseOR(mask.bitwiseXOR(below.bitwiseOR(h["p"]))).alias("vp"), below.bitwiseAND(h["p"]).alias("vn"), d.cast("int").alias("d"))
 
-            def after(h: Column) -> Column:
-                shifted = F.shiftright(d0, 1)
-                at = rows - j + edits
-                here = lambda w: F.getbit(w, F.least(F.greatest(at, F.lit(0)), F.lit(width - 1))).cast("int")
-                d = F.when(j <= rows - edits, state["d"] + F.lit(1) - F.getbit(d0, F.lit(width - 1)).cast("int")).otherwise(state["d"] + here(h["p"]) - here(h["n"]))
-                return F.struct(
-                    h["n"].bitwiseOR(F.lit(mask).cast("long").bitwiseXOR(shifted.bitwiseOR(h["p"]))).alias("vp"),
-                    shifted.bitwiseAND(h["p"]).alias("vn"),
-                    d.cast("int").alias("d"),
-                    p.alias("p"), state["t"].alias("t"), rows.alias("m"),
-                )
+                plus = vn.bitwiseOR(mask.bitwiseXOR(d0.bitwiseOR(vp)))
+                return _let(F.struct(plus.alias("p"), d0.bitwiseAND(vp).alias("n")), after)
 
-            return _let(F.struct(hp.alias("p"), hn.alias("n")), after)
+            here = F.get(chars["t"], j - 1)
+            match = F.lit(0).cast("long")
+            for i in range(width):
+                match = match + F.when(F.get(chars["p"], j - 1 - edits + i) == here, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+            return _let(match, column)
 
-        return _let(match, lambda x: _let(diagonal(x), finish))
+        first = F.struct(F.lit(((1 << width) - 1) ^ ((1 << edits) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(edits).cast("int").alias("d"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(chars["t"])), first, step, lambda s: s["d"])
 
-    start = F.struct(
-        F.lit(mask ^ ((1 << edits) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(edits).cast("int").alias("d"),
-        pattern.alias("p"), text.alias("t"), m.alias("m"),
-    )
-    run = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["d"])
-    return F.when(F.abs(m - n) > edits, edits + 1).when((m <= edits) | (n == 0), F.levenshtein(a, b)).otherwise(run)
+    code = lambda x: F.transform(F.split(x, ""), F.ascii)
+    run = _let(F.struct(code(a).alias("p"), code(b).alias("t"), m.alias("m")), scan)
+    return F.when((m <= edits) | (n == 0), F.levenshtein(a, b)).otherwise(run)
 
 
 def _let(value: Column, then) -> Column:
@@ -134,12 +147,11 @@ def _let(value: Column, then) -> Column:
 def line_links(lines: DataFrame, edits: int = 2, least_chars: int = 12, hot_lines: int = 2000) -> DataFrame:
     """(a, b, first_a, first_b) of distinct lines (from distinct_lines) within `edits` edits, each pair once."""
     least_chars = max(least_chars, 3 * (edits + 1))
-    body = lines.withColumn("n", F.length("line")).where(F.col("n") >= least_chars)
-    line = F.col("line")
-    keyed = [F.struct(h.alias("h"), F.lit(True).alias("indexed")) for h in index_keys(line, edits)] + [F.struct(h.alias("h"), F.lit(False).alias("indexed")) for h in probe_keys(line, edits)]
-    sent = body.select("id", F.inline(F.array(*keyed))).where("h is not null")
-    index, probe = sent.where("indexed").select("h", F.col("id").alias("a")), sent.where("not indexed").select("h", F.col("id").alias("b"))
-    pairs = index.join(probe, (index.h == probe.h) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    body = lines.select("id", "line").withColumn("n", F.length("line")).where(F.col("n") >= least_chars)
+    index = body.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("h"), F.col("id").alias("a"))
+    probe = body.select(F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("h"), F.col("id").alias("b")).where("h is not null")
+    met = probe.join(index.hint("shuffle_hash"), "h").where("a <> b")
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = cut(pairs.distinct())
     side = lambda c: lines.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"), F.col("first").alias(f"first_{c}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").where((F.length("line_a") >= least_chars) & (F.length("line_b") >= least_chars))
