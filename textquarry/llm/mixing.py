@@ -86,6 +86,7 @@ def mix(
     key: str = "doc_id",
     tokens: Column | None = None,
     rows_per_bin: int = 4000,
+    broadcast_leaves: int = 10_000,
 ) -> DataFrame:
     """Per document: doc_id, the level columns, tokens, copies (how often it is taken; 0: not at all).
 
@@ -99,13 +100,15 @@ def mix(
     plan = cut(plan)
     digits = max(1, math.ceil(math.log(max(1, rows.count() / rows_per_bin), 16)))
     order_key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    placed = rows.join(plan, names).withColumn("h", order_key).withColumn("bin", F.substring("h", 1, digits))
+    # A row per leaf: broadcast while they are few, so that a leaf with very many rows is not dealt to one task.
+    small = F.broadcast if plan.limit(broadcast_leaves + 1).count() <= broadcast_leaves else lambda x: x
+    placed = rows.join(small(plan), names).withColumn("h", order_key).withColumn("bin", F.substring("h", 1, digits))
     bins = placed.groupBy(*names, "bin").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
     upto = Window.partitionBy(*names).orderBy("bin")
     # The first bin whose end passes the rest is the one to look into; those before it are taken whole.
     ends = bins.select(*names, "bin", "t", "rest", F.sum("t").over(upto).alias("end")).where("end > rest")
     cross = ends.groupBy(*names).agg(F.min(F.struct("bin", (F.col("end") - F.col("t")).alias("start"))).alias("x")).select(*names, F.col("x.bin").alias("cross_bin"), F.col("x.start").alias("cross_start"))
-    seen = placed.join(cross, names, "left")
+    seen = placed.join(small(cross), names, "left")
     taken = seen.where("cross_bin is null or bin < cross_bin").withColumn("extra", F.when(F.col("rest") > 0, 1).otherwise(0))
     passed = seen.where("bin > cross_bin").withColumn("extra", F.lit(0))
     inside = Window.partitionBy(*names).orderBy("h", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
