@@ -147,16 +147,21 @@ def near_links(classes: DataFrame, distance: int = 4, bucket_variants: int = BUC
     return sent.groupBy("bucket").applyInArrow(link, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
+def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42, distance: int = 4, hot_copies: int = 1000, hot_classes: int = 50_000) -> DataFrame:
     """Per row: doc_id, fp, component_id (the least doc_id that links reach)."""
     fps = cut(fingerprints(docs, key, text, words, seed))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
     roots = components(near_links(classes, distance))
     joined = roots.join(classes, F.col("node") == F.col("fp"))
     least = joined.groupBy("root").agg(F.min("least_id").alias("root_least"))
     named = roots.join(least, "root").select(F.col("node").alias("fp"), "root_least")
-    by_class = classes.join(named, "fp", "left").select("fp", F.coalesce("root_least", "least_id").alias("component_id"))
-    return fps.join(by_class, "fp").select("doc_id", "fp", "component_id")
+    by_class = classes.join(named, "fp", "left").select("fp", "n", F.coalesce("root_least", "least_id").alias("component_id"))
+    # Copies beyond `hot_copies` meet a broadcast row of their class where they are; there are at most rows/hot_copies such classes.
+    hot = cut(by_class.where(F.col("n") > hot_copies))
+    if not 0 < hot.limit(hot_classes + 1).count() <= hot_classes:
+        return fps.join(by_class, "fp").select("doc_id", "fp", "component_id")
+    rest = fps.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(by_class, "fp")
+    return rest.select("doc_id", "fp", "component_id").unionByName(fps.join(F.broadcast(hot), "fp").select("doc_id", "fp", "component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
