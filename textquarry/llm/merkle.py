@@ -138,8 +138,9 @@ def likeness(a: str, b: str) -> float:
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (bucket, k, t, edge) dealt by key range, each bucket closed by the row that follows its last one.
+def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
+    """Rows (bucket, k, t, edge) dealt by key range, each bucket closed by the row that follows its last one, and the
+    number of buckets.
 
     Rows are ordered by descending key. `edge` marks the borrowed row. What the driver sees is one row per bucket.
     """
@@ -154,7 +155,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     first = cut(held.groupBy("bucket").agg(F.min(F.struct((-F.col("k")).alias("d"), "t")).alias("f")).select("bucket", F.col("f.t").alias("t"), (-F.col("f.d")).alias("k")))
     order = Window.orderBy("bucket")
     before = first.select(F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())).alias("bucket"), "k", "t")
-    return held.withColumn("edge", F.lit(False)).unionByName(before.withColumn("edge", F.lit(True)))
+    return held.withColumn("edge", F.lit(False)).unionByName(before.withColumn("edge", F.lit(True))), len(splits) + 2
 
 
 def _bucket(splits: list[int]) -> Column:
@@ -192,7 +193,8 @@ def document_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "tex
         if out:
             yield _batch(out, schema)
 
-    held = with_next(docs, key, text).repartition("bucket").sortWithinPartitions("bucket", "edge", F.col("k").desc_nulls_last(), "t")
+    held, n = with_next(docs, key, text)
+    held = held.repartitionById(n, "bucket").sortWithinPartitions("bucket", "edge", F.col("k").desc_nulls_last(), "t")
     return held.mapInArrow(run_bucket, RESULT)
 
 
