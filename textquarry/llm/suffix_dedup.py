@@ -141,7 +141,8 @@ def _scan(width: int, k: int, buckets: int, hot: np.ndarray):
                 is_hot = np.isin(kh[own], hot)
                 h, own = own[is_hot], own[~is_hot]
                 rows += _open_rows(doc[h], s[h], n[h], offset[h], ks, ths, buckets)
-            bucket = ((kh[own] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            spread = kh[own] * np.uint64(BASE_2)  # hashes at anchors are small ones
+            bucket = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             own, bucket = own[by], bucket[by]
             for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(bucket)) + 1) if len(own) else []:
