@@ -164,3 +164,20 @@ def test_windowed_counts_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, ST.windowed_counts(e, "ts", "event_type").collect()))
+
+
+def test_strategies_by_file_type(spark):
+    from textquarry.operators import retrieval as RT
+
+    row = spark.createDataFrame([("src/a.ts", "class A extends Base implements Shape {}")], "p string, c string").select(RT.priority_queries(F.col("p"), F.col("c")).alias("q"), RT.related_paths(F.col("p")).alias("r")).first()
+    assert [(x.query, x.weight) for x in row.q] == [("Base", 1.6), ("Shape", 1.6)]
+    assert row.r == ["src/index.ts", "src/types.ts", "src/a.types.ts", "src/a.d.ts"]
+
+
+def test_relations_keep_the_literal_rule(spark):
+    from textquarry.operators import retrieval as RT
+
+    rows = [(1, "call foo( and foo.bar", ["one"], ["foo"], []), (2, "text", ["foo"], [], []), (3, "only foo(", ["three"], [], [])]
+    c = spark.createDataFrame(rows, "id long, content string, symbols array<string>, imports array<string>, exports array<string>")
+    assert sorted(map(tuple, RT.relations(c).collect())) == [(1, 2, "imports"), (1, 2, "references"), (3, 2, "references")]
+    assert sorted(map(tuple, RT.relations(c, strict=True).collect())) == [(1, 2, "imports"), (3, 2, "references")]

@@ -164,6 +164,3 @@ def hub_severity(n: Column) -> Column:
 def ci_exit_code(critical: Column, high: Column, fail_on: Column) -> Column:
     return F.when(((fail_on == "critical") & (critical > 0)) | ((fail_on == "high") & ((critical > 0) | (high > 0))), 1).otherwise(0)
 
-
-def relevance_level(score: Column) -> Column:
-    return F.when(score >= 0.8, "high").when(score >= 0.5, "medium").otherwise("low")

@@ -9,6 +9,7 @@ from textquarry.operators import chunking as C
 from textquarry.operators import diffs as D
 from textquarry.operators import findings as FN
 from textquarry.operators import graph as G
+from textquarry.operators import retrieval as RT
 from textquarry.operators import similarity as SIM
 from textquarry.plans.registry import long, number, pick, query, sql_pick
 from textquarry.streaming import state as ST
@@ -182,13 +183,11 @@ def rerank_merge(spark, t):
 
 
 @query("""select doc_id, round((case when doc_id % 3 = 0 then 2.0 else 1.0 end) * (case when doc_id % 5 = 0 then 1.3 else 1.0 end) * (case when lang = 'en' then 1.2 else 1.0 end) * (case when doc_id % 7 = 0 then 1.5 else 1.0 end), 6)::double as weight,
-case when n_chars / 5000 >= 0.8 then 'high' when n_chars / 5000 >= 0.5 then 'medium' else 'low' end as relevance from documents""")
+case when doc_id % 3 = 0 or doc_id % 7 = 0 or (doc_id % 5 = 0 and n_chars / 5000 > 0.7) then 'high' when n_chars / 5000 > 0.5 or doc_id % 5 = 0 then 'medium' else 'low' end as relevance from documents""")
 def context_weights(spark, t):
     """Weights and relevance levels."""
-    from textquarry.functions.predicates import relevance_level
-
     d = F.col("doc_id")
-    return t("documents").select("doc_id", number(SIM.weight(d % 3 == 0, d % 5 == 0, F.when(F.col("lang") == "en", 1.2).otherwise(1.0), d % 7 == 0)).alias("weight"), relevance_level(F.col("n_chars") / 5000).alias("relevance"))
+    return t("documents").select("doc_id", number(SIM.weight(d % 3 == 0, d % 5 == 0, F.when(F.col("lang") == "en", 1.2).otherwise(1.0), d % 7 == 0)).alias("weight"), RT.relevance(F.col("n_chars") / 5000, d % 3 == 0, d % 7 == 0, d % 5 == 0).alias("relevance"))
 
 
 FILES = ("src/utils/helpers.ts", "main.py", "lib/a/b.go", "src/foo.test.ts", "README", "app/core.py")
@@ -490,3 +489,106 @@ def report_bodies(spark, t):
         part = report_lines(f, form).withColumn("form", F.lit(form))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def part_chunks(t):
+    p = t("part").where("p_partkey < 400")
+    words = F.split("p_name", " ")
+    return p.select(F.col("p_partkey").alias("id"), F.concat(F.lit(" "), "p_name", F.lit(" x."), F.get(words, F.lit(1)), F.lit("(")).alias("content"), F.array(F.concat(F.get(words, F.lit(0)), (F.col("p_partkey") % 3).cast("string"))).alias("symbols"), F.array(F.concat(F.get(words, F.lit(1)), F.lit("1"))).alias("imports"), F.array(F.lit("* from ./x")).alias("exports"))
+
+
+PART_CHUNKS = "(select p_partkey as id, ' ' || p_name || ' x.' || string_split(p_name, ' ')[2] || '(' as content, string_split(p_name, ' ')[1] || (p_partkey % 3) as symbol, string_split(p_name, ' ')[2] || '1' as imported from part where p_partkey < 400)"
+
+
+@query(f"""with c as (select * from {PART_CHUNKS}), i as (select distinct a.id as src, b.id as dst from c a join c b on a.imported = b.symbol and a.id <> b.id),
+r as (select distinct a.id as src, b.id as dst from c a, c b where a.id <> b.id and length(b.symbol) >= 3 and ((contains(a.content, b.symbol || '(') and (a.id, b.id) not in (select (src, dst) from i)) or contains(a.content, b.symbol || '.') or contains(a.content, ' ' || b.symbol || ' ')))
+select src, dst, 'imports' as kind from i union all select src, dst, 'references' from r""")
+def chunk_relations(spark, t):
+    """GR10 J10 J11 G6: imports and references between chunks."""
+    return RT.relations(part_chunks(t))
+
+
+@query()
+def strategy_queries(spark, t):
+    """What a file's type looks for, its weight, and the files that belong to it."""
+    k = F.col("n_nationkey")
+    path, code = pick(("src/a.ts", "lib/m.py", "pkg/s.go", "ui/x.scss", "notes.txt"), k), pick(("class A extends Base implements Shape { x: Thing }", "from os import path\nclass K(Parent):\n    def f(self) -> Result: pass", "type Store interface {}\nfunc (s *Server) Run() {}", "@include flex; color: $main;", "plain"), k)
+    q = RT.priority_queries(path, code)
+    return t("nation").select(k.alias("id"), RT.file_type(path).alias("kind"), F.array_join(F.transform(q, lambda x: F.concat_ws("=", x["query"], x["weight"].cast("string"))), ",").alias("queries"), F.array_join(RT.related_paths(path), ",").alias("related"))
+
+
+@query("""with p as (select p_partkey as id, p_brand as file, p_size as line, unnest(string_split(p_name, ' ')) as symbol from part), a as (select symbol, row_number() over (order by symbol) as position from (select distinct symbol from p) order by symbol limit 8),
+s as (select *, 0 as o from p where id % 4 = 0 union all select *, 1 from p where id % 4 <= 1 and id % 8 < 4),
+r as (select s.id, s.symbol, position, o, row_number() over (partition by s.symbol, o order by file, line, s.id) as r from s join a using (symbol)),
+k as (select * from r where r <= case o when 0 then 10 else 15 end), f as (select *, row_number() over (partition by id order by position, o) as x from k)
+select id, case o when 0 then 'definition' else 'usage' end as source, round(case o when 0 then 1.04 else 0.77 end, 6)::double as score, o = 0 as is_exact, symbol from f where x = 1""")
+def structural_stage(spark, t):
+    """Definitions and usages of asked symbols."""
+    from pyspark.sql import Window
+
+    p = t("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("file"), F.col("p_size").alias("line"), F.explode(F.split("p_name", " ")).alias("symbol"))
+    asked = p.select("symbol").distinct().withColumn("position", F.row_number().over(Window.orderBy("symbol")))
+    out = RT.structural_stage(asked, p.where("id % 4 = 0"), p.where("id % 4 <= 1 and id % 8 < 4"))
+    return out.select("id", "source", number("score").alias("score"), "is_exact", "symbol")
+
+
+STAGED = "(select user_id % 20 as query_id, event_id as id, event_type as source, value / 100 as score, event_id % 9 = 0 as is_exact from events where event_type = '{}')"
+
+
+@query(f"""with a as (select * from {STAGED.format('view')}), n as (select *, row_number() over (partition by query_id order by score desc, id) as r from a where score > 0.8),
+d as (select query_id from n group by query_id having count(*) >= 5 and (count(*) filter (r <= 3 and score > 0.9) >= 3 or count(*) filter (is_exact) >= 5)),
+u as (select query_id, id, source, score, is_exact from a where score > 0.8 union all select query_id, id, source, score, is_exact from {STAGED.format('click')} where query_id not in (select query_id from d)),
+f as (select *, row_number() over (partition by query_id order by score desc, id) as rank from u) select query_id, id, source, round(score, 6) as score, cast(rank as integer) as rank from f where rank <= 20""")
+def staged_retrieval(spark, t):
+    """Stages of which a sure query skips the later ones."""
+    e = t("events").select((F.col("user_id") % 20).alias("query_id"), F.col("event_id").alias("id"), F.col("event_type").alias("source"), (F.col("value") / 100).alias("score"), (F.col("event_id") % 9 == 0).alias("is_exact"))
+    return RT.staged([e.where("source = 'view' and score > 0.8"), e.where("source = 'click'")]).select("query_id", "id", "source", number("score").alias("score"), "rank")
+
+
+@query("select doc_id, round(least(1.0, n_chars / 1000.0 / 10) * case when doc_id % 4 = 0 then 1.5 when least(1.0, n_chars / 1000.0 / 10) > 0.5 then 1.2 else 1.0 end, 6)::double as weight from documents")
+def keyword_stage_weights(spark, t):
+    """Keyword scores as weights."""
+    return t("documents").select("doc_id", number(RT.keyword_stage_weight(F.col("n_chars") / 1000.0, F.col("doc_id") % 4 == 0)).alias("weight"))
+
+
+@query()
+def xml_contexts(spark, t):
+    """What a request is shown."""
+    c = candidates(t).withColumn("is_modified", F.col("id") % 5 == 0).withColumn("is_test", F.col("id") % 7 == 0).withColumn("source_file", F.when(F.col("id") % 2 == 0, "src/x.ts")).withColumn("in_description", F.col("id") % 3 == 0)
+    return RT.xml_context(c)
+
+
+TOOL_PATHS = ("src/a.ts", "config/.env", "lib/b.py", "keys/x.pem", "docs/c.md")
+
+
+@query(f"""with r as (select doc_id, {sql_pick(TOOL_PATHS, 'doc_id')} as path, row_number() over (order by n_chars desc, doc_id) as rank from documents) select doc_id, path, cast(rank as integer) as rank from r where rank <= 50 and path not in ('config/.env', 'keys/x.pem')""")
+def tool_search(spark, t):
+    """The clamp of a tool's limit, then no secrets."""
+    d = t("documents").orderBy(F.desc("n_chars"), "doc_id").limit(100).withColumn("rank", F.expr("row_number() over (order by n_chars desc, doc_id)").cast("int"))
+    return RT.tool_results(d.select("doc_id", pick(TOOL_PATHS, F.col("doc_id")).alias("path"), "rank"), "path", 500)
+
+
+@query()
+def config_chunk_list(spark, t):
+    """One chunk per configuration file."""
+    k = F.col("n_nationkey")
+    f = t("nation").select(F.concat(k.cast("string"), F.lit("/"), pick(("package.json", "a.ts", "go.mod"), k)).alias("path"), pick(('{"dependencies": {"a": "1"}}', "x", "module m\ngo 1.22\n"), k).alias("content"))
+    return RT.config_chunks(f, "path", "content").withColumn("symbol_names", F.array_join("symbol_names", ","))
+
+
+@query("""select doc_id, case when doc_id % 3 = 0 then 'new' else source end as source, case when doc_id % 3 = 0 then cast(0 as bigint) else n_chars end as n_chars from documents union all select doc_id + 10000000, 'new', cast(0 as bigint) from documents where doc_id % 50 = 0""")
+def upsert_rows(spark, t):
+    """Rows of equal keys are replaced, others added."""
+    from textquarry.sources.files import upsert
+
+    d = t("documents").select("doc_id", "source", "n_chars")
+    new = d.where("doc_id % 3 = 0").select("doc_id", F.lit("new").alias("source"), F.lit(0).cast("long").alias("n_chars")).unionByName(d.where("doc_id % 50 = 0").select((F.col("doc_id") + 10_000_000).alias("doc_id"), F.lit("new").alias("source"), F.lit(0).cast("long").alias("n_chars")))
+    return upsert(d, new, ["doc_id"])
+
+
+@query("select page_id, regexp_matches(url, '^[^:]*://[^/]*/(en|de)/[^?#]*$') and not regexp_matches(url, '\\.html$') as kept from pages")
+def glob_filter(spark, t):
+    """Included and excluded patterns as one alternation each."""
+    from textquarry.sources.files import matches_globs
+
+    return t("pages").select("page_id", F.col("url").rlike("^[^:]*://[^/]*/(en|de)/[^?#]*$").alias("a"), "url").select("page_id", (F.col("a") & matches_globs(F.col("url"), ["**"], ["**/*.html", "**.html"])).alias("kept"))
