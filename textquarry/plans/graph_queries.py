@@ -592,3 +592,21 @@ def glob_filter(spark, t):
     from textquarry.sources.files import matches_globs
 
     return t("pages").select("page_id", F.col("url").rlike("^[^:]*://[^/]*/(en|de)/[^?#]*$").alias("a"), "url").select("page_id", (F.col("a") & matches_globs(F.col("url"), ["**"], ["**/*.html", "**.html"])).alias("kept"))
+
+
+@query("""select cast(o_orderkey as varchar) as sha, o_orderpriority as author, o_orderstatus as date, 'order ' || o_custkey as subject from orders where o_orderkey % 7 <> 0""")
+def commit_rows(spark, t):
+    """Records of a log, blank ones dropped."""
+    from textquarry.sources.files import commit_fields
+
+    record = F.concat_ws("\x1f", F.col("o_orderkey").cast("string"), "o_orderpriority", "o_orderstatus", F.concat(F.lit("order "), F.col("o_custkey").cast("string")))
+    return commit_fields(t("orders").select(F.when(F.col("o_orderkey") % 7 == 0, "  ").otherwise(F.concat(F.lit("\n"), record)).alias("value")))
+
+
+@query("""select cast(json_extract_string(props, '$.k') as bigint) as k, count(*) as n from events where event_id % 6 <> 0 group by 1""")
+def json_record_rows(spark, t):
+    """Records by an explicit schema, malformed ones skipped."""
+    from textquarry.sources.files import parsed_records
+
+    body = F.when(F.col("event_id") % 6 == 0, F.concat(F.lit("{broken"), F.col("props"))).otherwise(F.col("props"))
+    return parsed_records(t("events").select(body.alias("b")), "b", "k long").groupBy("k").agg(F.count("*").alias("n"))

@@ -33,7 +33,7 @@ ranked as (select *, row_number() over (partition by query_id order by score des
 
 @query(BM25 + "select query_id, doc_id, round(score, 6) as score, cast(rank as integer) as rank from ranked where rank <= 10")
 def keyword_bm25_topk(spark, t):
-    """K1 K4 K5 K8 L2: BM25, ten best for each of several queries."""
+    """BM25, ten best for each of several queries."""
     scored = S.keyword_scores(t("documents"), asked(spark), "doc_id", "text")
     return S.top_k(scored, 10).select("query_id", "doc_id", number("score").alias("score"), "rank")
 

@@ -63,11 +63,21 @@ def change_set(lines: DataFrame, line: str = "value") -> DataFrame:
     return rows.select(F.inline(each))
 
 
+def commit_fields(records: DataFrame, record: str = "value") -> DataFrame:
+    """(sha, author, date, subject) of records whose fields end with 0x1f; blank records are dropped."""
+    parts = F.split(F.regexp_replace(record, r"^\s+", ""), "\x1f")
+    return records.where(F.trim(record) != "").select(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(("sha", "author", "date", "subject"))])
+
+
 def commit_log(spark: SparkSession, path: str) -> DataFrame:
-    """(sha, author, date, subject) of a log whose fields end with 0x1f and records with 0x1e."""
-    records = spark.read.option("lineSep", "\x1e").text(path)
-    parts = F.split(F.regexp_replace("value", r"^\s+", ""), "\x1f")
-    return records.where(F.trim("value") != "").select(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(("sha", "author", "date", "subject"))])
+    """The commits of a log file whose records end with 0x1e."""
+    return commit_fields(spark.read.option("lineSep", "\x1e").text(path))
+
+
+def parsed_records(rows: DataFrame, body: str, schema: str) -> DataFrame:
+    """Columns of a JSON text by an explicit schema; rows whose text is malformed are skipped."""
+    parsed = rows.where(F.try_parse_json(F.col(body)).isNotNull()).withColumn("_r", F.from_json(F.col(body), schema))
+    return parsed.select("_r.*")
 
 
 def json_records(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
