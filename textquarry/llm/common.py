@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where it is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="textquarry-")
-        spark.sparkContext.setCheckpointDir(named)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
