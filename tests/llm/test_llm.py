@@ -164,8 +164,11 @@ def test_line_dedup_equals_all_pairs(spark):
     rng = random.Random(5)
     base = ["".join(rng.choices("abcdeé ", k=rng.randrange(4, 45))) for _ in range(25)]
     rows = [(i, "\n".join(mutate(rng, x, rng.randrange(0, 4)) if x else x for x in rng.choices([*base, "", "short"], k=6))) for i in range(40)]
-    got = {r.doc_id: (r.n_exact, r.n_near, r.n_links, r.removed_lines) for r in LD.dedup_lines(table(spark, rows)).collect()}
+    docs = table(spark, rows)
+    got = {r.doc_id: (r.n_exact, r.n_near, r.n_links, r.removed_lines) for r in LD.dedup_lines(docs).collect()}
     assert got == near_lines(rows)
+    links = [sorted(map(tuple, LD.line_links(docs, "doc_id", "text", **o).collect())) for o in ({}, {"hot_lines": 8}, {"hot_lines": 8, "most_ids": 0})]
+    assert links[0] == links[1] == links[2] and links[0]
 
 
 def test_line_dedup_awkward_rows(awkward, empty):

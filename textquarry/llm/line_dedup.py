@@ -10,8 +10,10 @@ match within the threshold can have. Colliding pairs are verified by bit-paralle
 A line is removed if its text has an earlier occurrence, or links to a text with an earlier first occurrence; there is no
 chaining, so nothing further than the threshold from what is kept is lost.
 
-Segments that more than `hot_lines` lines share are split once more: what is left of the line without the segment must
-again have a segment in common, at most `edits` edits apart, so the pair of both is the key.
+Only hashes are dealt out: a distinct line travels as its id and the hashes of its segments, and texts are fetched for
+those lines alone that met another. Segments that very many lines share are found on a sample of line ids; their lines
+are verified where they meet, so that a group with a common segment gives out its links and not its pairs. Which way a
+segment goes changes no result.
 
 Defined cases: a null text has no lines; blank lines are kept; lines shorter than `least_chars` are duplicates only if
 equal; rows that repeat id and line number are the same place and keep each other; a null doc_id comes first; an empty
@@ -31,10 +33,9 @@ def document_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("line_no", "line"))
 
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """(id, line, doc_id, line_no, n): each text with its first place. id is a 64-bit hash that texts may share."""
-    named = lines.where("trim(line) <> ''").withColumn("id", F.xxhash64("line"))
-    return named.groupBy("id", "line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+def lines_with_ids(lines: DataFrame) -> DataFrame:
+    """Lines that are not blank, with two 64-bit hashes: id finds a text, both together stand for it."""
+    return lines.where("trim(line) <> ''").withColumn("id", F.xxhash64("line")).withColumn("id2", F.xxhash64("line", F.lit(7)))
 
 
 def _segment(n: Column, i: Column, edits: int) -> tuple[Column, Column]:
@@ -76,6 +77,16 @@ def probe_keys(line: Column, n: Column, edits: int) -> Column:
     return F.transform(F.array(*shifts), key)
 
 
+def code_points(text: Column) -> Column:
+    """The text as binary of four bytes a character, of which any part is cut out without a scan."""
+    return F.encode(text, "UTF-32")
+
+
+def _part(code: Column, start: Column, size: Column) -> Column:
+    """Characters start (from 0) to start+size of a binary of code points."""
+    return F.substring(code, start * 4 + 1, size * 4)
+
+
 def _shared(a: Column, b: Column, most: Column, part) -> Column:
     """The greatest length at which part(a, from, size) equals part(b, from, size) for all sizes up to it, by halving."""
     steps = F.array(*[F.lit(1 << i) for i in range(24, -1, -1)])
@@ -83,21 +94,51 @@ def _shared(a: Column, b: Column, most: Column, part) -> Column:
 
 
 def edit_distance(a: Column, b: Column, edits: int) -> Column:
-    """Edit distance of a and b if it is at most `edits` (under 31), else a larger number.
+    """Edit distance of texts a and b if it is at most `edits` (under 31), else a larger number."""
+    return _let(F.struct(code_points(a).alias("a"), code_points(b).alias("b")), lambda x: code_distance(x["a"], x["b"], edits))
 
-    Common ends are cut off first. Then one word holds a column's band of 2*edits+1 cells: bit i is the cell `i` rows below
-    the band's top. From one column to the next the band moves down by one, so words of vertical differences shift by
-    one. `d` follows the band's lower edge to the last row, then that row.
+
+def code_distance(a: Column, b: Column, edits: int) -> Column:
+    """The same for binaries of code points.
+
+    Common ends are cut off first, and of edits+2 segments of what is left two must stand in the other text, at most
+    `edits` places off. Then one word holds a column's band of 2*edits+1 cells: bit i is the cell `i` rows below the band's
+    top. From one column to the next the band moves down by one, so words of vertical differences shift by one. `d`
+    follows the band's lower edge to the last row, then that row.
     """
-    m, n = F.length(a), F.length(b)
-    ahead = _shared(a, b, F.least(m, n), lambda x, p, s: F.substring(x, p + 1, s))
+    m, n = (F.length(a) / 4).cast("int"), (F.length(b) / 4).cast("int")
 
-    def without_ends(p: Column) -> Column:
-        behind = _shared(a, b, F.least(m, n) - p, lambda x, q, s: F.substring(x, F.length(x) - q - s + 1, s))
-        cut_off = lambda x, q: F.substring(x, p + 1, F.length(x) - p - q)
-        return _let(behind, lambda q: _let(F.struct(cut_off(a, q).alias("a"), cut_off(b, q).alias("b")), lambda x: _banded(x["a"], x["b"], edits)))
+    def cut_ends(size: Column) -> Column:
+        ahead = _shared(a, b, F.least(size["m"], size["n"]), lambda x, p, s: _part(x, p, s))
 
-    return F.when(F.abs(m - n) > edits, edits + 1).otherwise(_let(ahead, without_ends))
+        def without_ends(p: Column) -> Column:
+            ends = ((a, size["m"]), (b, size["n"]))
+            behind = F.aggregate(
+                F.array(*[F.lit(1 << i) for i in range(24, -1, -1)]),
+                F.lit(0),
+                lambda q, s: F.when((p + q + s <= F.least(size["m"], size["n"])) & (_part(a, size["m"] - q - s, s) == _part(b, size["n"] - q - s, s)), q + s).otherwise(q),
+            )
+            middle = lambda q: F.struct(*[_part(x, p, k - p - q).alias(c) for (x, k), c in zip(ends, "ab")], (size["m"] - p - q).alias("m"), (size["n"] - p - q).alias("n"))
+            judge = lambda x: F.when(_may_match(x, edits), _banded(F.decode(x["a"], "UTF-32"), F.decode(x["b"], "UTF-32"), edits)).otherwise(edits + 1)
+            return _let(behind, lambda q: _let(middle(q), judge))
+
+        return F.when(F.abs(size["m"] - size["n"]) > edits, edits + 1).otherwise(_let(ahead, without_ends))
+
+    return _let(F.struct(m.alias("m"), n.alias("n")), cut_ends)
+
+
+def _may_match(x: Column, edits: int) -> Column:
+    """Whether two of edits+2 segments of x.a stand in x.b at most `edits` places off; true for short texts."""
+    k = edits + 2
+    m = x["m"]
+
+    def stands(i: Column) -> Column:
+        start = F.floor(m * i / k).cast("int")
+        size = F.floor(m * (i + 1) / k).cast("int") - start
+        own = _part(x["a"], start, size)
+        return F.exists(F.array(*map(F.lit, range(-edits, edits + 1))), lambda s: (start + s >= 0) & (start + s + size <= x["n"]) & (_part(x["b"], start + s, size) == own))
+
+    return (m < 4 * k) | (F.size(F.filter(F.array(*map(F.lit, range(k))), stands)) >= 2)
 
 
 def _banded(a: Column, b: Column, edits: int) -> Column:
@@ -144,18 +185,52 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def line_links(lines: DataFrame, edits: int = 2, least_chars: int = 12, hot_lines: int = 2000) -> DataFrame:
-    """(a, b, first_a, first_b) of distinct lines (from distinct_lines) within `edits` edits, each pair once."""
+def line_links(docs: DataFrame, key: str, text: str, edits: int = 2, least_chars: int = 12, hot_lines: int = 32, most_ids: int = 1_000_000) -> DataFrame:
+    """(a, a2, b, b2): distinct lines (both hashes of each) within `edits` edits, each pair once."""
     least_chars = max(least_chars, 3 * (edits + 1))
-    body = lines.select("id", "line").withColumn("n", F.length("line")).where(F.col("n") >= least_chars)
-    index = body.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("h"), F.col("id").alias("a"))
-    probe = body.select(F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("h"), F.col("id").alias("b")).where("h is not null")
-    met = probe.join(index.hint("shuffle_hash"), "h").where("a <> b")
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = cut(pairs.distinct())
-    side = lambda c: lines.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"), F.col("first").alias(f"first_{c}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").where((F.length("line_a") >= least_chars) & (F.length("line_b") >= least_chars))
-    return met.where(edit_distance(F.col("line_a"), F.col("line_b"), edits) <= edits)
+
+    def body() -> DataFrame:
+        return lines_with_ids(document_lines(docs, key, text)).withColumn("n", F.length("line")).where(F.col("n") >= least_chars)
+
+    def sent(keys: Column, count: int, name: str) -> DataFrame:
+        """A row per distinct line and hash; equal lines are combined before the shuffle, with hashes as columns."""
+        own = body().select("id", "id2", keys.alias("_keys")).select("id", "id2", *[F.get("_keys", F.lit(i)).alias(f"h{i}") for i in range(count)])
+        own = own.groupBy("id", "id2").agg(*[F.first(f"h{i}").alias(f"h{i}") for i in range(count)])
+        return own.select(F.col("id").alias(name), F.explode(F.array(*[F.col(f"h{i}") for i in range(count)])).alias("h")).where("h is not null")
+
+    index = sent(index_keys(F.col("line"), F.col("n"), edits), edits + 1, "a")
+    probe = sent(probe_keys(F.col("line"), F.col("n"), edits), len(probe_shifts(edits)), "b")
+    share = 4
+    seen = index.where(F.pmod(F.col("a"), F.lit(share)) == 0).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= hot_lines // share).select("h")
+    hot = cut(seen)
+    some_hot = hot.limit(1).count() > 0
+    on_all = _small(hot, most_ids) if some_hot else None
+    common_index, common_probe = (index.join(on_all, "h", "left_anti"), probe.join(on_all, "h", "left_anti")) if some_hot else (index, probe)
+    met = common_probe.join(common_index.hint("shuffle_hash"), "h").where("a <> b")
+    pairs = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    if some_hot:
+        hot_rows = cut(index.join(on_all, "h", "left_semi").select("h", F.col("a").alias("id"), F.lit(True).alias("indexed")).unionByName(probe.join(on_all, "h", "left_semi").select("h", F.col("b").alias("id"), F.lit(False).alias("indexed"))))
+        needed = needed.unionByName(hot_rows.select("id"))
+    needed = cut(needed.distinct())
+    texts = cut(body().join(_small(needed, most_ids), "id", "left_semi").groupBy("id", "id2").agg(F.first("line").alias("line")).select("id", "id2", code_points(F.col("line")).alias("code")))
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("id2").alias(f"{c}2"), F.col("code").alias(f"code_{c}"))
+    near = code_distance(F.col("code_a"), F.col("code_b"), edits) <= edits
+    out = pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "a2", "b", "b2")
+    if some_hot:
+        with_text = lambda kind, c: hot_rows.where(F.col("indexed") == kind).select("h", F.col("id").alias(c)).join(side(c), c)
+        x, y = with_text(True, "a"), with_text(False, "b")
+        low = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("a2") < F.col("b2")))
+        once = (F.length("code_a") < F.length("code_b")) | low  # of two lines of one length each finds the other
+        here = x.join(y, (x.h == y.h) & once & near).select("a", "a2", "b", "b2")
+        turned = here.select(*[F.when(low, F.col(p)).otherwise(F.col(q)).alias(p) for p, q in (("a", "b"), ("a2", "b2"), ("b", "a"), ("b2", "a2"))])
+        out = out.unionByName(turned)
+    return out.distinct()
+
+
+def _small(rows: DataFrame, most: int) -> DataFrame:
+    """rows, to be broadcast if they are at most `most`; a plain join handles more."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", edits: int = 2, least_chars: int = 12) -> DataFrame:
@@ -165,14 +240,15 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", edi
     texts its lines link to; removed_lines are line numbers; kept_from the documents whose lines stay instead.
     """
     lines = document_lines(docs, key, text)
-    distinct = distinct_lines(lines)
-    links = cut(line_links(distinct, edits, least_chars).select(F.xxhash64("line_a").alias("a"), F.md5(F.col("line_a").cast("binary")).alias("ma"), F.xxhash64("line_b").alias("b"), F.md5(F.col("line_b").cast("binary")).alias("mb"), "first_a", "first_b"))
-    both = links.select(F.col("a").alias("id"), F.col("ma").alias("m"), F.col("first_b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("mb").alias("m"), F.col("first_a").alias("other")))
-    linked = both.groupBy("id", "m").agg(F.min("other").alias("least_other"), F.count("*").alias("links"))
-    places = lines.select("doc_id", "line_no", F.when(F.expr("trim(line) <> ''"), F.xxhash64("line")).alias("id"), F.md5(F.col("line").cast("binary")).alias("m"))
-    first = places.where("id is not null").groupBy("id", "m").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    judged = first.join(linked, ["id", "m"], "left").select("id", "m", "first", "links", F.when(F.col("least_other") < F.col("first"), F.col("least_other")).alias("near"))
-    out = places.join(judged, ["id", "m"], "left").withColumn("here", F.struct("doc_id", "line_no"))
+    places = lines.select("doc_id", "line_no", F.when(F.expr("trim(line) <> ''"), F.xxhash64("line")).alias("id"), F.xxhash64("line", F.lit(7)).alias("id2"))
+    first = cut(places.where("id is not null").groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")))
+    links = cut(line_links(docs, key, text, edits, least_chars))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("b2").alias("a2"), F.col("a").alias("b"), F.col("a2").alias("b2")))
+    others = both.join(first.select(F.col("id").alias("b"), F.col("id2").alias("b2"), F.col("first").alias("other")), ["b", "b2"])
+    linked = others.groupBy(F.col("a").alias("id"), F.col("a2").alias("id2")).agg(F.min("other").alias("least_other"), F.count("*").alias("links"))
+    judged = first.join(linked, ["id", "id2"], "left").where("n > 1 or links > 0")
+    judged = judged.select("id", "id2", "first", "links", F.when(F.col("least_other") < F.col("first"), F.col("least_other")).alias("near"))
+    out = places.join(judged, ["id", "id2"], "left").withColumn("here", F.struct("doc_id", "line_no"))
     exact = F.col("first").isNotNull() & (F.col("here") > F.col("first"))
     near = F.col("near").isNotNull() & ~exact
     return out.groupBy("doc_id").agg(
