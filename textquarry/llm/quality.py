@@ -197,10 +197,15 @@ def fit_rules(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3,
     return RuleModel(intercept, [(rules[i], float(w)) for i, w in zip(used, weights) if abs(w) > 1e-6])
 
 
-def train(stats: DataFrame, labels: DataFrame, *, label: str = "quality", key: str = "doc_id", most_rows: int = 20_000, **options) -> RuleModel:
-    """Fit on at most `most_rows` labelled rows, those with the least hashes of their ids: the only rows that the driver sees."""
+def training_labels(labels: DataFrame, label: str = "quality", key: str = "doc_id", most_rows: int = 20_000) -> DataFrame:
+    """(doc_id, y): at most `most_rows` labels, those with the least hashes of their ids, so they may be broadcast."""
     known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null")
-    rows = stats.join(known, "doc_id").select(F.xxhash64("doc_id").alias("h"), "y", *FEATURES).orderBy("h", "y", *FEATURES).limit(most_rows).drop("h").toPandas()
+    return known.orderBy(F.xxhash64("doc_id"), "y").limit(most_rows)
+
+
+def train(stats: DataFrame, known: DataFrame, **options) -> RuleModel:
+    """Fit on the rows of stats that `known` (from training_labels) names: the only rows that the driver sees."""
+    rows = stats.join(F.broadcast(known), "doc_id").select("y", *FEATURES).orderBy("y", *FEATURES).toPandas()
     return fit_rules(rows[list(FEATURES)].to_numpy(np.float64), (rows["y"].to_numpy(np.float64) >= 0.5).astype(np.float64), **options)
 
 
@@ -211,16 +216,17 @@ def held_out_rows(key: str = "doc_id", folds: int = 5) -> Column:
 def quality_scores(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.3, most_rows: int = 20_000, **options) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted. Held-out rows never train."""
     stats = cut(text_statistics(docs, key, text))
-    model = train(stats, labels.where(~held_out_rows(key)), key=key, most_rows=most_rows, **options)
+    model = train(stats, training_labels(labels.where(~held_out_rows(key)), key=key, most_rows=most_rows), **options)
     scored = stats.select("doc_id", held_out_rows("doc_id").alias("held_out"), model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.3, most_rows: int = 20_000, **options) -> DataFrame:
     """The rows of docs that score at least `threshold`, with all their columns; texts are not shuffled."""
-    known = labels.select(F.col(key).cast("long").alias("_id"), F.col("quality")).where("_id is not null and quality is not null")
-    seen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(known.select("_id").distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
-    model = train(cut(text_statistics(seen)), known.withColumnRenamed("_id", "doc_id"), most_rows=most_rows, **options)
+    known = cut(training_labels(labels, key=key, most_rows=most_rows))
+    ids = known.select(F.col("doc_id").alias("_id")).distinct()
+    seen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi")
+    model = train(cut(text_statistics(seen)), known, **options)
 
     def measure(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([statistics(t.encode()) for t in texts], columns=list(FEATURES), dtype=np.float64)
