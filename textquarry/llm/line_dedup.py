@@ -38,21 +38,21 @@ def lines_with_ids(lines: DataFrame) -> DataFrame:
     return lines.where("trim(line) <> ''").withColumn("id", F.xxhash64("line")).withColumn("id2", F.xxhash64("line", F.lit(7)))
 
 
-def _segment(n: Column, i: Column, edits: int) -> tuple[Column, Column]:
+def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
     """(start from 0, size) of segment i of edits+1 even segments of a line of length n; later ones are longer."""
     k = edits + 1
-    base, short = F.floor(n / k), k - n % k
-    return base * i + F.greatest(F.lit(0), i - short), base + F.when(i >= short, 1).otherwise(0)
+    base = F.shiftright(n, k.bit_length() - 1) if k & (k - 1) == 0 else F.floor((n + F.lit(0.5)) * (1.0 / k)).cast("int")
+    rest = n - base * k
+    return base * i + F.greatest(F.lit(0), rest + (i - k)), base + F.when(rest >= k - i, 1).otherwise(0)
 
 
-def index_keys(line: Column, n: Column, edits: int) -> Column:
+def index_keys(line: Column, n: Column, edits: int) -> list[Column]:
     """Hashes of the segments of a line of length n, with length and number."""
-
-    def key(i: Column) -> Column:
+    out = []
+    for i in range(edits + 1):
         start, size = _segment(n, i, edits)
-        return F.xxhash64(n, i, F.substring(line, (start + 1).cast("int"), size.cast("int")))
-
-    return F.transform(F.array(*map(F.lit, range(edits + 1))), key)
+        out.append(F.xxhash64(n, F.lit(i), F.substring(line, start + 1, size)))
+    return out
 
 
 def probe_shifts(edits: int) -> list[tuple[int, int, int]]:
@@ -65,16 +65,13 @@ def probe_shifts(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def probe_keys(line: Column, n: Column, edits: int) -> Column:
+def probe_keys(line: Column, n: Column, edits: int) -> list[Column]:
     """Hashes of the selected substrings of a line of length n, as the index of each length has them; null where none fits."""
-
-    def key(x: Column) -> Column:
-        start, size = _segment(n - x["d"], x["i"], edits)
-        start = start + x["s"]
-        return F.when((start >= 0) & (start + size <= n), F.xxhash64(n - x["d"], x["i"], F.substring(line, (start + 1).cast("int"), size.cast("int"))))
-
-    shifts = [F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in probe_shifts(edits)]
-    return F.transform(F.array(*shifts), key)
+    out = []
+    for d, i, s in probe_shifts(edits):
+        start, size = _segment(n - d, i, edits)
+        out.append(F.when((start + s >= 0) & (start + s + size <= n), F.xxhash64(n - d, F.lit(i), F.substring(line, start + s + 1, size))))
+    return out
 
 
 def code_points(text: Column) -> Column:
@@ -192,24 +189,33 @@ def line_links(docs: DataFrame, key: str, text: str, edits: int = 2, least_chars
     def body() -> DataFrame:
         return lines_with_ids(document_lines(docs, key, text)).withColumn("n", F.length("line")).where(F.col("n") >= least_chars)
 
-    def sent(keys: Column, count: int, name: str) -> DataFrame:
+    def sent(rows: DataFrame, keys: list[Column], name: str) -> DataFrame:
         """A row per distinct line and hash; equal lines are combined before the shuffle, with hashes as columns."""
-        own = body().select("id", "id2", keys.alias("_keys")).select("id", "id2", *[F.get("_keys", F.lit(i)).alias(f"h{i}") for i in range(count)])
-        own = own.groupBy("id", "id2").agg(*[F.first(f"h{i}").alias(f"h{i}") for i in range(count)])
-        return own.select(F.col("id").alias(name), F.explode(F.array(*[F.col(f"h{i}") for i in range(count)])).alias("h")).where("h is not null")
+        # The higher-order function keeps this projection out of whole-stage code, of which one method would be too long to be compiled.
+        never = F.exists(F.array("n"), lambda x: x < 0)
+        hashes = [F.when(never, F.lit(None).cast("long")).otherwise(k) if i == 0 else k for i, k in enumerate(keys)]
+        names = [f"h{i}" for i in range(len(keys))]
+        own = rows.select("id", "id2", *[h.alias(c) for h, c in zip(hashes, names)]).groupBy("id", "id2").agg(*[F.first(c).alias(c) for c in names])
+        return own.select(F.col("id").alias(name), F.explode(F.array(*names)).alias("h")).where("h is not null")
+
+    def both(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return sent(rows, index_keys(F.col("line"), F.col("n"), edits), "a"), sent(rows, probe_keys(F.col("line"), F.col("n"), edits), "b")
 
-    index = sent(index_keys(F.col("line"), F.col("n"), edits), edits + 1, "a")
-    probe = sent(probe_keys(F.col("line"), F.col("n"), edits), len(probe_shifts(edits)), "b")
     share = 4
-    seen = index.where(F.pmod(F.col("a"), F.lit(share)) == 0).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= hot_lines // share).select("h")
+    some = body().where(F.pmod("id", F.lit(share)) == 0)
+    own_keys = [F.struct(k.alias("h"), F.col("n").alias("n")) for k in index_keys(F.col("line"), F.col("n"), edits)]
+    seen = some.select("id", F.inline(F.array(*own_keys))).groupBy("h", "n").agg(F.count_distinct("id").alias("c")).where(F.col("c") >= hot_lines // share).select("h", "n")
+    index, probe = both(body())
     hot = cut(seen)
     some_hot = hot.limit(1).count() > 0
-    on_all = _small(hot, most_ids) if some_hot else None
+    on_all = _small(hot.select("h"), most_ids) if some_hot else None
     common_index, common_probe = (index.join(on_all, "h", "left_anti"), probe.join(on_all, "h", "left_anti")) if some_hot else (index, probe)
     met = common_probe.join(common_index.hint("shuffle_hash"), "h").where("a <> b")
     pairs = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     if some_hot:
+        sizes = hot.select(F.explode(F.array(*[F.col("n") + d for d in range(edits + 1)])).alias("n")).distinct()
+        index, probe = both(body().join(_small(sizes, most_ids), "n", "left_semi"))  # no other line has such a segment
         hot_rows = cut(index.join(on_all, "h", "left_semi").select("h", F.col("a").alias("id"), F.lit(True).alias("indexed")).unionByName(probe.join(on_all, "h", "left_semi").select("h", F.col("b").alias("id"), F.lit(False).alias("indexed"))))
         needed = needed.unionByName(hot_rows.select("id"))
     needed = cut(needed.distinct())
