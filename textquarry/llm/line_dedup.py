@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import cut
+from textquarry.llm.common import cut, stored
 
 
 def document_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,7 +195,7 @@ def line_links(docs: DataFrame, key: str, text: str, edits: int = 2, least_chars
         never = F.exists(F.array("n"), lambda x: x < 0)
         hashes = [F.when(never, F.lit(None).cast("long")).otherwise(k) if i == 0 else k for i, k in enumerate(keys)]
         names = [f"h{i}" for i in range(len(keys))]
-        own = rows.select("id", "id2", *[h.alias(c) for h, c in zip(hashes, names)]).groupBy("id", "id2").agg(*[F.first(c).alias(c) for c in names])
+        own = rows.select("id", *[h.alias(c) for h, c in zip(hashes, names)]).distinct()
         return own.select(F.col("id").alias(name), F.explode(F.array(*names)).alias("h")).where("h is not null")
 
     def both(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -247,7 +247,7 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", edi
     """
     lines = document_lines(docs, key, text)
     places = lines.select("doc_id", "line_no", F.when(F.expr("trim(line) <> ''"), F.xxhash64("line")).alias("id"), F.xxhash64("line", F.lit(7)).alias("id2"))
-    first = cut(places.where("id is not null").groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")))
+    first = stored(places.where("id is not null").groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")), "lines")
     links = cut(line_links(docs, key, text, edits, least_chars))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("b2").alias("a2"), F.col("a").alias("b"), F.col("a2").alias("b2")))
     others = both.join(first.select(F.col("id").alias("b"), F.col("id2").alias("b2"), F.col("first").alias("other")), ["b", "b2"])
