@@ -130,11 +130,20 @@ def endpoint_roles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """(src, dst, callee): calls (src, file, callee) to symbols (id, file, symbol, line); same file before others.
 
-    One join on the name and one aggregate; of equal priority the first line, then the lesser file and id decide.
+    Of equal priority the first line, then the lesser file and id decide. A call only ever needs the two best
+    definitions of a name in its own file and the two best of all (one may be the caller itself), so those are ranked
+    first, and a call meets four rows at most however often a name is defined.
     """
-    s = symbols.select(F.col("id").alias("dst"), F.col("file").alias("dst_file"), F.col("symbol").alias("callee"), "line")
-    ranked = calls.join(s, "callee").where("src <> dst").withColumn("o", F.struct(F.when(F.col("file") == F.col("dst_file"), 0).otherwise(1).alias("p"), "line", "dst_file", "dst"))
-    return ranked.groupBy("src", "callee").agg(F.min("o").alias("o")).select("src", F.col("o.dst").alias("dst"), "callee")
+    s = symbols.select(F.col("id").alias("dst"), F.col("file").alias("dst_file"), F.col("symbol").alias("callee"), "line").distinct()
+    order = [F.col("line"), F.col("dst_file"), F.col("dst")]
+
+    def best(*by: str) -> DataFrame:
+        return s.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_r <= 2").drop("_r")
+
+    own = calls.join(best("callee", "dst_file").withColumnRenamed("dst_file", "file"), ["callee", "file"]).select("src", "callee", "dst", "line", F.col("file").alias("dst_file"), F.lit(0).alias("p"))
+    other = calls.select("src", "callee").join(best("callee"), "callee").select("src", "callee", "dst", "line", "dst_file", F.lit(1).alias("p"))
+    ranked = own.unionByName(other).where("src <> dst")
+    return ranked.groupBy("src", "callee").agg(F.min(F.struct("p", "line", "dst_file", "dst")).alias("o")).select("src", F.col("o.dst").alias("dst"), "callee")
 
 
 def collapse_calls(resolved: DataFrame) -> DataFrame:

@@ -23,14 +23,15 @@ def postings(docs: DataFrame, key: str, text: str, most_chars: int | None = 400_
 def keyword_scores(docs: DataFrame, queries: DataFrame, key: str, text: str, k1: float = K1, b: float = B) -> DataFrame:
     """Okapi BM25 of all documents for all queries (query_id, terms array): (query_id, key, score).
 
-    Only postings of asked terms leave the scan; corpus figures come from the same narrow table of term counts.
+    Only postings of asked terms leave the scan, with one row per document for its length.
     """
     asked = queries.select("query_id", F.explode("terms").alias("term")).distinct()
-    wanted = asked.select("term").distinct()
+    # The empty term stands for the document itself, so corpus figures come out of the same pass and exchange.
+    wanted = asked.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
     words = docs.select(F.col(key), tokens(F.col(text), 400_000).alias("ws"))
-    sizes = words.agg(F.count("*").alias("n"), F.avg(F.size("ws")).alias("avg_len"))
-    each = words.select(key, F.size("ws").alias("len"), F.explode("ws").alias("term")).join(F.broadcast(wanted) if _small(queries) else wanted, "term", "left_semi")
+    each = words.select(key, F.size("ws").alias("len"), F.explode(F.array_append("ws", F.lit(""))).alias("term")).join(F.broadcast(wanted) if _small(queries) else wanted, "term", "left_semi")
     tf = each.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    sizes = tf.where("term = ''").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(sizes)).select("term", "avg_len", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # sizes is one row
     hit = tf.join(idf, "term").join(asked, "term")
