@@ -17,6 +17,7 @@ from textquarry.llm import line_dedup as LD
 from textquarry.llm import merkle as MK
 from textquarry.llm import minimizers as MN
 from textquarry.llm import mixing as MX
+from textquarry.llm import near_copies as NC
 from textquarry.llm import quality as Q
 from textquarry.llm import sharding as SH
 from textquarry.llm import simhash as SI
@@ -353,6 +354,47 @@ def test_simhash_awkward_rows(awkward, empty):
     assert SI.simhash_components(empty).count() == 0 and SI.keep_one_of_each(empty).count() == 0
 
 
+def near_copy_roots(texts):
+    sets = {}
+    for i, t in texts.items():
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    return reachable(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+
+
+def test_near_copies_equal_all_pairs(spark, texts):
+    rng = random.Random(8)
+    rows = dict(list(texts.items())[:60])
+    at = max(rows) + 1
+    for base in list(rows.values())[:12]:
+        for changes in (1, 2, 3, 5, 8):
+            words = base.split()
+            for _ in range(changes):
+                words[rng.randrange(len(words))] = "changed"
+            rows[at] = " ".join(words)
+            at += 1
+    words = [f"base{i}" for i in range(200)]
+    for i in range(80):  # one large group, some of which are not near to its least
+        rows[at + i] = " ".join(w if rng.random() > 0.012 else f"own{rng.random()}" for w in words)
+    roots = near_copy_roots(rows)
+    kept = {r.doc_id for r in NC.keep_one_near_copy(table(spark, list(rows.items()))).collect()}
+    assert kept == set(roots.values()) and len(kept) < len(rows) - 50
+    assert kept != {r.doc_id for r in SI.keep_one_of_each(table(spark, list(rows.items()))).collect()}
+
+
+def test_near_copies_awkward_rows(awkward, empty):
+    kept = NC.keep_one_near_copy(awkward)
+    assert kept.columns == awkward.columns and sorted((r.doc_id is None, r.doc_id or 0, (r.text or "")[:8]) for r in kept.collect()) == [(False, 3, "Same tex"), (False, 3, "other te"), (False, 7, ""), (False, 11, "word0 wo"), (False, 13, "é ü ß 漢字"), (True, 0, "no id at")]
+    assert NC.keep_one_near_copy(empty).count() == 0
+
+
+def test_pipeline_near_duplicates_are_judged_at_0_8(spark, documents, texts):
+    import corpus_pipeline as P
+
+    kept = {r.doc_id for r in P.near_duplicates(spark, documents, SF).collect()}
+    assert kept == set(near_copy_roots(texts).values())
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(200, 200), (300, 301), (301, 300)]
     got = {r.node: r.root for r in CC.components(spark.createDataFrame(links, "a long, b long")).collect()}
