@@ -223,6 +223,19 @@ def test_contamination_equals_brute_force(spark):
     assert {r.doc_id for r in DC.contamination(docs, tests, keep=docs.columns).collect()} == {i for i in got if not got[i]}
 
 
+def test_contamination_blocks_change_no_row(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([9, 20, 40])))) for i in range(30)]
+    rows = [(i, " ".join([*rng.choices(vocabulary, k=20), *(w for j in rng.sample(range(30), rng.randrange(4)) for w in items[j][1].split()[:15]), *rng.choices(vocabulary, k=9)])) for i in range(80)]
+    docs, tests = table(spark, [*rows, rows[1], (None, None)]), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(repr, DC.contamination(docs, tests).collect()))
+    assert len(one) == len(rows) + 2 and any("contaminated=True" in r for r in one)
+    for words in (1, 60, 300):
+        assert sorted(map(repr, DC.contamination(docs, tests, block_words=words).collect())) == one
+        assert DC.contamination(docs, tests, block_words=words, keep=docs.columns).count() == sum("contaminated=False" in r for r in one)
+
+
 def test_contamination_awkward_rows(spark, awkward, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "no id at all")], "item_id long, text string")
     got = DC.contamination(awkward, items).collect()

@@ -6,7 +6,8 @@ test items; each hit fixes an alignment of a document with an item, and the word
 contaminated where `window` aligned words (the whole item, if it is shorter) agree in at least `agreement` of them.
 
 The masks of SEEDS miss no window of 13 words with at most two substitutions (tests check every case). The test items are
-joined in blocks of at most `block_words` words, so what a task is sent has a fixed bound however many items there are.
+joined in blocks of about `block_words` words. Where they fill several, a worker takes texts in groups and each group
+through one block after the other, so it holds one block at a time and texts are read once; blocks change no result.
 
 Defined cases: null or empty texts and texts without words are clean; items without words match nothing; repeated items
 and rows are judged one by one; items of fewer words than a mask spans are compared at every place that has their first
@@ -17,11 +18,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import batches, text_or_empty
@@ -151,32 +152,61 @@ def contamination(
     block_words: int = 400_000,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """One row per document and block: contaminated, the items met, and the best window.
+    """One row per document: contaminated, the items met, and the best window.
 
-    With `keep`, the named columns of docs instead, for the clean documents alone. Nothing is shuffled unless the
-    items fill more than one block; then `contamination` rows of a document are one per block.
+    With `keep`, the named columns of docs instead, for the clean documents alone. Nothing is shuffled.
     """
-    blocks = list(item_blocks(items, item_key, item_text, block_words)) or [[]]
+    blocks = _sent(docs.sparkSession, item_blocks(items, item_key, item_text, block_words))
     if keep is not None:
-        for block in blocks:
-            docs = docs.mapInArrow(_filter(block, seeds, window, agreement, text), docs.schema)
-        return docs.select(*keep)
+        return docs.mapInArrow(_filter(blocks, seeds, window, agreement, text), docs.schema).select(*keep)
     rows = docs.select(F.col(key).cast("long").alias("k"), text_or_empty(text).alias("t"))
-    parts = [rows.mapInArrow(_judge(block, seeds, window, agreement), RESULT) for block in blocks]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _judge(block: list, seeds: tuple[str, ...], window: int, agreement: float):
+    return rows.mapInArrow(_judge(blocks, seeds, window, agreement), RESULT)
+
+
+def _sent(spark: SparkSession, blocks: Iterator[list]) -> list:
+    """A single block as it is, several as broadcasts, of which the driver holds files."""
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return [first]
+    return [spark.sparkContext.broadcast(b) for b in chain([first, second], blocks)]
+
+
+class _Matcher:
+    """The items that each of a group of texts meets, over all blocks."""
+
+    def __init__(self, blocks: list, seeds: tuple[str, ...], window: int, agreement: float):
+        self.blocks, self.options = blocks, (seeds, window, agreement)
+        self.only = SeedIndex(blocks[0], *self.options) if len(blocks) == 1 else None
+        self.group_bytes = 4 << 20 if self.only else 32 << 20
+
+    def indexes(self) -> Iterator[SeedIndex]:
+        if self.only:
+            yield self.only
+            return
+        for block in self.blocks:
+            path = getattr(block, "_path", None)  # not set where broadcasts are encrypted
+            yield SeedIndex(block.load_from_path(path) if path else block.value, *self.options)  # block.value stays in the worker
+
+    def __call__(self, texts: Iterator[str]) -> list[list[tuple[int | None, int, int, float]]]:
+        vocabulary: dict[str, int] = {}
+        coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], dtype=np.int32) for t in texts]
+        met: list[list] = [[] for _ in coded]
+        for index in self.indexes():
+            get = index.vocabulary.get
+            own = np.fromiter((get(w, 0) for w in vocabulary), dtype=np.int64, count=len(vocabulary))
+            for out, ids in zip(met, coded):
+                out += index.compare(own[ids])
+        return met
+
+
+def _judge(blocks: list, seeds: tuple[str, ...], window: int, agreement: float):
     schema = pa.schema([("doc_id", pa.int64()), ("contaminated", pa.bool_()), ("item_ids", pa.list_(pa.int64())), ("first_word", pa.int32()), ("n_agreeing", pa.int32()), ("agreement", pa.float64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = SeedIndex(block, seeds, window, agreement)
-        get = index.vocabulary.get
-        for keys, texts in batches(it, "k", "t"):
+        match = _Matcher(blocks, seeds, window, agreement)
+        for keys, texts in batches(it, "k", "t", match.group_bytes):
             rows = []
-            for k, t in zip(keys, texts):
-                words = words_of(t.decode("utf-8", "replace"))
-                met = index.compare(np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words)))
+            for k, met in zip(keys, match(t.decode("utf-8", "replace") for t in texts)):
                 top = max(met, key=lambda x: (x[3], -x[1]), default=(None, None, 0, 0.0))
                 rows.append((k, bool(met), sorted({x[0] for x in met if x[0] is not None}), top[1], top[2], top[3]))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -184,15 +214,25 @@ def _judge(block: list, seeds: tuple[str, ...], window: int, agreement: float):
     return run
 
 
-def _filter(block: list, seeds: tuple[str, ...], window: int, agreement: float, text: str):
+def _filter(blocks: list, seeds: tuple[str, ...], window: int, agreement: float, text: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = SeedIndex(block, seeds, window, agreement)
-        get = index.vocabulary.get
+        match = _Matcher(blocks, seeds, window, agreement)
+        held, size = [], 0
+
+        def clean() -> Iterator[pa.RecordBatch]:
+            met = match(t.as_py() or "" for batch in held for t in batch.column(batch.schema.get_field_index(text)))
+            at = 0
+            for batch in held:
+                yield batch.filter(pa.array([not m for m in met[at : at + batch.num_rows]], type=pa.bool_()))
+                at += batch.num_rows
+
         for batch in it:
-            clean = []
-            for t in batch.column(batch.schema.get_field_index(text)):
-                words = words_of(t.as_py() or "")
-                clean.append(not index.compare(np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))))
-            yield batch.filter(pa.array(clean, type=pa.bool_()))
+            held.append(batch)
+            size += batch.nbytes
+            if size >= match.group_bytes:
+                yield from clean()
+                held, size = [], 0
+        if held:
+            yield from clean()
 
     return run
