@@ -187,6 +187,19 @@ def test_seeds_miss_no_two_substitutions():
         assert any(all(o + m not in off for m in mask) for mask in masks for o in range(13 - mask[-1]))
 
 
+def test_short_items_are_met_with_every_pattern_of_substitutions():
+    for n in range(1, 14):
+        item = [f"w{i}" for i in range(n)]
+        index = DC.SeedIndex([(7, " ".join(item))], DC.SEEDS, 13, 0.8)
+        for most in range(4):
+            for off in itertools.combinations(range(n), min(most, n)):
+                text = ["x", "w0", "w1", *("other" if i in off else w for i, w in enumerate(item)), "y"]
+                want = any(sum(p == q for p, q in zip(text[a : a + n], item)) >= 0.8 * n for a in range(len(text) - n + 1))
+                met = index.compare(np.array([index.vocabulary.get(w, 0) for w in text], dtype=np.int64))
+                assert bool(met) == want, (n, off)
+                assert want or len(off) > 0.2 * n
+
+
 def test_contamination_equals_brute_force(spark):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(400)]

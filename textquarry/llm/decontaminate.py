@@ -5,13 +5,14 @@ so a substituted word at an ignored position leaves the hash as it is. Training
 test items; each hit fixes an alignment of a document with an item, and the words around it are compared: a document is
 contaminated where `window` aligned words (the whole item, if it is shorter) agree in at least `agreement` of them.
 
-The masks of SEEDS miss no window of 13 words with at most two substitutions (tests check every case). The test items are
+The masks of SEEDS miss no window of 13 words with at most two substitutions (tests check every case). An item of fewer words
+than the window is cut into one piece more than it may have substitutions, so one piece at least is met as it is; the
+pieces are its seeds, whatever its length. The test items are
 joined in blocks of about `block_words` words. Where they fill several, a worker takes texts in groups and each group
 through one block after the other, so it holds one block at a time and texts are read once; blocks change no result.
 
 Defined cases: null or empty texts and texts without words are clean; items without words match nothing; repeated items
-and rows are judged one by one; items of fewer words than a mask spans are compared at every place that has their first
-word; with no items every document is clean; an empty table gives no rows; other columns are not read.
+and rows are judged one by one; with no items every document is clean; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -55,17 +56,26 @@ class SeedIndex:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             if ids:
                 self.items.append((item_id, np.array(ids, dtype=np.int64)))
+        self.lengths = np.array([len(ids) for _, ids in self.items], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.words = np.concatenate([ids for _, ids in self.items]) if self.items else np.zeros(0, dtype=np.int64)
         rng = np.random.RandomState(7)
         self.factors = rng.randint(1, 1 << 62, size=64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         hashes, places = [], []
-        self.short: dict[int, list[int]] = {}
+        pieces = {n: self._pieces(n) for n in set(self.lengths.tolist()) if n < window}
+        n_seeds = len(self.masks)
+        sizes = sorted({stop - start for cuts in pieces.values() for start, stop in cuts})
+        self.masks += [np.arange(size) for size in sizes]
+        self.spans += sizes
         for n, (_, ids) in enumerate(self.items):
-            for m in range(len(self.masks)):
+            cuts = pieces.get(len(ids))
+            for m in range(n_seeds) if cuts is None else range(n_seeds, len(self.masks)):
                 at, h = self._hashes(ids, m)
+                if cuts is not None:
+                    own = np.isin(at, [start for start, stop in cuts if stop - start == self.spans[m]])
+                    at, h = at[own], h[own]
                 hashes.append(h)
                 places.append(np.stack([np.full(len(at), n), at], axis=1))
-            if len(ids) < max(self.spans):
-                self.short.setdefault(int(ids[0]), []).append(n)
         flat = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
         order = np.argsort(flat, kind="stable")
         self.hashes = flat[order]
@@ -74,6 +84,15 @@ class SeedIndex:
         self.filter = np.zeros(1 << self.bits, dtype=bool)
         self.filter[(self.hashes >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
+    def _least(self, size: int) -> int:
+        """How many of `size` aligned words must agree."""
+        return max(1, int(np.ceil(self.agreement * size - 1e-9)))
+
+    def _pieces(self, n: int) -> list[tuple[int, int]]:
+        """(start, stop) of the pieces of an item of n words, of which one at least holds no substitution."""
+        k = n - self._least(n) + 1
+        return [(n * i // k, n * (i + 1) // k) for i in range(k)]
+
     def _hashes(self, ids: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts and hashes of the stretches whose counted words all occur in some item."""
         n = len(ids) - self.spans[m] + 1
@@ -99,11 +118,22 @@ class SeedIndex:
                 which = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
                 places = self.places[which]
                 found.append(np.stack([places[:, 0], np.repeat(at, counts) - places[:, 1]], axis=1))
-        if self.short:
-            for first, items in self.short.items():
-                at = np.flatnonzero(ids == first)
-                found += [np.stack([np.full(len(at), n), at], axis=1) for n in items]
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+        return self._may_agree(ids, np.unique(np.concatenate(found), axis=0)) if found else np.zeros((0, 2), dtype=np.int64)
+
+    def _may_agree(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The alignments without those of items shorter than the window that do not agree: short pieces are met by chance."""
+        sizes = self.lengths[at[:, 0]]
+        stays = sizes >= self.window
+        for n in np.unique(sizes[~stays]).tolist():
+            own = np.flatnonzero((sizes == n) & (at[:, 1] >= 0) & (at[:, 1] + n <= len(ids)))
+            for i in range(0, len(own), 1 << 16):
+                part = own[i : i + (1 << 16)]
+                item, shift = at[part].T
+                same = np.zeros(len(part), dtype=np.int64)
+                for j in range(n):
+                    same += ids[shift + j] == self.words[self.starts[item] + j]
+                stays[part] = same >= self._least(n)
+        return at[stays]
 
     def compare(self, ids: np.ndarray) -> list[tuple[int | None, int, int, float]]:
         """(item_id, first document word, agreeing words, share) of the best window of each item that is met."""
