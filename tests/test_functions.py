@@ -46,3 +46,13 @@ def test_summary(spark):
 
 def test_json_comments(spark):
     assert one(spark, '{ // c\n "a": 1, /* b */ }', X.strip_json_comments).replace(" ", "").replace("\n", "") == '{"a":1}'
+
+
+def test_failures(spark):
+    kinds = {"usage limit reached": "rate-limit", "quota was exceeded": "rate-limit", "rate limit": "rate-limit", "ECONNRESET": "transient", "status code: 503": "retryable", "504 Gateway Timeout": "retryable", "HTTP 404": "permanent", "server overloaded": "permanent", "": "permanent"}
+    assert {m: one(spark, m, X.error_class) for m in kinds} == kinds
+    assert one(spark, "EPIPE", lambda c: X.is_retryable(c, F.lit(None))) and not one(spark, "EACCES", lambda c: X.is_retryable(c, F.lit("no")))
+
+
+def test_language_hints(spark):
+    assert [one(spark, p, X.language_hint) for p in ("a/b.TSX", "c.hpp", "Makefile", "x.y.yml", "z.zzz")] == ["tsx", "cpp", "", "yaml", ""]

@@ -92,10 +92,11 @@ def test_approximate_neighbours_recall(spark):
 
 def test_suppressed_blocks(spark):
     review = "**[SEVERITY: HIGH]** one\nFile: a.ts:2\n\n**[SEVERITY: LOW]** two\nFile: a.ts:9\n\nIssues Summary: 0 CRITICAL, 1 HIGH, 0 MEDIUM, 1 LOW"
-    reviews = spark.createDataFrame([(1, review)], "id long, review string")
-    files = spark.createDataFrame([("a.ts", "// review: ignore\nbad()\nok()")], "file string, content string")
-    row = FN.drop_suppressed_blocks(reviews, "review", "id", files).first()
-    assert row.n_suppressed == 1 and len(row.blocks) == 1 and "two" in row.blocks[0]
+    reviews = spark.createDataFrame([(1, review), (2, None), (3, "")], "id long, review string")
+    files = spark.createDataFrame([("a.ts", "x // review: ignore\ny"), ("b.ts", None)], "file string, content string")
+    got = {r.id: (r.review, r.n_suppressed) for r in FN.drop_suppressed_blocks(reviews, "review", "id", files).collect()}
+    assert got[1][1] == 1 and "one" not in got[1][0] and "two" in got[1][0] and "Issues Summary: 0 CRITICAL, 0 HIGH, 0 MEDIUM, 1 LOW" in got[1][0]
+    assert got[2] == (None, 0) and got[3] == ("", 0)
 
 
 def test_source_files_and_sinks(spark, tmp_path):
@@ -181,3 +182,127 @@ def test_relations_keep_the_literal_rule(spark):
     c = spark.createDataFrame(rows, "id long, content string, symbols array<string>, imports array<string>, exports array<string>")
     assert sorted(map(tuple, RT.relations(c).collect())) == [(1, 2, "imports"), (1, 2, "references"), (3, 2, "references")]
     assert sorted(map(tuple, RT.relations(c, strict=True).collect())) == [(1, 2, "imports"), (3, 2, "references")]
+
+
+def test_queries_of_a_diff():
+    diff = "diff --git a/src/db.ts b/src/db.ts\nindex 1..2\n--- a/src/db.ts\n+++ b/src/db.ts\n@@ -1,3 +1,4 @@\n+import { Pool, Client as Db } from './lib/pool'\n-function oldName(x) {\n+async function connect(url: string): Promise<Session> {\n keep(this)\n+emit('ready')"
+    queries = D.queries_of_diff(diff)
+    assert {"Pool", "oldName", "connect", "Session", "ready", "lib pool"} <= set(queries) and "keep" not in queries
+    names = [q for q in queries if q.isidentifier()]
+    assert queries[: len(names)] == names and [len(n) for n in names] == sorted(map(len, names)) and len(queries) <= 15
+    assert D.symbols_of_diff(diff) == ["Pool", "Client", "./lib/pool", "oldName", "connect"]
+    assert len(D.symbols_of_diff("\n".join(f"+def name{i}(x)" for i in range(40)))) == 20
+    assert D.queries_of_diff(None) == D.queries_of_diff("") == D.symbols_of_diff(None) == []
+    assert len(D.queries_of_diff("\n".join(f"+function name{i}(x) {{" for i in range(40)))) == 15
+
+
+def test_line_queries_by_group():
+    assert D.line_queries("public static int total(List<Item> xs) {")[:1] == ["total"]
+    assert "UserStore" in D.line_queries("class A implements UserStore, Other {") and "Other" in D.line_queries("class A implements UserStore, Other {")
+    assert {"os", "path"} & set(D.line_queries("from os.path import join, split as cut")) == set() and {"join", "cut"} <= set(D.line_queries("from os.path import join, split as cut"))
+    assert "users" in D.line_queries("get('/api/users')") and "USER_LOGGED_IN" in D.line_queries("x('USER_LOGGED_IN')")
+    assert D.line_queries("if (x) return null") == D.line_queries("") == []
+
+
+def test_description(spark):
+    text = "# Fix\n\nThe UserService in `src/user.ts` reads http_retry twice, see lib/db/pool.py."
+    row = spark.createDataFrame([(text,), (" ",), (None,)], "t string").select(D.description_parts(F.col("t")).alias("p")).withColumn("q", D.description_queries(F.col("p"))).collect()
+    assert "src/user.ts" in row[0].p.paths and row[0].p.concepts[:2] == ["UserService", "http_retry"] and row[0].p.summary.startswith("The UserService")
+    assert row[0].q[:2] == ["src/user.ts", "user"] and len(row[0].q) <= 8 and row[1].p is None and row[2].p is None
+
+
+def test_review_parts():
+    text = "### Summary\nFine.\n\n**[HIGH]** - Bug: Bad loop\nFile: `x.py:4`\n\n```py\ncode\n```\n\n## Positive Observations\nno bullets but long lines\n"
+    got = FN.review_of(text)
+    assert got["summary"] == "Fine." and [(i["severity"], i["title"], i["file"], i["line"]) for i in got["issues"]] == [("HIGH", "Bad loop", "x.py", 4)]
+    assert got["positives"] == ["no bullets but long lines"] and got["recommendation"] == "NEEDS_DISCUSSION"
+    assert FN.review_of(None) is FN.review_of("") is FN.review_of("short") is None
+    assert FN.review_of("Verdict: approve")["merge"] == "SAFE_TO_MERGE"
+
+
+def test_call_targets(spark):
+    symbols = spark.createDataFrame([(1, "a", "run", 5), (2, "b", "run", 1), (3, "c", "run", 2), (3, "c", "Job", 1), (4, "a", "stop", 9), (4, "a", "stop", 9), (5, "d", "print", 1)], "id long, file string, symbol string, line int")
+    calls = [(4, "a", "run", None, False, False), (2, "b", "run", None, False, False), (1, "a", "stop", "self", True, False), (2, "b", "stop", "this", True, False), (2, "b", "run", "Job", True, False), (4, "a", "print", None, False, False), (4, "a", "stop", "x", True, True), (5, "d", "run", "<call_result>", True, False), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(calls, "src long, file string, callee string, receiver string, is_method boolean, is_dynamic boolean")
+    assert sorted(map(tuple, G.resolve_calls(df, symbols).collect())) == [(1, 4, "stop"), (2, 3, "run"), (4, 1, "run")]
+    assert G.resolve_calls(df, symbols, frozenset()).where("callee = 'print'").count() == 1 and G.resolve_calls(df.limit(0), symbols).count() == 0
+    assert {"len", "append", "print", "console"} <= G.builtin_names()
+
+
+def test_importers(spark):
+    rows = [("b.ts", "import x from './a'"), ("c.ts", "const a = require(\"../a.js\")"), ("d.py", "from pkg.a import y"), ("e.ts", "from './ab'"), ("keys/f.pem", "from './a'"), ("src/a.ts", "from './a'"), ("g.ts", None)]
+    got = S.importers_by_text(spark.createDataFrame(rows, "file string, content string"), "src/a.ts").first()
+    assert got.importers == ["b.ts", "c.ts", "d.py"] and (got.n, got.high_impact, got.partial) == (3, False, True)
+
+
+def test_bounded_cache_equals_a_played_one(spark):
+    from collections import OrderedDict
+
+    rng = random.Random(4)
+    rows = [(f"c{rng.randrange(2)}", i, rng.randrange(14), f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}") for i in range(600)]
+    df = spark.createDataFrame(rows, "cache string, n long, key long, at string").withColumn("at", F.to_timestamp("at"))
+    got = {r.n: r.hit for r in ST.lru_hits(df, "cache", "key", ["n"], "at", 6, 40).collect()}
+    held, want = {"c0": OrderedDict(), "c1": OrderedDict()}, {}
+    for cache, n, key, _ in rows:
+        own = held[cache]
+        if want.setdefault(n, key in own and n <= own[key] + 40):
+            own.move_to_end(key)
+        else:
+            own.pop(key, None)
+            own[key] = n
+            if len(own) > 6:
+                own.popitem(last=False)
+    assert got == want and 0 < sum(got.values()) < len(got) and ST.lru_hits(df.limit(0), "cache", "key", ["n"], "at").count() == 0
+
+
+def test_similar_pairs_equal_all_pairs(spark):
+    rng = random.Random(7)
+    rows = [(i, f"g{i % 3}", rng.sample([f"t{j}" for j in range(25)], rng.randrange(0, 12))) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, g string, ts array<string>")
+    for least in (0.3, 0.5, 0.8, 1.0):
+        got = {(r.g, r.a, r.b): round(r.jaccard, 9) for r in SIM.similar_pairs(df, "g", "id", F.col("ts"), least).collect()}
+        want = {(g, a, b): round(len(set(x) & set(y)) / len(set(x) | set(y)), 9) for (a, g, x), (b, h, y) in itertools.combinations(rows, 2) if g == h and x and y}
+        assert got == {k: v for k, v in want.items() if v >= least - 1e-9}
+
+
+def test_stored_index_prunes(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Alpha beta alpha"), (2, "beta"), (3, None), (4, ""), (4, "alphaBeta")], "id long, text string")
+    S.Index.write(docs, "id", "text", str(tmp_path / "i"), buckets=4)
+    index = S.Index(spark, str(tmp_path / "i"), "id")
+    asked = spark.createDataFrame([(1, ["alpha"]), (2, ["none"])], "query_id int, terms array<string>")
+    assert {(r.query_id, r.id) for r in S.index_scores(index, asked).collect()} == {(1, 1), (1, 4)} and index.n == 5
+    plan = index.of(spark.createDataFrame([("alpha",)], "term string"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert "EqualTo(term,alpha)" in plan or "In(term" in plan
+    many = index.of(spark.createDataFrame([("alpha",), ("beta",)], "term string"), most=1)
+    assert {(r.id, r.term, r.tf) for r in many.collect()} == {(1, "alpha", 2), (1, "beta", 1), (2, "beta", 1), (4, "alpha", 1), (4, "beta", 1)}
+    S.Index.write(docs.limit(0), "id", "text", str(tmp_path / "e"))
+    assert S.index_scores(S.Index(spark, str(tmp_path / "e"), "id"), asked).count() == 0
+
+
+def test_vector_blocks_give_the_same(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").limit(60)
+    q = e.where("vec_id < 12").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    one, blocks = ({(r.query_id, r.vec_id): round(r.score, 9) for r in S.vector_scores(e, q, "vec_id", "embedding", most).collect()} for most in (2000, 5))
+    assert one == blocks and len(one) == 12 * e.count()
+
+
+def test_operators_on_nulls_ties_and_empty_tables(spark):
+    rows = [(1, "f", 2.0), (2, "f", 2.0), (2, "f", 2.0), (3, None, None), (None, "f", 1.0)]
+    df = spark.createDataFrame(rows, "id long, file string, score double")
+    assert [(r.id, r.rank, r.removed) for r in W.top_per_group(df.where("file = 'f'"), "file", "score", "id", 2, removed=True).orderBy("rank").collect()] == [(1, 1, 2), (2, 2, 2)]
+    assert W.top_per_group(df.limit(0), "file", "score", "id", 2).count() == 0
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 2), (None, 2), (2, None)], "src long, dst long")
+    assert [(r.node, r.n) for r in G.hubs(edges.where("src is not null"), 2, 5).collect()] == [(2, 2)]
+    assert G.cycles(edges.limit(0)).count() == 0 and G.neighbourhood(edges.limit(0)).count() == 0 and G.bfs(edges.limit(0), spark.createDataFrame([(1,)], "root long"), 2).collect()[0].depth == 0
+    assert G.collapse_calls(spark.createDataFrame([(1, 2, "a"), (1, 2, "b")], "src long, dst long, callee string")).first().callee == "b"
+    reviews = spark.createDataFrame([(1, None), (2, "")], "id long, review string")
+    assert {r.outcome for r in FN.parse_findings(reviews, "review").collect()} == {"missing"} and FN.parse_findings(reviews.limit(0), "review").count() == 0
+    lines = D.changed_lines(reviews, "id", "review")
+    assert lines.count() == 0 and D.lines_by_change(lines, "id").count() == 0
+
+
+def test_tree_lines_order(spark):
+    rows = [("a/z.ts", False), ("a/b/c.ts", False), ("a/b/a.ts", True), ("d.ts", False), ("c/x.ts", False), ("a/b/c/d/e/f.ts", False)]
+    got = C.tree_lines(spark.createDataFrame(rows, "p string, m boolean"), "p", "m", most=9).collect()
+    assert [r.node for r in got] == ["a", "a/b", "a/b/a.ts", "a/b/c", "a/b/c/d", "a/b/c.ts", "a/z.ts", "c", "c/x.ts"] and [r.position for r in got] == list(range(1, 10))

@@ -139,8 +139,8 @@ def is_dynamic(metadata: Column) -> Column:
 
 
 def same_file(a: Column, b: Column) -> Column:
-    """Equal, or one is a path suffix of the other."""
-    return (a == b) | a.endswith(F.concat(F.lit("/"), b)) | b.endswith(F.concat(F.lit("/"), a))
+    """Equal, or one path ends with the other."""
+    return a.endswith(b) | b.endswith(a)
 
 
 def overlaps(start: Column, end: Column, line: Column) -> Column:

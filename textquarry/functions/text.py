@@ -118,10 +118,13 @@ def escape_tags(c: Column, tags: tuple[str, ...] = SECTION_TAGS) -> Column:
     return F.regexp_replace(closed, rf"(?i)<({names})((?:\s[^>]*)?\s*/?)>", r"<\\$1$2>")
 
 
+#: Escape sequences of terminals.
+TERMINAL_SEQUENCES = "\\x1B\\[[0-?]*[ -/]*[@-~]|\\x1B\\][^\\x07\\x1B]*(?:\\x07|\\x1B\\\\)|\\x1B[@-Z\\\\\\-_]|\\x{9B}[0-?]*[ -/]*[@-~]|\\x{9D}[^\\x07\\x{9C}]*\\x{9C}"
+
+
 def plain_terminal_text(c: Column) -> Column:
     """Without escape sequences and control characters, tab and line feed kept."""
-    sequences = "\\x1B\\[[0-?]*[ -/]*[@-~]|\\x1B\\][^\\x07\\x1B]*(?:\\x07|\\x1B\\\\)|\\x1B[@-Z\\\\\\-_]|\\x{9B}[0-?]*[ -/]*[@-~]|\\x{9D}[^\\x07\\x{9C}]*\\x{9C}"
-    out = F.regexp_replace(F.coalesce(c, F.lit("")), sequences, "")
+    out = F.regexp_replace(F.coalesce(c, F.lit("")), TERMINAL_SEQUENCES, "")
     return F.regexp_replace(F.regexp_replace(out, "[\\x00-\\x08\\x0B-\\x1F\\x7F]", ""), "[\\x{80}-\\x{9F}]", "")
 
 
@@ -156,15 +159,18 @@ def request_number(ref: Column) -> Column:
 
 
 def summary_text(c: Column, most: int = 500) -> Column:
-    """At most `most` characters, cut at the last paragraph or sentence end past the half, else with dots."""
-    head = F.substring(c, 1, most)
-    paragraph = F.regexp_extract(head, r"(?s)^(.*)\n\n", 1)
-    sentence = F.regexp_extract(head, r"(?s)^(.*\.)\s", 1)
+    """At most `most` characters, cut before the last blank line or after the last full stop where that lies past the half,
+    else with dots; white space at the ends goes."""
+    whole = F.regexp_replace(c, r"^\s+|\s+$", "")
+    head = F.substring(whole, 1, most)
+    paragraph = F.length(F.regexp_extract(head, r"(?s)^(.*)\n\n", 1))
+    sentence = F.length(F.regexp_extract(head, r"(?s)^(.*)\.", 1))
+    trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
     return (
-        F.when(F.length(c) <= most, c)
-        .when(F.length(paragraph) > most // 2, paragraph)
-        .when(F.length(sentence) > most // 2, sentence)
-        .otherwise(F.concat(head, F.lit("...")))
+        F.when(F.length(whole) <= most, whole)
+        .when(paragraph > most // 2, trimmed(F.substring(head, F.lit(1), paragraph)))
+        .when(sentence > most // 2, trimmed(F.substring(head, F.lit(1), sentence + 1)))
+        .otherwise(F.concat(trimmed(head), F.lit("...")))
     )
 
 
@@ -178,13 +184,42 @@ def retry_delay_ms(attempt: Column, base: int = 1000, factor: float = 2.0, cap:
     return F.least(F.lit(float(cap)), F.lit(float(base)) * F.pow(F.lit(factor), attempt))
 
 
-#: Messages of rate limits and of failures that a second try may mend.
-RATE_LIMIT = r"(?i)rate.?limit|too many requests|\b429\b|quota exceeded|overloaded"
-TIMEOUT = r"(?i)did not complete within|\bsocket hang up\b|\bETIMEDOUT\b|\bECONNRESET\b"
-RETRYABLE_STATUS = r"(?i)\b(?:http|status)[^0-9]{0,8}(408|429|500|502|503|504)\b"
+#: Messages of rate limits and timeouts, codes and statuses that a second try may mend, and how messages name a status.
+RATE_LIMIT = r"(?i:usage limit)|(?i:rate[\s-]?limit)|\b429\b|(?i:too many requests)|(?i:quota.*exceeded)"
+TIMEOUT = r"(?i:did not complete within)|\bETIMEDOUT\b|\bECONNRESET\b|(?i:\bsocket hang up\b)"
+RETRYABLE_CODES = ("ECONNRESET", "ETIMEDOUT", "ECONNREFUSED", "ENOTFOUND", "ENETUNREACH", "EHOSTUNREACH", "EPIPE", "EAI_AGAIN")
+RETRYABLE_STATUSES = ("408", "429", "500", "502", "503", "504")
+STATUS_IN_MESSAGE = r"(?i)\b(?:HTTP|status(?:\s+code)?|statusCode|response\s+status)\b[\s:=#-]*(4\d{2}|5\d{2})\b"
+REASONS = "Too Many Requests|Request Timeout|Internal Server Error|Bad Gateway|Service Unavailable|Gateway Timeout"
+
+
+def retryable_status(message: Column) -> Column:
+    """Whether a message names, first of all, a status that a second try may mend."""
+    named = F.regexp_extract(message, STATUS_IN_MESSAGE, 1)
+    reason = rf"(?i)\b(?:(4\d{{2}}|5\d{{2}})\s+(?:{REASONS})|(?:{REASONS})[\s:=#-]+(4\d{{2}}|5\d{{2}}))\b"
+    status = F.when(named != "", named).otherwise(F.concat(F.regexp_extract(message, reason, 1), F.regexp_extract(message, reason, 2)))
+    return status.isin(*RETRYABLE_STATUSES)
+
+
+def is_retryable(code: Column, message: Column) -> Column:
+    """By the error's code, or the status that its message names."""
+    return F.coalesce(code.isin(*RETRYABLE_CODES), F.lit(False)) | retryable_status(F.coalesce(message, F.lit("")))
 
 
 def error_class(message: Column) -> Column:
     """rate-limit, transient, retryable or permanent."""
     m = F.coalesce(message, F.lit(""))
-    return F.when(m.rlike(RATE_LIMIT), "rate-limit").when(m.rlike(TIMEOUT), "transient").when(m.rlike(RETRYABLE_STATUS), "retryable").otherwise("permanent")
+    return F.when(m.rlike(RATE_LIMIT), "rate-limit").when(m.rlike(TIMEOUT), "transient").when(retryable_status(m), "retryable").otherwise("permanent")
+
+
+#: The hint of a fenced block by a file's extension.
+LANGUAGE_HINTS = {
+    "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "py": "python", "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "rb": "ruby", "php": "php", "cs": "csharp",
+    "cpp": "cpp", "cc": "cpp", "c": "c", "h": "c", "hpp": "cpp", "swift": "swift", "md": "markdown", "json": "json", "yml": "yaml", "yaml": "yaml", "toml": "toml", "sh": "bash", "bash": "bash",
+}
+
+
+def language_hint(path: Column) -> Column:
+    """The hint for what follows the path's last dot, or the empty string."""
+    end = F.lower(F.substring_index(path, ".", -1))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in LANGUAGE_HINTS.items() for x in pair]), end), F.lit(""))

@@ -8,7 +8,7 @@ import ast
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "array<struct<location:string,code:string,start_line:int,end_line:int,chunk_type:string,symbol_names:array<string>>>"
@@ -211,19 +211,22 @@ def symbols_in_range(definitions: Column, start: Column, end: Column) -> Column:
 
 
 def config_metadata(content: Column, kind: Column) -> Column:
-    """Struct of strict_mode, target, dependencies, dev_dependencies of tsconfig, package, pyproject, go.mod and Cargo files."""
+    """Struct of strict_mode, target, dependencies, dev_dependencies, rules and extends (with plugins) of tsconfig, package, pyproject, go.mod, Cargo and eslint files."""
     from textquarry.functions.text import strip_json_comments
 
     json = strip_json_comments(content)
     keys = lambda p: F.coalesce(F.array_sort(F.map_keys(F.from_json(F.get_json_object(json, p), "map<string,string>"))), F.array().cast("array<string>"))
     listed = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all(content, F.lit(p), F.lit(1))))
+    under = lambda section: F.array_sort(F.array_distinct(F.regexp_extract_all(F.regexp_extract(content, rf"(?s)(?:^|\n)\[{section}\][^\n]*\n(.*?)(?=\n\[|\z)", 1), F.lit(r"(?m)^([\w-]+)\s*="), F.lit(1))))
     none = F.array().cast("array<string>")
     return F.struct(
         kind.alias("config_type"),
         F.when(kind == "tsconfig", F.get_json_object(json, "$.compilerOptions.strict").cast("boolean")).alias("strict_mode"),
         F.when(kind == "tsconfig", F.get_json_object(json, "$.compilerOptions.target")).when(kind == "go_mod", F.nullif(F.regexp_extract(content, r"(?m)^go\s+(\S+)", 1), F.lit(""))).when(kind == "cargo", F.nullif(F.regexp_extract(content, r"(?m)^edition\s*=\s*\"([^\"]+)\"", 1), F.lit(""))).alias("target_version"),
-        F.when(kind == "package_json", keys("$.dependencies")).when(kind == "go_mod", listed(r"(?m)^\s+([\w./-]+)\s+v[\d.]+")).when(kind == "cargo", listed(r"(?m)^([\w-]+)\s*=\s*(?:\"[\d.^~*]+\"|\{)")).when(kind == "pyproject", listed(r"(?m)^\s*\"([A-Za-z][\w.-]*)[^\"]*\",?\s*$")).otherwise(none).alias("dependencies"),
-        F.when(kind == "package_json", keys("$.devDependencies")).otherwise(none).alias("dev_dependencies"),
+        F.when(kind == "package_json", keys("$.dependencies")).when(kind == "go_mod", listed(r"(?m)^\s+([\w./-]+)\s+v[\d.]+")).when(kind == "cargo", under("dependencies")).when(kind == "pyproject", listed(r"(?m)^\s*\"([A-Za-z][\w.-]*)[^\"]*\",?\s*$")).otherwise(none).alias("dependencies"),
+        F.when(kind == "package_json", keys("$.devDependencies")).when(kind == "cargo", under("dev-dependencies")).otherwise(none).alias("dev_dependencies"),
+        F.when(kind == "eslint", keys("$.rules")).otherwise(none).alias("rules"),
+        F.when(kind == "eslint", F.array_sort(F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", F.get_json_object(json, "$.extends"), F.get_json_object(json, "$.plugins")), F.lit(r"[@\w./:-]+"), F.lit(0))))).otherwise(none).alias("extends"),
     )
 
 
@@ -232,3 +235,17 @@ def path_tree(paths: DataFrame, path: str, depth: int = 4) -> DataFrame:
     parts = F.split(path, "/")
     upto = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth))), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("node"), i.cast("int").alias("level"), (i < F.size(parts)).alias("is_folder")))
     return paths.select(F.inline(upto)).groupBy("node", "level").agg(F.bool_or("is_folder").alias("is_folder"), F.count("*").alias("n_files"))
+
+
+def tree_lines(paths: DataFrame, path: str, marked: str, depth: int = 4, most: int = 50) -> DataFrame:
+    """(position, node, level, is_folder, is_marked): the lines of a tree of paths down to `depth`: at each level what is marked
+    or holds it first, then folders, then by name; the first `most` lines."""
+    parts = F.split(path, "/")
+    upto = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth))), lambda i: F.struct(F.slice(parts, 1, i).alias("node"), i.cast("int").alias("level"), (i < F.size(parts)).alias("is_folder")))
+    nodes = paths.select(F.col(marked).alias("_m"), F.inline(upto)).groupBy("node", "level").agg(F.bool_or("is_folder").alias("is_folder"), F.bool_or("_m").alias("is_marked"))
+    # A node's place is that of its ancestors and itself, one after the other.
+    step = F.struct((~F.col("a.is_marked")).alias("m"), (~F.col("a.is_folder")).alias("f"), F.element_at("a.node", -1).alias("n"), F.col("a.level").alias("l"))
+    above = nodes.select("node", "level", "is_folder", "is_marked", F.explode(F.transform(F.sequence(F.lit(1), "level"), lambda i: F.slice("node", 1, i))).alias("up")).alias("x")
+    placed = above.join(nodes.alias("a"), F.col("x.up") == F.col("a.node")).groupBy("x.node", "x.level", "x.is_folder", "x.is_marked").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("a.level").alias("l"), step.alias("s")))), lambda y: y["s"]).alias("place"))
+    first = placed.orderBy("place").limit(most)
+    return first.select(F.row_number().over(Window.orderBy("place")).alias("position"), F.array_join("node", "/").alias("node"), "level", "is_folder", "is_marked")

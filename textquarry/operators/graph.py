@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder (spark.checkpoint.dir), or one of our own where it is unset."""
-    context = df.sparkSession.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if not named and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="textquarry-"))
-    return df.checkpoint(eager=True)
+from textquarry.storage import cut
 
 
 def import_edges(files: DataFrame, known: DataFrame, extensions: tuple[str, ...] = ("", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.js", "/__init__.py")) -> DataFrame:
@@ -127,23 +118,60 @@ def endpoint_roles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("node", F.coalesce("s", F.lit(False)).alias("is_caller"), F.coalesce("t", F.lit(False)).alias("is_callee"))
 
 
-def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(src, dst, callee): calls (src, file, callee) to symbols (id, file, symbol, line); same file before others.
+#: Receivers that stand for the caller's own class, and those of which nothing is known.
+OWN_RECEIVERS, UNKNOWN_RECEIVERS = ("this", "self"), ("<dynamic>", "<call_result>")
+#: Names that languages bring along, besides those of Python, which it lists itself.
+COMMON_NAMES = frozenset(
+    """console log error warn info debug require fetch parse stringify then catch finally resolve reject setTimeout setInterval parseInt parseFloat addEventListener querySelector
+    cap make panic println recover Println Printf Sprintf Errorf Read Write Close Error String toString equals hashCode charAt substring indexOf isEmpty valueOf size put containsKey stream collect forEach
+    push to_string to_owned as_str chars trim unwrap expect clone into iter collect lock await poll""".split()
+)
+
+
+def builtin_names() -> frozenset[str]:
+    """Names that no call of user code is resolved by."""
+    import builtins
 
-    Of equal priority the first line, then the lesser file and id decide. A call only ever needs the two best
-    definitions of a name in its own file and the two best of all (one may be the caller itself), so those are ranked
-    first, and a call meets four rows at most however often a name is defined.
+    methods = (m for kind in (str, bytes, list, dict, set, tuple) for m in dir(kind))
+    return COMMON_NAMES | {n for n in (*dir(builtins), *methods) if not n.startswith("_")}
+
+
+def resolve_calls(calls: DataFrame, symbols: DataFrame, skipped: frozenset[str] | None = None) -> DataFrame:
+    """(src, dst, callee): calls (src, file, callee; receiver, is_method and is_dynamic if known) to symbols (id, file, symbol, line).
+
+    Dynamic calls, calls of `skipped` names (`builtin_names` unless given) and calls through an unknown receiver resolve to
+    nothing. A plain call goes to the same file before others, a method of the caller's own class to its file alone, and a
+    method of a named receiver to a chunk that defines receiver and method, else to any that defines the method. Of equal
+    priority the first line, then the lesser file and id decide. A call only ever needs the two best definitions of a
+    name in its own file, with its receiver, and of all (one may be the caller itself), so those are ranked first, and a
+    call meets six rows at most however often a name is defined.
     """
+    skipped = builtin_names() if skipped is None else skipped
+    for name, kind in (("receiver", "string"), ("is_method", "boolean"), ("is_dynamic", "boolean")):
+        if name not in calls.columns:
+            calls = calls.withColumn(name, F.lit(None).cast(kind))
+    calls = calls.where(~F.coalesce("is_dynamic", F.lit(False)))
+    if skipped:
+        calls = calls.where(~F.col("callee").isin(*sorted(skipped)))
+    method = F.coalesce("is_method", F.lit(False))
+    kind = F.when(~method, "plain").when(F.col("receiver").isin(*OWN_RECEIVERS), "own").when(F.coalesce("receiver", F.lit("")).isin("", *UNKNOWN_RECEIVERS), "none").otherwise("named")
+    calls = calls.withColumn("kind", kind).where("kind <> 'none'").select("src", "file", "callee", "receiver", "kind").distinct()
     s = symbols.select(F.col("id").alias("dst"), F.col("file").alias("dst_file"), F.col("symbol").alias("callee"), "line").distinct()
     order = [F.col("line"), F.col("dst_file"), F.col("dst")]
 
-    def best(*by: str) -> DataFrame:
-        return s.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_r <= 2").drop("_r")
-
-    own = calls.join(best("callee", "dst_file").withColumnRenamed("dst_file", "file"), ["callee", "file"]).select("src", "callee", "dst", "line", F.col("file").alias("dst_file"), F.lit(0).alias("p"))
-    other = calls.select("src", "callee").join(best("callee"), "callee").select("src", "callee", "dst", "line", "dst_file", F.lit(1).alias("p"))
-    ranked = own.unionByName(other).where("src <> dst")
-    return ranked.groupBy("src", "callee").agg(F.min(F.struct("p", "line", "dst_file", "dst")).alias("o")).select("src", F.col("o.dst").alias("dst"), "callee")
+    def best(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_r <= 2").drop("_r")
+
+    columns = ["src", "callee", "receiver", "kind", "dst", "line", "dst_file"]
+    inside = calls.where("kind in ('plain', 'own')").join(best(s, "callee", "dst_file").withColumnRenamed("dst_file", "file"), ["callee", "file"]).withColumn("dst_file", F.col("file")).select(*columns, F.lit(0).alias("p"))
+    # Chunks that define the receiver too, for the receivers and methods that are called.
+    asked = calls.where("kind = 'named'").select("receiver", "callee").distinct()
+    both = s.join(asked, "callee").join(symbols.select(F.col("id").alias("dst"), F.col("symbol").alias("receiver")).distinct(), ["dst", "receiver"])
+    typed = calls.where("kind = 'named'").join(best(both, "receiver", "callee"), ["receiver", "callee"]).select(*columns, F.lit(0).alias("p"))
+    other = calls.where("kind in ('plain', 'named')").join(best(s, "callee"), "callee").select(*columns, F.lit(1).alias("p"))
+    ranked = inside.unionByName(typed).unionByName(other).where("src <> dst")
+    one = ranked.groupBy("src", "callee", "receiver", "kind").agg(F.min(F.struct("p", "line", "dst_file", "dst")).alias("o"))
+    return one.select("src", F.col("o.dst").alias("dst"), "callee").distinct()
 
 
 def collapse_calls(resolved: DataFrame) -> DataFrame:

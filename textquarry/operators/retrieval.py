@@ -11,8 +11,9 @@ from textquarry.functions.predicates import is_sensitive
 from textquarry.functions.text import base_name, escape_xml, parent_path, suffix
 
 #: Results that each stage may give, and the weight of what a stage finds.
-STAGE_LIMITS = {"keyword": 15, "vector": 20, "definition": 10, "usage": 15, "callgraph": 10}
-STAGE_WEIGHTS = {"definition": (0.8, 1.3), "usage": (0.7, 1.1), "callgraph": (0.7, 1.2)}
+STAGE_LIMITS = {"keyword": 15, "vector": 20, "definition": 10, "usage": 15, "caller": 5, "callee": 5}
+STAGE_WEIGHTS = {"definition": (0.8, 1.3), "usage": (0.7, 1.1), "caller": (0.75, 1.2), "callee": (0.7, 1.2)}
+KEYWORD_SYMBOLS, KEYWORD_NAMES, VECTOR_QUERIES, VECTOR_INTENTS, VECTOR_WEIGHT = 5, 5, 8, 4, 1.0
 SECTIONS = ("modified", "test", "definition", "similar", "config", "import")
 
 #: By file type its extensions, patterns of names that are looked up (with weights), and related files.
@@ -93,23 +94,91 @@ def strategy_weight(path: Column, overrides: dict[str, float] | None = None) ->
     return out
 
 
-def structural_stage(symbols: DataFrame, definitions: DataFrame, usages: DataFrame, calls: DataFrame | None = None, most_symbols: int = 8) -> DataFrame:
-    """(id, source, score, is_exact, symbol) for asked symbols (symbol, position): definitions, usages and call neighbours
-    (each symbol, id, file, line), capped per symbol and stage; the first stage that finds a chunk keeps it."""
+def stage_queries(requests: DataFrame, by: str = "query_id") -> DataFrame:
+    """(by, stage, position, query) of requests (by, symbols, diff_queries, description_queries): what the keyword stage asks
+    (five symbols, then the first five queries that are identifiers) and the vector stage (eight of a diff, four of a description)."""
+    names = F.filter("diff_queries", lambda q: q.rlike(r"^\w+$"))
+    keyword = F.concat(F.slice("symbols", 1, KEYWORD_SYMBOLS), F.slice(names, 1, KEYWORD_NAMES))
+    vector = F.concat(F.slice("diff_queries", 1, VECTOR_QUERIES), F.slice("description_queries", 1, VECTOR_INTENTS))
+    each = lambda stage, qs: requests.select(by, F.lit(stage).alias("stage"), F.posexplode(qs).alias("position", "query"))
+    return each("keyword", keyword).unionByName(each("vector", vector))
+
+
+def keyword_stage(found: DataFrame, by: str = "query_id") -> DataFrame:
+    """(by, id, source, score, is_exact) of ranked keyword hits (by, position, id, score, boost, rank) of a request's queries:
+    fifteen of each, a chunk from the first query that finds it."""
+    hits = found.where(F.col("rank") <= STAGE_LIMITS["keyword"])
+    first = hits.groupBy(by, "id").agg(F.min_by(F.struct("score", "boost"), "position").alias("x"))
+    exact = F.col("x.boost") > 1
+    return first.select(by, "id", F.lit("keyword").alias("source"), keyword_stage_weight(F.col("x.score"), exact).alias("score"), exact.alias("is_exact"))
+
+
+def vector_stage(found: DataFrame, held: DataFrame | None = None, by: str = "query_id") -> DataFrame:
+    """The same of hybrid hits (by, position, id, vector_score, rank): twenty of each query, without chunks that `held` has.
+
+    A chunk that only keywords found has no vector score and counts zero.
+    """
+    hits = found.where(F.col("rank") <= STAGE_LIMITS["vector"])
+    if held is not None:
+        hits = hits.join(held.select(by, "id").distinct(), [by, "id"], "left_anti")
+    first = hits.groupBy(by, "id").agg(F.min_by(F.coalesce("vector_score", F.lit(0.0)), "position").alias("s"))
+    return first.select(by, "id", F.lit("vector").alias("source"), (F.col("s") * VECTOR_WEIGHT).alias("score"), F.lit(False).alias("is_exact"))
+
+
+def flat_retrieval(hits: DataFrame, chunks: DataFrame, modified: DataFrame, tests: DataFrame | None = None, strategy: Column | None = None, most: int = 20, budget: int = 16_000, by: str = "query_id") -> DataFrame:
+    """(by, id, score, used, is_modified, in_description, is_test): what a request shows of the hits of all its queries.
+
+    hits: (by, query, id, score, of_description), the best score of a chunk counts; chunks: (id, file, code); modified: (by,
+    id) of chunks that a change overlaps, weighed twice; chunks of a description's query 1.3 times; `strategy` is a weight
+    by chunk; tests: (by, id, score), weighed already. By score, as long as the tokens fit and at most twice `most`.
+    """
+    from textquarry.operators.windows import estimated_tokens, token_budget
+
+    found = hits.groupBy(by, "id").agg(F.max("score").alias("s"), F.bool_or("of_description").alias("in_description"))
+    marked = found.join(modified.select(by, "id").distinct().withColumn("m", F.lit(True)), [by, "id"], "left").withColumn("is_modified", F.coalesce("m", F.lit(False)))
+    both = marked.join(chunks, "id")
+    weighed = F.col("s") * F.when(F.col("is_modified"), 2.0).otherwise(1.0) * F.when(F.col("in_description"), 1.3).otherwise(1.0) * (F.lit(1.0) if strategy is None else strategy)
+    rows = both.select(by, "id", weighed.alias("score"), "code", "is_modified", "in_description", F.lit(False).alias("is_test"))
+    if tests is not None:
+        more = tests.join(chunks, "id").select(by, "id", "score", "code", F.lit(False).alias("is_modified"), F.lit(False).alias("in_description"), F.lit(True).alias("is_test"))
+        rows = rows.unionByName(more)
+    best = Window.partitionBy(by, "id").orderBy(F.desc("score"), "is_test")
+    order = Window.partitionBy(by).orderBy(F.desc("score"), "id")
+    ranked = rows.withColumn("_r", F.row_number().over(best)).where("_r = 1").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 2 * most)
+    return token_budget(ranked.withColumn("cost", estimated_tokens(F.col("code"))), F.col("cost"), [F.desc("score"), F.col("id")], budget, by=[by]).drop("code", "_r", "_n", "cost")
+
+
+def structural_stage(symbols: DataFrame, definitions: DataFrame, usages: DataFrame, callers: DataFrame | None = None, callees: DataFrame | None = None, most_symbols: int = 8) -> DataFrame:
+    """(id, source, score, is_exact, symbol) for asked symbols (symbol, position): definitions, usages and, of symbols that look
+    like functions, callers and callees (each symbol, id, file, line), capped per symbol and stage; the first stage that finds
+    a chunk keeps it."""
+    from textquarry.functions.predicates import is_function_like
+
     asked = symbols.orderBy("position").limit(most_symbols)
     parts = []
-    for order, (name, rows) in enumerate((("definition", definitions), ("usage", usages), ("callgraph", calls))):
+    for order, (name, rows) in enumerate((("definition", definitions), ("usage", usages), ("caller", callers), ("callee", callees))):
         if rows is None:
             continue
         base, boost = STAGE_WEIGHTS[name]
         w = Window.partitionBy("symbol").orderBy("file", "line", "id")
-        hit = rows.join(asked, "symbol").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= STAGE_LIMITS[name])
+        meant = asked if name in ("definition", "usage") else asked.where(is_function_like(F.col("symbol")))
+        hit = rows.join(meant, "symbol").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= STAGE_LIMITS[name])
         parts.append(hit.select("id", F.lit(name).alias("source"), F.lit(base * boost).alias("score"), F.lit(name == "definition").alias("is_exact"), "symbol", "position", F.lit(order).alias("_o")))
     both = reduce(DataFrame.unionByName, parts)
     first = Window.partitionBy("id").orderBy("position", "_o")
     return both.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("id", "source", "score", "is_exact", "symbol")
 
 
+def overlapping_chunks(chunks: DataFrame, lines: DataFrame, by: str = "query_id") -> DataFrame:
+    """(by, id) of chunks (id, file, start, end) that hold a changed line (by, file, line) of a file whose path is theirs or
+    ends as theirs does. Paths that end alike share their last three characters, which is what the join goes by."""
+    from textquarry.functions.predicates import overlaps, same_file
+
+    a = chunks.select("id", "file", "start", "end", F.right("file", F.lit(3)).alias("ending"))
+    b = lines.select(by, F.col("file").alias("changed"), "line", F.right("file", F.lit(3)).alias("ending")).distinct()
+    return a.join(b, "ending").where(same_file(F.col("file"), F.col("changed")) & overlaps(F.col("start"), F.col("end"), F.col("line"))).select(by, "id").distinct()
+
+
 def keyword_stage_weight(score: Column, is_exact: Column) -> Column:
     """Score over ten, at most 1; half more for exact symbols, a fifth more above 0.5."""
     base = F.least(F.lit(1.0), score / 10)

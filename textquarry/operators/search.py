@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import identifier_variations, tokens
@@ -10,8 +12,8 @@ from textquarry.functions.text import identifier_variations, tokens
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
-def postings(docs: DataFrame, key: str, text: str, most_chars: int | None = 400_000) -> DataFrame:
-    """(key, term, tf, positions, doc_len): one row per document and distinct term.
+def postings(docs: DataFrame, key: str, text: str, most_chars: int | None = None) -> DataFrame:
+    """(key, term, tf, positions, doc_len): one row per document and distinct term. Whole texts, unless `most_chars` says less.
 
     A row is exploded where it is read and combined before the shuffle, so the exchange carries terms, not texts.
     """
@@ -20,16 +22,57 @@ def postings(docs: DataFrame, key: str, text: str, most_chars: int | None = 400_
     return each.groupBy(key, "doc_len", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
 
 
+class Index:
+    """A stored inverted index: postings in folders by a term's bucket, sorted by term, beside lengths of documents and figures.
+
+    A search reads the buckets of its terms and, by the files' statistics, the row groups that hold them.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str):
+        self.key = key
+        figures = spark.read.parquet(f"{path}/figures").first()
+        self.postings = spark.read.schema(figures.layout).parquet(f"{path}/postings")
+        self.n, self.average, self.buckets = figures.n, figures.average, figures.buckets
+
+    @staticmethod
+    def write(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> None:
+        """A range shuffle on bucket, term and document deals a frequent term to several tasks."""
+        p = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        p.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term", key).write.partitionBy("bucket").parquet(f"{path}/postings")
+        sizes = docs.select(F.size(tokens(F.col(text))).alias("len"))
+        layout = ", ".join(f"`{c}` {kind}" for c, kind in p.dtypes)
+        sizes.agg(F.count("*").alias("n"), F.avg("len").alias("average"), F.lit(buckets).alias("buckets"), F.lit(layout).alias("layout")).coalesce(1).write.parquet(f"{path}/figures")
+
+    def of(self, terms: DataFrame, most: int = 5000) -> DataFrame:
+        """Postings of the terms (term): by pruning where they are at most `most`, else by a join."""
+        asked = [r.term for r in terms.select("term").distinct().limit(most + 1).collect()]  # at most `most`
+        if len(asked) > most:
+            return self.postings.join(terms.select("term").distinct(), "term", "left_semi")
+        frame = terms.sparkSession.createDataFrame([(x,) for x in asked], "term string").select(F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("b")).distinct()
+        return self.postings.where(F.col("bucket").isin(*[r.b for r in frame.collect()]) & F.col("term").isin(*asked))
+
+
+def index_scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """Okapi BM25 of the documents that have a term, for all queries (query_id, terms array): (query_id, key, score)."""
+    asked = queries.select("query_id", F.explode("terms").alias("term")).distinct()
+    tf = index.of(asked)
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.select("term", F.log(1 + (F.lit(float(index.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    hit = tf.select(index.key, "term", "tf", "doc_len").join(few(idf), "term").join(few(asked), "term")
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.lit(float(index.average or 1.0))))
+    return hit.groupBy("query_id", index.key).agg(F.sum(weight).alias("score"))
+
+
 def keyword_scores(docs: DataFrame, queries: DataFrame, key: str, text: str, k1: float = K1, b: float = B) -> DataFrame:
-    """Okapi BM25 of all documents for all queries (query_id, terms array): (query_id, key, score).
+    """The same without a stored index, in one pass over the documents.
 
     Only postings of asked terms leave the scan, with one row per document for its length.
     """
     asked = queries.select("query_id", F.explode("terms").alias("term")).distinct()
     # The empty term stands for the document itself, so corpus figures come out of the same pass and exchange.
     wanted = asked.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
-    words = docs.select(F.col(key), tokens(F.col(text), 400_000).alias("ws"))
-    each = words.select(key, F.size("ws").alias("len"), F.explode(F.array_append("ws", F.lit(""))).alias("term")).join(F.broadcast(wanted) if _small(queries) else wanted, "term", "left_semi")
+    words = docs.select(F.col(key), tokens(F.col(text)).alias("ws"))
+    each = words.select(key, F.size("ws").alias("len"), F.explode(F.array_append("ws", F.lit(""))).alias("term")).join(few(wanted), "term", "left_semi")
     tf = each.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
     sizes = tf.where("term = ''").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -39,16 +82,27 @@ def keyword_scores(docs: DataFrame, queries: DataFrame, key: str, text: str, k1:
     return hit.groupBy("query_id", key).agg(F.sum(weight).alias("score"))
 
 
-def _small(queries: DataFrame, most: int = 2000) -> bool:
-    """Whether the queries may be broadcast: their number is checked."""
-    return len(queries.select("query_id").limit(most + 1).collect()) <= most
+def few(rows: DataFrame, most: int = 20_000) -> DataFrame:
+    """rows, to be broadcast where a count shows that they are at most `most`."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-def rank_cd_approx(docs: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
-    """Matched term frequency over 1 + ln(length): the length-normalised score of the reference's text index."""
+def rank_cd_approx(index: Index, queries: DataFrame) -> DataFrame:
+    """Matched term frequency over 1 + ln(length): the length-normalised score of a text index."""
     asked = queries.select("query_id", F.explode("terms").alias("term")).distinct()
-    p = postings(docs, key, text)
-    return p.join(asked, "term").groupBy("query_id", key).agg((F.sum("tf") / (1 + F.log(F.max("doc_len").cast("double")))).alias("score"))
+    return index.of(asked).join(few(asked), "term").groupBy("query_id", index.key).agg((F.sum("tf") / (1 + F.log(F.max("doc_len").cast("double")))).alias("score"))
+
+
+def keyword_search(scored: DataFrame, docs: DataFrame, queries: DataFrame, key: str, k: int = 10, boost: float = 3.0, only: Column | None = None) -> DataFrame:
+    """(query_id, key, bm25_score, boost, score, rank): of the 2k best of each query the k best after the boost of exact symbols.
+
+    scored: (query_id, key, score); docs: (key, symbols and what `only` needs); queries: (query_id, query). `only` (say, one
+    repository and branch) filters before the ranks.
+    """
+    kept = docs if only is None else docs.where(only)
+    first = top_k(scored.join(kept.select(key, "symbols"), key), 2 * k, key=key).join(few(queries.select("query_id", "query")), "query_id")
+    boosted = first.withColumn("boost", symbol_boost(F.col("query"), F.col("symbols"), boost)).withColumnRenamed("score", "bm25_score").withColumn("score", F.col("bm25_score") * F.col("boost"))
+    return top_k(boosted.select("query_id", key, "bm25_score", "boost", "score"), k, key=key)
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", key: str = "doc_id", per: str = "query_id") -> DataFrame:
@@ -64,15 +118,15 @@ def symbol_boost(query: Column, symbols: Column, exact: float = 3.0) -> Column:
     return F.coalesce(F.get(F.filter(each, lambda x: x.isNotNull()), F.lit(0)), F.lit(1.0))
 
 
-def phrase_matches(docs: DataFrame, phrases: DataFrame, key: str, text: str) -> DataFrame:
-    """(phrase_id, key, n): how often the words of a phrase stand side by side, from positions.
+def phrase_matches(index: Index, phrases: DataFrame) -> DataFrame:
+    """(phrase_id, key, n): how often the words of a phrase stand side by side, from the positions of a stored index.
 
-    phrases: (phrase_id, words array). Each posting votes for the start that it implies; a start with all words is a match.
+    phrases: (phrase_id, words array). Each position votes for the start that it implies; a start with all words is a match.
     """
     asked = phrases.select("phrase_id", F.size("words").alias("size"), F.posexplode("words").alias("at", "term"))
-    each = docs.select(F.col(key), F.posexplode(tokens(F.col(text))).alias("position", "term"))
-    votes = each.join(asked, "term").groupBy("phrase_id", key, "size", (F.col("position") - F.col("at")).alias("start")).agg(F.count("*").alias("c"))
-    return votes.where("c = size").groupBy("phrase_id", key).agg(F.count("*").alias("n"))
+    each = index.of(asked).select(index.key, "term", F.explode("positions").alias("position"))
+    votes = each.join(few(asked), "term").groupBy("phrase_id", index.key, "size", (F.col("position") - F.col("at")).alias("start")).agg(F.count("*").alias("c"))
+    return votes.where("c = size").groupBy("phrase_id", index.key).agg(F.count("*").alias("n"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -83,11 +137,17 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame, key: str, vector: str) -> DataFrame:
-    """Exact cosine similarity of every vector with every query (query_id, q): (query_id, key, score)."""
+def vector_scores(vectors: DataFrame, queries: DataFrame, key: str, vector: str, most: int = 2000) -> DataFrame:
+    """Exact cosine similarity of every vector with every query (query_id, q): (query_id, key, score).
+
+    The stated queries go against all vectors in blocks of about `most`, each of which is broadcast.
+    """
     q = queries.select("query_id", "q", F.sqrt(dot(F.col("q"), F.col("q"))).alias("qn"))
     v = vectors.withColumn("vn", F.sqrt(dot(F.col(vector), F.col(vector))))
-    return v.crossJoin(F.broadcast(q)).select("query_id", key, (dot(F.col(vector), F.col("q")) / (F.col("vn") * F.col("qn"))).alias("score"))  # a stated query set, few rows
+    n = -(-queries.count() // most)
+    blocks = [q] if n <= 1 else [q.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * n)) == i) for i in range(2 * n)]
+    score = (dot(F.col(vector), F.col("q")) / (F.col("vn") * F.col("qn"))).alias("score")
+    return reduce(DataFrame.unionByName, [v.crossJoin(F.broadcast(x)).select("query_id", key, score) for x in blocks])
 
 
 def padded(v: Column, size: int = 1536) -> Column:
@@ -126,8 +186,13 @@ def rrf(vector_hits: DataFrame, keyword_hits: DataFrame, key: str, vector_weight
     return v.join(w, ["query_id", key], "full_outer").withColumn("rrf_score", part(vector_weight, "vector_rank") + part(keyword_weight, "keyword_rank"))
 
 
-def hybrid(vector_scored: DataFrame, keyword_scored: DataFrame, key: str, k: int, vector_weight: float = 0.6, keyword_weight: float = 0.4) -> DataFrame:
-    """2k of each list, fused, k kept. A query without keyword hits falls back to its vector scores."""
+def hybrid(vector_scored: DataFrame, keyword_scored: DataFrame, key: str, k: int, vector_weight: float = 0.6, keyword_weight: float = 0.4, only: DataFrame | None = None) -> DataFrame:
+    """2k of each list, fused, k kept. A query without keyword hits falls back to its vector scores.
+
+    `only`: (key) of the documents of one repository or branch; others enter neither list.
+    """
+    if only is not None:
+        vector_scored, keyword_scored = (x.join(only.select(key), key, "left_semi") for x in (vector_scored, keyword_scored))
     v, w = top_k(vector_scored, 2 * k, key=key), top_k(keyword_scored, 2 * k, key=key)
     fused = rrf(v, w, key, vector_weight, keyword_weight)
     with_hits = w.select("query_id").distinct().withColumn("has_hits", F.lit(True))
@@ -177,6 +242,24 @@ def usage_lines(docs: DataFrame, key: str, text: str, symbol: str, limit: int =
     return hits.where(~F.col("line").rlike(rf"\b(function|class|interface|type|enum|const|let|var|def|fn|func|struct|trait)\b.{{0,80}}\b{symbol}\b")).orderBy(key, "line_no").limit(limit)
 
 
+def importer_pattern(path: str) -> str:
+    """What imports of a file look like in other files: by from, require, import and Python's from, with or without extension."""
+    import os
+    import re
+
+    base = re.escape(os.path.splitext(os.path.basename(path))[0])
+    named = rf"['\"][^'\"]*{base}(?:\.[jt]sx?)?['\"]"
+    return "|".join((rf"from {named}", rf"require\({named}\)", rf"import {named}", rf"from [^\s]*{base} import"))
+
+
+def importers_by_text(files: DataFrame, path: str, key: str = "file", text: str = "content", high: int = 5) -> DataFrame:
+    """One row: importers (sorted, without the file itself and files that may hold secrets), their number, high_impact, partial."""
+    from textquarry.functions.predicates import is_sensitive
+
+    hits = files.where((F.col(key) != path) & F.col(text).rlike(importer_pattern(path)) & ~is_sensitive(F.col(key)))
+    return hits.agg(F.array_sort(F.collect_set(key)).alias("importers")).select("importers", F.size("importers").alias("n"), (F.size("importers") >= high).alias("high_impact"), F.lit(True).alias("partial"))
+
+
 def file_slice(docs: DataFrame, key: str, text: str, start: int, most: int) -> DataFrame:
     """(key, line_no, line, truncated): `most` lines from line `start`; truncated if more follow."""
     lines = F.split(text, "\n")
@@ -189,7 +272,7 @@ def hashing_embedding(docs: DataFrame, text: str, size: int = 384, out: str = "e
     from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    words = docs.withColumn("_ws", tokens(F.col(text), 400_000))
+    words = docs.withColumn("_ws", tokens(F.col(text)))
     hashed = HashingTF(inputCol="_ws", outputCol="_tf", numFeatures=size).transform(words)
     return Normalizer(inputCol="_tf", outputCol="_unit").transform(hashed).withColumn(out, vector_to_array("_unit", "float32")).drop("_ws", "_tf", "_unit")
 

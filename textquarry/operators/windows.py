@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top_per_group(df: DataFrame, group: str, score: str, key: str, n: int) -> DataFrame:
+def top_per_group(df: DataFrame, group: str, score: str, key: str, n: int, removed: bool = False) -> DataFrame:
+    """The n best rows of each group with their rank; with `removed` also how many rows the group lost."""
     w = Window.partitionBy(group).orderBy(F.col(score).desc(), F.col(key))
-    return df.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= n)
+    best = df.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= n)
+    if not removed:
+        return best
+    lost = df.groupBy(group).agg(F.greatest(F.lit(0), F.count("*") - n).cast("int").alias("removed"))
+    return best.join(lost, group)
 
 
 def keep_last(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -38,10 +43,10 @@ def coverage_gaps(ranges: DataFrame, group: str, start: str, end: str) -> DataFr
     return ranges.withColumn("_reach", reach).where(F.col(start) > F.col("_reach") + 1).select(group, (F.col("_reach") + 1).alias("gap_start"), (F.col(start) - 1).alias("gap_end"))
 
 
-def similarity_to_previous(df: DataFrame, group: str, order: Column, similarity) -> DataFrame:
+def similarity_to_previous(df: DataFrame, group: str, order: Column | list[Column], similarity) -> DataFrame:
     """similarity(previous row's struct, row's struct) along the order of each group; null for the first."""
     row = F.struct(*df.columns)
-    w = Window.partitionBy(group).orderBy(order)
+    w = Window.partitionBy(group).orderBy(*(order if isinstance(order, list) else [order]))
     return df.withColumn("_row", row).withColumn("_before", F.lag("_row").over(w)).withColumn("similarity", F.when(F.col("_before").isNotNull(), similarity(F.col("_before"), F.col("_row")))).drop("_row", "_before")
 
 

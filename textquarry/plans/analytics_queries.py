@@ -9,6 +9,7 @@ from textquarry.functions import text as X
 from textquarry.operators import findings as FN
 from textquarry.operators import windows as WN
 from textquarry.plans.registry import long, number, pick, query, sql_list, sql_pick
+from textquarry.plans.shared import SQL_CHUNKS, located, sql_likeness
 
 SEV = "case when value >= 75 then 'CRITICAL' when value >= 50 then 'HIGH' when value >= 25 then 'MEDIUM' else 'LOW' end"
 STATUS = "case event_id % 5 when 0 then 'open' when 1 then 'fixed' when 2 then 'uncertain' when 3 then 'wont-fix' else 'false-positive' end"
@@ -248,20 +249,26 @@ def last_fence(spark, t):
     return t("nation").select(F.col("n_nationkey").alias("id"), FN.last_block(pick(BLOCKS, F.col("n_nationkey")), "findings").alias("body"))
 
 
-@query("""with l as (select *, lag(n_chars) over (partition by source order by doc_id) as p from documents)
-select source, count(*) as results, count(distinct lang) as files, round(avg(case when p is not null then least(p, n_chars) / greatest(p, n_chars) end), 6) as avg_similarity from l group by source""")
+def _likeness_sql() -> str:
+    return f"""with c as {SQL_CHUNKS}, l as (select *, lag(doc_id) over (partition by lang order by doc_id) as before from c), s as (select l.lang, l.file, {sql_likeness('p', 'l')} as s, before from l left join c p on p.doc_id = l.before)
+select lang, count(*) as results, count(distinct file) as files, round(avg(case when before is not null then s end), 6) as avg_similarity from s group by lang"""
+
+
+@query(_likeness_sql())
 def consecutive_similarity(spark, t):
-    """Likeness of neighbours in a list, and its mean."""
-    d = t("documents").select("source", "doc_id", "lang", "n_chars")
-    s = WN.similarity_to_previous(d, "source", F.col("doc_id"), lambda a, b: F.least(a["n_chars"], b["n_chars"]) / F.greatest(a["n_chars"], b["n_chars"]))
-    return s.groupBy("source").agg(F.count("*").alias("results"), F.count_distinct("lang").alias("files"), number(F.avg("similarity")).alias("avg_similarity"))
+    """Likeness of neighbours in a list by words, path and lines, and its mean."""
+    from textquarry.operators.similarity import likeness_of
+
+    s = WN.similarity_to_previous(located(t), "lang", F.col("doc_id"), likeness_of)
+    return s.groupBy("lang").agg(F.count("*").alias("results"), F.count_distinct("file").alias("files"), number(F.avg("similarity")).alias("avg_similarity"))
 
 
-@query("select event_id, event_type, value from events where value > 90 order by value desc, event_id limit 20")
+@query("""with f as (select event_id, event_type, value from events order by value desc, event_id limit 40) select event_id, event_type, value, round(value * case event_type when 'view' then 2.1 when 'click' then 3.0 else 1.0 end, 6)::double as score from f order by score desc, event_id limit 20""")
 def overfetch_rerank(spark, t):
     """L2: twice as many by one score, then the best by another."""
-    first = t("events").where("value > 90").select("event_id", "event_type", "value").orderBy(F.desc("value"), "event_id").limit(40)
-    return first.orderBy(F.desc("value"), "event_id").limit(20)
+    first = t("events").select("event_id", "event_type", "value").orderBy(F.desc("value"), "event_id").limit(40)
+    score = number(F.col("value") * F.when(F.col("event_type") == "view", 2.1).when(F.col("event_type") == "click", 3.0).otherwise(1.0))
+    return first.withColumn("score", score).orderBy(F.desc("score"), "event_id").limit(20)
 
 
 NAMES = ("parse", "a.b", "renderView", "x y", "it", "get_name", "Foo::bar")
@@ -283,10 +290,20 @@ def first_issues(spark, t):
     return as_findings(t).where(F.col("status").isin("open")).orderBy(P.severity_order(F.col("severity")), "event_id").limit(10).select("event_id", "severity")
 
 
-@query("select source, doc_id from documents qualify row_number() over (partition by source order by n_chars, doc_id) <= 12")
-def owned_caps(spark, t):
-    """The first twelve per feature."""
-    return WN.keep_last(t("documents").select("source", "doc_id", "n_chars"), ["doc_id"], F.col("doc_id")).withColumn("r", F.expr("row_number() over (partition by source order by n_chars, doc_id)")).where("r <= 12").select("source", "doc_id")
+#: How many findings, and owned, context and cited files, a feature shows.
+CAPS = {"findings": 10, "owned": 12, "context": 24, "cited": 24}
+
+
+@query("""with k as (select source, doc_id, n_chars, ['findings', 'owned', 'context', 'cited'][doc_id % 4 + 1] as kind from documents union all select 'all', doc_id, n_chars, ['findings', 'owned', 'context', 'cited'][doc_id % 4 + 1] from documents),
+r as (select *, row_number() over (partition by source, kind order by n_chars, doc_id) as r from k) select source, kind, doc_id from r where r <= case kind when 'findings' then 10 when 'owned' then 12 else 24 end""")
+def feature_caps(spark, t):
+    """The first findings and owned, context and cited files of each feature."""
+    d = t("documents").select("source", "doc_id", "n_chars", pick(tuple(CAPS), F.col("doc_id")).alias("kind"))
+    rows = d.unionByName(d.withColumn("source", F.lit("all")))
+    cap = F.lit(0)
+    for kind, n in CAPS.items():
+        cap = F.when(F.col("kind") == kind, n).otherwise(cap)
+    return rows.withColumn("r", F.expr("row_number() over (partition by source, kind order by n_chars, doc_id)")).where(F.col("r") <= cap).select("source", "kind", "doc_id")
 
 
 @query("""with u as (select doc_id, source, 0 as part from documents where doc_id % 3 = 0 union all select doc_id, source || 'x', 1 from documents where doc_id % 2 = 0)
@@ -314,14 +331,24 @@ def isolated_union(spark, t):
 
 @query("select l_orderkey, l_linenumber from lineitem where l_suppkey in (select s_suppkey from supplier where s_acctbal < 0)")
 def semi_join(spark, t):
-    """Rows whose key is in a set, as a semi join."""
+    """Rows whose key is in a set, as a semi join."""
     return t("lineitem").join(t("supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey")), "l_suppkey", "left_semi").select("l_orderkey", "l_linenumber")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("""with f as (select source, list(doc_id) as owned, count(*) as n from documents group by source) select source as feature_id, n from f where list_has_any(owned, (select list(doc_id) from documents where doc_id % 37 = 5))""")
+def touched_feature_list(spark, t):
+    """Features that own a touched file."""
+    d = t("documents")
+    features = d.groupBy(F.col("source").alias("feature_id")).agg(F.collect_list("doc_id").alias("owned"))
+    touched = d.where("doc_id % 37 = 5").select(F.col("doc_id").alias("file"))
+    return FN.touched_features(features, touched).select("feature_id", long(F.size("owned")).alias("n"))
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderkey % 7 = 0)")
 def anti_join(spark, t):
     """Features that have no findings yet."""
-    return t("customer").select("c_custkey").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    found = t("orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return t("customer").select("c_custkey").join(found, "c_custkey", "left_anti")
 
 
 @query("""with r as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1, 5)) as a from documents), l as (select distinct doc_id, 1 + (doc_id * 7 + i) % 20 as line from documents, range(3) x(i) where doc_id % 4 = 0)
@@ -334,11 +361,12 @@ def range_overlap(spark, t):
     return r.join(n, (r.doc_id == n.doc_id) & P.overlaps(F.col("start_line"), F.col("end_line"), F.col("line")), "left_semi")
 
 
-@query("""select user_id as title, max(event_id) as kept from events where event_type in ('click', 'view') group by 1""")
+@query("""select user_id as title, coalesce(max(event_id) filter (event_type = 'view'), max(event_id) filter (event_type = 'click')) as kept, max(event_id) filter (event_type = 'view') is not null as fresh from events where event_type in ('click', 'view') and (event_type = 'click' or user_id % 3 > 0) group by 1""")
 def title_merge(spark, t):
-    """W5 ST11: of equal titles the fresh one, then the last."""
+    """W5 ST11: of equal titles a fresh finding wins over a prior one, then the last."""
     e = t("events").select(F.col("user_id").alias("title"), F.col("event_id").alias("seq"), "event_type")
-    return FN.merge_by_title(e.where("event_type in ('click', 'view')").limit(0), e.where("event_type in ('click', 'view')")).select("title", F.col("seq").alias("kept"))
+    merged = FN.merge_by_title(e.where("event_type = 'click'"), e.where("event_type = 'view' and title % 3 > 0"))
+    return merged.select("title", F.col("seq").alias("kept"), (F.col("is_fresh") == 1).alias("fresh"))
 
 
 @query("""select user_id as title, count(*) as n from events where event_type = 'view' and (user_id in (select user_id from events where event_type = 'error' and value > 50) or user_id not in (select user_id from events where event_type = 'error')) group by 1""")
@@ -352,15 +380,28 @@ def surviving_findings(spark, t):
 
 
 @query(f"""with v as (select user_id as f, case max(event_type) when 'view' then 'fixed' when 'signup' then 'uncertain' else 'still-present' end as verdict from events where event_id % 3 = 0 group by 1),
-f as (select distinct event_id as finding_id, status, feature from {EVENTS})
-select finding_id, case verdict when 'fixed' then 'fixed' when 'still-present' then 'open' when 'uncertain' then 'uncertain' else status end as status from f left join v on f.feature = v.f""")
+f as (select distinct event_id as finding_id, status, feature, ['general', 'security'][event_id % 2 + 1] as persona from {EVENTS}),
+s as (select finding_id, feature, persona, case verdict when 'fixed' then 'fixed' when 'still-present' then 'open' when 'uncertain' then 'uncertain' else status end as status from f left join v on f.feature = v.f)
+select finding_id, case when feature % 7 = 0 and persona = 'security' and status in ('open', 'uncertain') then 'uncertain' else status end as status from s""")
 def lifecycle(spark, t):
-    """J17 ST10: verdicts become statuses; without one nothing changes."""
+    """J17 ST10: verdicts become statuses; without one nothing changes, but what lost its feature or persona is uncertain."""
     e = t("events")
     v = e.where("event_id % 3 = 0").groupBy(F.col("user_id").alias("feature")).agg(F.max("event_type").alias("m")).select("feature", F.when(F.col("m") == "view", "fixed").when(F.col("m") == "signup", "uncertain").otherwise("still-present").alias("verdict"))
-    f = as_findings(t).select(F.col("event_id").alias("finding_id"), "status", "feature")
+    f = as_findings(t).select(F.col("event_id").alias("finding_id"), "status", "feature", pick(("general", "security"), F.col("event_id")).alias("persona"))
     by_id = f.join(v, "feature").select("finding_id", "verdict")
-    return FN.latest_statuses(f, by_id).select("finding_id", "status")
+    gone = f.where("feature % 7 = 0").select("feature", F.lit("security").alias("persona"))
+    return FN.latest_statuses(f, by_id, gone).select("finding_id", "status")
+
+
+@query("""with c as (select source, count(*) as n from documents group by source union all select lang, count(*) from documents group by lang union all select 'all', count(*) from documents)
+select source, n, n > 100 as background, case when n > 500 then 'low' when n % 2 = 0 then 'high' else 'normal' end as priority from c""")
+def background_rule(spark, t):
+    """ST3: what is indexed in the background, and with which priority."""
+    from textquarry.streaming.state import goes_to_background, job_priority
+
+    d = t("documents")
+    c = d.groupBy("source").agg(F.count("*").alias("n")).unionByName(d.groupBy(F.col("lang").alias("source")).agg(F.count("*").alias("n"))).unionByName(d.agg(F.count("*").alias("n")).withColumn("source", F.lit("all")))
+    return c.select("source", "n", goes_to_background(F.col("n")).alias("background"), job_priority(F.col("n"), F.when(F.col("n") % 2 == 0, "high")).alias("priority"))
 
 
 PATHS = (

@@ -8,6 +8,7 @@ from textquarry.functions.text import identifier_variations, query_terms, quoted
 from textquarry.operators import search as S
 from textquarry.operators.windows import top_per_group
 from textquarry.plans.registry import long, number, pick, query, sql_list, sql_pick
+from textquarry.storage import built_once
 
 ASKED = {1: ["tion", "the", "edonre"], 2: ["que", "elle"], 3: ["der", "enheit", "ungen"], 4: ["worthless"]}
 SQL_TOKENS = r"regexp_extract_all(lower(replace(regexp_replace(coalesce(text,''), '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g'), '_', ' ')), '[\p{L}\p{N}]+')"
@@ -18,6 +19,12 @@ def asked(spark):
     return spark.createDataFrame([(q, ts) for q, ts in ASKED.items()], "query_id int, terms array<string>")
 
 
+def stored_index(t):
+    """The index of the documents, written when it is first asked for and read by all searches of the session."""
+    path = built_once(t.spark, "index", t.path("documents"), lambda out: S.Index.write(t("documents"), "doc_id", "text", out))
+    return S.Index(t.spark, path, "doc_id")
+
+
 BM25 = f"""
 with w as (select doc_id, {SQL_TOKENS} as ws from documents),
 asked as ({SQL_ASKED}),
@@ -33,8 +40,8 @@ ranked as (select *, row_number() over (partition by query_id order by score des
 
 @query(BM25 + "select query_id, doc_id, round(score, 6) as score, cast(rank as integer) as rank from ranked where rank <= 10")
 def keyword_bm25_topk(spark, t):
-    """BM25, ten best for each of several queries."""
-    scored = S.keyword_scores(t("documents"), asked(spark), "doc_id", "text")
+    """BM25 from the stored index, ten best for each of several queries."""
+    scored = S.index_scores(stored_index(t), asked(spark))
     return S.top_k(scored, 10).select("query_id", "doc_id", number("score").alias("score"), "rank")
 
 
@@ -43,7 +50,35 @@ with w as (select doc_id, {SQL_TOKENS} as ws from documents), asked as ({SQL_ASK
 select query_id, doc_id, round(count(*) / (1 + ln(max(len))), 6) as score from tok join asked using (term) group by query_id, doc_id""")
 def keyword_rank_cd(spark, t):
     """K5 in its length-normalised form."""
-    return S.rank_cd_approx(t("documents"), asked(spark), "doc_id", "text").select("query_id", "doc_id", number("score").alias("score"))
+    return S.rank_cd_approx(stored_index(t), asked(spark)).select("query_id", "doc_id", number("score").alias("score"))
+
+
+@query(BM25 + "select query_id, doc_id, round(score, 6) as score from scored")
+def keyword_bm25_scan(spark, t):
+    """K4 K5: the same scores without an index, in one pass over the documents."""
+    return S.keyword_scores(t("documents"), asked(spark), "doc_id", "text").select("query_id", "doc_id", number("score").alias("score"))
+
+
+SEARCHED = {1: "tion", 2: "que", 3: "der", 4: "the"}
+SQL_SYMBOLS = "list_distinct(ws[1:12])"
+
+
+def symbol_docs(t):
+    """Documents with the first words as their symbols."""
+    return t("documents").select("doc_id", "lang", "source", F.array_distinct(F.slice(tokens(F.col("text")), 1, 12)).alias("symbols"))
+
+
+@query(BM25.replace(SQL_ASKED, " union all ".join(f"select {q} as query_id, '{x}' as term" for q, x in SEARCHED.items())).rsplit("ranked as", 1)[0].rstrip().rstrip(",") + f""",
+d as (select doc_id, {SQL_SYMBOLS} as symbols from w join (select doc_id, lang from documents) using (doc_id) where lang in ('en', 'de')),
+f as (select *, row_number() over (partition by query_id order by score desc, doc_id) as r from scored join d using (doc_id)),
+b as (select query_id, doc_id, score, case when list_contains(symbols, case query_id when 1 then 'tion' when 2 then 'que' when 3 then 'der' else 'the' end) then 3.0 else 1.0 end as boost from f where r <= 20),
+o as (select *, row_number() over (partition by query_id order by score * boost desc, doc_id) as rank from b)
+select query_id, doc_id, round(score, 6) as bm25_score, cast(boost as double) as boost, round(score * boost, 6) as score, cast(rank as integer) as rank from o where rank <= 10""")
+def keyword_search_boosted(spark, t):
+    """K6 K8 L2: keyword search in one part of the corpus; twice as many as asked for, then the boost of exact symbols."""
+    q = spark.createDataFrame(list(SEARCHED.items()), "query_id int, query string").withColumn("terms", query_terms(F.col("query")))
+    found = S.keyword_search(S.index_scores(stored_index(t), q), symbol_docs(t), q, "doc_id", 10, only=F.col("lang").isin("en", "de"))
+    return found.select("query_id", "doc_id", number("bm25_score").alias("bm25_score"), "boost", number("score").alias("score"), "rank")
 
 
 @query(f"with w as (select doc_id, unnest({SQL_TOKENS}) as term from documents) select doc_id, term, count(*) as tf from w group by all")
@@ -83,7 +118,12 @@ def query_parts(spark, t):
     return t("pages").select("page_id", F.array_join(quoted_phrases(q), "|").alias("phrases"), without_phrases(q).alias("rest"), wants_keywords(q).alias("wants_keywords"))
 
 
-@query()
+@query(f"""
+with i as (select p_partkey, {sql_pick(NAMES, 'p_partkey')} as ident, string_split(p_name, ' ') as words from part),
+p as (select *, lower(ident) as low, string_split_regex(lower(regexp_replace(ident, '([a-z])([A-Z])', '\\1 \\2', 'g')), '\\s+') as camel, string_split(lower(ident), '_') as snake from i),
+v as (select p_partkey, list_concat(words, list_concat(list_concat([low], case when len(camel) > 1 then list_append(camel, array_to_string(camel, '_')) else [] end),
+  case when len(snake) > 1 then list_append(snake, array_to_string(snake, '')) else [] end)) as vs from p)
+select p_partkey, array_to_string(list_filter(list_transform(range(1, len(vs) + 1), lambda x: case when list_position(vs, vs[x]) = x then vs[x] else '' end), lambda x: x <> ''), ' ') as terms from v""")
 def or_query_terms(spark, t):
     """K3: all variations of all words of a query."""
     return t("part").select("p_partkey", F.array_join(query_terms(F.concat_ws(" ", "p_name", pick(NAMES, F.col("p_partkey")))), " ").alias("terms"))
@@ -108,7 +148,7 @@ PHRASE_LIST = {1: ["of", "the"], 2: ["de", "la"], 3: ["the", "and", "of"], 4: ["
 def phrase_match(spark, t):
     """K7: adjacency of all words of a phrase."""
     phrases = spark.createDataFrame([(k, v) for k, v in PHRASE_LIST.items()], "phrase_id int, words array<string>")
-    return S.phrase_matches(t("documents"), phrases, "doc_id", "text")
+    return S.phrase_matches(stored_index(t), phrases)
 
 
 COS = "list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[]))"
@@ -168,10 +208,20 @@ def hybrid_rrf(spark, t):
     e = t("embeddings")
     q = e.where(F.col("vec_id").isin(0, 1, 2, 4)).select((F.col("vec_id") + 1).cast("int").alias("query_id"), F.col("embedding").alias("q"))
     v = S.vector_scores(e.withColumnRenamed("vec_id", "doc_id"), q, "doc_id", "embedding")
-    k = S.keyword_scores(t("documents"), asked(spark), "doc_id", "text")
+    k = S.index_scores(stored_index(t), asked(spark))
     return S.hybrid(v, k, "doc_id", 10).select("query_id", "doc_id", "vector_rank", "keyword_rank", number("rrf_score").alias("rrf_score"), "fallback_used", "rank")
 
 
+@query(HYBRID.replace("from documents),\nasked", "from documents),\npart_of as (select doc_id from documents where lang = 'en'),\nasked", 1).replace("from scored)", "from scored where doc_id in (select doc_id from part_of))").replace("as score from embeddings e,", "as score from (select * from embeddings where vec_id in (select doc_id from part_of)) e,"))
+def hybrid_filtered(spark, t):
+    """Hybrid search in one part of the corpus; both lists are filtered before their ranks."""
+    e = t("embeddings")
+    q = e.where(F.col("vec_id").isin(0, 1, 2, 4)).select((F.col("vec_id") + 1).cast("int").alias("query_id"), F.col("embedding").alias("q"))
+    v = S.vector_scores(e.withColumnRenamed("vec_id", "doc_id"), q, "doc_id", "embedding")
+    found = S.hybrid(v, S.index_scores(stored_index(t), asked(spark)), "doc_id", 10, only=t("documents").where("lang = 'en'"))
+    return found.select("query_id", "doc_id", "vector_rank", "keyword_rank", number("rrf_score").alias("rrf_score"), "fallback_used", "rank")
+
+
 @query("""
 with d as (select 'supplier' as kind, s_suppkey as id, s_name as file, s_nationkey as line from supplier where s_nationkey = 7),
 r as (select 'order' as kind, l_orderkey as id, l_returnflag as file, l_linenumber as line from lineitem where l_suppkey in (select id from d)),
@@ -217,26 +267,37 @@ def file_slices(spark, t):
 CODE = ("export function alpha(x) {\n  return beta(x)\n}", "const v = alpha(1)\nalpha(v)", "class Gamma {\n  run() { alpha() }\n}", "import { alpha } from './a'\nlet q = 3", "// alpha is old\ndef alpha(a):\n    pass")
 
 
-@query()
+SQL_CODE = f"(select n_nationkey as id, unnest(string_split(code, '~')) as line, generate_subscripts(string_split(code, '~'), 1) as line_no from (select n_nationkey, {sql_pick([c.replace(chr(10), '~') for c in CODE], 'n_nationkey')} as code from nation))"
+DEFINES = r"\b(function|class|interface|type|enum|const|let|var|def|fn|func|struct|trait)\b.{0,80}\balpha\b"
+
+
+def code(t):
+    return t("nation").select(F.col("n_nationkey").alias("id"), pick(CODE, F.col("n_nationkey")).alias("code"))
+
+
+@query(f"select id, cast(line_no as integer) as line_no, line from {SQL_CODE} where regexp_matches(line, '{DEFINES}') order by id, line_no limit 50")
 def regex_definitions(spark, t):
     """H6: lines that define a symbol."""
-    code = t("nation").select(F.col("n_nationkey").alias("id"), pick(CODE, F.col("n_nationkey")).alias("code"))
-    return S.definition_lines(code, "id", "code", "alpha", 50).select("id", F.col("line_no").cast("int").alias("line_no"), "line")
+    return S.definition_lines(code(t), "id", "code", "alpha", 50).select("id", F.col("line_no").cast("int").alias("line_no"), "line")
 
 
-@query()
+@query(f"with h as (select * from {SQL_CODE} where regexp_matches(line, '\\balpha\\b') order by id, line_no limit 100) select id, cast(line_no as integer) as line_no, line from h where not regexp_matches(line, '{DEFINES}') order by id, line_no limit 50")
 def regex_usages(spark, t):
     """H7: lines that use a symbol and do not define it."""
-    code = t("nation").select(F.col("n_nationkey").alias("id"), pick(CODE, F.col("n_nationkey")).alias("code"))
-    return S.usage_lines(code, "id", "code", "alpha").select("id", F.col("line_no").cast("int").alias("line_no"), "line")
+    return S.usage_lines(code(t), "id", "code", "alpha").select("id", F.col("line_no").cast("int").alias("line_no"), "line")
+
+
+FILE_CODE = ("import {{ x }} from './a'", "const y = require('../lib/a.js')", "import './a.tsx'", "from pkg.a import z", "from './ab'", "no import of a", "from x import a")
 
 
-@query(f"with c as (select n_nationkey as id, {sql_pick([c.replace(chr(10), '~') for c in CODE], 'n_nationkey')} as code from nation) select count(*) as importers, count(*) >= 5 as high_impact, true as partial from c where regexp_matches(code, 'from [''\"]\\./a[''\"]')")
+@query(f"""with f as (select page_id, 'src/f' || page_id || case when page_id % 11 = 0 then '.pem' else '.ts' end as file, {sql_pick(FILE_CODE, 'page_id')} as content from pages),
+h as (select file from f where not ends_with(file, '.pem') and regexp_matches(content, 'from [''"][^''"]*a(\\.[jt]sx?)?[''"]|require\\([''"][^''"]*a(\\.[jt]sx?)?[''"]\\)|import [''"][^''"]*a(\\.[jt]sx?)?[''"]|from \\S*a import'))
+select array_to_string(list_sort(list(file)), ',') as importers, cast(count(*) as integer) as n, count(*) >= 5 as high_impact, true as partial from h""")
 def regex_importers(spark, t):
-    """H8: importers by text, high impact from five."""
-    code = t("nation").select(F.col("n_nationkey").alias("id"), pick(CODE, F.col("n_nationkey")).alias("code"))
-    hits = code.where(F.col("code").rlike("from ['\"]\\./a['\"]"))
-    return hits.agg(F.count("*").alias("importers")).select("importers", (F.col("importers") >= 5).alias("high_impact"), F.lit(True).alias("partial"))
+    """H8: importers by the four forms of an import, without secrets; high impact from five."""
+    ending = F.when(F.col("page_id") % 11 == 0, ".pem").otherwise(".ts")
+    files = t("pages").select(F.concat(F.lit("src/f"), F.col("page_id").cast("string"), ending).alias("file"), pick(FILE_CODE, F.col("page_id")).alias("content"))
+    return S.importers_by_text(files, "src/a.ts").withColumn("importers", F.array_join("importers", ","))
 
 
 @query("""
@@ -269,10 +330,10 @@ def table_slice(spark, t):
     return cut_out(t("documents").select("doc_id", F.col("text").alias("content"), "lang", "source"), "src3", "en", "source", "lang").drop("source")
 
 
-@query("""with r as (select *, row_number() over (partition by source order by n_chars desc, doc_id) as rank from documents) select source, doc_id, n_chars, cast(rank as integer) as rank from r where rank <= 3""")
+@query("""with r as (select *, row_number() over (partition by source order by n_chars desc, doc_id) as rank, count(*) over (partition by source) as c from documents) select source, doc_id, n_chars, cast(rank as integer) as rank, cast(greatest(0, c - 3) as integer) as removed from r where rank <= 3""")
 def per_group_topn(spark, t):
-    """Three per file."""
-    return top_per_group(t("documents").select("source", "doc_id", "n_chars"), "source", "n_chars", "doc_id", 3)
+    """Three per file, and how many more there were."""
+    return top_per_group(t("documents").select("source", "doc_id", "n_chars"), "source", "n_chars", "doc_id", 3, removed=True)
 
 
 @query(f"select doc_id, cast(len(ws) as bigint) as n_tokens, cast(len(list_distinct(ws)) as bigint) as n_distinct from (select doc_id, {SQL_TOKENS} as ws from documents)")

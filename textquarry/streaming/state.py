@@ -104,11 +104,35 @@ def poll_stream(polls: DataFrame, key: str, checkpoint: str, sink: Callable[[Dat
 
 
 def cache_hits(requests: DataFrame, key: str, ts: str, seconds: int = 300) -> DataFrame:
-    """Requests with hit: the same key was asked within the time before (each request renews it)."""
+    """Requests with hit: the same key was asked within the time before (each request renews it). For a cache without a bound."""
     w = Window.partitionBy(key).orderBy(ts)
     return requests.withColumn("hit", F.coalesce(F.col(ts).cast("timestamp").cast("double") - F.lag(ts).over(w).cast("timestamp").cast("double") <= seconds, F.lit(False)))
 
 
+def lru_hits(requests: DataFrame, cache: str, key: str, order: list[str], ts: str, most: int = 100, seconds: int = 300) -> DataFrame:
+    """Requests (cache, key, order, ts) with hit, of bounded caches: each holds its `most` keys last asked for, and a key from the
+    miss that stored it for so many seconds. A cache is one sequence, so one task plays it, with `most` keys in memory."""
+    from collections import OrderedDict
+
+    fields = [cache, key, *order, *([ts] if ts not in order else [])]
+    schema = ", ".join(f"{c} {dict(requests.dtypes)[c]}" for c in fields) + ", hit boolean"
+
+    def play(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        held: OrderedDict = OrderedDict()
+        hits = []
+        for k, at in zip(rows[key], rows[ts]):
+            until = held.pop(k, None)
+            hit = until is not None and at <= until
+            held[k] = until if hit else at + pd.Timedelta(seconds=seconds)
+            if len(held) > most:
+                held.popitem(last=False)
+            hits.append(hit)
+        return rows.assign(hit=hits)
+
+    return requests.select(*fields).groupBy(cache).applyInPandas(play, schema)
+
+
 def stale_locks(locks: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
     return locks.where(F.col("acquired_at") < now - F.expr(f"interval {minutes} minutes"))
 
