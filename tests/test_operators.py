@@ -170,9 +170,13 @@ def test_windowed_counts_stream_equals_batch(spark, tmp_path):
 def test_strategies_by_file_type(spark):
     from textquarry.operators import retrieval as RT
 
-    row = spark.createDataFrame([("src/a.ts", "class A extends Base implements Shape {}")], "p string, c string").select(RT.priority_queries(F.col("p"), F.col("c")).alias("q"), RT.related_paths(F.col("p")).alias("r")).first()
-    assert [(x.query, x.weight) for x in row.q] == [("Base", 1.6), ("Shape", 1.6)]
-    assert row.r == ["src/index.ts", "src/types.ts", "src/a.types.ts", "src/a.d.ts"]
+    rows = [("src/a.ts", "class A extends Base<T> implements Shape, Other {}"), ("a/b/c.py", "def f(): pass"), ("x.vue", "class A extends Base"), (None, None)]
+    df = spark.createDataFrame(rows, "p string, c string").withColumn("k", RT.file_type(F.col("p"), {".vue": "typescript"}))
+    got = df.select("k", RT.priority_queries(F.col("k"), F.col("c")).alias("q"), RT.related_paths(F.col("p"), F.col("k")).alias("r"), RT.strategy_weight(F.col("k"), {"python": 3.0}).alias("w")).collect()
+    assert [(x.query, x.weight) for x in got[0].q] == [("class Base", 1.6), ("interface Shape, Other", 1.6), ("type T", 1.3)]
+    assert got[1].r[-3:] == ["a/b/conftest.py", "a/conftest.py", "conftest.py"] and [r.w for r in got] == [1.5, 3.0, 1.5, 1.0] and got[2].k == "typescript"
+    off = df.select(RT.file_type(F.col("p"), disabled=("typescript",)).alias("k")).collect()
+    assert [r.k for r in off] == ["generic", "python", "generic", "generic"]
 
 
 def test_relations_keep_the_literal_rule(spark):

@@ -16,21 +16,44 @@ STAGE_WEIGHTS = {"definition": (0.8, 1.3), "usage": (0.7, 1.1), "caller": (0.75,
 KEYWORD_SYMBOLS, KEYWORD_NAMES, VECTOR_QUERIES, VECTOR_INTENTS, VECTOR_WEIGHT = 5, 5, 8, 4, 1.0
 SECTIONS = ("modified", "test", "definition", "similar", "config", "import")
 
-#: By file type its extensions, patterns of names that are looked up (with weights), and related files.
+_TYPESCRIPT = (
+    (r":\s*(\w+)(?:<[^>]+>)?(?:\s*[=;,)\]}|&]|$)", "interface $1", 1.5), (r"extends\s+(\w+)(?:<[^>]+>)?", "class $1", 1.6), (r"implements\s+([\w,\s]+)", "interface $1", 1.6), (r"<(\w+)(?:\s+extends\s+\w+)?>", "type $1", 1.3),
+    (r"import\s+\{([^}]+)\}\s+from\s+['\"]([^'\"]+)['\"]", "$1 $2", 1.4), (r"import\s+(\w+)\s+from\s+['\"]([^'\"]+)['\"]", "$1", 1.4),
+)
+_SCRIPT_NAMES = (r"interface\s+(\w+)", r"type\s+(\w+)\s*[=<]", r"class\s+(\w+)", r"function\s+(\w+)", r"const\s+(\w+)\s*=\s*(?:async\s*)?\(", r"(?:async\s+)?(\w+)\s*\([^)]*\)\s*(?::\s*\w+)?\s*\{")
+_CSS = ((r"var\(--([a-zA-Z0-9-]+)\)", "--$1", 1.6), (r"\.([a-zA-Z][a-zA-Z0-9_-]+)", ".$1", 1.3))
+_CSS_NAMES = (r"\.([a-zA-Z][a-zA-Z0-9_-]+)", r"#([a-zA-Z][a-zA-Z0-9_-]+)", r"--([a-zA-Z][a-zA-Z0-9_-]+)")
+_CSS_FILES = ("{dir}_variables{ext}", "{dir}variables{ext}", "{in}_vars{ext}", "{dir}_mixins.scss", "{dir}mixins.scss", "{dir}_base{ext}", "{dir}base{ext}", "{in}_reset{ext}")
+#: By file type its extensions, patterns whose matches are looked up (with what is asked and a weight), patterns of names,
+#: related files ({in}: only in a folder; {up}: in the folder and all above it) and the weight of its chunks.
 STRATEGIES = {
-    "typescript": (
-        (".ts", ".tsx", ".js", ".jsx"),
-        ((r"\bextends\s+(\w+)", 1.6), (r"\bimplements\s+(\w+)", 1.6), (r":\s*([A-Z]\w+)", 1.5), (r"\bimport\s*\{\s*(\w+)", 1.4), (r"<([A-Z]\w+)>", 1.3)),
-        ("{dir}index.ts", "{dir}types.ts", "{dir}{stem}.types.ts", "{dir}{stem}.d.ts"),
-    ),
+    "typescript": ((".ts", ".tsx"), _TYPESCRIPT, _SCRIPT_NAMES, ("{base}.d.ts", "{base}.types.ts", "{base}/types.ts", "types/{stem}.ts", "{dir}index.ts", "{dir}index.tsx"), 1.5),
+    "javascript": ((".js", ".jsx", ".mjs", ".cjs"), (_TYPESCRIPT[1], _TYPESCRIPT[2], _TYPESCRIPT[4], _TYPESCRIPT[5]), _SCRIPT_NAMES[2:], ("{dir}index.js", "{dir}index.mjs"), 1.4),
     "python": (
         (".py",),
-        ((r"(?m)^\s*class\s+\w+\(\s*(\w+)", 1.6), (r"(?m)^\s*@(\w+)", 1.5), (r"->\s*([A-Za-z_]\w+)", 1.4), (r"from\s+[\w.]+\s+import\s+(\w+)", 1.4)),
-        ("{dir}__init__.py", "{dir}base.py", "{dir}conftest.py"),
+        ((r"class\s+\w+\s*\(([^)]+)\)", "class $1", 1.6), (r"@(\w+)(?:\([^)]*\))?", "def $1", 1.5), (r"->\s*(\w+)(?:\[[^\]]+\])?", "class $1", 1.4), (r":\s*(\w+)(?:\[[^\]]+\])?\s*[=,)]", "class $1", 1.4), (r"from\s+([\w.]+)\s+import\s+(.+)", "$2", 1.4)),
+        (r"class\s+(\w+)", r"def\s+(\w+)", r"async\s+def\s+(\w+)", r"@(\w+)", r"from\s+[\w.]+\s+import\s+(\w+)"),
+        ("{dir}__init__.py", "{in}base.py", "{in}abc.py", "{in}interfaces.py", "{up}conftest.py"),
+        1.5,
+    ),
+    "go": (
+        (".go",),
+        ((r"type\s+(\w+)\s+interface", "interface $1", 1.6), (r"type\s+\w+\s+struct\s*\{[^}]*\n\s*(\w+)\s*\n", "type $1", 1.5), (r"func\s*\(\s*\w+\s+\*?(\w+)\s*\)", "type $1", 1.5), (r"import\s+(?:\w+\s+)?\"([^\"]+)\"", "$1", 1.3)),
+        (r"func\s+(?:\([^)]+\)\s*)?(\w+)", r"type\s+(\w+)\s+(?:struct|interface)", r"const\s+(\w+)", r"var\s+(\w+)"),
+        ("{dir}doc.go", "{dir}interfaces.go", "{dir}types.go", "{dir}contract.go"),
+        1.5,
     ),
-    "go": ((".go",), ((r"\btype\s+(\w+)\s+interface", 1.6), (r"func\s+\(\w*\s*\*?(\w+)\)", 1.5), (r"\btype\s+(\w+)\s+struct", 1.5)), ("{dir}doc.go", "{dir}interface.go")),
-    "css": ((".css",), ((r"var\(--([\w-]+)\)", 1.6), (r"\.([A-Za-z][\w-]+)", 1.3)), ("{dir}variables.css", "{dir}base.css")),
-    "scss": ((".scss", ".sass"), ((r"@include\s+([\w-]+)", 1.7), (r"\$([A-Za-z][\w-]+)", 1.6), (r"@extend\s+[.%]?([\w-]+)", 1.6)), ("{dir}_variables.scss", "{dir}_mixins.scss")),
+    "css": ((".css",), _CSS, _CSS_NAMES, _CSS_FILES, 1.5),
+    "scss": (
+        (".scss", ".sass"),
+        (*_CSS, (r"\$([a-zA-Z][a-zA-Z0-9_-]+)", "$$$1", 1.6), (r"@include\s+([a-zA-Z][a-zA-Z0-9_-]+)", "@mixin $1", 1.7), (r"@extend\s+([.%][a-zA-Z][a-zA-Z0-9_-]+)", "$1", 1.6)),
+        (*_CSS_NAMES, r"\$([a-zA-Z][a-zA-Z0-9_-]+)", r"@mixin\s+([a-zA-Z][a-zA-Z0-9_-]+)", r"@function\s+([a-zA-Z][a-zA-Z0-9_-]+)"),
+        _CSS_FILES,
+        1.5,
+    ),
+    "rust": ((), (), (), (), 1.0),
+    "java": ((), (), (), (), 1.0),
+    "generic": ((), (), (), (), 1.0),
 }
 
 
@@ -56,42 +79,78 @@ def relations(chunks: DataFrame, strict: bool = False) -> DataFrame:
     return imports.withColumn("kind", F.lit("imports")).unionByName(references.withColumn("kind", F.lit("references")))
 
 
-def file_type(path: Column) -> Column:
-    out = F.lit("default")
-    for name, (extensions, _, _) in STRATEGIES.items():
-        out = F.when(F.lower(suffix(path)).isin(*extensions), name).otherwise(out)
+def file_type(path: Column, mapped: dict[str, str] | None = None, disabled: tuple[str, ...] = ()) -> Column:
+    """The type of a file by its extension. `mapped` adds extensions to types; `disabled` types are generic."""
+    own = {e: name for name, (extensions, *_) in STRATEGIES.items() for e in extensions} | (mapped or {})
+    end = F.lower(suffix(path))
+    out = F.lit("generic")
+    for extension, name in own.items():
+        out = F.when(end == extension, "generic" if name in disabled and name != "generic" else name).otherwise(out)
     return out
 
 
-def priority_queries(path: Column, code: Column) -> Column:
-    """Array of (query, weight): names of at least three characters that the file's type looks for, the best weight each."""
-    none = F.array().cast("array<struct<query:string,weight:double>>")
-    out = none
-    weighted = lambda w: lambda q: F.struct(q.alias("query"), F.lit(w).alias("weight"))
-    for name, (_, patterns, _) in STRATEGIES.items():
-        hits = F.flatten(F.array(*[F.transform(F.regexp_extract_all(code, F.lit(p), F.lit(1)), weighted(w)) for p, w in patterns]))
-        kept = F.filter(hits, lambda h: F.length(h["query"]) >= 3)
-        out = F.when(file_type(path) == name, F.array_sort(F.array_distinct(kept))).otherwise(out)
+def _by_type(kind: Column, value, empty: Column) -> Column:
+    out = empty
+    for name in STRATEGIES:
+        if (v := value(*STRATEGIES[name])) is not None:
+            out = F.when(kind == name, v).otherwise(out)
     return out
 
 
-def related_paths(path: Column) -> Column:
-    """Files that belong to a file by its type, without itself."""
-    folder = F.when(parent_path(path) != "", F.concat(parent_path(path), F.lit("/"))).otherwise(F.lit(""))
-    stem = F.substring(base_name(path), F.lit(1), F.length(base_name(path)) - F.length(suffix(path)))
-    fill = lambda t: F.replace(F.replace(F.lit(t), F.lit("{dir}"), folder), F.lit("{stem}"), stem)
-    out = F.array().cast("array<string>")
-    for name, (_, _, templates) in STRATEGIES.items():
-        out = F.when(file_type(path) == name, F.array(*map(fill, templates))).otherwise(out)
-    return F.filter(out, lambda p: p != path)
+def priority_queries(kind: Column, code: Column) -> Column:
+    """Array of (query, weight): what a file's type asks for in its code, pattern by pattern; under three characters dropped."""
+    none = F.array().cast("array<struct<query:string,weight:double>>")
 
+    def asked(pattern: str, template: str, weight: float) -> Column:
+        group = lambda i: F.regexp_extract_all(code, F.lit(pattern), F.lit(i))
+        head = template.split("$1")[0] if "$1" in template else ""
+        if "$2" not in template:
+            return F.transform(group(1), lambda x: F.struct(F.concat(F.lit(head), F.trim(x)).alias("query"), F.lit(weight).alias("weight")))
+        text = (lambda x, y: F.concat(F.trim(x), F.lit(" "), F.trim(y))) if "$1" in template else (lambda x, y: F.trim(y))
+        return F.zip_with(group(1), group(2), lambda x, y: F.struct(text(x, y).alias("query"), F.lit(weight).alias("weight")))
 
-def strategy_weight(path: Column, overrides: dict[str, float] | None = None) -> Column:
-    """Weight of chunks by file type; 1 unless overridden."""
-    out = F.lit(1.0)
-    for name, w in (overrides or {}).items():
-        out = F.when(file_type(path) == name, F.lit(float(w))).otherwise(out)
-    return out
+    hits = _by_type(kind, lambda e, patterns, *_: F.flatten(F.array(*[asked(*p) for p in patterns])) if patterns else None, none)
+    return F.filter(F.transform(hits, lambda h: F.struct(F.trim(h["query"]).alias("query"), h["weight"].alias("weight"))), lambda h: F.length(h["query"]) >= 3)
+
+
+def strategy_names(kind: Column, code: Column) -> Column:
+    """Distinct names of three characters or more that a file's type looks for in its code."""
+    none = F.array().cast("array<string>")
+    hits = _by_type(kind, lambda e, p, names, *_: F.flatten(F.array(*[F.regexp_extract_all(code, F.lit(n), F.lit(1)) for n in names])) if names else None, none)
+    return F.array_distinct(F.filter(hits, lambda h: F.length(h) >= 3))
+
+
+def strategy_queries(kind: Column, code: Column, most: int = 10) -> Column:
+    """Distinct queries of a file by its type: the weighted ones, then the names, `most` at the highest."""
+    return F.slice(F.array_distinct(F.concat(F.transform(priority_queries(kind, code), lambda h: h["query"]), strategy_names(kind, code))), 1, most)
+
+
+def related_paths(path: Column, kind: Column | None = None) -> Column:
+    """Distinct files that belong to a file by its type."""
+    folder, name = parent_path(path), base_name(path)
+    inside = F.when(folder != "", F.concat(folder, F.lit("/"))).otherwise(F.lit(""))
+    base = F.regexp_replace(path, r"\.(ts|tsx|js|jsx)$", "")
+    steps = F.split(path, "/")
+    above = F.transform(F.reverse(F.sequence(F.lit(0), F.size(steps) - 1)), lambda i: F.when(i > 0, F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/"))).otherwise(F.lit("")))
+    parts = {"{dir}": inside, "{base}": base, "{stem}": F.regexp_replace(name, r"\.(ts|tsx|js|jsx)$", ""), "{ext}": F.when(path.endswith(".scss"), ".scss").otherwise(".css"), "{in}": inside}
+
+    def filled(template: str) -> Column:
+        if template.startswith("{up}"):
+            return F.transform(above, lambda a: F.concat(a, F.lit(template.removeprefix("{up}"))))
+        out = F.lit(template)
+        for mark, value in parts.items():
+            if mark in template:
+                out = F.replace(out, F.lit(mark), value)
+        none = F.array().cast("array<string>")
+        return F.when(folder == "", none).otherwise(F.array(out)) if "{in}" in template else F.array(out)
+
+    own = file_type(path) if kind is None else kind
+    return F.array_distinct(_by_type(own, lambda e, p, n, files, *_: F.flatten(F.array(*map(filled, files))) if files else None, F.array().cast("array<string>")))
+
+
+def strategy_weight(kind: Column, overrides: dict[str, float] | None = None) -> Column:
+    """Weight of chunks by file type, unless overridden."""
+    return _by_type(kind, lambda *spec: F.lit(spec[-1]), F.lit(1.0)) if not overrides else F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in overrides.items() for x in (k, float(v))]), kind), strategy_weight(kind))
 
 
 def stage_queries(requests: DataFrame, by: str = "query_id") -> DataFrame:

@@ -727,7 +727,7 @@ def latest_state(spark, t):
 w as (select *, lag(head) over (partition by user_id order by ts, event_id) as before, coalesce(lag(findings) over (partition by user_id order by ts, event_id), false) as had, coalesce(bool_or(failed) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), false) as dropped from p)
 select user_id, event_id, case when dropped then 'drop' when before = head then 'skip' when before is not null and had then 'revalidate' else 'review' end as decision from w""")
 def poll_decisions(spark, t):
-    """ST4 ST7: what to do with a polled request, as a batch."""
+    """ST4: what to do with a polled request, as a batch."""
     e = t("events").withColumnRenamed("event_type", "head")
     return ST.poll_decisions(e, "user_id", "head", ["ts", "event_id"], F.col("value") > 95, F.col("value") > 50).select("user_id", "event_id", "decision")
 
@@ -802,22 +802,33 @@ def chunk_relations(spark, t):
     return RT.relations(part_chunks(t))
 
 
+STRATEGY_FILES = (
+    ("src/a.ts", "class A extends Base implements Shape { x: Thing = load(1) }\nimport { foo, bar } from './lib'"),
+    ("lib/m.py", "from os import path\nclass K(Parent):\n    @cached(1)\n    def run(self, a: Item) -> Result: pass"),
+    ("pkg/s.go", 'import "fmt"\ntype Store interface {}\nfunc (s *Server) Run() {}'),
+    ("x.scss", "@include flex; color: $main; @extend %card; width: var(--gap)"),
+    ("lib/x.mjs", "const go = (a) => a\nimport one from 'two'"),
+    ("notes.txt", "class A extends Base"),
+)
 WANTED_STRATEGY_QUERIES = (
-    (('typescript', 'Base=1.6,Shape=1.6,Thing=1.5', 'src/index.ts,src/types.ts,src/a.types.ts,src/a.d.ts'),),
-    (('python', 'Parent=1.6,Result=1.4,path=1.4', 'lib/__init__.py,lib/base.py,lib/conftest.py'),),
-    (('go', 'Server=1.5,Store=1.6', 'pkg/doc.go,pkg/interface.go'),),
-    (('scss', 'flex=1.7,main=1.6', 'ui/_variables.scss,ui/_mixins.scss'),),
-    (('default', '', ''),),
+    (("typescript", "interface Thing=1.5,class Base=1.6,interface Shape=1.6,foo, bar ./lib=1.4", "interface Thing,class Base,interface Shape,foo, bar ./lib", "src/a.d.ts,src/a.types.ts,src/a/types.ts,types/a.ts,src/index.ts,src/index.tsx", 1.5),),
+    (("python", "class Parent=1.6,def cached=1.5,class Result=1.4,class Item=1.4,path=1.4", "class Parent,def cached,class Result,class Item,path,run,cached", "lib/__init__.py,lib/base.py,lib/abc.py,lib/interfaces.py,lib/conftest.py,conftest.py", 1.5),),
+    (("go", "interface Store=1.6,type Server=1.5,fmt=1.3", "interface Store,type Server,fmt,Run,Store", "pkg/doc.go,pkg/interfaces.go,pkg/types.go,pkg/contract.go", 1.5),),
+    (("scss", "--gap=1.6,$$main=1.6,@mixin flex=1.7,%card=1.6", "--gap,$$main,@mixin flex,%card,gap,main", "_variables.scss,variables.scss,_mixins.scss,mixins.scss,_base.scss,base.scss", 1.5),),
+    (("javascript", "one=1.4", "one", "lib/index.js,lib/index.mjs", 2.0),),
+    (("generic", "", "", "", 1.0),),
 )
 
 
-@query(expected_rows('n_nationkey as id', "nation", "n_nationkey", ('kind', 'queries', 'related'), WANTED_STRATEGY_QUERIES))
+@query(expected_rows("n_nationkey as id", "nation", "n_nationkey", ("kind", "priority", "queries", "related", "weight"), WANTED_STRATEGY_QUERIES).replace("x.weight", "cast(x.weight as double) as weight"))
 def strategy_queries(spark, t):
-    """What a file's type looks for, its weight, and the files that belong to it."""
-    k = F.col("n_nationkey")
-    path, code = pick(("src/a.ts", "lib/m.py", "pkg/s.go", "ui/x.scss", "notes.txt"), k), pick(("class A extends Base implements Shape { x: Thing }", "from os import path\nclass K(Parent):\n    def f(self) -> Result: pass", "type Store interface {}\nfunc (s *Server) Run() {}", "@include flex; color: $main;", "plain"), k)
-    q = RT.priority_queries(path, code)
-    return t("nation").select(k.alias("id"), RT.file_type(path).alias("kind"), F.array_join(F.transform(q, lambda x: F.concat_ws("=", x["query"], x["weight"].cast("string"))), ",").alias("queries"), F.array_join(RT.related_paths(path), ",").alias("related"))
+    """What a file's type looks for, the files that belong to it, and the weight of its chunks with an override."""
+    n = F.col("n_nationkey")
+    path, code = pick([p for p, _ in STRATEGY_FILES], n), pick([c for _, c in STRATEGY_FILES], n)
+    kind = RT.file_type(path)
+    shown = F.array_join(F.transform(RT.priority_queries(kind, code), lambda x: F.concat_ws("=", x["query"], x["weight"].cast("string"))), ",")
+    weight = RT.strategy_weight(kind, {"javascript": 2.0})
+    return t("nation").select(n.alias("id"), kind.alias("kind"), shown.alias("priority"), F.array_join(RT.strategy_queries(kind, code), ",").alias("queries"), F.array_join(RT.related_paths(path), ",").alias("related"), weight.alias("weight"))
 
 
 @query("""with p as (select p_partkey as id, p_brand as file, p_size as line, unnest(string_split(p_name, ' ')) as symbol from part), a as (select symbol, row_number() over (order by symbol) as position from (select distinct symbol from p order by symbol limit 8)),

@@ -59,7 +59,7 @@ def long(c) -> Column:
 
 
 def sql_value(v) -> str:
-    return "null" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "null" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
 
 
 def expected(key: str, table: str, index: str, columns: tuple[str, ...], rows: tuple[tuple, ...]) -> str:
