@@ -90,6 +90,18 @@ def test_approximate_neighbours_recall(spark):
     assert len(near & exact) / len(exact) >= 0.9
 
 
+def test_stored_lists_give_the_same_neighbours(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    S.VectorIndex.write(e, "vec_id", "embedding", str(tmp_path / "v"), 6)
+    index = S.VectorIndex(spark, str(tmp_path / "v"), "vec_id", "embedding")
+    all_lists = {(r.query_id, r.vec_id) for r in index.search(q, 10, probes=6).collect()}
+    exact = {(r.query_id, r.vec_id) for r in S.top_k(S.vector_scores(e, q, "vec_id", "embedding"), 10, key="vec_id").collect()}
+    assert all_lists == exact and index.rows.count() == e.count()
+    one = index.search(q.limit(1), 5, probes=1)
+    assert "PartitionFilters: [isnotnull(list" in one._jdf.queryExecution().toString() or "PartitionFilters: [list" in one._jdf.queryExecution().toString()
+
+
 def test_suppressed_blocks(spark):
     review = "**[SEVERITY: HIGH]** one\nFile: a.ts:2\n\n**[SEVERITY: LOW]** two\nFile: a.ts:9\n\nIssues Summary: 0 CRITICAL, 1 HIGH, 0 MEDIUM, 1 LOW"
     reviews = spark.createDataFrame([(1, review), (2, None), (3, "")], "id long, review string")

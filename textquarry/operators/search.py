@@ -177,6 +177,27 @@ def ivf_search(rows: DataFrame, centres: DataFrame, queries: DataFrame, key: str
     return top_k(scored, k, key=key)
 
 
+class VectorIndex:
+    """Stored inverted lists: vectors in a folder per list, so a search reads the lists that its queries probe."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, vector: str):
+        self.key, self.vector = key, vector
+        self.rows, self.centres = spark.read.parquet(f"{path}/lists"), spark.read.parquet(f"{path}/centres")
+
+    @staticmethod
+    def write(vectors: DataFrame, key: str, vector: str, path: str, lists: int = 16) -> None:
+        """Every vector goes to its nearest centre; a large list is dealt to several tasks by key."""
+        rows, centres = ivf_index(vectors, key, vector, lists)
+        rows.repartitionByRange("list", key).write.partitionBy("list").parquet(f"{path}/lists")
+        centres.coalesce(1).write.parquet(f"{path}/centres")
+
+    def search(self, queries: DataFrame, k: int = 10, probes: int = 4) -> DataFrame:
+        """The k nearest found of each query (query_id, q)."""
+        near = top_k(vector_scores(self.centres, queries, "list", "centre"), probes, key="list")
+        asked = [r.list for r in near.select("list").distinct().collect()]  # at most as many as there are lists
+        return ivf_search(self.rows.where(F.col("list").isin(*asked)), self.centres, queries, self.key, self.vector, k, probes)
+
+
 def rrf(vector_hits: DataFrame, keyword_hits: DataFrame, key: str, vector_weight: float = 0.6, keyword_weight: float = 0.4, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (query_id, key, score, rank); a missing rank adds nothing."""
     total = vector_weight + keyword_weight

@@ -177,11 +177,10 @@ def vector_knn_filtered(spark, t):
 
 @query()
 def vector_knn_approx(spark, t):
-    """V2: inverted lists with probes; recall is tested against vector_knn."""
-    e = t("embeddings")
-    rows, centres = S.ivf_index(e, "vec_id", "embedding", lists=10)
-    q = e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return S.ivf_search(rows, centres, q, "vec_id", "embedding", k=10, probes=8)
+    """V2: stored inverted lists with probes; recall is tested against vector_knn."""
+    path = built_once(spark, "lists", t.path("embeddings"), lambda out: S.VectorIndex.write(t("embeddings"), "vec_id", "embedding", out, 10))
+    q = t("embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return S.VectorIndex(spark, path, "vec_id", "embedding").search(q, k=10, probes=8)
 
 
 @query()
