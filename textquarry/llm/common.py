@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only in local mode, as in tests."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="textquarry-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
@@ -40,6 +43,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df, cut, and to be broadcast if a count shows that it has at most `most` rows (of a few numbers each)."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
