@@ -7,7 +7,8 @@ used. What a leaf holds is its tokens times `max_epochs`. A leaf's budget is fil
 first, then the token-prefix of the next epoch's order, which sorts by md5(seed:epoch:doc_id).
 
 Everything is a DataFrame: leaves are never collected, and a leaf's prefix is found from sums per hash bin, so only one
-bin of a leaf is ever ordered by itself. All arithmetic is in whole numbers.
+bin of a leaf is ever ordered by itself; that gives the leaf's last place, and every row is judged by comparing its own
+place with it. All arithmetic is in whole numbers. Tokens are words between white space unless another count is given.
 
 Defined cases: null level values are the branch "unknown"; a null or empty text has no tokens; rows with the same doc_id
 stand or fall together within a leaf; a branch of weight 0 gets nothing; a leaf without tokens has
@@ -75,6 +76,53 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[s
     return leaves.join(above.drop("_root"), levels, "left").withColumn("given", F.coalesce("budget", F.lit(0))).drop("budget")
 
 
+def leaf_plan(rows: DataFrame, names: list[str], weights: dict[str, dict[str, int]], budget_share: tuple[int, int], max_epochs: int, seed: int, rows_per_bin: int) -> DataFrame:
+    """rows: doc_id, level columns, tokens. Per leaf: full (whole epochs) and, where a part of the next epoch is taken, the
+    last place of it: rows up to (last_h, last_id) in the epoch's order are taken once more; null: none."""
+    per_leaf = rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+    plan = leaf_budgets(per_leaf, names, weights, budget_share, max_epochs)
+    plan = cut(plan.select(*names, F.expr("case when tokens > 0 then given div tokens else 0 end").alias("full"), F.expr("case when tokens > 0 then given % tokens else 0 end").alias("rest")))
+    digits = max(1, math.ceil(math.log(max(1, rows.count() / rows_per_bin), 16)))
+    partial = plan.where("rest > 0")
+    placed = rows.join(_few(partial), names).withColumn("h", order_key(seed)).withColumn("bin", F.substring("h", 1, digits))
+    bins = placed.groupBy(*names, "bin").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
+    # The first bin whose end passes the rest is the one to look into; those before it are taken whole.
+    ends = bins.withColumn("end", F.sum("t").over(Window.partitionBy(*names).orderBy("bin"))).where("end > rest")
+    cross = cut(ends.groupBy(*names).agg(F.min(F.struct("bin", (F.col("end") - F.col("t")).alias("start"))).alias("x")).select(*names, F.col("x.bin").alias("bin"), F.col("x.start").alias("start")))
+    upto = Window.partitionBy(*names).orderBy("h", "id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = placed.join(_few(cross), [*names, "bin"]).withColumn("id", id_key("doc_id")).withColumn("fits", F.col("start") + F.sum("tokens").over(upto) <= F.col("rest"))
+    last = inside.where("fits").groupBy(*names).agg(F.max(F.struct("h", "id")).alias("last"))
+    # Where no row of that bin fits, all rows before it are taken: they sort below the bin's own digits.
+    both = plan.join(cross.select(*names, "bin"), names, "left").join(last, names, "left")
+    return cut(both.select(*names, "full", F.coalesce("last.h", "bin").alias("last_h"), F.coalesce("last.id", F.when(F.col("bin").isNotNull(), F.lit(""))).alias("last_id")))
+
+
+def order_key(seed: int) -> Column:
+    """The place of a row in the epoch `full` of its leaf."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+
+
+def id_key(key: str) -> Column:
+    """A text that tells ids with equal hashes apart; null is a value of its own."""
+    return F.coalesce(F.col(key).cast("string"), F.lit("null"))
+
+
+def _few(leaves: DataFrame, most: int = 10_000) -> DataFrame:
+    """Leaves, to be broadcast while they are at most `most`, so that a leaf with very many rows is not dealt to one task."""
+    return F.broadcast(leaves) if leaves.limit(most + 1).count() <= most else leaves
+
+
+def _copies(rows: DataFrame, plan: DataFrame, names: list[str], seed: int) -> DataFrame:
+    """rows (doc_id, level columns, ...) with copies: how often each is taken. Rows only meet their leaf's row of the plan."""
+    extra = F.struct(order_key(seed).alias("h"), id_key("doc_id").alias("id")) <= F.struct(F.col("last_h").alias("h"), F.col("last_id").alias("id"))
+    found = rows.join(_few(plan), names)
+    return found.withColumn("copies", (F.col("full") + F.when(F.col("last_h").isNotNull() & extra, 1).otherwise(0)).cast("int")).drop("full", "last_h", "last_id")
+
+
+def _levelled(docs: DataFrame, levels: dict[str, Column], key: str, *more: Column) -> DataFrame:
+    return docs.select(*more, F.col(key).cast("long").alias("doc_id"), *(F.coalesce(c.cast("string"), F.lit(UNKNOWN)).alias(n) for n, c in levels.items()))
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -86,42 +134,32 @@ def mix(
     key: str = "doc_id",
     tokens: Column | None = None,
     rows_per_bin: int = 4000,
-    broadcast_leaves: int = 10_000,
 ) -> DataFrame:
     """Per document: doc_id, the level columns, tokens, copies (how often it is taken; 0: not at all).
 
     budget_share is the token budget as a fraction (numerator, denominator) of all tokens in docs.
     """
     names = list(levels)
-    rows = cut(docs.select(F.col(key).cast("long").alias("doc_id"), *(F.coalesce(c.cast("string"), F.lit(UNKNOWN)).alias(n) for n, c in levels.items()), (word_count() if tokens is None else tokens).alias("tokens")))
-    per_leaf = rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
-    plan = leaf_budgets(per_leaf, names, weights, budget_share, max_epochs)
-    plan = plan.select(*names, F.expr("case when tokens > 0 then given div tokens else 0 end").alias("full"), F.expr("case when tokens > 0 then given % tokens else 0 end").alias("rest"))
-    plan = cut(plan)
-    digits = max(1, math.ceil(math.log(max(1, rows.count() / rows_per_bin), 16)))
-    order_key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    # A row per leaf: broadcast while they are few, so that a leaf with very many rows is not dealt to one task.
-    small = F.broadcast if plan.limit(broadcast_leaves + 1).count() <= broadcast_leaves else lambda x: x
-    placed = rows.join(small(plan), names).withColumn("h", order_key).withColumn("bin", F.substring("h", 1, digits))
-    bins = placed.groupBy(*names, "bin").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
-    upto = Window.partitionBy(*names).orderBy("bin")
-    # The first bin whose end passes the rest is the one to look into; those before it are taken whole.
-    ends = bins.select(*names, "bin", "t", "rest", F.sum("t").over(upto).alias("end")).where("end > rest")
-    cross = ends.groupBy(*names).agg(F.min(F.struct("bin", (F.col("end") - F.col("t")).alias("start"))).alias("x")).select(*names, F.col("x.bin").alias("cross_bin"), F.col("x.start").alias("cross_start"))
-    seen = placed.join(small(cross), names, "left")
-    taken = seen.where("cross_bin is null or bin < cross_bin").withColumn("extra", F.when(F.col("rest") > 0, 1).otherwise(0))
-    passed = seen.where("bin > cross_bin").withColumn("extra", F.lit(0))
-    inside = Window.partitionBy(*names).orderBy("h", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    looked = seen.where("bin = cross_bin").withColumn("extra", F.when((F.col("rest") > 0) & (F.col("cross_start") + F.sum("tokens").over(inside) <= F.col("rest")), 1).otherwise(0))
-    out = [x.select("doc_id", *names, "tokens", (F.col("full") + F.col("extra")).cast("int").alias("copies")) for x in (taken, passed, looked)]
-    return out[0].unionByName(out[1]).unionByName(out[2])
-
-
-def mixed(docs: DataFrame, *, levels: dict[str, Column], key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that `mix` takes, each as often as it is taken, with all their columns."""
-    names = {n: f"_mix_{n}" for n in levels}
-    chosen = mix(docs, levels=levels, key=key, **options).where("copies > 0")
-    chosen = chosen.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_mix_key"), *(F.col(n).alias(m) for n, m in names.items())).agg(F.max("copies").alias("_mix_copies"))
-    own = docs.select("*", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("_mix_key"), *(F.coalesce(levels[n].cast("string"), F.lit(UNKNOWN)).alias(m) for n, m in names.items()))
-    taken = own.join(chosen, ["_mix_key", *names.values()])
-    return taken.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(*docs.columns)
+    rows = cut(_levelled(docs, levels, key, (word_count() if tokens is None else tokens).alias("tokens")))
+    plan = leaf_plan(rows, names, weights, budget_share, max_epochs, seed, rows_per_bin)
+    return _copies(rows, plan, names, seed).select("doc_id", *names, "tokens", "copies")
+
+
+def mixed(
+    docs: DataFrame,
+    *,
+    levels: dict[str, Column],
+    weights: dict[str, dict[str, int]],
+    budget_share: tuple[int, int] = (1, 2),
+    max_epochs: int = 2,
+    seed: int = 13,
+    key: str = "doc_id",
+    tokens: Column | None = None,
+    rows_per_bin: int = 4000,
+) -> DataFrame:
+    """The rows of docs that `mix` takes, each as often as it is taken, with all their columns. Texts are not shuffled."""
+    names = list(levels)
+    rows = cut(_levelled(docs, levels, key, (word_count() if tokens is None else tokens).alias("tokens")))
+    plan = leaf_plan(rows, names, weights, budget_share, max_epochs, seed, rows_per_bin)
+    taken = _copies(_levelled(docs, levels, key, F.struct(*docs.columns).alias("_row")), plan, names, seed).where("copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), "copies")).alias("_epoch")).select("_row.*")
