@@ -92,8 +92,41 @@ def mix_levels() -> dict:
     return {"domain": F.expr(MIX_DOMAINS), "lang": F.col("lang"), "source": F.col("source")}
 
 
+def _mix_sql(share: tuple[int, int], epochs: int, seed: int) -> str:
+    """The mixing tree in SQL: water-filling level by level, then each leaf's prefix of its epoch's order."""
+    levels = list(MIX_WEIGHTS)
+    weight = lambda c: "case " + c + " " + " ".join(f"when '{k}' then {w}" for k, w in MIX_WEIGHTS[c].items() if k != "*") + f" else {MIX_WEIGHTS[c]['*']} end" if len(MIX_WEIGHTS[c]) > 1 else str(MIX_WEIGHTS[c]["*"])
+    ctes = [
+        f"""r as (select doc_id, coalesce({MIX_DOMAINS}, 'unknown') as domain, coalesce(lang, 'unknown') as lang, coalesce(source, 'unknown') as source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as tokens from documents)""",
+        f"leaf as (select domain, lang, source, sum(tokens) as t, {epochs} * sum(tokens) as holds from r group by all)",
+        f"g0 as (select coalesce(sum(t), 0) * {share[0]} // {share[1]} as budget from leaf)",
+    ]
+    for i, level in enumerate(levels):
+        path, parent = levels[: i + 1], levels[:i]
+        over = (f"partition by {', '.join(parent)} " if parent else "") + f"order by holds / weight, {level} rows between unbounded preceding and 1 preceding"
+        whole = f"partition by {', '.join(parent)}" if parent else ""
+        join = f"join g{i} using ({', '.join(parent)})" if parent else "cross join g0"  # g0 is one row
+        ctes += [
+            f"n{i} as (select * from (select {', '.join(path)}, sum(holds) as holds, {weight(level)} as weight from leaf group by {', '.join(path)}) {join} where holds > 0 and weight > 0)",
+            f"o{i} as (select *, coalesce(sum(holds) over ({over}), 0) as held_before, sum(weight) over ({whole}) - coalesce(sum(weight) over ({over}), 0) as weight_left from n{i})",
+            f"s{i} as (select *, holds * weight_left <= weight * (budget - held_before) as short from o{i})",
+            f"u{i} as (select *, coalesce(sum(holds) filter (short) over ({whole}), 0) as used, coalesce(sum(weight) filter (not short) over ({whole}), 0) as open_weight from s{i})",
+            f"g{i + 1} as (select {', '.join(path)}, case when short then holds else least(weight * (budget - used) // open_weight, holds) end as budget from u{i})",
+        ]
+    names = ", ".join(levels)
+    ctes += [
+        f"plan as (select {names}, case when t > 0 then coalesce(budget, 0) // t else 0 end as epochs_full, case when t > 0 then coalesce(budget, 0) % t else 0 end as rest from leaf left join g{len(levels)} using ({names}))",
+        f"h as (select *, md5('{seed}:' || epochs_full || ':' || doc_id) as h from r join plan using ({names}))",
+        f"x as (select *, sum(tokens) over (partition by {names} order by h, doc_id range between unbounded preceding and current row) as upto from h)",
+    ]
+    return "with " + ", ".join(ctes) + f" select doc_id, {names}, tokens, cast(epochs_full + case when rest > 0 and upto <= rest then 1 else 0 end as integer) as copies from x"
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textquarry.llm.mixing import mix
 
     return mix(load(spark, sf_dir, "documents"), levels=mix_levels(), weights=MIX_WEIGHTS, budget_share=(1, 2), max_epochs=2, seed=13)
+
+
+ORACLES["op10_mixing"] = _mix_sql((1, 2), 2, 13)

@@ -1,153 +1,149 @@
 """Sharding by k-d tree partitioning, in DataFrame operations alone.
 
 A node that is to become m shards is cut at the weighted median (for odd m: at the weight share of its left half) along
-its widest metadata dimension, until each leaf is one shard of the target bytes. Cuts are found level by level for all
-nodes at once, by descending 16 bits at a time through an order key, so no node's rows are ever sorted or gathered. The
-order key is the dimension, then the text's crc32, then a hash of the id: equal texts lie side by side and only a group
-that a cut falls into is split. What the driver sees is one row per node and step.
+its widest metadata dimension, until each leaf is one shard; the number of shards is given, or follows from the bytes
+that a leaf may have. Cuts are found level by level for all nodes at once: the sizes of a node's rows are summed in at most
+4,096 bins over the range of the order key, and the bin that holds the cut is looked into by the range of its own keys, so
+no node's rows are ever sorted or gathered. The order key is the dimension, then the text's crc32, then a hash of the
+id: equal texts lie side by side and only a group that a cut falls into is split. Nodes and cuts are tables that rows
+meet by their node's number. What the driver sees is one row per node and step, and a node's bins are what one task orders.
 
 Law: `bytes` (the shards' sizes are near equal). Slots number a shard's rows without gaps from 0.
 
 Defined cases: a null or empty text has size 8 (the row's own 8 bytes) and crc32 0; null dimensions are value 0; rows with
 the same id and text stay together, since nothing tells them apart; with fewer rows than shards some shards are empty; an
-empty table gives no rows; columns other than those named are not read.
+empty table gives no rows; columns other than those named are not read, and a table without a `lang` column is cut by length.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import cut
+from textquarry.llm.common import cut, stored
 
-SPAN = (1 << 31) - 1
-#: (key, shift, mask) of the digits of the order key: 63 bits of dimension and crc32, then 64 of the id's hash.
-DIGITS = (("k1", 47, 0xFFFF), ("k1", 31, 0xFFFF), ("k1", 15, 0xFFFF), ("k1", 0, 0x7FFF), ("k2", 48, 0xFFFF), ("k2", 32, 0xFFFF), ("k2", 16, 0xFFFF), ("k2", 0, 0xFFFF))
+SPAN, MOST = (1 << 31) - 1, (1 << 63) - 1
+BIN_BITS = 12
+STATE = "node int, dimension int, low long, span long, whole boolean, p1 long, from_key long, to_key long, shift int, want double"
 
 
 @dataclass
 class Node:
-    """A node of the tree: `first` is its first shard, `shards` how many it becomes."""
+    """A node of the tree that becomes `shards` shards from number `first` on, and what is known of its cut."""
 
-    id: int
     first: int
     shards: int
-    dimension: str = ""
+    dimension: int = 0
     low: int = 0
-    high: int = 0
+    span: int = 1
     aim: float = 0.0
-    #: What is fixed of the cut: rows below (k1, k2) go left.
-    k1: int = 0
-    k2: int = 0
-    digit: int = 0
-    passed: float = 0.0
-    done: bool = False
-    children: list[Node] = field(default_factory=list)
-
-
-def _k1(node: Node) -> Column:
-    """Dimension scaled to 31 bits within the node, then the crc32."""
-    scaled = F.expr(f"({node.dimension} - {node.low}L) * {SPAN}L div {max(1, node.high - node.low)}L")
-    return F.shiftleft(scaled, 32).bitwiseOR(F.col("text_crc32"))
-
-
-#: The id's hash with its sign bit flipped, so that signed order is unsigned order.
-def _left(node: Node) -> Column:
-    k1 = _k1(node)
-    if node.digit > 4:
-        signed = node.k2 - (1 << 63)
-        return (k1 < node.k1) | ((k1 == node.k1) & (F.col("k2") < F.lit(signed)))
-    return k1 < node.k1
-
-
-def _locate(node: Node, value) -> Column:
-    """value(leaf) of the open leaf that a row is in."""
-    if not node.children:
-        return value(node)
-    return F.when(_left(node), _locate(node.children[0], value)).otherwise(_locate(node.children[1], value))
-
-
-def _open(node: Node) -> list[Node]:
-    return [x for c in node.children for x in _open(c)] if node.children else [node]
-
-
-def kd_tree(meta: DataFrame, dimensions: list[str], shards: int, tolerance: float = 0.0005) -> Node:
-    """The tree over meta (size, text_crc32, k2, dimension columns as longs)."""
-    root, ids = Node(0, 0, shards), 1
-    spread = meta.agg(*[F.min(d).alias(f"{d}_low") for d in dimensions], *[F.max(d).alias(f"{d}_high") for d in dimensions]).first()
-    whole = {d: max(1, (spread[f"{d}_high"] or 0) - (spread[f"{d}_low"] or 0)) for d in dimensions}
-    while nodes := [x for x in _open(root) if x.shards > 1]:
-        found = meta.groupBy(_locate(root, lambda x: F.lit(x.id)).alias("node")).agg(
-            F.sum("size").alias("size"), *[F.min(d).alias(f"{d}_low") for d in dimensions], *[F.max(d).alias(f"{d}_high") for d in dimensions]
-        )
-        by_id = {r.node: r for r in found.collect()}  # a row per node
-        for x in nodes:
-            r = by_id.get(x.id)
-            if r is None:  # no rows: any cut is as good
-                x.dimension, x.done = dimensions[0], True
-                continue
-            x.dimension = max(dimensions, key=lambda d: (r[f"{d}_high"] - r[f"{d}_low"]) / whole[d])
-            x.low, x.high = r[f"{x.dimension}_low"], r[f"{x.dimension}_high"]
-            x.aim = r["size"] * (x.shards // 2) / x.shards
-        for step, (key, shift, mask) in enumerate(DIGITS):
-            active = [x for x in nodes if not x.done]
-            if not active:
-                break
-            _descend(meta, root, active, step, key, shift, mask, tolerance)
-        for x in nodes:
-            half = x.shards // 2
-            x.children = [Node(ids, x.first, half), Node(ids + 1, x.first + half, x.shards - half)]
-            ids += 2
-    return root
-
-
-def _descend(meta: DataFrame, root: Node, active: list[Node], step: int, key: str, shift: int, mask: int, tolerance: float) -> None:
-    """Fix one more digit of each active node's cut."""
-    by_id = {x.id: x for x in active}
-    node = _locate(root, lambda x: F.lit(x.id) if x.id in by_id else F.lit(None).cast("int"))
-
-    def digit_of(x: Node) -> Column:
-        if x.id not in by_id:
-            return F.lit(None).cast("long")
-        k1 = _k1(x)
-        if key == "k1":
-            inside = F.shiftright(k1, shift + 16 if shift else 15) == (x.k1 >> (shift + 16 if shift else 15)) if step else F.lit(True)
-            return F.when(inside, F.shiftright(k1, shift).bitwiseAND(mask))
-        own = F.col("k2").bitwiseXOR(F.lit(-(1 << 63)))
-        inside = k1 == x.k1
-        if shift < 48:
-            inside = inside & (F.shiftrightunsigned(own, shift + 16) == (x.k2 >> (shift + 16)))
-        return F.when(inside, F.shiftrightunsigned(own, shift).bitwiseAND(mask))
-
-    digits = meta.select(node.alias("node"), _locate(root, digit_of).alias("digit"), "size").where("digit is not null")
-    sums = digits.groupBy("node", "digit").agg(F.sum("size").alias("w"))
-    ends = sums.withColumn("end", F.sum("w").over(Window.partitionBy("node").orderBy("digit")))
-    aims = F.lit(None).cast("double")
-    for x in active:
-        aims = F.when(F.col("node") == x.id, F.lit(float(x.aim - x.passed))).otherwise(aims)
-    crossing = ends.where(F.col("end") >= aims).groupBy("node").agg(F.min(F.struct("digit", "w", "end")).alias("c"))
-    got = {r.node: r.c for r in crossing.collect()}  # a row per node
-    for x in active:
-        c = got.get(x.id)
-        if c is None:  # the rows of the digit sum to less than the aim by rounding alone
-            x.done = True
-            continue
-        digit, w, end = int(c["digit"]), float(c["w"]), float(c["end"])
-        want = x.aim - x.passed
-        x.digit = step + 1
-        under = want - (end - w) < end - want  # is the digit's lower edge nearer?
-        if w <= tolerance * x.aim or step == len(DIGITS) - 1:
-            x.done, digit = True, digit + (0 if under else 1)
-        x.passed += 0 if x.done else end - w
-        if key == "k1":
-            x.k1 += digit << shift
+    want: float = 0.0
+    #: The cut is looked for among the keys from low_key to high_key: of k1, or of k2 where k1 is p1.
+    whole: bool = True
+    p1: int = 0
+    low_key: int = 0
+    high_key: int = MOST
+    #: Rows up to and with (c1, c2) go left.
+    cut: tuple[int, int] | None = None
+
+    def state(self) -> tuple:
+        shift = max(0, (self.high_key - self.low_key).bit_length() - BIN_BITS)
+        return (self.first, self.dimension, self.low, self.span, self.whole, self.p1, self.low_key, self.high_key, shift, self.want)
+
+    def narrow(self, w: int, end: int, least: int, most: int, tolerance: float) -> None:
+        """The bin with keys from `least` to `most` and weight w, `end` with all before it, holds the cut."""
+        before = end - w
+        if w > tolerance * self.aim and least < most:
+            self.low_key, self.high_key, self.want = least, most, self.want - before
+        elif w > tolerance * self.aim and self.whole:
+            self.whole, self.p1, self.low_key, self.high_key, self.want = False, least, 0, MOST, self.want - before
         else:
-            x.k2 += digit << shift
-            if x.k2 >= 1 << 64:
-                x.k1, x.k2, x.digit = x.k1 + 1, 0, 4
+            at = least - 1 if self.want - before < end - self.want else most
+            self.cut = (at, MOST) if self.whole else (self.p1, at)
+
+
+def _key(names: list[str]) -> Column:
+    """The node's dimension scaled to 31 bits within the node, then the crc32."""
+    value = F.element_at(F.array(*names), F.col("dimension") + 1)
+    scaled = F.when(F.col("span") > 0, F.call_function("div", (value - F.col("low")) * F.lit(SPAN), F.col("span"))).otherwise(0)
+    return F.shiftleft(scaled.cast("long"), 32).bitwiseOR(F.col("text_crc32"))
+
+
+def _table(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a table that is made in the JVM alone."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':').replace(',:', ', ')}>>")))
+
+
+def find_cuts(meta: DataFrame, names: list[str], nodes: list[Node], widths: list[int], tolerance: float) -> list[int]:
+    """Fix the cuts of the nodes of a level. meta: node, size, text_crc32, k2 and the dimensions `names` as longs.
+
+    Returns the ranges of the dimensions over all rows, which is what a node's own are compared with.
+    """
+    spark = meta.sparkSession
+    ends = [f(d).alias(f"{d}_{s}") for d in names for f, s in ((F.min, "low"), (F.max, "high"))]
+    found = {r.node: r for r in meta.groupBy("node").agg(F.sum("size").alias("size"), *ends).collect()}  # a row per node
+    widths = widths or [max(1, found[0][f"{d}_high"] - found[0][f"{d}_low"]) if 0 in found else 1 for d in names]
+    open_nodes = []
+    for x in nodes:
+        if r := found.get(x.first):  # without rows any cut is as good
+            ranges = [r[f"{d}_high"] - r[f"{d}_low"] for d in names]
+            x.dimension = max(range(len(names)), key=lambda i: ranges[i] / widths[i])
+            x.low, x.span = r[f"{names[x.dimension]}_low"], ranges[x.dimension]
+            x.aim = x.want = r["size"] * (x.shards // 2) / x.shards
+            open_nodes.append(x)
+    while open_nodes:
+        state = _table(spark, [x.state() for x in open_nodes], STATE)
+        rows = meta.join(F.broadcast(state), "node").withColumn("k1", _key(names))  # a row per node
+        rows = rows.withColumn("k", F.when(F.col("whole"), F.col("k1")).when(F.col("k1") == F.col("p1"), F.col("k2"))).where("k between from_key and to_key")
+        bins = rows.groupBy("node", F.expr("shiftright(k - from_key, shift)").alias("bin")).agg(F.sum("size").alias("w"), F.min("k").alias("least"), F.max("k").alias("most"), F.first("want").alias("want"))
+        upto = bins.withColumn("end", F.sum("w").over(Window.partitionBy("node").orderBy("bin")))
+        held = upto.where("end >= want").groupBy("node").agg(F.min(F.struct("bin", "w", "end", "least", "most")).alias("c"))
+        got = {r.node: r.c for r in held.collect()}  # a row per node
+        for x in open_nodes:
+            x.narrow(*got[x.first][1:], tolerance)
+        open_nodes = [x for x in open_nodes if x.cut is None]
+    return widths
+
+
+def kd_tree(meta: DataFrame, names: list[str], shards: int, tolerance: float = 0.0005, levels_per_write: int = 3) -> tuple[DataFrame, list[list[Node]]]:
+    """meta with `node`, the number of its shard, and the nodes that were cut, level by level.
+
+    meta: size, text_crc32, k2 and the dimensions `names` as longs. After a few levels the rows' nodes are written.
+    """
+    meta, level, widths, tree = meta.withColumn("node", F.lit(0)), [Node(0, shards)], [], []
+    while nodes := [x for x in level if x.shards > 1]:
+        widths = find_cuts(meta, names, nodes, widths, tolerance)
+        tree.append([x for x in nodes if x.cut])
+        if tree[-1]:
+            cuts = [(x.first, x.dimension, x.low, x.span, *x.cut, x.first + x.shards // 2) for x in tree[-1]]
+            table = _table(meta.sparkSession, cuts, "node int, dimension int, low long, span long, c1 long, c2 long, right int")
+            k1 = _key(names)
+            right = (k1 > F.col("c1")) | ((k1 == F.col("c1")) & (F.col("k2") > F.col("c2")))
+            meta = meta.join(F.broadcast(table), "node", "left").withColumn("node", F.when(right, F.col("right")).otherwise(F.col("node"))).select(*meta.columns)
+            if len(tree) % levels_per_write == 0:
+                meta = stored(meta, "nodes")
+        level = [y for x in level for y in ((Node(x.first, x.shards // 2), Node(x.first + x.shards // 2, x.shards - x.shards // 2)) if x.shards > 1 else (x,))]
+    return meta, tree
+
+
+def document_meta(docs: DataFrame, key: str = "doc_id", text: str = "text", dimensions: dict[str, Column] | None = None) -> tuple[DataFrame, list[str]]:
+    """(doc_id, size, text_crc32, dimensions, k2) of docs, and the dimensions' names."""
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    if dimensions is None:
+        dimensions = ({"d_language": _two_letters(F.col("lang"))} if "lang" in docs.columns else {}) | {"d_length": _log_size(F.octet_length(body))}
+    meta = docs.select(
+        F.col(key).cast("long").alias("doc_id"),
+        (F.octet_length(body) + 8).cast("long").alias("size"),
+        F.crc32(body.cast("binary")).alias("text_crc32"),
+        *(F.coalesce(c.cast("long"), F.lit(0)).alias(n) for n, c in dimensions.items()),
+    )
+    return meta.withColumn("k2", F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32"), 1)), list(dimensions)
 
 
 def kd_shards(
@@ -155,27 +151,23 @@ def kd_shards(
     *,
     key: str = "doc_id",
     text: str = "text",
-    shards: int = 24,
+    shards: int | None = 24,
+    target_bytes: int | None = None,
     dimensions: dict[str, Column] | None = None,
     rows_per_chunk: int = 50_000,
 ) -> DataFrame:
-    """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    if dimensions is None:
-        dimensions = {"d_language": _two_letters(F.col("lang")), "d_length": _log_size(F.octet_length(body))}
-    names = list(dimensions)
-    meta = cut(
-        docs.select(
-            F.col(key).cast("long").alias("doc_id"),
-            (F.octet_length(body) + 8).cast("long").alias("size"),
-            F.crc32(body.cast("binary")).alias("text_crc32"),
-            *(F.coalesce(c.cast("long"), F.lit(0)).alias(n) for n, c in dimensions.items()),
-        ).withColumn("k2", F.xxhash64("doc_id", "text_crc32"))
-    )
-    n = meta.count()
-    root = kd_tree(meta, names, shards)
-    chunks = max(1, math.ceil(n / shards / rows_per_chunk))
-    placed = cut(meta.select("doc_id", "size", "text_crc32", _locate(root, lambda x: F.lit(x.first)).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(chunks)).cast("int").alias("chunk")))
+    """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
+
+    With `target_bytes` there are as many shards as leaves of at most that size need, else `shards`.
+    """
+    meta, names = document_meta(docs, key, text, dimensions)
+    meta = stored(meta, "sizes")
+    total = meta.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    if target_bytes:
+        shards = max(1, math.ceil(total.bytes / target_bytes))
+    meta, _ = kd_tree(meta, names, shards)
+    chunks = max(1, math.ceil(total.n / shards / rows_per_chunk))
+    placed = cut(meta.select("doc_id", "size", "text_crc32", F.col("node").alias("shard"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(chunks)).cast("int").alias("chunk")))
     counts = placed.groupBy("shard", "chunk").agg(F.count("*").alias("rows"))
     bases = counts.select("shard", "chunk", F.coalesce(F.sum("rows").over(Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     number = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size")) - 1
