@@ -1,15 +1,21 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and word runs.
+"""Document fingerprints: a Merkle tree over words, paragraphs and sections, with boundaries that follow the content.
 
-A text splits at line ends into paragraphs, and a paragraph at spaces into words. A run of words ends after a word whose
-hash is 0 modulo `run`, a section after a paragraph whose digest is 0 modulo `section`: an edit moves no boundary but
-those beside it. A leaf hashes its exact bytes, a node its children's digests, so equal roots mean equal texts and, of two
-trees, only branches with different digests need to be entered to find the edits. A fingerprint string holds the root,
-the leaves' short digests and, for texts of few words, those of the single words, between colons; the likeness of two is
-the Dice share of common leaves, or of common words where both have them, with repeats.
+A text splits into words at spaces and line ends. The end of a word has a rank: how many times a hash of the
+word and the one before it divides by four. A paragraph's last word has two more. A node of level 0 is a word with the space or line end after it; a node of level j is
+a stretch that ends after a word of rank j or more. So level 1 are phrases, level 2 paragraphs (lines; long lines are cut after
+about 16 words), and from level 3 on sections, each level of about four of those below. An edit moves no boundary but those beside it.
+A word's digest hashes its exact bytes, a node's digest its children's digests in order, so equal roots mean equal texts,
+and of two trees only branches with different digests need to be entered to find the edits.
+
+A fingerprint string holds the root and, from the finest level that has at most MOST_NODES nodes up to the top, each
+level's digests: a word each for a text of few words, phrases or sections for longer ones, and never more than the law of
+that one bound. The likeness of two is found by the walk from the roots down to the finest level that both hold: nodes that
+are met in both trees are common, all below them is, and of what is not common the children are compared, down to that
+level. It is the Dice share of that level's nodes under common ones, with repeats.
 
 Defined cases: a null text is the empty text; texts without characters have equal fingerprints and likeness 1; equal
 texts, wherever they are, have equal fingerprints; a table with one row is its own next document; an empty table
-gives no rows; repeated doc_ids are ordered by their text; a null doc_id comes after all others; other columns are not read.
+gives no rows; repeated doc_ids are ordered by a hash of their text; a null doc_id comes after all others; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,121 +24,166 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b, sha256
-from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import cut, text_or_empty
 
-LEAF_HEX = 5
-#: Texts of fewer words carry their words too: a half of them may not hold one whole leaf.
-FEW_WORDS = 128
+#: Nodes that the finest level of a fingerprint may have, and hex digits of each in it.
+MOST_NODES, NODE_HEX = 128, 12
+#: A paragraph's end counts as this rank more than its last word's.
+PARAGRAPH_RANK = 2
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _digest(data: bytes) -> bytes:
-    return blake2b(data, digest_size=8).digest()
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 @dataclass
-class Node:
-    digest: bytes
-    children: list[Node]
-    start: int
-    stop: int
-
-
-def _cuts(words: list[bytes], run: int) -> list[int]:
-    ends = [i for i, w in enumerate(words, 1) if not crc32(w) % run]
-    return ends if ends and ends[-1] == len(words) else [*ends, len(words)]
-
-
-def leaves_of(paragraph: bytes, run: int) -> list[bytes]:
-    words = paragraph.split(b" ")
-    at, out = 0, []
-    for end in _cuts(words, run):
-        out.append(b" ".join(words[at:end]))
-        at = end
-    return out
-
-
-def merkle_tree(text: bytes, run: int = 4, section: int = 4) -> Node:
-    """The whole tree, with byte ranges, to locate edits."""
-    sections: list[Node] = []
-    open_section: list[Node] = []
-    at = 0
-    for paragraph in text.split(b"\n"):
-        leaves, p = [], at
-        for leaf in leaves_of(paragraph, run):
-            leaves.append(Node(_digest(leaf), [], p, p + len(leaf)))
-            p += len(leaf) + 1
-        node = Node(_digest(b"p" + b"".join(x.digest for x in leaves)), leaves, at, at + len(paragraph))
-        open_section.append(node)
-        if not node.digest[0] % section:
-            sections.append(_section(open_section))
-            open_section = []
-        at += len(paragraph) + 1
-    if open_section:
-        sections.append(_section(open_section))
-    return Node(_digest(b"r" + b"".join(x.digest for x in sections)), sections, 0, len(text))
-
-
-def _section(paragraphs: list[Node]) -> Node:
-    return Node(_digest(b"s" + b"".join(x.digest for x in paragraphs)), paragraphs, paragraphs[0].start, paragraphs[-1].stop)
-
-
-def edits(a: Node, b: Node) -> list[tuple[int, int]]:
-    """Byte ranges of b whose leaves a lacks. Only branches of b without an equal in a are entered."""
-    if a.digest == b.digest:
+class Tree:
+    """levels[j]: (digests, first[j]), where node i's children in the level below are first[i] to first[i+1]; level 0 has
+    byte offsets instead. The root is over the last level."""
+
+    root: str
+    levels: list[tuple[np.ndarray, np.ndarray]]
+
+
+def _words(text: bytes) -> tuple[list[bytes], np.ndarray]:
+    """The pieces between spaces and line ends, and which of them end a paragraph."""
+    lines = [line.split(b" ") for line in text.split(b"\n")]
+    pieces = lines[0] if len(lines) == 1 else [w for line in lines for w in line]
+    ends = np.zeros(len(pieces), dtype=bool)
+    ends[np.cumsum([len(line) for line in lines[:-1]], dtype=np.int64) - 1] = True
+    return pieces, ends
+
+
+def merkle_tree(text: bytes) -> Tree:
+    """The whole tree, with byte offsets, to locate edits."""
+    import xxhash
+
+    pieces, ends = _words(text)
+    n = len(pieces)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces), dtype=np.uint64, count=n)
+    sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=n)
+    # Of a hash over the word and the one before it, the lowest set bit is a power of two: a rank for each two bits.
+    pairs = hashes.copy()
+    pairs[1:] += hashes[:-1] * _ODD
+    pairs = _mixed(pairs)
+    low = (pairs & (~pairs + np.uint64(1))).astype(np.float64)
+    rank = np.minimum(np.log2(np.maximum(low, 1)).astype(np.int64) // 2, 24) + PARAGRAPH_RANK * ends
+    digests = _mixed(hashes ^ (ends.astype(np.uint64) * _ODD))
+    levels = [(digests, np.concatenate([[0], np.cumsum(sizes + 1)]))]
+    while len(digests) > 1:
+        stop = rank >= len(levels)
+        stop[-1] = True
+        first = np.concatenate([[0], np.flatnonzero(stop) + 1])
+        place = np.arange(len(digests)) - np.repeat(first[:-1], np.diff(first))
+        parts = _mixed(digests + (place.astype(np.uint64) + np.uint64(len(levels))) * _ODD)
+        digests = _mixed(np.add.reduceat(parts, first[:-1]) ^ np.diff(first).astype(np.uint64))
+        rank = rank[stop]
+        levels.append((digests, first))
+    return Tree(blake2b(digests.tobytes() + len(text).to_bytes(8, "little"), digest_size=8).hexdigest(), levels)
+
+
+def edits(a: Tree, b: Tree, size: int) -> list[tuple[int, int]]:
+    """Byte ranges of b's text (of `size` bytes) whose words a lacks. Only branches of b without an equal in a are entered."""
+    if a.root == b.root:
         return []
-    known: set[bytes] = set()
-    stack = [a]
-    while stack:
-        x = stack.pop()
-        known.add(x.digest)
-        stack += x.children
+    open_nodes = np.arange(len(b.levels[-1][0]))
+    for level in range(len(b.levels) - 1, -1, -1):
+        digests, first = b.levels[level]
+        known = a.levels[level][0] if level < len(a.levels) else digests[:0]
+        open_nodes = open_nodes[~np.isin(digests[open_nodes], known)]
+        if level:
+            below = [np.arange(first[i], first[i + 1]) for i in open_nodes.tolist()]
+            open_nodes = np.concatenate(below) if below else open_nodes[:0]
+    at = b.levels[0][1]
     out: list[tuple[int, int]] = []
-    stack = [b]
-    while stack:
-        x = stack.pop()
-        if x.digest in known:
-            continue
-        if x.children:
-            stack += reversed(x.children)
-        elif out and out[-1][1] + 1 >= x.start:
-            out[-1] = (out[-1][0], x.stop)
+    for i in open_nodes.tolist():
+        start, stop = int(at[i]), min(int(at[i + 1]) - 1, size)
+        if out and out[-1][1] + 1 >= start:
+            out[-1] = (out[-1][0], stop)
         else:
-            out.append((x.start, x.stop))
+            out.append((start, stop))
     return out
 
 
-def fingerprint(text: bytes, run: int = 4, section: int = 4) -> str:
-    """Root and leaves of the tree as a string; the tree itself is not kept."""
-    root, part, leaves = blake2b(b"r", digest_size=8), [], []
-    for paragraph in text.split(b"\n"):
-        own = [_digest(x) for x in leaves_of(paragraph, run)]
-        leaves += own
-        node = _digest(b"p" + b"".join(own))
-        part.append(node)
-        if not node[0] % section:
-            root.update(_digest(b"s" + b"".join(part)))
-            part = []
-    if part:
-        root.update(_digest(b"s" + b"".join(part)))
-    words = text.split() if text.count(b" ") < FEW_WORDS else []
-    fine = "".join(_digest(w).hex()[:LEAF_HEX] for w in words) if len(words) < FEW_WORDS else ""
-    return f"{root.hexdigest()}:{''.join(x.hex()[:LEAF_HEX] for x in leaves)}:{fine}"
+def fingerprint(text: bytes) -> str:
+    """root:level:digests of that level;of the next;... up to the top. Node i of a level ends where its own last child does."""
+    tree = merkle_tree(text)
+    finest = next(j for j, (d, _) in enumerate(tree.levels) if len(d) <= MOST_NODES)
+    shown = []
+    for j in range(finest, len(tree.levels)):
+        digests, first = tree.levels[j]
+        names = digests.astype(">u8").tobytes().hex()
+        counts = "" if j == finest else "." + ".".join(map(str, np.diff(first).tolist()))
+        shown.append("".join(names[i : i + NODE_HEX] for i in range(0, len(names), 16)) + counts)
+    return f"{tree.root}:{finest}:{';'.join(shown)}"
+
+
+def _levels(shown: str) -> tuple[int, list[tuple[list[str], list[int]]]]:
+    _, finest, body = shown.split(":")
+    out = []
+    for part in body.split(";"):
+        names, *counts = part.split(".")
+        out.append(([names[i : i + NODE_HEX] for i in range(0, len(names), NODE_HEX)], list(map(int, counts))))
+    return int(finest), out
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1; 1 for equal fingerprints."""
+    """0 to 1; 1 for equal fingerprints alone. A walk from the roots that enters differing branches only."""
     if a == b:
         return 1.0
-    (_, *x), (_, *y) = a.split(":"), b.split(":")
-    level = 1 if x[1] and y[1] else 0
-    p, q = (Counter(s[level][i : i + LEAF_HEX] for i in range(0, len(s[level]), LEAF_HEX)) for s in (x, y))
-    return min(2 * sum((p & q).values()) / max(1, p.total() + q.total()), 1 - 1e-9)
+    (fa, x), (fb, y) = _levels(a), _levels(b)
+    finest, top = max(fa, fb), max(fa + len(x), fb + len(y)) - 1
+    finest = min(finest, fa + len(x) - 1, fb + len(y) - 1)
+    if finest < max(fa, fb):  # one text's whole tree ends below the finest level that the other shows
+        return 0.0
+    sides = [(f, s, _sizes(f, s, finest)) for f, s in ((fa, x), (fb, y))]
+    whole = sum(len(s[finest - f][0]) for f, s, _ in sides)
+    shared = 0
+    # Open nodes of each side, from its own top; a side without a level has nothing to show at it yet.
+    open_nodes = [list(range(len(s[-1][0]))) for _, s, _ in sides]
+    for level in range(top, finest - 1, -1):
+        if all(level < f + len(s) for f, s, _ in sides):
+            own = [Counter(s[level - f][0][i] for i in nodes) for (f, s, _), nodes in zip(sides, open_nodes)]
+            common = own[0] & own[1]
+            for side, ((f, s, sizes), nodes) in enumerate(zip(sides, open_nodes)):
+                left, rest = Counter(common), []
+                for i in nodes:
+                    name = s[level - f][0][i]
+                    if left[name]:
+                        left[name] -= 1
+                        shared += sizes[level][i]
+                    else:
+                        rest.append(i)
+                open_nodes[side] = rest
+        if level > finest:
+            for side, (f, s, _) in enumerate(sides):
+                if level < f + len(s):
+                    starts = np.concatenate([[0], np.cumsum(s[level - f][1])]).tolist()
+                    open_nodes[side] = [c for i in open_nodes[side] for c in range(starts[i], starts[i + 1])]
+    return min(shared / max(1, whole), 1 - 1e-9)
+
+
+def _sizes(f: int, levels: list[tuple[list[str], list[int]]], finest: int) -> dict[int, list[int]]:
+    """By level, how many nodes of the level `finest` stand below each node."""
+    out = {finest: [1] * len(levels[finest - f][0])}
+    for level in range(finest + 1, f + len(levels)):
+        below, at = out[level - 1], 0
+        out[level] = []
+        for n in levels[level - f][1]:
+            out[level].append(sum(below[at : at + n]))
+            at += n
+    return out
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -142,7 +193,8 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple
     """Rows (bucket, k, t, edge) dealt by key range, each bucket closed by the row that follows its last one, and the
     number of buckets.
 
-    Rows are ordered by descending key. `edge` marks the borrowed row. What the driver sees is one row per bucket.
+    Rows are ordered by descending key. `edge` marks the borrowed row. What meets in one task, and what is broadcast, is
+    a bucket's first key and text hash: a row per bucket, of which there are as many as shuffle partitions.
     """
     rows = docs.select(F.col(key).cast("long").alias("k"), text_or_empty(text).alias("t"))
     spark = docs.sparkSession
@@ -151,11 +203,15 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple
     at = [i / n for i in range(1, n)]
     splits = sorted(set(ids.where("k is not null").agg(F.percentile_approx("k", at, 10_000)).first()[0] or [])) if at else []
     bucket = F.coalesce(_bucket(splits), F.lit(len(splits) + 1))
-    held = rows.select(bucket.cast("int").alias("bucket"), "k", "t")
-    first = cut(held.groupBy("bucket").agg(F.min(F.struct((-F.col("k")).alias("d"), "t")).alias("f")).select("bucket", F.col("f.t").alias("t"), (-F.col("f.d")).alias("k")))
+    held = rows.select(bucket.cast("int").alias("bucket"), "k", F.xxhash64("t").alias("th"), "t")
+    # ~k turns the order around for every long; of rows of one key the least hash of a text comes first.
+    first = cut(held.groupBy("bucket").agg(F.min(F.struct(F.bitwise_not("k").alias("d"), "th")).alias("f")).select("bucket", F.bitwise_not("f.d").alias("k"), F.col("f.th").alias("th")))
     order = Window.orderBy("bucket")
-    before = first.select(F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())).alias("bucket"), "k", "t")
-    return held.withColumn("edge", F.lit(False)).unionByName(before.withColumn("edge", F.lit(True))), len(splits) + 2
+    before = first.select("bucket", "k", "th", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())).alias("to"))
+    own, first_rows = held.alias("own"), F.broadcast(before).alias("before")
+    same = F.expr("own.bucket = before.bucket and own.k <=> before.k and own.th = before.th")
+    borrowed = own.join(first_rows, same).select(F.col("to").alias("bucket"), "own.k", "own.th", "own.t").dropDuplicates(["bucket"])
+    return held.withColumn("edge", F.lit(False)).unionByName(borrowed.withColumn("edge", F.lit(True))), len(splits) + 2
 
 
 def _bucket(splits: list[int]) -> Column:
@@ -170,7 +226,7 @@ def _bucket(splits: list[int]) -> Column:
     return F.when(F.col("k").isNotNull(), tree(0, len(splits)))
 
 
-def document_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = 4, section: int = 4) -> DataFrame:
+def document_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document its fingerprint, that of its edited text, and the likeness to the edited text and the next document."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
@@ -182,9 +238,9 @@ def document_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "tex
     def run_bucket(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size, last = [], 0, None
         for bucket, k, t, edge in rows(it):
-            now = (bucket, k, t, None if edge else fingerprint(t.encode(), run, section))
+            now = (bucket, k, t, None if edge else fingerprint(t.encode()))
             if last is not None and last[0] == bucket:
-                out.append(_pair(last, now, run, section))
+                out.append(_pair(last, now))
                 size += len(out[-1][3]) + len(out[-1][4])
             last = None if edge else now
             if size > 4 << 20:
@@ -194,16 +250,16 @@ def document_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "tex
             yield _batch(out, schema)
 
     held, n = with_next(docs, key, text)
-    held = held.repartitionById(n, "bucket").sortWithinPartitions("bucket", "edge", F.col("k").desc_nulls_last(), "t")
+    held = held.repartitionById(n, "bucket").sortWithinPartitions("bucket", "edge", F.col("k").desc_nulls_last(), "th").select("bucket", "k", "t", "edge")
     return held.mapInArrow(run_bucket, RESULT)
 
 
-def _pair(doc: tuple, after: tuple, run: int, section: int) -> tuple:
+def _pair(doc: tuple, after: tuple) -> tuple:
     _, k, t, own = doc
     n = len(t)
     edited = (t[: n - n // 2] + after[2][: n // 2]).encode()
-    changed = fingerprint(edited, run, section)
-    following = after[3] or fingerprint(after[2].encode(), run, section)
+    changed = fingerprint(edited)
+    following = after[3] or fingerprint(after[2].encode())
     return k, n, sha256(edited).hexdigest(), own, changed, likeness(own, changed), likeness(own, following)
 
 
