@@ -105,20 +105,25 @@ class SeedIndex:
             h = (h + ids[at + p].astype(np.uint64)) * self.factors[p]
         return at, _mix(h)
 
-    def alignments(self, ids: np.ndarray) -> np.ndarray:
-        """Distinct (item, shift) that a hit suggests; item word j stands against document word shift + j."""
-        found = []
+    def alignments(self, ids: np.ndarray, most: int = 1 << 18) -> Iterator[np.ndarray]:
+        """Distinct (item, shift) that hits suggest; item word j stands against document word shift + j.
+
+        Hits are unfolded into at most about `most` places at a time, whatever words a text and the items repeat; an
+        alignment comes again where its hits fall into several portions.
+        """
         for m in range(len(self.masks)):
             at, h = self._hashes(ids, m)
             near = np.flatnonzero(self.filter[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
             at, h = at[near], h[near]
             low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-            counts = high - low
-            if counts.sum():
-                which = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+            met = np.flatnonzero(high > low)
+            at, low, counts = at[met], low[met], (high - low)[met]
+            portion = (np.cumsum(counts) - counts) // most
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(portion)) + 1) if len(at) else []:
+                n = counts[part]
+                which = np.repeat(low[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 places = self.places[which]
-                found.append(np.stack([places[:, 0], np.repeat(at, counts) - places[:, 1]], axis=1))
-        return self._may_agree(ids, np.unique(np.concatenate(found), axis=0)) if found else np.zeros((0, 2), dtype=np.int64)
+                yield self._may_agree(ids, np.unique(np.stack([places[:, 0], np.repeat(at[part], n) - places[:, 1]], axis=1), axis=0))
 
     def _may_agree(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The alignments without those of items shorter than the window that do not agree: short pieces are met by chance."""
@@ -138,7 +143,7 @@ class SeedIndex:
     def compare(self, ids: np.ndarray) -> list[tuple[int | None, int, int, float]]:
         """(item_id, first document word, agreeing words, share) of the best window of each item that is met."""
         best: dict[int, tuple[int | None, int, int, float]] = {}
-        for n, shift in self.alignments(ids).tolist():
+        for n, shift in (pair for part in self.alignments(ids) for pair in part.tolist()):
             item_id, item = self.items[n]
             low, high = max(0, -shift), min(len(item), len(ids) - shift)
             size = min(self.window, len(item))
@@ -147,7 +152,8 @@ class SeedIndex:
             same = np.concatenate([[0], np.cumsum(item[low:high] == ids[shift + low : shift + high])])
             counts = same[size:] - same[:-size]
             i = int(counts.argmax())
-            if counts[i] >= self.agreement * size - 1e-9 and (n not in best or counts[i] > best[n][2]):
+            place = (int(counts[i]), -(shift + low + i))
+            if counts[i] >= self.agreement * size - 1e-9 and (n not in best or place > (best[n][2], -best[n][1])):
                 best[n] = (item_id, shift + low + i, int(counts[i]), float(counts[i] / size))
         return list(best.values())
 
