@@ -52,8 +52,11 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return links.where("source <> target and target <> '' and source <> ''").groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = 12, damping: float = 0.85, cut_every: int = 4) -> DataFrame:
-    """hosts: (host, allowed, blocked) page counts. Adds trust and distrust, each summing to 1 at most."""
+def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = 60, damping: float = 0.85, cut_every: int = 4, tolerance: float = 1e-4) -> DataFrame:
+    """hosts: (host, allowed, blocked) page counts. Adds trust and distrust, each summing to 1 at most.
+
+    Rounds end when `cut_every` of them have moved no more than `tolerance` of each kind's mass, or after `rounds`.
+    """
     kinds = [("trust", "allowed", "source", "target"), ("distrust", "blocked", "target", "source")]
     totals = hosts.agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")).first()  # two numbers
     known = hosts.unionByName(edges.select(F.explode(F.array("source", "target")).alias("host")).distinct().select("host", F.lit(0).cast("long").alias("allowed"), F.lit(0).cast("long").alias("blocked")))
@@ -65,17 +68,22 @@ def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = 12, damping: flo
         f = edges.join(out, start).select(F.col(start).alias("host"), F.col(end).alias("to"), F.lit(kind).alias("kind"), (F.col("n") / F.col("all")).alias("w"))
         seeds, flows = (s, f) if seeds is None else (seeds.unionByName(s), flows.unionByName(f))
     seeds, flows = cut(seeds), cut(flows)
-    ranks = seeds.withColumn("rank", F.col("seed"))
+    ranks, settled = seeds.withColumn("rank", F.col("seed")), None
     if flows.limit(1).count():
         for i in range(rounds):
             moved = flows.join(ranks, ["host", "kind"]).groupBy(F.col("to").alias("host"), "kind").agg(F.sum(F.col("rank") * F.col("w")).alias("came"))
             ranks = seeds.join(moved, ["host", "kind"], "left").select("host", "kind", "seed", (F.col("seed") * (1 - damping) + F.coalesce("came", F.lit(0.0)) * damping).alias("rank"))
             if i % cut_every == cut_every - 1:
-                ranks = cut(ranks)
+                before, ranks = settled, cut(ranks)
+                settled = ranks.select("host", "kind", F.col("rank").alias("old"))
+                if before is not None and tolerance:
+                    moved_mass = ranks.join(before, ["host", "kind"]).groupBy("kind").agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("m")).agg(F.max("m")).first()[0]
+                    if moved_mass is None or moved_mass <= tolerance:
+                        break
     return ranks.groupBy("host").agg(*[F.round(F.sum(F.when(F.col("kind") == k, F.col("rank"))), 12).alias(k) for k in ("trust", "distrust")])
 
 
-def judge_urls(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES, ratio: float = 1.0, rounds: int = 12) -> DataFrame:
+def judge_urls(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES, ratio: float = 1.0, rounds: int = 60) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, host_trust, host_distrust."""
     named = pages.select(F.col(key).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
