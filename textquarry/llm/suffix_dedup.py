@@ -215,9 +215,10 @@ def _fetch(width: int, lead: int):
 
 
 def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of rows of big-endian words by multikey quicksort, and which rows differ from the one before.
+    """Order of rows of big-endian words, and which rows differ from the one before.
 
-    Column by column; a column is only looked at where all columns before it are tied.
+    The multikey scheme, all groups at once: rows that are tied so far are split by their next word, and only groups that
+    are tied still go on to the word after it. A split is a library sort of the group's words, not one ternary partition.
     """
     n, depth = words.shape
     order = np.arange(n)
@@ -367,8 +368,12 @@ def _finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def copied_spans(rows: DataFrame, *, width: int = 100, k: int = 32, bucket_anchors: int = 100_000, hot_rows: int = 10_000, sample_docs: int = 2000) -> DataFrame:
-    """(k, th, blob of spans) of rows (k, th, t): the bytes to remove, as parts that may overlap."""
+def copied_spans(rows: DataFrame, *, width: int = 100, k: int = 32, bucket_anchors: int = 100_000, hot_rows: int = 10_000, sample_docs: int = 2000, most_hot: int = 2000) -> DataFrame:
+    """(k, th, blob of spans) of rows (k, th, t): the bytes to remove, as parts that may overlap.
+
+    The driver and each task hold at most `most_hot` hashes of very common bytes. Bytes that are less common than those go
+    to a bucket as all others do, which holds what a 2000th of all anchors may be; which way they go changes no result.
+    """
     with small_batches(rows.sparkSession):
         size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
         expected = 2 * size.b / (width - k + 2)
@@ -376,8 +381,8 @@ def copied_spans(rows: DataFrame, *, width: int = 100, k: int = 32, bucket_ancho
         # Bytes that a bounded sample of documents meets again and again would fill a bucket alone: they are open at once.
         share = max(1, size.n // (sample_docs * max(1, buckets // 64)))
         sampled = rows.where(F.pmod(F.xxhash64("k", "th"), F.lit(share)) == 0).mapInArrow(_anchor_hashes(width, k), "kh long")
-        hot = sampled.groupBy("kh").agg(F.count("*").alias("n")).where(F.col("n") >= max(20, sample_docs // 100)).select("kh")
-        hot_hashes = np.sort(np.array([r.kh for r in hot.collect()], dtype=np.int64).view(np.uint64))  # bounded by the sample
+        hot = sampled.groupBy("kh").agg(F.count("*").alias("n")).where(F.col("n") >= max(20, sample_docs // 100)).orderBy(F.desc("n"), "kh").limit(most_hot).select("kh")
+        hot_hashes = np.sort(np.array([r.kh for r in hot.collect()], dtype=np.int64).view(np.uint64))  # at most most_hot
         scanned = rows.mapInArrow(_scan(width, k, buckets, hot_hashes), PARTS_SQL)
         settled = cut(scanned.groupBy("bucket").applyInArrow(_settle(width, buckets), PARTS_SQL))
         opened = settled.where(F.col("kind") == OPEN).groupBy("k", "th").agg(F.collect_list("blob").alias("blobs"))
