@@ -2,16 +2,17 @@
 
 A shard is two Arrow IPC files. `*.seq.arrow` has batches of `batch_sequences` rows, each a fixed-size list of
 `sequence_length` token ids and a fixed-size list of mask bits (true: a token, false: padding after the shard's last
-one): sequence i is row i % batch_sequences of batch i // batch_sequences. `*.idx.arrow` has a row per document:
+one), both read as views into the mapped file, the bits as an Arrow array: sequence i is row i % batch_sequences of batch i // batch_sequences. `*.idx.arrow` has a row per document:
 doc_id, start in the shard's stream, n_tokens. A manifest row per shard gives the shard's base in the whole stream.
 
 Defined cases: a null or empty text is the end id alone; documents with a null doc_id come first; repeated doc_ids stay
-side by side as separate documents; an empty table writes no shard; columns other than the two named are not read.
+side by side as separate documents, in the order of a hash of their texts; an empty table writes no shard; columns other than the two named are not read.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,15 +22,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs, ipc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import cut, fresh_dir, text_or_empty
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-MANIFEST = "seq_path string, idx_path string, first_doc_id long, roll int, n_docs long, n_tokens long, n_sequences long"
-#: Distinct words whose ids a worker remembers before it starts anew.
-REMEMBERED_WORDS = 900_000
+MANIFEST = "seq_path string, idx_path string, part int, roll int, first_doc_id long, n_docs long, n_tokens long, n_sequences long"
+#: Distinct words, and bytes of them and their ids, that a worker remembers before it starts anew.
+REMEMBERED_WORDS, REMEMBERED_BYTES = 900_000, 48 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -48,16 +50,44 @@ def _tokenizer(name: str):
     return Tokenizer.from_file(tokenizer_path(name))
 
 
+def splits_at_spaces(tokenizer) -> bool:
+    """Whether a text's ids are its white-space words' ids in order, whatever stands between the words.
+
+    That needs a pre-tokenizer that removes white space (so nothing is joined over it), no prefix or suffix that marks a
+    place in the text, and no added token with white space in it.
+    """
+    import json
+
+    spec = json.loads(tokenizer.to_str())
+    pre = spec.get("pre_tokenizer") or {}
+    steps = pre.get("pretokenizers", [pre])
+    removes = any(
+        s.get("type") in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer") or s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and _no_space(s.get("pattern", {}).get("Regex", " "))
+        for s in steps
+    )
+    marks = any(s.get("type") in ("Metaspace", "ByteLevel") and s.get("add_prefix_space", s.get("prepend_scheme", "always") != "never") for s in steps)
+    return removes and not marks and not any(re.search(r"\s", t["content"]) for t in spec.get("added_tokens", []))
+
+
+def _no_space(pattern: str) -> bool:
+    """Whether no match of the pattern holds white space: tried on runs of letters, digits, signs and spaces."""
+    import regex
+
+    return not any(re.search(r"\s", m) for text in ("ab cd  12 .,\t!?\n 's x", " a ", "'s 't  \r\n", "1 2 ,") for m in (x.group() for x in regex.finditer(pattern, text)))
+
+
 class WordEncoder:
     """Encodes texts by their distinct white-space words and remembers each word's ids over a worker's tasks.
 
-    Only for tokenizers that drop white space and never join over it, where a text's ids are its words' ids in order;
-    `whole=True` encodes each text at once instead.
+    Only tokenizers of which `splits_at_spaces` says so are used that way; with others, or where `whole` asks for it, each
+    text is encoded at once.
     """
 
     def __init__(self, name: str, dtype: str, whole: bool = False):
-        self.tokenizer, self.dtype, self.whole = _tokenizer(name), np.dtype(dtype), whole
+        self.tokenizer, self.dtype = _tokenizer(name), np.dtype(dtype)
+        self.whole = whole or not splits_at_spaces(self.tokenizer)
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
         alone = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = alone[0] if len(alone) == 1 else None
 
@@ -69,9 +99,12 @@ class WordEncoder:
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
         distinct, which = words.dictionary.to_pylist(), words.indices.to_numpy()
-        if len(self.known) > REMEMBERED_WORDS:
+        if len(self.known) > REMEMBERED_WORDS or self.known_bytes > REMEMBERED_BYTES:
             self.known.clear()
-        self._learn([w for w in distinct if w not in self.known])
+            self.known_bytes = 0
+        new = [w for w in distinct if w not in self.known]
+        self._learn(new)
+        self.known_bytes += 3 * sum(map(len, new))  # about a word and its ids
         ids = list(map(self.known.__getitem__, distinct))
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.dtype.itemsize
         flat, starts = np.frombuffer(b"".join(ids), dtype=self.dtype), np.cumsum(sizes) - sizes
@@ -160,7 +193,7 @@ class ShardWriter:
         self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
         self.sequences += len(flat) // self.length
 
-    def close(self, roll: int) -> tuple:
+    def close(self, part: int, roll: int) -> tuple:
         if self.held:
             flat = np.concatenate(self.waiting)
             padded = np.zeros(-(-len(flat) // self.length) * self.length, dtype=self.dtype)
@@ -171,7 +204,7 @@ class ShardWriter:
         table = pa.table([pa.array(list(c), type=t.type) for c, t in zip(zip(*self.docs), INDEX)], schema=INDEX)
         with self.files.open_output_stream(f"{self.stem}.idx.arrow") as sink, ipc.new_file(sink, INDEX) as out:
             out.write_table(table)
-        return f"{self.stem}.seq.arrow", f"{self.stem}.idx.arrow", self.docs[0][0], roll, len(self.docs), self.tokens, self.sequences
+        return f"{self.stem}.seq.arrow", f"{self.stem}.idx.arrow", part, roll, self.docs[0][0], len(self.docs), self.tokens, self.sequences
 
 
 class ShardReader:
@@ -186,11 +219,11 @@ class ShardReader:
         self.rows = self.file.get_batch(0).num_rows if self.file.num_record_batches else 0
         self.idx_path = idx_path
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids (a view) and mask of sequence i."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Token ids and mask of sequence i, both views: nothing is copied, mask bits stay packed as the file has them."""
         batch, row = self.file.get_batch(i // self.rows), i % self.rows
         tokens, mask = (batch.column(c).values.slice((batch.column(c).offset + row) * self.length, self.length) for c in (0, 1))
-        return tokens.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
+        return tokens.to_numpy(zero_copy_only=True), mask
 
     def index(self) -> pa.Table:
         with self.files.open_input_file(self.idx_path) as f:
@@ -231,32 +264,35 @@ def write_token_files(
 ) -> DataFrame:
     """Write shards in ascending key order and return the manifest, with `base`: the tokens in all shards before.
 
-    The rows are dealt out by key range, so the only shuffle is the sort that the order asks for. A task streams: it
-    holds a few MB of texts and one batch of sequences. `dtype` "<u2" holds ids below 65,536; "<u4" holds any.
+    The rows are dealt out by ranges of the key, so the only shuffle is the sort that the order asks for; where one key has
+    more rows than two tasks should, by ranges of key and text hash, so that they go to several. A task streams: it holds a few MB of texts and one batch of
+    sequences. `dtype` "<u2" holds ids below 65,536; "<u4" holds any.
     """
 
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, rows, roll, last = _encoder(tokenizer, dtype, whole_texts), None, [], 0, None
+        encoder, writer, rows, roll, part = _encoder(tokenizer, dtype, whole_texts), None, [], 0, TaskContext.get().partitionId()
         end = np.asarray([end_id], dtype=dtype)
         for keys, texts in _pieces(it):
             ids, stops = encoder.encode(texts)
             for k, i, j in zip(keys, [0, *stops[:-1].tolist()], stops.tolist()):
-                if writer and writer.tokens >= shard_tokens and k != last:
-                    rows.append(writer.close(roll))
+                if writer and writer.tokens >= shard_tokens:
+                    rows.append(writer.close(part, roll))
                     writer, roll = None, roll + 1
                 writer = writer or ShardWriter(out_dir, sequence_length, batch_sequences, dtype)
                 writer.add(k, np.concatenate([ids[i:j], end]))
-                last = k
         if writer:
-            rows.append(writer.close(roll))
+            rows.append(writer.close(part, roll))
         if rows:
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=kinds)
 
     names = [c.split()[0] for c in MANIFEST.split(", ")]
     kinds = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[c.split()[1]]) for n, c in zip(names, MANIFEST.split(", "))])
-    rows = docs.select(F.col(key).cast("long").alias("k"), text_or_empty(text).alias("t"))
-    written = cut(rows.repartitionByRange("k").sortWithinPartitions("k", "t").mapInArrow(write, MANIFEST))
-    before = Window.orderBy(F.col("first_doc_id").asc_nulls_first(), "roll").rowsBetween(Window.unboundedPreceding, -1)
+    rows = docs.select(F.col(key).cast("long").alias("k"), text_or_empty(text).alias("t")).withColumn("th", F.xxhash64("t"))
+    most = rows.groupBy("k").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ["k", "th"] if (most[0] or 0) > 2 * (most[1] or 0) / tasks else ["k"]
+    written = cut(rows.repartitionByRange(*ranges).sortWithinPartitions("k", "th").select("k", "t").mapInArrow(write, MANIFEST))
+    before = Window.orderBy("part", "roll").rowsBetween(Window.unboundedPreceding, -1)  # ranges ascend with the partitions
     return written.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))  # a row per shard
 
 
