@@ -7,12 +7,14 @@ and probes the indexes of all lengths from its own down to `edits` less, with on
 match within the threshold can have. Colliding pairs are verified by bit-parallel edit distance in a band of
 2*edits+1 diagonals held in one 64-bit word.
 
-A line is removed if its text has an earlier occurrence, or links to a text with an earlier first occurrence; there is no
-chaining, so nothing further than the threshold from what is kept is lost.
+A line is removed if its text has an earlier occurrence, or links to a text with an earlier first occurrence, also where
+that one is removed for an earlier one itself; so of a chain of links the first line stays, and a later one may lie
+further than the threshold from it. kept_from names the documents of the earlier lines, whether those stay or not.
 
 Only hashes are dealt out: a distinct line travels as its id and the hashes of its segments, and texts are fetched for
 those lines alone that met another. Segments that very many lines share are found on a sample of line ids; their lines
-are verified where they meet, so that a group with a common segment gives out its links and not its pairs. Which way a
+are verified where they meet, so that a group with a common segment gives out its links and not its pairs. A group of more
+than `most_group` lines is dealt out again by the segments of what its lines are without the common one. Which way a
 segment goes changes no result.
 
 Defined cases: a null text has no lines; blank lines are kept; lines shorter than `least_chars` are duplicates only if
@@ -22,6 +24,8 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,7 +120,9 @@ def code_distance(a: Column, b: Column, edits: int) -> Column:
                 lambda q, s: F.when((p + q + s <= F.least(size["m"], size["n"])) & (_part(a, size["m"] - q - s, s) == _part(b, size["n"] - q - s, s)), q + s).otherwise(q),
             )
             middle = lambda q: F.struct(*[_part(x, p, k - p - q).alias(c) for (x, k), c in zip(ends, "ab")], (size["m"] - p - q).alias("m"), (size["n"] - p - q).alias("n"))
-            judge = lambda x: F.when(_may_match(x, edits), _banded(F.decode(x["a"], "UTF-32"), F.decode(x["b"], "UTF-32"), edits)).otherwise(edits + 1)
+            # A byte-order mark in front keeps the decoder from taking the text's own first character for one.
+            read = lambda code: F.decode(F.concat(F.lit(b"\x00\x00\xfe\xff"), code), "UTF-32")
+            judge = lambda x: F.when(_may_match(x, edits), _banded(read(x["a"]), read(x["b"]), edits)).otherwise(edits + 1)
             return _let(behind, lambda q: _let(middle(q), judge))
 
         return F.when(F.abs(size["m"] - size["n"]) > edits, edits + 1).otherwise(_let(ahead, without_ends))
@@ -182,24 +188,25 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def line_links(docs: DataFrame, key: str, text: str, edits: int = 2, least_chars: int = 12, hot_lines: int = 32, most_ids: int = 1_000_000) -> DataFrame:
+def line_links(docs: DataFrame, key: str, text: str, edits: int = 2, least_chars: int = 12, hot_lines: int = 32, most_ids: int = 1_000_000, most_group: int = 1000) -> DataFrame:
     """(a, a2, b, b2): distinct lines (both hashes of each) within `edits` edits, each pair once."""
     least_chars = max(least_chars, 3 * (edits + 1))
 
     def body() -> DataFrame:
         return lines_with_ids(document_lines(docs, key, text)).withColumn("n", F.length("line")).where(F.col("n") >= least_chars)
 
-    def sent(rows: DataFrame, keys: list[Column], name: str) -> DataFrame:
-        """A row per distinct line and hash; equal lines are combined before the shuffle, with hashes as columns."""
+    def sent(rows: DataFrame, keys: list[Column], name: str, placed: bool) -> DataFrame:
+        """A row per distinct line and hash, `placed` with its number; equal lines are combined before the shuffle, with hashes as columns."""
         # The higher-order function keeps this projection out of whole-stage code, of which one method would be too long to be compiled.
         never = F.exists(F.array("n"), lambda x: x < 0)
         hashes = [F.when(never, F.lit(None).cast("long")).otherwise(k) if i == 0 else k for i, k in enumerate(keys)]
         names = [f"h{i}" for i in range(len(keys))]
         own = rows.select("id", *[h.alias(c) for h, c in zip(hashes, names)]).distinct()
-        return own.select(F.col("id").alias(name), F.explode(F.array(*names)).alias("h")).where("h is not null")
+        each = F.posexplode(F.array(*names)).alias("pos", "h") if placed else F.explode(F.array(*names)).alias("h")
+        return own.select(F.col("id").alias(name), each).where("h is not null")
 
-    def both(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return sent(rows, index_keys(F.col("line"), F.col("n"), edits), "a"), sent(rows, probe_keys(F.col("line"), F.col("n"), edits), "b")
+    def both(rows: DataFrame, placed: bool = False) -> tuple[DataFrame, DataFrame]:
+        return sent(rows, index_keys(F.col("line"), F.col("n"), edits), "a", placed), sent(rows, probe_keys(F.col("line"), F.col("n"), edits), "b", placed)
 
     share = 4
     some = body().where(F.pmod("id", F.lit(share)) == 0)
@@ -215,8 +222,8 @@ def line_links(docs: DataFrame, key: str, text: str, edits: int = 2, least_chars
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     if some_hot:
         sizes = hot.select(F.explode(F.array(*[F.col("n") + d for d in range(edits + 1)])).alias("n")).distinct()
-        index, probe = both(body().join(_small(sizes, most_ids), "n", "left_semi"))  # no other line has such a segment
-        hot_rows = cut(index.join(on_all, "h", "left_semi").select("h", F.col("a").alias("id"), F.lit(True).alias("indexed")).unionByName(probe.join(on_all, "h", "left_semi").select("h", F.col("b").alias("id"), F.lit(False).alias("indexed"))))
+        index, probe = both(body().join(_small(sizes, most_ids), "n", "left_semi"), placed=True)  # no other line has such a segment
+        hot_rows = cut(index.join(on_all, "h", "left_semi").select("h", "pos", F.col("a").alias("id"), F.lit(True).alias("indexed")).unionByName(probe.join(on_all, "h", "left_semi").select("h", "pos", F.col("b").alias("id"), F.lit(False).alias("indexed"))))
         needed = needed.unionByName(hot_rows.select("id"))
     needed = cut(needed.distinct())
     texts = cut(body().join(_small(needed, most_ids), "id", "left_semi").groupBy("id", "id2").agg(F.first("line").alias("line")).select("id", "id2", code_points(F.col("line")).alias("code")))
@@ -224,16 +231,52 @@ def line_links(docs: DataFrame, key: str, text: str, edits: int = 2, least_chars
     near = code_distance(F.col("code_a"), F.col("code_b"), edits) <= edits
     out = pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "a2", "b", "b2")
     if some_hot:
-        with_text = lambda kind, c: hot_rows.where(F.col("indexed") == kind).select("h", F.col("id").alias(c)).join(side(c), c)
-        x, y = with_text(True, "a"), with_text(False, "b")
         low = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("a2") < F.col("b2")))
         once = (F.length("code_a") < F.length("code_b")) | low  # of two lines of one length each finds the other
-        here = x.join(y, (x.h == y.h) & once & near).select("a", "a2", "b", "b2")
-        turned = here.select(*[F.when(low, F.col(p)).otherwise(F.col(q)).alias(p) for p, q in (("a", "b"), ("a2", "b2"), ("b", "a"), ("b2", "a2"))])
-        out = out.unionByName(turned)
+        turned = [F.when(low, F.col(p)).otherwise(F.col(q)).alias(p) for p, q in (("a", "b"), ("a2", "b2"), ("b", "a"), ("b2", "a2"))]
+        for rows in _dealt(hot_rows, texts, edits, most_group):
+            one = lambda kind, c, rows=rows: rows.where(F.col("indexed") == kind).select("h", F.col("id").alias(c), F.col("id2").alias(f"{c}2"), F.col("code").alias(f"code_{c}"))
+            x, y = one(True, "a"), one(False, "b")
+            out = out.unionByName(x.join(y, (x.h == y.h) & once & near).select("a", "a2", "b", "b2").select(*turned))
     return out.distinct()
 
 
+def _dealt(rows: DataFrame, texts: DataFrame, edits: int, most_group: int, depth: int = 4) -> Iterator[DataFrame]:
+    """rows (h, pos, id, indexed) with texts (id, id2, code) in portions, whose rows meet by h.
+
+    Of lines that are within the threshold and meet in a segment, what is left without the segment is within it too. So a
+    group of more than `most_group` rows is dealt out again by the segments of what is left, and so on; the portion that
+    is left after `depth` times is as it is.
+    """
+    shifts = probe_shifts(edits)
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("pos"))
+    n = (F.length("code") / 4).cast("int")
+    d = F.when(F.col("indexed"), 0).otherwise(pick([d for d, _, _ in shifts]))
+    # In the order of a line's own segments, or of the substrings that it probes.
+    i = F.when(F.col("indexed"), F.col("pos")).otherwise(pick([i for _, i, _ in shifts]))
+    start, size = _segment(n - d, i, edits)
+    start = start + F.when(F.col("indexed"), 0).otherwise(pick([s for _, _, s in shifts]))
+    held = rows.join(texts, "id").select("h", "id", "id2", "indexed", "code", d.alias("d"), F.col("code").alias("rest"), start.alias("start"), size.alias("size"))
+    for _ in range(depth):
+        large = cut(rows.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > most_group).select("h"))
+        if not large.limit(1).count():
+            break
+        yield held.join(_small(large, 1_000_000), "h", "left_anti")
+        without = F.concat(_part(F.col("rest"), F.lit(0), F.col("start")), F.substring("rest", (F.col("start") + F.col("size")) * 4 + 1, F.length("rest")))
+        left = held.join(_small(large, 1_000_000), "h", "left_semi").withColumn("rest", without).withColumn("m", (F.length("rest") / 4).cast("int") - F.col("d"))
+
+        def key(j: int, s: int) -> Column:
+            start, size = _segment(F.col("m"), j, edits)
+            inside = (start + s >= 0) & (start + s + size <= F.col("m") + F.col("d"))
+            return F.when(inside, F.struct(F.xxhash64("h", F.lit(j), _part(F.col("rest"), start + s, size)).alias("h2"), (start + s).alias("start2"), size.alias("size2")))
+
+        own = F.array(*[key(j, 0) for j in range(edits + 1)])
+        probes = F.array(*[F.when(F.col("d") == dd, key(j, s)) for dd, j, s in shifts])
+        again = left.select("id", "id2", "indexed", "code", "d", "rest", F.explode(F.filter(F.when(F.col("indexed"), own).otherwise(probes), lambda x: x.isNotNull())).alias("k"))
+        rows = held = cut(again.select(F.col("k.h2").alias("h"), "id", "id2", "indexed", "code", "d", "rest", F.col("k.start2").alias("start"), F.col("k.size2").alias("size")))
+    yield held
+
+
 def _small(rows: DataFrame, most: int) -> DataFrame:
     """rows, to be broadcast if they are at most `most`; a plain join handles more."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
@@ -243,7 +286,7 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", edi
     """Per document with lines: doc_id, n_lines, n_exact, n_near, n_links, removed_lines, kept_from.
 
     n_exact and n_near count lines removed as equal to, or within `edits` of, an earlier one; n_links is how many other
-    texts its lines link to; removed_lines are line numbers; kept_from the documents whose lines stay instead.
+    texts its lines link to; removed_lines are line numbers; kept_from the documents of the earlier lines that they repeat.
     """
     lines = document_lines(docs, key, text)
     places = lines.select("doc_id", "line_no", F.when(F.expr("trim(line) <> ''"), F.xxhash64("line")).alias("id"), F.xxhash64("line", F.lit(7)).alias("id2"))
