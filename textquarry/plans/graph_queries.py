@@ -175,10 +175,10 @@ def import_resolution(spark, t):
 
 
 @query(f"""with t as (select doc_id, source, {SQL_WORDS} as ts from documents where text is not null), p as (select a.source, a.doc_id as a, b.doc_id as b, len(list_intersect(a.ts, b.ts)) as s, len(a.ts) as n, len(b.ts) as m from t a join t b on a.source = b.source and a.doc_id < b.doc_id)
-select source, a, b, round(s / (n + m - s), 6) as jaccard from p where n > 0 and m > 0 and s / (n + m - s) >= 0.5 - 1e-9""")
+select source, a, b, round(s / (n + m - s), 6) as jaccard from p where n > 0 and m > 0 and s / (n + m - s) >= 0.7 - 1e-9""")
 def jaccard_pairs(spark, t):
-    """Pairs of a file's chunks with half of their words in common, over whole texts."""
-    return SIM.similar_pairs(t("documents"), "source", "doc_id", SIM.similarity_tokens(F.col("text")), 0.5).select("source", "a", "b", number("jaccard").alias("jaccard"))
+    """Pairs of a file's chunks with seven tenths of their words in common, over whole texts."""
+    return SIM.similar_pairs(t("documents"), "source", "doc_id", SIM.similarity_tokens(F.col("text")), 0.7).select("source", "a", "b", number("jaccard").alias("jaccard"))
 
 
 @query(f"with c as {SQL_CHUNKS}, p as (select *, lead(doc_id) over (partition by lang order by doc_id) as other from c) select p.doc_id as a, d.doc_id as b, round({sql_likeness('p', 'd')}, 6) as likeness from p join c d on d.doc_id = p.other")
