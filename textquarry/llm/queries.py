@@ -130,3 +130,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_mixing"] = _mix_sql((1, 2), 2, 13)
+
+
+@query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.bpe_transducer import round_trip_digests
+
+    return round_trip_digests(load(spark, sf_dir, "documents"), ranks="byte_bpe_multi_50k.tiktoken")

@@ -139,7 +139,7 @@ def _encoder(name: str, dtype: str, whole: bool) -> WordEncoder:
     return WordEncoder(name, dtype, whole)
 
 
-def _pieces(it: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterator[tuple[list, pa.StringArray]]:
+def pieces(it: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterator[tuple[list, pa.StringArray]]:
     """(keys, texts) of at most about `most` bytes, or a single longer text."""
     for batch in it:
         keys, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -272,7 +272,7 @@ def write_token_files(
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, rows, roll, part = _encoder(tokenizer, dtype, whole_texts), None, [], 0, TaskContext.get().partitionId()
         end = np.asarray([end_id], dtype=dtype)
-        for keys, texts in _pieces(it):
+        for keys, texts in pieces(it):
             ids, stops = encoder.encode(texts)
             for k, i, j in zip(keys, [0, *stops[:-1].tolist()], stops.tolist()):
                 if writer and writer.tokens >= shard_tokens:
