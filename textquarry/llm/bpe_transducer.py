@@ -239,33 +239,27 @@ class Codec:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, and where each text's end."""
         chunks, _, codes, per_text = space_chunks(texts, self.odd)
-        ids, ends = laid_out(list(map(self._ids, chunks)), codes, "<u4")
-        return ids, np.concatenate([[0], ends])[per_text]
+        packed, ends = laid_out(list(map(self._ids, chunks)), codes)
+        return np.frombuffer(packed, dtype="<u4"), np.concatenate([[0], ends])[per_text] // 4
 
     def decode(self, ids: np.ndarray, most: int = 1 << 20) -> Iterator[bytes]:
         """The bytes of ids, in pieces that end with whole characters."""
         stream = Utf8Stream()
         for at in range(0, len(ids), most):
-            yield stream.feed(_joined(self.token, ids[at : at + most]))
+            yield stream.feed(laid_out(self.token, ids[at : at + most])[0])
         yield stream.finish()
 
     def digests(self, ids: np.ndarray, most: int = 1 << 20) -> tuple[str, str]:
         """Hashes of the decimal ids joined by commas, and of the bytes that decoding gives."""
         spelt, back = hashlib.sha256(), hashlib.sha256()
         for at in range(0, len(ids), most):
-            part = _joined(self.decimal, ids[at : at + most])
+            part = laid_out(self.decimal, ids[at : at + most])[0]
             spelt.update(part if at + most < len(ids) else part[:-1])
         for piece in self.decode(ids, most):
             back.update(piece)
         return spelt.hexdigest(), back.hexdigest()
 
 
-def _joined(table: pa.LargeBinaryArray, ids: np.ndarray) -> memoryview:
-    """The entries of ids, end to end."""
-    taken = table.take(pa.array(ids))
-    return memoryview(taken.buffers()[2] or b"")[: np.frombuffer(taken.buffers()[1], dtype=np.int64, count=len(ids) + 1)[-1]]
-
-
 @lru_cache(maxsize=2)
 def codec(ranks: str, pattern: str | None) -> Codec:
     return Codec(ranks, pattern)

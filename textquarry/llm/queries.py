@@ -137,3 +137,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textquarry.llm.bpe_transducer import round_trip_digests
 
     return round_trip_digests(load(spark, sf_dir, "documents"), ranks="byte_bpe_multi_50k.tiktoken")
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.alignment import align
+
+    return align(load(spark, sf_dir, "documents"), a="byte_bpe_50k.json", b="piece_bpe_32k.model")

@@ -30,10 +30,8 @@ def space_chunks(texts: pa.Array, odd: str = RUN) -> tuple[list[str], int, np.nd
     return spaced.to_numpy(zero_copy_only=False).tolist() + first.to_numpy(zero_copy_only=False).tolist(), len(spaced), codes, ends
 
 
-def laid_out(known: list[bytes], codes: np.ndarray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all chunks in order, each chunk's packed in `known`, and where each chunk's end."""
-    sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // np.dtype(dtype).itemsize
-    flat, starts = np.frombuffer(b"".join(known), dtype=dtype), np.cumsum(sizes) - sizes
-    own = sizes[codes]
-    ends = np.cumsum(own)
-    return flat[np.repeat(starts[codes] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+def laid_out(known: list[bytes] | pa.LargeBinaryArray, codes: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """What is known of each chunk, end to end in the order of codes, and where (in bytes) each one's part ends."""
+    taken = (pa.array(known, type=pa.large_binary()) if isinstance(known, list) else known).take(pa.array(codes))
+    offsets = np.frombuffer(taken.buffers()[1], dtype=np.int64, count=len(codes) + 1)
+    return memoryview(taken.buffers()[2] or b"")[: offsets[-1]], offsets[1:]

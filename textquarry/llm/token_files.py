@@ -152,7 +152,7 @@ def pieces(it: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterator[tuple
             at = stop
 
 
-def _open_fs(uri: str) -> tuple[fs.FileSystem, str]:
+def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     return fs.FileSystem.from_uri(uri)
@@ -162,7 +162,7 @@ class ShardWriter:
     """Packs documents into equal-length sequences; files get names that no other task attempt uses."""
 
     def __init__(self, root: str, length: int, rows: int, dtype: str):
-        self.files, self.dir = _open_fs(root)
+        self.files, self.dir = open_fs(root)
         self.files.create_dir(self.dir, recursive=True)
         self.length, self.rows, self.dtype = length, rows, np.dtype(dtype)
         item = pa.uint16() if self.dtype.itemsize == 2 else pa.uint32()
@@ -211,7 +211,7 @@ class ShardReader:
     """Random access to a shard. On a local file system the file is mapped and no token is copied."""
 
     def __init__(self, seq_path: str, idx_path: str | None = None, root: str = "file:/"):
-        self.files, _ = _open_fs(root)
+        self.files, _ = open_fs(root)
         local = isinstance(self.files, fs.LocalFileSystem)
         self.source = pa.memory_map(seq_path) if local else self.files.open_input_file(seq_path)
         self.file = ipc.open_file(self.source)
