@@ -144,3 +144,28 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textquarry.llm.alignment import align
 
     return align(load(spark, sf_dir, "documents"), a="byte_bpe_50k.json", b="piece_bpe_32k.model")
+
+
+@query
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.divergence import audit
+
+    return audit(load(spark, sf_dir, "documents"), least_docs=3, most_ranks=200)
+
+
+ORACLES["op12_divergence"] = r"""
+with d as (select row_number() over () as r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+g as (select distinct lang, source from d),
+w as (select r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term, count(*) as c from w group by lang, term having count(distinct r) >= 3),
+vs as (select lang, count(*) as v, sum(c) as n from kept group by lang),
+c as (select lang, source, term, count(*) as c from w semi join kept using (lang, term) group by all),
+n as (select lang, source, sum(c) as n from c group by all),
+p as (select g.lang, g.source, kept.term, coalesce(c.c, 0) as c, cast(1 + (1000000000 * (coalesce(c.c, 0)::hugeint + 1)) // (coalesce(n.n, 0) + v) as bigint) as p, cast(1 + (1000000000 * (kept.c::hugeint + 1)) // (vs.n + v) as bigint) as q
+  from g join kept on g.lang = kept.lang join vs on vs.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term left join n on n.lang = g.lang and n.source = g.source),
+s as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p as a join p as b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(value, 0) as bigint) as value from g as a join g as b on a.lang = b.lang and a.source <> b.source left join s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, cast((p - q) * (p - q) // q as bigint) as value from p where c > 0 and p > q),
+ranked as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from (select * from pairs union all select * from terms))
+select * from ranked where part = 'pair' or rank <= 200
+"""
