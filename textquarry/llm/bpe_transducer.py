@@ -38,7 +38,7 @@ from textquarry.llm.token_files import pieces, tokenizer_path
 
 #: States and pair tests that the machine holds before it forgets them; chunks of text, and bytes of them and their ids, that a worker
 #: remembers; longer chunks it does not.
-MOST_STATES, MOST_PAIRS, MOST_CHUNKS, MOST_CHUNK_BYTES, LONG_CHUNK = 150_000, 500_000, 500_000, 20 << 20, 200
+MOST_STATES, MOST_PAIRS, MOST_CHUNKS, MOST_CHUNK_BYTES, LONG_CHUNK = 400_000, 1_000_000, 900_000, 40 << 20, 200
 NEVER = 1 << 62
 
 
@@ -54,7 +54,9 @@ class Transducer:
                 if node == len(self.token_at):
                     self.token_at.append(-1)
             self.token_at[node] = rank
-        self.inner = {key >> 8 for key in self.child}
+        self.inner = bytearray(len(self.token_at))
+        for key in self.child:
+            self.inner[key >> 8] = 1
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.edges: dict[int, tuple | None] = {}
         self.pairs: dict[int, bool] = {}
@@ -84,13 +86,11 @@ class Transducer:
 
     def stand(self, a: int, b: int) -> bool:
         """Whether tokens a and b stay apart side by side; a = -1 is the beginning of a match."""
-        if a < 0:
-            return self._edges(b) is not None
         key = a << 32 | b
         if key not in self.pairs:
             if len(self.pairs) >= MOST_PAIRS:
                 self.pairs.clear()
-            self.pairs[key] = self._stand(self._edges(a), self._edges(b))
+            self.pairs[key] = self._edges(b) is not None if a < 0 else self._stand(self._edges(a), self._edges(b))
         return self.pairs[key]
 
     def _stand(self, left: tuple | None, right: tuple | None) -> bool:
@@ -111,16 +111,18 @@ class Transducer:
 
     def _move(self, state: int, b: int) -> int:
         """Make the move; beyond MOST_STATES all others are forgotten first, and the numbers of states with them."""
-        live, done = [], None
+        live, done, child, pairs = [], None, self.child.get, self.pairs
         for node, last, waiting in self.live[state]:
-            node = self.child.get(node << 8 | b, -1)
-            if node < 0:
+            node = child(node << 8 | b)
+            if node is None:
                 continue
             token = self.token_at[node]
-            if node in self.inner:
+            if done is None and token >= 0:
+                apart = pairs.get(last << 32 | token)
+                if apart if apart is not None else self.stand(last, token):
+                    done = (0, token, (*waiting, token))
+            if self.inner[node]:
                 live.append((node, last, waiting))
-            if done is None and token >= 0 and self.stand(last, token):
-                done = (0, token, (*waiting, token))
         live.append(done)  # the last hypothesis begins here, and its tokens spell all that was read
         first, shared = live[0][2], 0
         while shared < len(first) and all(len(h[2]) > shared and h[2][shared] == first[shared] for h in live):
@@ -128,7 +130,7 @@ class Transducer:
         if len(self.live) >= MOST_STATES:
             self._forget()
             state = -1
-        then, out = tuple((n, t, w[shared:]) for n, t, w in live), first[:shared]
+        then, out = tuple([(n, t, w[shared:]) for n, t, w in live] if shared else live), first[:shared]
         number = self.state_of.setdefault(then, len(self.live))
         if number == len(self.live):
             self.live.append(then)
