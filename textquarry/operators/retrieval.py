@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.predicates import is_sensitive
 from textquarry.functions.text import base_name, escape_xml, parent_path, suffix
+from textquarry.operators.automaton import occurring
+from textquarry.storage import cut
 
 #: Results that each stage may give, and the weight of what a stage finds.
 STAGE_LIMITS = {"keyword": 15, "vector": 20, "definition": 10, "usage": 15, "caller": 5, "callee": 5}
@@ -61,21 +63,20 @@ def relations(chunks: DataFrame, strict: bool = False) -> DataFrame:
     """(src, dst, kind) of chunks (id, content, symbols, imports, exports).
 
     imports: an imported name is another chunk's symbol or export. references: a chunk's text has another's symbol
-    followed by "(", by "." or between blanks; only the first form respects that the pair is already an import, unless
-    `strict` says that all do. Candidates come from an equi-join on words; the exact forms are checked on the pair.
+    followed by "(", by "." or between blanks, also inside of a longer word; only the first form respects that the pair is already
+    an import, unless `strict` says that all do. One automaton of all forms of all symbols goes over each text once, and what
+    is found joins the chunks that define the symbol; texts are not shuffled.
     """
     offered = chunks.select(F.col("id").alias("dst"), F.explode(F.array_distinct(F.concat("symbols", F.filter("exports", lambda e: ~e.startswith("* from "))))).alias("name"))
     wanted = chunks.select(F.col("id").alias("src"), F.explode(F.array_distinct("imports")).alias("name"))
-    imports = wanted.join(offered, "name").where("src <> dst").select("src", "dst").distinct()
+    imports = cut(wanted.join(offered, "name").where("src <> dst").select("src", "dst").distinct())
     symbols = chunks.select(F.col("id").alias("dst"), F.explode(F.array_distinct("symbols")).alias("symbol")).where("length(symbol) >= 3")
-    # A symbol stands in a text only if its first word does.
-    words = chunks.select(F.col("id").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\w+"), F.lit(0)))).alias("word"))
-    pairs = words.join(symbols.withColumn("word", F.regexp_extract("symbol", r"\w+", 0)), "word").where("src <> dst").select("src", "dst", "symbol")
-    tested = pairs.join(chunks.select(F.col("id").alias("src"), "content"), "src").join(imports.withColumn("known", F.lit(True)), ["src", "dst"], "left")
-    has = lambda pre, post: F.col("content").contains(F.concat(F.lit(pre), "symbol", F.lit(post)))
-    new = F.col("known").isNull()
-    found = new & (has("", "(") | has("", ".") | has(" ", " ")) if strict else (new & has("", "(")) | has("", ".") | has(" ", " ")
-    references = tested.where(found).select("src", "dst").distinct()
+    forms = F.array(*[F.struct(F.concat(F.lit(pre), "symbol", F.lit(post)).alias("string"), F.lit(post == "(").alias("call")) for pre, post in (("", "("), ("", "."), (" ", " "))])
+    looked = cut(symbols.select("symbol").distinct().select("symbol", F.inline(forms)))
+    found = occurring(chunks, "id", "content", looked).join(looked, "string").groupBy(F.col("id").alias("src"), "symbol").agg(F.min("call").alias("only_calls"))
+    pairs = found.join(symbols, "symbol").where("src <> dst").groupBy("src", "dst").agg(F.min("only_calls").alias("guarded"))
+    known = pairs.join(imports.withColumn("known", F.lit(True)), ["src", "dst"], "left")
+    references = known.where(F.col("known").isNull() | F.lit(not strict) & ~F.col("guarded")).select("src", "dst")
     return imports.withColumn("kind", F.lit("imports")).unionByName(references.withColumn("kind", F.lit("references")))
 
 

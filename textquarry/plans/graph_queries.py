@@ -802,6 +802,22 @@ def chunk_relations(spark, t):
     return RT.relations(part_chunks(t))
 
 
+SQL_ENDS = "(select item_id as id, regexp_extract(text, '[A-Za-z]{4}\\b') as symbol, string_split(text, ' ')[2] as imported from benchmark)"
+
+
+@query(f"""with c as (select doc_id as id, text as content, '' as symbol, string_split(text, ' ')[2] as imported from documents), s as (select id + 10000000 as id, symbol from {SQL_ENDS} where length(symbol) >= 3),
+i as (select distinct c.id as src, s.id as dst from c join s on c.imported = s.symbol),
+r as (select distinct c.id as src, s.id as dst from c, s where (contains(content, s.symbol || '(') and (c.id, s.id) not in (select (src, dst) from i)) or contains(content, s.symbol || '.') or contains(content, ' ' || s.symbol || ' '))
+select src, dst, 'imports' as kind from i union all select src, dst, 'references' from r""")
+def symbol_references(spark, t):
+    """J10 GR10: whole texts that hold the symbols of other chunks, which here are the ends of words and so stand inside of longer ones."""
+    none = F.array().cast("array<string>")
+    word = F.get(F.split("text", " "), F.lit(1))
+    texts = t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), none.alias("symbols"), F.array(word).alias("imports"), none.alias("exports"))
+    names = t("benchmark").select((F.col("item_id") + 10_000_000).alias("id"), F.lit("").alias("content"), F.array(F.regexp_extract("text", r"[A-Za-z]{4}\b", 0)).alias("symbols"), none.alias("imports"), none.alias("exports"))
+    return RT.relations(texts.unionByName(names))
+
+
 STRATEGY_FILES = (
     ("src/a.ts", "class A extends Base implements Shape { x: Thing = load(1) }\nimport { foo, bar } from './lib'"),
     ("lib/m.py", "from os import path\nclass K(Parent):\n    @cached(1)\n    def run(self, a: Item) -> Result: pass"),
