@@ -802,7 +802,7 @@ def chunk_relations(spark, t):
     return RT.relations(part_chunks(t))
 
 
-SQL_ENDS = "(select item_id as id, regexp_extract(text, '[A-Za-z]{4}\\b') as symbol, string_split(text, ' ')[2] as imported from benchmark)"
+SQL_ENDS = "(select item_id as id, regexp_extract(text, '([A-Za-z]{4}) ', 1) as symbol, string_split(text, ' ')[2] as imported from benchmark)"
 
 
 @query(f"""with c as (select doc_id as id, text as content, '' as symbol, string_split(text, ' ')[2] as imported from documents), s as (select id + 10000000 as id, symbol from {SQL_ENDS} where length(symbol) >= 3),
@@ -814,7 +814,7 @@ def symbol_references(spark, t):
     none = F.array().cast("array<string>")
     word = F.get(F.split("text", " "), F.lit(1))
     texts = t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), none.alias("symbols"), F.array(word).alias("imports"), none.alias("exports"))
-    names = t("benchmark").select((F.col("item_id") + 10_000_000).alias("id"), F.lit("").alias("content"), F.array(F.regexp_extract("text", r"[A-Za-z]{4}\b", 0)).alias("symbols"), none.alias("imports"), none.alias("exports"))
+    names = t("benchmark").select((F.col("item_id") + 10_000_000).alias("id"), F.lit("").alias("content"), F.array(F.regexp_extract("text", "([A-Za-z]{4}) ", 1)).alias("symbols"), none.alias("imports"), none.alias("exports"))
     return RT.relations(texts.unionByName(names))
 
 
