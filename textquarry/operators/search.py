@@ -93,6 +93,41 @@ def rank_cd_approx(index: Index, queries: DataFrame) -> DataFrame:
     return index.of(asked).join(few(asked), "term").groupBy("query_id", index.key).agg((F.sum("tf") / (1 + F.log(F.max("doc_len").cast("double")))).alias("score"))
 
 
+#: Fixed value: the weight of a position that carries no weight of its own.
+POSITION_WEIGHT = 0.1
+
+
+def cover_scores(index: Index, queries: DataFrame, every: bool = False) -> DataFrame:
+    """(query_id, key, score): cover density over ln(1 + length), for all queries (query_id, terms array).
+
+    A cover is a shortest stretch of a document that fits the query: with `every`, one that has all terms and no shorter
+    one inside; else each occurrence of a term. It adds the weight of a position over one more than the number of words in
+    it that are no terms. The terms' position lists are merged, and one walk over them keeps each term's last place: where the
+    least of these moves on, the stretch from it to here is a cover. Documents without a cover are not listed.
+    """
+    asked = queries.select("query_id", F.posexplode(F.array_distinct("terms")).alias("no", "term"), F.size(F.array_distinct("terms")).alias("n"))
+    hit = index.of(asked).select(index.key, "term", "doc_len", "positions").join(few(asked), "term")
+    lists = hit.groupBy("query_id", index.key).agg(F.max("doc_len").alias("doc_len"), F.max("n").alias("n"), F.collect_list(F.struct("no", "positions")).alias("lists"))
+    length = F.log(F.lit(1.0) + F.col("doc_len"))
+    if not every:
+        found = F.aggregate("lists", F.lit(0), lambda s, x: s + F.size(x["positions"]))
+        return lists.select("query_id", index.key, (F.lit(POSITION_WEIGHT) * found / length).alias("score"))
+    merged = F.array_sort(F.flatten(F.transform("lists", lambda x: F.transform(x["positions"], lambda p: F.struct(p.cast("int").alias("pos"), x["no"].alias("no"))))))
+    place = lambda pos, at: F.struct(pos.cast("int").alias("pos"), at.cast("int").alias("at"))
+    state = lambda last, at, low, score: F.struct(last.alias("last"), at.cast("int").alias("at"), low.cast("int").alias("low"), score.cast("double").alias("score"))
+
+    def step(s: Column, e: Column) -> Column:
+        last = F.transform(s["last"], lambda x, i: F.when(i == e["no"], place(e["pos"], s["at"])).otherwise(x))
+        least = F.array_min(last)
+        words = (e["pos"] - least["pos"]) - (s["at"] - least["at"])
+        moved = (least["pos"] >= 0) & (least["pos"] > s["low"])
+        return state(last, s["at"] + 1, F.when(moved, least["pos"]).otherwise(s["low"]), s["score"] + F.when(moved, F.lit(POSITION_WEIGHT) / (words + 1)).otherwise(0.0))
+
+    start = state(F.array_repeat(place(F.lit(-1), F.lit(-1)), F.col("n")), F.lit(0), F.lit(-1), F.lit(0.0))
+    covered = lists.where(F.size("lists") == F.col("n")).withColumn("score", F.aggregate(merged, start, step)["score"])
+    return covered.select("query_id", index.key, (F.col("score") / length).alias("score"))
+
+
 def keyword_search(scored: DataFrame, docs: DataFrame, queries: DataFrame, key: str, k: int = 10, boost: float = 3.0, only: Column | None = None) -> DataFrame:
     """(query_id, key, bm25_score, boost, score, rank): of the 2k best of each query the k best after the boost of exact symbols.
 

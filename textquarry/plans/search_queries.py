@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.text import identifier_variations, query_terms, quoted_phrases, tokens, without_phrases
 from textquarry.operators import search as S
+from textquarry.operators.segments import SegmentedIndex
 from textquarry.operators.windows import top_per_group
 from textquarry.plans.registry import long, number, pick, query, sql_list, sql_pick
-from textquarry.storage import built_once
+from textquarry.storage import built_once, fresh_dir
 
 ASKED = {1: ["tion", "the", "edonre"], 2: ["que", "elle"], 3: ["der", "enheit", "ungen"], 4: ["worthless"]}
 SQL_TOKENS = r"regexp_extract_all(lower(replace(regexp_replace(coalesce(text,''), '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g'), '_', ' ')), '[\p{L}\p{N}]+')"
@@ -53,6 +54,41 @@ def keyword_rank_cd(spark, t):
     return S.rank_cd_approx(stored_index(t), asked(spark)).select("query_id", "doc_id", number("score").alias("score"))
 
 
+@query(f"""
+with w as (select doc_id, {SQL_TOKENS} as ws from documents), asked as ({SQL_ASKED}), tok as (select doc_id, len(ws) as len, unnest(ws) as term from w)
+select query_id, doc_id, round(0.1 * count(*) / ln(max(len) + 1), 6) as score from tok join asked using (term) group by query_id, doc_id""")
+def keyword_cover_rank(spark, t):
+    """K5: cover density of any of the terms, divided by the logarithm of the length."""
+    return S.cover_scores(stored_index(t), asked(spark)).select("query_id", "doc_id", number("score").alias("score"))
+
+
+COVERED = {1: ["the", "of", "and"], 2: ["de", "la"], 3: ["und", "der"]}
+
+
+@query(f"""
+with w as (select doc_id, {SQL_TOKENS} as ws from documents), tok as (select doc_id, len(ws) as len, unnest(ws) as term, unnest(range(len(ws))) as pos from w),
+asked(query_id, n, no, term) as (values {", ".join(f"({q}, {len(ts)}, {i}, '{x}')" for q, ts in COVERED.items() for i, x in enumerate(ts))}),
+e as (select query_id, doc_id, len, n, pos, no, row_number() over (partition by query_id, doc_id order by pos) as i from tok join asked using (term)),
+m as (select *, max(case when no = 0 then pos end) over o as p0, max(case when no = 1 then pos end) over o as p1, case when n > 2 then max(case when no = 2 then pos end) over o else pos end as p2 from e window o as (partition by query_id, doc_id order by pos)),
+c as (select query_id, doc_id, len, least(p0, p1, p2) as p, min(pos) as q, min(i) as iq from m where p0 is not null and p1 is not null and p2 is not null group by all)
+select query_id, doc_id, round(sum(0.1 / (1 + (q - p) - (iq - e.i))) / ln(max(c.len) + 1), 6) as score from c join e using (query_id, doc_id) where e.pos = c.p group by query_id, doc_id""")
+def keyword_cover_every(spark, t):
+    """K5: cover density of all terms together."""
+    queries = spark.createDataFrame(list(COVERED.items()), "query_id int, terms array<string>")
+    return S.cover_scores(stored_index(t), queries, every=True).select("query_id", "doc_id", number("score").alias("score"))
+
+
+@query(BM25.replace("from documents)", "from (select doc_id, case when doc_id % 7 = 0 then 'tion worthless ' || text else text end as text from documents where doc_id % 11 <> 0))") + "select query_id, doc_id, round(score, 6) as score from scored")
+def index_upkeep(spark, t):
+    """K1 ST1 ST9: an index that took its table in batches of changes scores as one of the last state."""
+    index = SegmentedIndex.create(spark, fresh_dir(spark, "segments"), "doc_id")
+    d, k = t("documents").select("doc_id", "text", F.lit(0).alias("seq")), F.col("doc_id")
+    changed = d.withColumn("text", F.concat(F.lit("tion worthless "), F.coalesce("text", F.lit(""))))
+    for change, rows in (("A", d.where(k % 5 != 1)), ("A", d.where(k % 5 == 1)), ("M", changed.where(k % 7 == 0)), ("D", d.where(k % 11 == 0))):
+        index.apply(rows.withColumn("change", F.lit(change)))
+    return S.index_scores(index, asked(spark)).select("query_id", "doc_id", number("score").alias("score"))
+
+
 @query(BM25 + "select query_id, doc_id, round(score, 6) as score from scored")
 def keyword_bm25_scan(spark, t):
     """K4 K5: the same scores without an index, in one pass over the documents."""
@@ -64,7 +100,12 @@ SQL_SYMBOLS = "list_distinct(ws[1:12])"
 
 
 def symbol_docs(t):
-    """Documents with the first words as their symbols."""
+    """Documents with the first words as their symbols, stored beside the index when first asked for."""
+    path = built_once(t.spark, "symbols", t.path("documents"), lambda out: _symbol_docs(t).write.parquet(out))
+    return t.spark.read.parquet(path)
+
+
+def _symbol_docs(t):
     return t("documents").select("doc_id", "lang", "source", F.array_distinct(F.slice(tokens(F.col("text")), 1, 12)).alias("symbols"))
 
 
