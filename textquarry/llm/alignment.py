@@ -38,7 +38,7 @@ from textquarry.llm.spaces import RUN, laid_out, space_chunks
 from textquarry.llm.token_files import open_fs, pieces, tokenizer_path
 
 #: Chunks that a worker remembers, and the longest such; distinct pairs that a task holds before it passes them on; bytes of a line.
-MOST_CHUNKS, LONG_CHUNK, MOST_PAIRS, LINE = 300_000, 200, 2_000_000, 32_000
+MOST_CHUNKS, LONG_CHUNK, MOST_PAIRS, LINE = 1_000_000, 200, 2_000_000, 32_000
 #: Texts that are encoded whole: they begin or end with a space, have white space before a space, or the sign that B writes for a space.
 ODD = f"^ | $|{RUN}|▁"
 SHARD = pa.schema([("key", pa.int64()), ("n", pa.int64())])
@@ -93,9 +93,11 @@ def _pair(a: str, b: str) -> Pair:
 
 def links(ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(packed ids of each link, where each link's bytes end, where each group's bytes end) of one line."""
-    ends = np.union1d(ends_a, ends_b)
+    both = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+    twice = both[1:] == both[:-1]
+    ends = both[np.concatenate([[True], ~twice])]
     keys = ids_a[np.searchsorted(ends_a, ends)] << 32 | ids_b[np.searchsorted(ends_b, ends)]
-    return keys, ends, np.intersect1d(ends_a, ends_b, assume_unique=True)
+    return keys, ends, both[1:][twice]
 
 
 class Aligner:
@@ -106,9 +108,10 @@ class Aligner:
         self.odd = ODD if self.pair.cuts else "(?s)."
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Facts (and keys, or spelled groups) of new chunks. Chunks that end with other than white space are encoded in lines."""
-        plain = [c for c in chunks if not c[-1].isspace() and len(c) <= LONG_CHUNK and not re.search(r"\s |▁", c[1:])]
+    def _learn(self, chunks: list[str], texts: list[str]) -> dict[str, bytes]:
+        """Facts (and keys, or spelled groups) of new chunks and beginnings of texts. What has no odd spaces is encoded in lines."""
+        plain = [c for c in chunks if len(c) <= LONG_CHUNK and not c[-1].isspace()]
+        plain += [c for c in texts if len(c) <= LONG_CHUNK and not c[-1].isspace() and not re.search(r"\s |▁", c[1:])]
         out: dict[str, bytes] = {}
         line: list[str] = []
         held = 0
@@ -120,7 +123,7 @@ class Aligner:
                 line, held = [], 0
         if line:
             self._line(line, out)
-        for c in set(chunks) - out.keys():
+        for c in {*chunks, *texts} - out.keys():
             self._line([c], out)
         return out
 
@@ -138,10 +141,9 @@ class Aligner:
         keys, ends, groups = links(ids_a, ids_b, ends_a, ends_b)
         at = np.searchsorted(ends, stops, "right")
         if self.counts is None:
-            facts = np.zeros((len(chunks), FACTS), np.int64)
-            facts[:, 0] = 1
-            for c, f, i, j in zip(chunks, facts, [0, *at], at):
-                out[c] = f.tobytes() + keys[i:j].tobytes()
+            facts, packed, upto = np.eye(1, FACTS, dtype=np.int64).tobytes(), keys.tobytes(), (8 * at).tolist()
+            for c, i, j in zip(chunks, [0, *upto], upto):
+                out[c] = facts + packed[i:j]
             return
         each = lambda x: np.diff(np.searchsorted(x, stops, "right"), prepend=0)
         over = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[at], prepend=0)
@@ -160,11 +162,9 @@ class Aligner:
         """(facts of each chunk, the rest of what is known of it, each text's chunks by number, where each text's end)."""
         chunks, spaced, codes, ends = space_chunks(texts, self.odd)
         chunks[spaced:] = [" " + c for c in chunks[spaced:]]
-        new = list(dict.fromkeys(c for c in chunks if c not in self.known))
-        if len(self.known) + len(new) > MOST_CHUNKS:
+        if len(self.known) + len(chunks) > MOST_CHUNKS:
             self.known.clear()
-            new = list(dict.fromkeys(chunks))
-        fresh = self._learn(new)
+        fresh = self._learn(*([c for c in part if c not in self.known] for part in (chunks[:spaced], chunks[spaced:])))
         known = [self.known.get(c) or fresh[c] for c in chunks]
         self.known |= {c: f for c, f in fresh.items() if len(c) <= LONG_CHUNK}
         head = FACTS * 8
