@@ -57,24 +57,72 @@ def hubs(edges: DataFrame, threshold: int, limit: int, most_importers: int = 10)
     return first.groupBy("dst", "n").agg(F.array_sort(F.collect_list("src")).alias("importers")).withColumnRenamed("dst", "node")
 
 
-def prune_acyclic(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """Edges between nodes that have both incoming and outgoing edges, to a fixpoint: all that cycles can use."""
-    e, n = cut(edges.where("src <> dst").distinct()), -1
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): strongly connected components of two nodes or more, named by their greatest node.
+
+    Each round: nodes without an edge in or out go; the greatest node from which each can be reached goes along the edges as its
+    colour; of each colour, those that can reach back to the node that gave it are a component. They go, and so do edges between
+    colours, over which no cycle leads. Every step is a join and a partial aggregation; what a round leaves is written, and what it
+    finds is never collected. A round walks as far as the longest of the shortest ways inside what is left.
+    """
+    e = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    found = None
+    while True:
+        e = _trimmed(e)
+        if not e.limit(1).count():
+            break
+        colour = cut(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
+        front = colour
+        while front.limit(1).count():  # only nodes whose colour has just changed tell others
+            told = front.join(e, F.col("node") == e.src).groupBy("dst").agg(F.max("colour").alias("new"))
+            both = colour.join(told, colour.node == told.dst, "left").select("node", "colour", "new")
+            nxt = cut(both.select("node", F.greatest("colour", "new").alias("colour"), (F.col("new") > F.col("colour")).alias("changed")))
+            colour, front = nxt.select("node", "colour"), nxt.where("changed").select("node", "colour")
+        own = e.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("d")), "dst").where("c = d").select("src", "dst", "c")
+        own = cut(own)
+        reached = colour.where("node = colour").select("node", F.col("colour").alias("component"))
+        front = reached
+        while front.limit(1).count():
+            step = front.join(own, (F.col("node") == own.dst) & (F.col("component") == own.c)).select(F.col("src").alias("node"), "component").distinct()
+            front = cut(step.join(reached, "node", "left_anti"))
+            reached = cut(reached.unionByName(front))
+        sizes = reached.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+        new = cut(reached.join(sizes, "component", "left_semi").select("node", "component"))
+        found = new if found is None else found.unionByName(new)
+        gone = reached.select("node")
+        e = cut(own.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    if found is None:
+        kind = dict(edges.dtypes)["src"]
+        return edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
+    return found
+
+
+def _trimmed(e: DataFrame, rounds: int = 3) -> DataFrame:
+    """Without edges of nodes that have none in or none out; a few rounds, as colours settle what is left."""
+    n = e.count()
     for _ in range(rounds):
+        e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         m = e.count()
         if m == n:
             break
         n = m
-        e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
     return e
 
 
+def cyclic_edges(edges: DataFrame) -> DataFrame:
+    """(src, dst, component): the edges inside of components, which are all that cycles can use."""
+    c = cut(components(edges))
+    e = edges.where("src <> dst").select("src", "dst").distinct()
+    inside = e.join(c.select(F.col("node").alias("src"), "component"), "src").join(c.select(F.col("node").alias("dst"), F.col("component").alias("_c")), "dst")
+    return cut(inside.where("component = _c").select("src", "dst", "component"))
+
+
 def cycles(edges: DataFrame, most: int = 6) -> DataFrame:
     """(cycle, cycle_type): all simple cycles of up to `most` nodes, from their least node; direct: two nodes.
 
-    Paths only visit nodes above their start, so each cycle is found once.
+    Paths stay inside a strongly connected component and only visit nodes above their start, so each cycle is found once.
     """
-    e = prune_acyclic(edges).select("src", "dst")
+    e = cyclic_edges(edges).select("src", "dst")
     paths = e.where("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
     found = None
     for length in range(2, most + 1):

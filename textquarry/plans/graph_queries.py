@@ -67,6 +67,16 @@ def cycles(spark, t):
     return G.cycles(nation_edges(t)).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"), "cycle_type")
 
 
+@query("""with recursive e as (select p_partkey as src, p_partkey - p_partkey % 10 + (p_partkey * 3 + p_size) % 10 as dst from part union select p_partkey, p_partkey + 10 from part where p_partkey % 10 = p_size % 10 and p_partkey % 50 < 40),
+r(a, b) as (select src, dst from e where src <> dst union select r.a, e.dst from r join e on r.b = e.src where e.src <> e.dst)
+select x.a as node, max(x.b) as component from r x join r y on x.a = y.b and x.b = y.a group by x.a""")
+def strong_components(spark, t):
+    """GR3 GR11: strongly connected components of files, with much that no cycle uses."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    inside = t("part").select(k.alias("src"), (k - k % 10 + (k * 3 + size) % 10).alias("dst"))
+    return G.components(inside.union(t("part").where((k % 10 == size % 10) & (k % 50 < 40)).select(k, k + 10)))
+
+
 @query(f"""with recursive e as (select * from {NATION_EDGES}), b(root, node, depth) as (select n_nationkey, n_nationkey, 0 from nation where n_nationkey < 5 union select root, e.dst, depth + 1 from b join e on b.node = e.src where depth < 4)
 select root, node, cast(min(depth) as integer) as depth from b group by root, node""")
 def bfs_depth(spark, t):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textquarry.functions.text import identifier_variations, query_terms, quoted_phrases, tokens, without_phrases
 from textquarry.operators import search as S
 from textquarry.operators.segments import SegmentedIndex
+from textquarry.operators.trigrams import TrigramIndex
 from textquarry.operators.windows import top_per_group
 from textquarry.plans.registry import long, number, pick, query, sql_list, sql_pick
 from textquarry.storage import built_once, fresh_dir
@@ -298,6 +299,27 @@ def grep_words(spark, t):
     return S.grep(t("documents"), "doc_id", "text", "idiot|moron", 500, word=True).select("doc_id", F.col("line_no").cast("int").alias("line_no"))
 
 
+def trigram_index(t):
+    path = built_once(t.spark, "trigrams", t.path("documents"), lambda out: TrigramIndex.write(t("documents"), "doc_id", "text", out))
+    return TrigramIndex(t.spark, path, "doc_id", "text")
+
+
+PATTERN = "(worth|value)less [a-z]+|idiots? "
+
+
+@query(f"select doc_id, cast(line_no as integer) as line_no, line from {LINES} where regexp_matches(line, '{PATTERN}') order by doc_id, line_no limit 1000")
+def grep_indexed(spark, t):
+    """H5 H6 H7: a pattern looked for in the texts that have its trigrams."""
+    return trigram_index(t).grep(PATTERN).select("doc_id", F.col("line_no").cast("int").alias("line_no"), "line")
+
+
+@query("select doc_id from documents where regexp_matches(text, 'token') union all select doc_id from documents where regexp_matches(text, ' (?:de la|of the) ')")
+def indexed_candidates(spark, t):
+    """H5: whole texts by the index, checked by the pattern."""
+    index = trigram_index(t)
+    return index.texts("token", fixed=True).where(F.col("text").contains("token")).select("doc_id").unionAll(index.texts(" (?:de la|of the) ").where(F.col("text").rlike(" (?:de la|of the) ")).select("doc_id"))
+
+
 @query(f"""select doc_id, cast(line_no as integer) as line_no, line, (select len(string_split(text, chr(10))) > 4 from documents x where x.doc_id = l.doc_id) as truncated from {LINES} l where line_no between 2 and 4""")
 def file_slices(spark, t):
     """Three lines from the second."""
