@@ -14,6 +14,7 @@ from textquarry.operators import similarity as SIM
 from textquarry.plans.registry import expected, expected_rows, long, number, pick, query, sql_pick
 from textquarry.plans.shared import SQL_CHUNKS, SQL_WORDS, located, sql_likeness
 from textquarry.storage import fresh_dir
+from textquarry.streaming import keyed as KS
 from textquarry.streaming import state as ST
 
 
@@ -742,6 +743,34 @@ def poll_decisions(spark, t):
     return ST.poll_decisions(e, "user_id", "head", ["ts", "event_id"], F.col("value") > 95, F.col("value") > 50).select("user_id", "event_id", "decision")
 
 
+def queue_events(t):
+    """Events as what happens to jobs of users and their kinds."""
+    kind = F.when(F.col("event_id") % 3 == 0, "finish").when(F.col("event_id") % 7 == 0, "start").otherwise("enqueue")
+    return t("events").select(F.col("user_id").cast("string").alias("repo"), "event_type", F.lit("main").alias("branch"), F.concat(F.lit("j"), "event_id").alias("job"), kind.alias("kind"), "ts", F.col("event_id").alias("seq"))
+
+
+@query("""with e as (select cast(user_id as varchar) as repo, event_id as seq, ts, case when event_id % 3 = 0 then 'finish' when event_id % 7 = 0 then 'start' else 'enqueue' end as kind from events),
+w as (select *, lag(kind) over (partition by repo order by ts, seq) as before from e where kind <> 'start') select repo, 'main' as branch, 'j' || seq as job, seq, case when coalesce(before, 'finish') = 'finish' then 'accepted' else 'duplicate' end as decision from w where kind = 'enqueue'""")
+def job_decisions(spark, t):
+    """ST2: enqueued jobs, of which one is pending or running per repository and branch."""
+    return KS.job_decisions(queue_events(t))
+
+
+@query("""with recursive e as (select cast(user_id as varchar) as feature, event_id as seq, 'o' || event_id % 3 as owner, case when event_id % 5 = 0 then 'release' else 'acquire' end as kind, epoch_ms(ts) as ms, row_number() over (partition by user_id order by ts, event_id) as i from events),
+s(feature, i, seq, asks, decision, holder, since) as (select feature, i, seq, owner, case when kind = 'acquire' then 'acquired' else 'not held' end, case when kind = 'acquire' then owner end, case when kind = 'acquire' then ms end from e where i = 1
+union all select e.feature, e.i, e.seq, e.owner,
+  case when kind = 'release' then case when holder = owner then 'released' else 'not held' end when holder is null then 'acquired' when holder = owner then 'renewed' when ms - since > 43200000 then 'taken over' else 'refused' end,
+  case when kind = 'release' then case when holder = owner then null else holder end when holder is null or holder = owner or ms - since > 43200000 then owner else holder end,
+  case when kind = 'release' then case when holder = owner then null else since end when holder is null or holder = owner or ms - since > 43200000 then ms else since end
+  from s join e on e.feature = s.feature and e.i = s.i + 1)
+select feature, seq, asks as owner, decision from s""")
+def lock_decisions(spark, t):
+    """ST8: locks of features: acquired, refused, released, and taken over when stale."""
+    kind = F.when(F.col("event_id") % 5 == 0, "release").otherwise("acquire")
+    events = t("events").select(F.col("user_id").cast("string").alias("feature"), F.concat(F.lit("o"), (F.col("event_id") % 3).cast("string")).alias("owner"), kind.alias("kind"), "ts", F.col("event_id").alias("seq"))
+    return KS.lock_decisions(events, 720)
+
+
 @query("""select event_id, coalesce(epoch(ts) - epoch(lag(ts) over (partition by user_id, event_type order by ts)) <= 86400, false) as hit from events""")
 def cache_ttl(spark, t):
     """ST5: hits of a cache with a time to live."""
