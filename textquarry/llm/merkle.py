@@ -1,29 +1,33 @@
 """Document fingerprints: a Merkle tree over words, paragraphs and sections, with boundaries that follow the content.
 
-A text splits into words at spaces and line ends. The end of a word has a rank: how many times a hash of the
+A text splits into words at spaces and line ends; of a word of more than LONG bytes the pieces between places that its bytes
+choose, at most LONG bytes further each time, are words. The end of a word has a rank: how many times a hash of the
 word and the one before it divides by four. A paragraph's last word has two more. A node of level 0 is a word with the space or line end after it; a node of level j is
 a stretch that ends after a word of rank j or more. So level 1 are phrases, level 2 paragraphs (lines; long lines are cut after
 about 16 words), and from level 3 on sections, each level of about four of those below. An edit moves no boundary but those beside it.
 A word's digest hashes its exact bytes, a node's digest its children's digests in order, so equal roots mean equal texts,
 and of two trees only branches with different digests need to be entered to find the edits.
 
-A fingerprint string holds the root and, from the finest level that has at most MOST_NODES nodes up to the top, each
-level's digests: a word each for a text of few words, phrases or sections for longer ones, and never more than the law of
-that one bound. The likeness of two is found by the walk from the roots down to the finest level that both hold: nodes that
-are met in both trees are common, all below them is, and of what is not common the children are compared, down to that
-level. It is the Dice share of that level's nodes under common ones, with repeats.
+A fingerprint string holds the root, a letter (six bits of the digest) for each word, and the digests of all nodes from
+paragraphs up with the number of their children: about two letters for each word, at every size. The likeness of two is the share
+of words that both have. The walk from the roots finds equal nodes, in order among those of one name, and enters only what differs. Between
+equal neighbours, what is left of one text lies beside what is left of the other: there the letters that agree from the
+left and from the right count, and between these the words in runs of four letters that both sides have. That is one law at every size,
+and one changed word costs one word.
 
 Defined cases: a null text is the empty text; texts without characters have equal fingerprints and likeness 1; equal
-texts, wherever they are, have equal fingerprints; a table with one row is its own next document; an empty table
+texts, wherever they are, have equal fingerprints; a run of one word, and a text without spaces, are compared by letters like any other;
+a table with one row is its own next document; an empty table
 gives no rows; repeated doc_ids are ordered by a hash of their text; a null doc_id comes after all others; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b, sha256
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +36,9 @@ from pyspark.sql import functions as F
 
 from textquarry.llm.common import cut, text_or_empty
 
-#: Nodes that the finest level of a fingerprint may have, and hex digits of each in it.
-MOST_NODES, NODE_HEX = 128, 12
+#: The level of paragraphs, the finest of which a fingerprint holds digests; hex digits of each; letters of words; a long word's bytes.
+PARAGRAPHS, NODE_HEX, RUN, LONG = 2, 12, 4, 64
+LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", dtype=np.uint8)
 #: A paragraph's end counts as this rank more than its last word's.
 PARAGRAPH_RANK = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -50,26 +55,45 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Tree:
     """levels[j]: (digests, first[j]), where node i's children in the level below are first[i] to first[i+1]; level 0 has
-    byte offsets instead. The root is over the last level."""
+    byte offsets instead. `inner` marks words that go on in the next one. The root is over the last level."""
 
     root: str
     levels: list[tuple[np.ndarray, np.ndarray]]
+    inner: np.ndarray
 
 
-def _words(text: bytes) -> tuple[list[bytes], np.ndarray]:
-    """The pieces between spaces and line ends, and which of them end a paragraph."""
+def _words(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The pieces between spaces and line ends, which of them end a paragraph, and which go on in the next."""
     lines = [line.split(b" ") for line in text.split(b"\n")]
     pieces = lines[0] if len(lines) == 1 else [w for line in lines for w in line]
     ends = np.zeros(len(pieces), dtype=bool)
     ends[np.cumsum([len(line) for line in lines[:-1]], dtype=np.int64) - 1] = True
-    return pieces, ends
+    inner = np.zeros(len(pieces), dtype=bool)
+    if max(map(len, pieces)) > LONG:
+        cut = [_cut(w) if len(w) > LONG else [w] for w in pieces]
+        last = np.cumsum([len(c) for c in cut]) - 1
+        pieces, inner = [w for c in cut for w in c], np.ones(last[-1] + 1, dtype=bool)
+        inner[last] = False
+        spread = np.zeros(len(pieces), dtype=bool)
+        spread[last[ends]] = True
+        ends = spread
+    return pieces, ends, inner
+
+
+def _cut(word: bytes) -> list[bytes]:
+    """A long word in pieces: after bytes at which a hash of the last four has a zero in 32, and after LONG bytes without such."""
+    x = np.frombuffer(word, dtype=np.uint8).astype(np.uint64)
+    x = _mixed(x[3:] | x[2:-1] << np.uint64(8) | x[1:-2] << np.uint64(16) | x[:-3] << np.uint64(24))
+    chosen = np.flatnonzero((x & np.uint64(31)) == 0) + 4
+    bounds = [0, *chosen[chosen < len(word)].tolist(), len(word)]
+    return [word[i : min(i + LONG, stop)] for start, stop in zip(bounds, bounds[1:]) for i in range(start, stop, LONG)]
 
 
 def merkle_tree(text: bytes) -> Tree:
     """The whole tree, with byte offsets, to locate edits."""
     import xxhash
 
-    pieces, ends = _words(text)
+    pieces, ends, inner = _words(text)
     n = len(pieces)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces), dtype=np.uint64, count=n)
     sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=n)
@@ -79,8 +103,8 @@ def merkle_tree(text: bytes) -> Tree:
     pairs = _mixed(pairs)
     low = (pairs & (~pairs + np.uint64(1))).astype(np.float64)
     rank = np.minimum(np.log2(np.maximum(low, 1)).astype(np.int64) // 2, 24) + PARAGRAPH_RANK * ends
-    digests = _mixed(hashes ^ (ends.astype(np.uint64) * _ODD))
-    levels = [(digests, np.concatenate([[0], np.cumsum(sizes + 1)]))]
+    digests = _mixed(hashes ^ ((ends + 2 * inner).astype(np.uint64) * _ODD))
+    levels = [(digests, np.concatenate([[0], np.cumsum(sizes + ~inner)]))]
     while len(digests) > 1:
         stop = rank >= len(levels)
         stop[-1] = True
@@ -90,7 +114,7 @@ def merkle_tree(text: bytes) -> Tree:
         digests = _mixed(np.add.reduceat(parts, first[:-1]) ^ np.diff(first).astype(np.uint64))
         rank = rank[stop]
         levels.append((digests, first))
-    return Tree(blake2b(digests.tobytes() + len(text).to_bytes(8, "little"), digest_size=8).hexdigest(), levels)
+    return Tree(blake2b(digests.tobytes() + len(text).to_bytes(8, "little"), digest_size=8).hexdigest(), levels, inner)
 
 
 def edits(a: Tree, b: Tree, size: int) -> list[tuple[int, int]]:
@@ -108,7 +132,7 @@ def edits(a: Tree, b: Tree, size: int) -> list[tuple[int, int]]:
     at = b.levels[0][1]
     out: list[tuple[int, int]] = []
     for i in open_nodes.tolist():
-        start, stop = int(at[i]), min(int(at[i + 1]) - 1, size)
+        start, stop = int(at[i]), min(int(at[i + 1]) - (not b.inner[i]), size)
         if out and out[-1][1] + 1 >= start:
             out[-1] = (out[-1][0], stop)
         else:
@@ -117,73 +141,133 @@ def edits(a: Tree, b: Tree, size: int) -> list[tuple[int, int]]:
 
 
 def fingerprint(text: bytes) -> str:
-    """root:level:digests of that level;of the next;... up to the top. Node i of a level ends where its own last child does."""
+    """root:letters:digests and, after a point, numbers of children of paragraphs;of the level above;... up to the top."""
     tree = merkle_tree(text)
-    finest = next(j for j, (d, _) in enumerate(tree.levels) if len(d) <= MOST_NODES)
-    shown = []
-    for j in range(finest, len(tree.levels)):
-        digests, first = tree.levels[j]
-        names = digests.astype(">u8").tobytes().hex()
-        counts = "" if j == finest else "." + ".".join(map(str, np.diff(first).tolist()))
-        shown.append("".join(names[i : i + NODE_HEX] for i in range(0, len(names), 16)) + counts)
-    return f"{tree.root}:{finest}:{';'.join(shown)}"
-
-
-def _levels(shown: str) -> tuple[int, list[tuple[list[str], list[int]]]]:
-    _, finest, body = shown.split(":")
-    out = []
-    for part in body.split(";"):
+    letters = LETTERS[(tree.levels[0][0] & np.uint64(63)).astype(np.int64)].tobytes().decode()
+    shown, per = [], np.ones(len(letters), dtype=np.int64)
+    for j, (digests, first) in enumerate(tree.levels[1:], 1):
+        per = np.add.reduceat(per, first[:-1]) if j <= PARAGRAPHS else np.diff(first)  # of a paragraph its words
+        if j >= PARAGRAPHS:
+            names = digests.astype(">u8").tobytes().hex()
+            shown.append("".join(names[i : i + NODE_HEX] for i in range(0, len(names), 16)) + "." + ".".join(map(str, per.tolist())))
+    return f"{tree.root}:{letters}:{';'.join(shown)}"
+
+
+def _levels(shown: str) -> tuple[bytes, list[tuple[list[str], list[int]]], list[list[int]]]:
+    """Letters; by level names and where each node's children begin (of paragraphs: words); and where each node begins in paragraphs."""
+    _, letters, body = shown.split(":")
+    out: list[tuple[list[str], list[int]]] = []
+    for part in body.split(";") if body else ():
         names, *counts = part.split(".")
-        out.append(([names[i : i + NODE_HEX] for i in range(0, len(names), NODE_HEX)], list(map(int, counts))))
-    return int(finest), out
+        out.append(([names[i : i + NODE_HEX] for i in range(0, len(names), NODE_HEX)], [0, *accumulate(map(int, counts))]))
+    begins = [list(range(len(out[0][0]) + 1))] if out else []
+    for _, first in out[1:]:
+        begins.append([begins[-1][i] for i in first])
+    return letters.encode(), out, begins
+
+
+def _equal_paragraphs(x: list, y: list, at_x: list[list[int]], at_y: list[list[int]]) -> list[int]:
+    """For each paragraph of x its equal in y or -1: by a walk from the tops that enters only nodes without an equal."""
+    partner = [-1] * (len(x[0][0]) if x else 0)
+    open_x, open_y = list(range(len(x[-1][0]) if x else 0)), list(range(len(y[-1][0]) if y else 0))
+    for level in range(max(len(x), len(y)) - 1, -1, -1):
+        if level < min(len(x), len(y)):
+            waiting: dict[str, deque[int]] = defaultdict(deque)
+            for j in open_y:
+                waiting[y[level][0][j]].append(j)
+            rest, taken = [], set()
+            for i in open_x:
+                same = waiting.get(x[level][0][i])
+                if same:
+                    j = same.popleft()
+                    taken.add(j)
+                    partner[at_x[level][i] : at_x[level][i + 1]] = range(at_y[level][j], at_y[level][j + 1])
+                else:
+                    rest.append(i)
+            open_x, open_y = rest, [j for j in open_y if j not in taken]
+        if level:
+            open_x, open_y = (_children(nodes, side, level) if level < len(side) else nodes for nodes, side in ((open_x, x), (open_y, y)))
+    return partner
+
+
+def _children(nodes: list[int], side: list, level: int) -> list[int]:
+    first = side[level][1]
+    return [c for i in nodes for c in range(first[i], first[i + 1])]
+
+
+def _agree(a: bytes, b: bytes) -> int:
+    """Letters that agree from the left."""
+    if a[:1] != b[:1]:
+        return 0
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
+    return int(differ[0]) if len(differ) else n
+
+
+#: The six bits of each letter, and a place for each run of letters.
+_BITS = np.zeros(256, dtype=np.int64)
+_BITS[LETTERS] = np.arange(64)
+_RUNS = np.zeros(1 << 6 * RUN, dtype=bool)
+
+
+def _in_runs(a: bytes, b: bytes) -> int:
+    """Letters of a in runs of RUN that b has too, and of b in such of a: the lesser number."""
+    if min(len(a), len(b)) < RUN:
+        return 0
+    codes = []
+    for side in (a, b):
+        x = _BITS[np.frombuffer(side, np.uint8)]
+        codes.append(sum(x[k : len(x) - RUN + 1 + k] << 6 * k for k in range(RUN)))
+    covered = []
+    for p, q in (codes, codes[::-1]):
+        _RUNS[q] = True
+        at = np.flatnonzero(_RUNS[p])
+        _RUNS[q] = False
+        covered.append(int(np.minimum(np.diff(at, append=at[-1:] + RUN), RUN).sum()))
+    return min(covered)
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1; 1 for equal fingerprints alone. A walk from the roots that enters differing branches only."""
+    """0 to 1; 1 for equal fingerprints alone: twice the words that both have, of all words of both."""
     if a == b:
         return 1.0
-    (fa, x), (fb, y) = _levels(a), _levels(b)
-    finest, top = max(fa, fb), max(fa + len(x), fb + len(y)) - 1
-    finest = min(finest, fa + len(x) - 1, fb + len(y) - 1)
-    if finest < max(fa, fb):  # one text's whole tree ends below the finest level that the other shows
-        return 0.0
-    sides = [(f, s, _sizes(f, s, finest)) for f, s in ((fa, x), (fb, y))]
-    whole = sum(len(s[finest - f][0]) for f, s, _ in sides)
-    shared = 0
-    # Open nodes of each side, from its own top; a side without a level has nothing to show at it yet.
-    open_nodes = [list(range(len(s[-1][0]))) for _, s, _ in sides]
-    for level in range(top, finest - 1, -1):
-        if all(level < f + len(s) for f, s, _ in sides):
-            own = [Counter(s[level - f][0][i] for i in nodes) for (f, s, _), nodes in zip(sides, open_nodes)]
-            common = own[0] & own[1]
-            for side, ((f, s, sizes), nodes) in enumerate(zip(sides, open_nodes)):
-                left, rest = Counter(common), []
-                for i in nodes:
-                    name = s[level - f][0][i]
-                    if left[name]:
-                        left[name] -= 1
-                        shared += sizes[level][i]
-                    else:
-                        rest.append(i)
-                open_nodes[side] = rest
-        if level > finest:
-            for side, (f, s, _) in enumerate(sides):
-                if level < f + len(s):
-                    starts = np.concatenate([[0], np.cumsum(s[level - f][1])]).tolist()
-                    open_nodes[side] = [c for i in open_nodes[side] for c in range(starts[i], starts[i + 1])]
-    return min(shared / max(1, whole), 1 - 1e-9)
-
-
-def _sizes(f: int, levels: list[tuple[list[str], list[int]]], finest: int) -> dict[int, list[int]]:
-    """By level, how many nodes of the level `finest` stand below each node."""
-    out = {finest: [1] * len(levels[finest - f][0])}
-    for level in range(finest + 1, f + len(levels)):
-        below, at = out[level - 1], 0
-        out[level] = []
-        for n in levels[level - f][1]:
-            out[level].append(sum(below[at : at + n]))
-            at += n
-    return out
+    (p, x, at_x), (q, y, at_y) = _levels(a), _levels(b)
+    partner = _equal_paragraphs(x, y, at_x, at_y)
+    back = [-1] * (len(y[0][0]) if y else 0)
+    for i, j in enumerate(partner):
+        if j >= 0:
+            back[j] = i
+    ends_p, ends_q = (s[0][1] if s else [0, len(w)] for s, w in ((x, p), (y, q)))  # a text below a paragraph is one gap
+    shared = sum(ends_p[i + 1] - ends_p[i] for i, j in enumerate(partner) if j >= 0)
+    partner, back = partner or [-1], back or [-1]
+    n, m, used = len(partner), len(back), defaultdict(int)
+    i = 0
+    while i < n:
+        if partner[i] >= 0:
+            i += 1
+            continue
+        stop = i
+        while stop < n and partner[stop] < 0:
+            stop += 1
+        mine = p[ends_p[i] : ends_p[stop]]
+        left, right = (partner[i - 1] + 1 if i else 0), (partner[stop] if stop < n else m)  # what lies beside the gap in b
+        far, near = left, right
+        while far < m and back[far] < 0:
+            far += 1
+        while near > 0 and back[near - 1] < 0:
+            near -= 1
+        after, before = q[ends_q[left] : ends_q[far]], q[ends_q[near] : ends_q[right]]
+        k = min(_agree(mine, after), len(after) - used[left])
+        used[left] += k
+        t = min(_agree(mine[k:][::-1], before[::-1]), len(before) - used[near])
+        used[near] += t
+        shared += k + t
+        if left == near and len(mine) - k - t >= RUN:
+            shared += _in_runs(mine[k : len(mine) - t], after[k : len(after) - t])
+        elif left == near and k + t == len(mine) == len(after):
+            shared -= 1  # digests differ, so a word does, whose letters agree by chance
+        i = stop
+    return min(2 * shared / (len(p) + len(q)), 1 - 1e-9)
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
