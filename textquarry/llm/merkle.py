@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree over words, paragraphs and sections, with boundaries that follow the content.
 
-A text splits into words at spaces and line ends; of a word of more than LONG bytes the pieces between places that its bytes
-choose, at most LONG bytes further each time, are words. The end of a word has a rank: how many times a hash of the
+A text splits into words at spaces and line ends; a word of more than LONG bytes is cut at places that its bytes
+choose into pieces of at most LONG bytes, which are words. The end of a word has a rank: how many times a hash of the
 word and the one before it divides by four. A paragraph's last word has two more. A node of level 0 is a word with the space or line end after it; a node of level j is
 a stretch that ends after a word of rank j or more. So level 1 are phrases, level 2 paragraphs (lines; long lines are cut after
 about 16 words), and from level 3 on sections, each level of about four of those below. An edit moves no boundary but those beside it.
@@ -81,12 +81,18 @@ def _words(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def _cut(word: bytes) -> list[bytes]:
-    """A long word in pieces: after bytes at which a hash of the last four has a zero in 32, and after LONG bytes without such."""
+    """A long word in pieces of at most LONG bytes: after bytes at which a hash of the last four has a zero in 32, and where the next such
+    is too far, which is mostly in periodic stretches, after the byte of least hash in the second half of the next LONG."""
     x = np.frombuffer(word, dtype=np.uint8).astype(np.uint64)
     x = _mixed(x[3:] | x[2:-1] << np.uint64(8) | x[1:-2] << np.uint64(16) | x[:-3] << np.uint64(24))
-    chosen = np.flatnonzero((x & np.uint64(31)) == 0) + 4
-    bounds = [0, *chosen[chosen < len(word)].tolist(), len(word)]
-    return [word[i : min(i + LONG, stop)] for start, stop in zip(bounds, bounds[1:]) for i in range(start, stop, LONG)]
+    chosen, half = np.flatnonzero((x & np.uint64(31)) == 0) + 4, LONG // 2
+    bounds = [0]
+    for stop in [*chosen[chosen < len(word)].tolist(), len(word)]:
+        while stop - bounds[-1] > LONG:
+            at = bounds[-1] + half
+            bounds.append(at + int(np.argmin(x[at - 4 : at - 4 + half])))
+        bounds.append(stop)
+    return [word[i:j] for i, j in zip(bounds, bounds[1:])]
 
 
 def merkle_tree(text: bytes) -> Tree:
