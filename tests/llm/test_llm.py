@@ -342,6 +342,19 @@ def test_suffix_dedup_equals_brute_force(spark, options):
     assert suffix_rows(table(spark, rows), **options) == removed(rows)
 
 
+@pytest.mark.parametrize("width", [20, 100, 400])
+def test_suffix_dedup_widths_and_ends_of_the_ids(spark, width):
+    rng = random.Random(width)
+    shared = ["".join(rng.choices("abcd ", k=5 * width)) for _ in range(3)]
+    texts = ["".join(rng.choice(shared)[rng.randrange(2 * width) :][: rng.randrange(4 * width)] + "".join(rng.choices("abcdé", k=rng.randrange(40))) for _ in range(3)) for _ in range(12)] + ["-" * 6 * width, "e" * 3 * width]
+    ids = [-(2**63), -(2**63) + 1, *range(10), 2**63 - 2, 2**63 - 1]
+    assert suffix_rows(table(spark, list(zip(ids, texts))), width=width) == removed(sorted(zip(ids, texts)), width)
+    # The least id and no id are two documents, in either order; both results are kept apart.
+    both = SD.suffix_dedup(table(spark, [(None, texts[0]), (-(2**63), texts[0])]), width=width).collect()
+    alone, twice = removed([(1, texts[0])], width)[1], removed([(1, texts[0]), (2, texts[0])], width)[2]
+    assert {r.doc_id for r in both} == {None, -(2**63)} and sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in both) == sorted([alone, twice])
+
+
 def test_suffix_dedup_documents(documents, texts):
     assert suffix_rows(documents) == removed(sorted(texts.items()))
 

@@ -59,7 +59,7 @@ def anchors(data: np.ndarray, stops: np.ndarray, width: int, k: int) -> tuple[np
     none = np.zeros(0, dtype=np.int64)
     if n <= 0:
         return none, none, none, h[:0], rolling
-    bits = np.uint64(max(1, int(len(data)).bit_length()))
+    bits = np.uint64(32)  # of a place; the same for every buffer, so that copies have equal anchors
     least = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
     done = 1
     while done < span:  # minimum over a doubling stretch, then over the rest by overlap

@@ -13,7 +13,7 @@ equal, and what must be sorted is the suffixes at anchors, not those at all byte
    sending a string once, and neighbours are compared in the sorted buckets.
 
 Order is by doc_id, then start. Defined cases: a null text is empty; matches never cross documents; a text shorter than
-`width` loses nothing; a null doc_id comes first; rows that repeat id and text are one document and have the same
+`width` loses nothing; a null doc_id stands beside the least id there can be, in the order of a hash of its text; rows that repeat id and text are one document and have the same
 result; rows that repeat the id alone are ordered by a hash of their texts; an empty table gives no rows.
 """
 
@@ -38,8 +38,8 @@ PARTS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("k", pa.int64(
 PARTS_SQL = "kind int, bucket int, k long, th long, blob binary"
 COPIED, OPEN, ANCHORS = 1, 2, 0
 #: An anchor as it travels: hash of its bytes, hash of all that its strings cover, document, first start, starts, offset.
-ANCHOR = np.dtype([("kh", "<u8"), ("ch", "<u8"), ("doc", "<u4"), ("s", "<u4"), ("n", "u1"), ("o", "u1")])
-STARTS = np.dtype([("s", "<u4"), ("n", "u1"), ("o", "u1")])
+ANCHOR = np.dtype([("kh", "<u8"), ("ch", "<u8"), ("doc", "<u4"), ("s", "<u4"), ("n", "<u2"), ("o", "<u2")])
+STARTS = np.dtype([("s", "<u4"), ("n", "<u2"), ("o", "<u2")])
 SPAN = np.dtype([("a", "<u4"), ("b", "<u4")])
 
 
@@ -356,14 +356,14 @@ def _neighbours(width: int):
 def _finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         rows = []
-        for k, text, blobs in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("k", "t", "blobs"))):
+        for k, no_id, text, blobs in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("k", "no_id", "t", "blobs"))):
             body, digest, at, gone = text.as_py().encode(), hashlib.sha256(), 0, 0
             spans = merged(np.concatenate([np.frombuffer(b, dtype="<u4").reshape(-1, 2) for b in blobs.as_py()]).astype(np.int64)).tolist() if blobs.is_valid else []
             for a, b in spans:
                 digest.update(body[at:a])
                 at, gone = b, gone + b - a
             digest.update(body[at:])
-            rows.append((None if k.as_py() == NO_ID else k.as_py(), len(body), gone, len(spans), digest.hexdigest()))
+            rows.append((None if no_id.as_py() else k.as_py(), len(body), gone, len(spans), digest.hexdigest()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -426,9 +426,14 @@ def _anchor_hashes(width: int, k: int):
 
 
 def suffix_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 100, **options) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(body).alias("th"), body.alias("t"))
-    spans = copied_spans(rows, width=width, **options).groupBy("k", "th").agg(F.collect_list("blob").alias("blobs"))
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Strings of 8 to 65,535 bytes; anchors have a third of that, 32 at most."""
+    if not 8 <= width < 1 << 16:
+        raise ValueError("width must lie between 8 and 65,535 bytes")
+    options.setdefault("k", min(32, max(4, width // 3)))
+    body, no_id = F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(key).cast("long").isNull()
+    # A row without an id is no document of the least id: another hash of its text keeps them apart.
+    hashed = F.when(no_id, F.xxhash64(body, F.lit("no id"))).otherwise(F.xxhash64(body))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("k"), hashed.alias("th"), body.alias("t"), no_id.alias("no_id"))
+    spans = copied_spans(rows.select("k", "th", "t"), width=width, **options).groupBy("k", "th").agg(F.collect_list("blob").alias("blobs"))
     joined = rows.join(spans.hint("shuffle_hash"), ["k", "th"], "left")
-    return joined.select("k", "t", "blobs").mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("k", "no_id", "t", "blobs").mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
