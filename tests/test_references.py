@@ -60,3 +60,25 @@ def test_long_text_and_groups(spark, monkeypatch):
     got = AU.occurring(texts, "id", "body", spark.createDataFrame([("needle",), ("pin",), ("pi",)], "string string"))
     assert sorted(map(tuple, got.collect())) == [(1, "needle"), (1, "pi"), (1, "pin"), (2, "pi")] and dict(got.dtypes)["id"] == "int"
     assert got.where(F.col("id") == 2).count() == 1
+
+
+def test_names_that_calls_are_not_resolved_by():
+    from textquarry.functions.names import builtin_names
+
+    names = builtin_names()
+    assert {"JSON", "Array", "reduce", "sleep", "read", "write", "isNaN", "Println", "hashCode", "unwrap_or_else", "poll"} <= names
+    assert not {"casefold", "isalnum", "partition", "aiter", "charCodeAt", "helper"} & names
+
+
+def test_paths_alike_equal_all_pairs(spark):
+    rng = random.Random(8)
+    paths = ["/".join(rng.choice(["a", "ab", "b", "src"]) for _ in range(rng.randrange(1, 4))) + rng.choice([".ts", ".py", ""]) for _ in range(60)]
+    a, b = paths[:35] + ["x.ts"], paths[25:] + ["", "x.ts"]
+    got = RT.paths_alike(spark.createDataFrame([(p,) for p in a], "file string"), spark.createDataFrame([(p,) for p in b], "changed string")).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == {(x, y) for x in a for y in b if (x.endswith(y) or y.endswith(x)) and x and y}
+
+
+def test_chunks_of_changed_lines(spark):
+    chunks = spark.createDataFrame([(1, "repo/src/a.ts", 1, 9), (2, "a.ts", 5, 20), (3, "b/src/xa.ts", 1, 50), (4, "c.py", 1, 5)], "id long, file string, start int, end int")
+    lines = spark.createDataFrame([(7, "src/a.ts", 8), (7, "src/a.ts", 8), (8, "c.py", 6), (9, "ts", 30)], "query_id long, file string, line int")
+    assert sorted(tuple(r) for r in RT.overlapping_chunks(chunks, lines).collect()) == [(7, 1), (7, 2), (9, 3)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textquarry.functions.names import builtin_names
 from textquarry.storage import cut
 
 
@@ -168,20 +169,6 @@ def endpoint_roles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 #: Receivers that stand for the caller's own class, and those of which nothing is known.
 OWN_RECEIVERS, UNKNOWN_RECEIVERS = ("this", "self"), ("<dynamic>", "<call_result>")
-#: Names that languages bring along, besides those of Python, which it lists itself.
-COMMON_NAMES = frozenset(
-    """console log error warn info debug require fetch parse stringify then catch finally resolve reject setTimeout setInterval parseInt parseFloat addEventListener querySelector
-    cap make panic println recover Println Printf Sprintf Errorf Read Write Close Error String toString equals hashCode charAt substring indexOf isEmpty valueOf size put containsKey stream collect forEach
-    push to_string to_owned as_str chars trim unwrap expect clone into iter collect lock await poll""".split()
-)
-
-
-def builtin_names() -> frozenset[str]:
-    """Names that no call of user code is resolved by."""
-    import builtins
-
-    methods = (m for kind in (str, bytes, list, dict, set, tuple) for m in dir(kind))
-    return COMMON_NAMES | {n for n in (*dir(builtins), *methods) if not n.startswith("_")}
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, skipped: frozenset[str] | None = None) -> DataFrame:

@@ -229,14 +229,24 @@ def structural_stage(symbols: DataFrame, definitions: DataFrame, usages: DataFra
     return both.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("id", "source", "score", "is_exact", "symbol")
 
 
+def paths_alike(files: DataFrame, changed: DataFrame) -> DataFrame:
+    """(file, changed): distinct paths of which one ends with the other. Each path meets the others by its own endings, of which it has as
+    many as characters; so nothing is shared by all files of a language."""
+    a, b = files.select("file").distinct(), changed.select("changed").distinct()
+    endings = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(F.col(c), i, F.length(c)))).alias("ending")
+    longer = a.where("file <> ''").select("file", endings("file")).join(b, F.col("ending") == F.col("changed")).select("file", "changed")
+    shorter = b.where("changed <> ''").select("changed", endings("changed")).join(a, F.col("ending") == F.col("file")).select("file", "changed")
+    return longer.unionByName(shorter).distinct()
+
+
 def overlapping_chunks(chunks: DataFrame, lines: DataFrame, by: str = "query_id") -> DataFrame:
     """(by, id) of chunks (id, file, start, end) that hold a changed line (by, file, line) of a file whose path is theirs or
-    ends as theirs does. Paths that end alike share their last three characters, which is what the join goes by."""
-    from textquarry.functions.predicates import overlaps, same_file
+    ends as theirs does."""
+    from textquarry.functions.predicates import overlaps
 
-    a = chunks.select("id", "file", "start", "end", F.right("file", F.lit(3)).alias("ending"))
-    b = lines.select(by, F.col("file").alias("changed"), "line", F.right("file", F.lit(3)).alias("ending")).distinct()
-    return a.join(b, "ending").where(same_file(F.col("file"), F.col("changed")) & overlaps(F.col("start"), F.col("end"), F.col("line"))).select(by, "id").distinct()
+    a, b = chunks.select("id", "file", "start", "end"), lines.select(by, F.col("file").alias("changed"), "line").distinct()
+    met = a.join(paths_alike(a, b), "file").join(b, "changed")
+    return met.where(overlaps(F.col("start"), F.col("end"), F.col("line"))).select(by, "id").distinct()
 
 
 def keyword_stage_weight(score: Column, is_exact: Column) -> Column:
