@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import blake2b, sha256
 from itertools import accumulate
 
@@ -108,17 +109,20 @@ def merkle_tree(text: bytes) -> Tree:
     pairs[1:] += hashes[:-1] * _ODD
     pairs = _mixed(pairs)
     low = (pairs & (~pairs + np.uint64(1))).astype(np.float64)
-    rank = np.minimum(np.log2(np.maximum(low, 1)).astype(np.int64) // 2, 24) + PARAGRAPH_RANK * ends
+    rank = np.minimum(np.frexp(low)[1].clip(1) - 1 >> 1, 24) + PARAGRAPH_RANK * ends
     digests = _mixed(hashes ^ ((ends + 2 * inner).astype(np.uint64) * _ODD))
     levels = [(digests, np.concatenate([[0], np.cumsum(sizes + ~inner)]))]
     while len(digests) > 1:
         stop = rank >= len(levels)
         stop[-1] = True
-        first = np.concatenate([[0], np.flatnonzero(stop) + 1])
-        place = np.arange(len(digests)) - np.repeat(first[:-1], np.diff(first))
-        parts = _mixed(digests + (place.astype(np.uint64) + np.uint64(len(levels))) * _ODD)
-        digests = _mixed(np.add.reduceat(parts, first[:-1]) ^ np.diff(first).astype(np.uint64))
-        rank = rank[stop]
+        last = stop.nonzero()[0]
+        first = np.zeros(len(last) + 1, dtype=np.int64)
+        first[1:] = last + 1
+        size = first[1:] - first[:-1]
+        place = np.arange(len(levels), len(digests) + len(levels)) - first[:-1].repeat(size)
+        parts = _mixed(digests + place.view(np.uint64) * _ODD)
+        digests = _mixed(np.add.reduceat(parts, first[:-1]) ^ size.view(np.uint64))
+        rank = rank[last]
         levels.append((digests, first))
     return Tree(blake2b(digests.tobytes() + len(text).to_bytes(8, "little"), digest_size=8).hexdigest(), levels, inner)
 
@@ -152,13 +156,14 @@ def fingerprint(text: bytes) -> str:
     letters = LETTERS[(tree.levels[0][0] & np.uint64(63)).astype(np.int64)].tobytes().decode()
     shown, per = [], np.ones(len(letters), dtype=np.int64)
     for j, (digests, first) in enumerate(tree.levels[1:], 1):
-        per = np.add.reduceat(per, first[:-1]) if j <= PARAGRAPHS else np.diff(first)  # of a paragraph its words
+        per = np.add.reduceat(per, first[:-1]) if j <= PARAGRAPHS else first[1:] - first[:-1]  # of a paragraph its words
         if j >= PARAGRAPHS:
-            names = digests.astype(">u8").tobytes().hex()
-            shown.append("".join(names[i : i + NODE_HEX] for i in range(0, len(names), 16)) + "." + ".".join(map(str, per.tolist())))
+            names = digests.astype(">u8").view(np.uint8).reshape(-1, 8)[:, : NODE_HEX // 2].tobytes().hex()
+            shown.append(names + "." + ".".join(map(str, per.tolist())))
     return f"{tree.root}:{letters}:{';'.join(shown)}"
 
 
+@lru_cache(maxsize=4)
 def _levels(shown: str) -> tuple[bytes, list[tuple[list[str], list[int]]], list[list[int]]]:
     """Letters; by level names and where each node's children begin (of paragraphs: words); and where each node begins in paragraphs."""
     _, letters, body = shown.split(":")
