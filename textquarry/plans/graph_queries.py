@@ -957,24 +957,24 @@ def upsert_rows(spark, t):
 
 
 def _glob_sql() -> str:
-    from textquarry.functions.predicates import EXCLUDED_FOLDERS, LANGUAGES
     from textquarry.plans.analytics_queries import SQL_PATH
-    from textquarry.plans.registry import sql_list
+    from textquarry.sources.patterns import EXCLUDED, INCLUDED
 
-    ends = " or ".join(f"ends_with(path, '{e}')" for e in LANGUAGES)
-    return f"with x as (select page_id, {SQL_PATH} as path, length(html) as size from pages) select page_id, path, ({ends}) and not list_has_any(list_slice(string_split(path, '/'), 1, -2), {sql_list(EXCLUDED_FOLDERS)}) and not regexp_matches(path, '\\.d\\.ts$') and coalesce(size, 0) <= 2000 as kept from x"
+    plain = lambda names: "|".join(n.replace(".", "\\.").replace("*", "[^/]*") for n in names)
+    folders = [g[3:-3] for g in EXCLUDED if g.endswith("/**") and g.count("**") == 2]
+    files = [g[3:] for g in EXCLUDED if not g.endswith("/**")]
+    kept = f"regexp_matches(path, '(^|/)({plain(g[3:] for g in INCLUDED)})$') and not regexp_matches(path, '(^|/)({plain(folders)})/') and not regexp_matches(path, '(^|/)({plain(files)})$')"
+    return f"with x as (select page_id, {SQL_PATH} as path, length(html) as size from pages) select page_id, path, {kept} and coalesce(size, 0) <= 10000000 as kept from x"
 
 
 @query(_glob_sql())
 def glob_filter(spark, t):
-    """The patterns of all languages included, excluded folders and declarations left out, and a cap on sizes."""
-    from textquarry.functions.predicates import EXCLUDED_FOLDERS, LANGUAGES
+    """All patterns that include and exclude, and the cap on sizes."""
     from textquarry.plans.analytics_queries import paths
-    from textquarry.sources.files import matches_globs
+    from textquarry.sources.patterns import indexed
 
     sizes = t("pages").select("page_id", F.length("html").alias("size"))
-    included, excluded = [f"**/*{e}" for e in LANGUAGES], [*(f"**/{d}/**" for d in EXCLUDED_FOLDERS), "**/*.d.ts"]
-    kept = matches_globs(F.col("path"), included, excluded) & (F.coalesce("size", F.lit(0)) <= 2000)
+    kept = indexed(F.col("path"), F.col("size"))
     return paths(t).join(sizes, "page_id").select("page_id", "path", kept.alias("kept"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from textquarry.functions.predicates import EXCLUDED_FOLDERS, LANGUAGES, is_indexable, language_of
+from textquarry.functions.predicates import LANGUAGES, is_indexable, language_of
 
 MOST_BYTES = 10_000_000
 
@@ -116,7 +116,3 @@ def report_lines(findings: DataFrame, form: str) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(severity_order(F.col("severity")).alias("o"), F.col("title"), F.col("file"), F.col("line"), line.alias("s")))), lambda x: x["s"])
     joined = F.array_join(ordered, "," if form == "json" else "\n")
     return findings.groupBy("feature_id").agg((F.concat(F.lit("["), joined, F.lit("]")) if form == "json" else joined).alias("body"))
-
-
-def not_excluded(path: Column) -> Column:
-    return ~F.exists(F.split(path, "/"), lambda p: p.isin(*EXCLUDED_FOLDERS))
