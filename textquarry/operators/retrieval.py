@@ -208,25 +208,31 @@ def flat_retrieval(hits: DataFrame, chunks: DataFrame, modified: DataFrame, test
     return token_budget(ranked.withColumn("cost", estimated_tokens(F.col("code"))), F.col("cost"), [F.desc("score"), F.col("id")], budget, by=[by]).drop("code", "_r", "_n", "cost")
 
 
-def structural_stage(symbols: DataFrame, definitions: DataFrame, usages: DataFrame, callers: DataFrame | None = None, callees: DataFrame | None = None, most_symbols: int = 8) -> DataFrame:
+def structural_stage(
+    symbols: DataFrame, definitions: DataFrame, usages: DataFrame, callers: DataFrame | None = None, callees: DataFrame | None = None, most_symbols: int = 8, by: str | None = None
+) -> DataFrame:
     """(id, source, score, is_exact, symbol) for asked symbols (symbol, position): definitions, usages and, of symbols that look
     like functions, callers and callees (each symbol, id, file, line), capped per symbol and stage; the first stage that finds
-    a chunk keeps it."""
+    a chunk keeps it. With `by`, for each request of symbols (by, symbol, position)."""
     from textquarry.functions.predicates import is_function_like
 
-    asked = symbols.orderBy("position").limit(most_symbols)
+    of = [by] if by else []
+    if by:
+        asked = symbols.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("position", "symbol"))).where(F.col("_n") <= most_symbols).drop("_n")
+    else:
+        asked = symbols.orderBy("position").limit(most_symbols)
     parts = []
     for order, (name, rows) in enumerate((("definition", definitions), ("usage", usages), ("caller", callers), ("callee", callees))):
         if rows is None:
             continue
         base, boost = STAGE_WEIGHTS[name]
-        w = Window.partitionBy("symbol").orderBy("file", "line", "id")
+        w = Window.partitionBy(*of, "symbol").orderBy("file", "line", "id")
         meant = asked if name in ("definition", "usage") else asked.where(is_function_like(F.col("symbol")))
         hit = rows.join(meant, "symbol").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= STAGE_LIMITS[name])
-        parts.append(hit.select("id", F.lit(name).alias("source"), F.lit(base * boost).alias("score"), F.lit(name == "definition").alias("is_exact"), "symbol", "position", F.lit(order).alias("_o")))
+        parts.append(hit.select(*of, "id", F.lit(name).alias("source"), F.lit(base * boost).alias("score"), F.lit(name == "definition").alias("is_exact"), "symbol", "position", F.lit(order).alias("_o")))
     both = reduce(DataFrame.unionByName, parts)
-    first = Window.partitionBy("id").orderBy("position", "_o")
-    return both.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("id", "source", "score", "is_exact", "symbol")
+    first = Window.partitionBy(*of, "id").orderBy("position", "_o")
+    return both.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(*of, "id", "source", "score", "is_exact", "symbol")
 
 
 def paths_alike(files: DataFrame, changed: DataFrame) -> DataFrame:
@@ -264,9 +270,15 @@ def ends_early(results: DataFrame, by: str, threshold: float = 0.9) -> DataFrame
 
 
 def staged(stages: list[DataFrame], by: str = "query_id", threshold: float = 0.9, most: int = 20) -> DataFrame:
-    """Stages (query_id, id, source, score, is_exact) one after the other; a query that is sure goes to no further stage.
+    """Stages (query_id, id, source, score, is_exact) one after the other, and the `most` best rows of each query with their rank."""
+    w = Window.partitionBy(by).orderBy(F.desc("score"), "id")
+    return held_rows(stages, by, threshold).withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= most)
+
+
+def held_rows(stages: list[DataFrame], by: str = "query_id", threshold: float = 0.9) -> DataFrame:
+    """What the stages find: a query that is sure goes to no further stage, and a chunk keeps its first stage's row.
 
-    A chunk keeps its first stage's row. Everything is one plan: a later stage is anti-joined with the finished queries.
+    Everything is one plan: a later stage is anti-joined with the finished queries.
     """
     held = None
     for i, stage in enumerate(stages):
@@ -276,8 +288,35 @@ def staged(stages: list[DataFrame], by: str = "query_id", threshold: float = 0.9
             rows = rows.join(done, by, "left_anti").join(held.select(by, "id"), [by, "id"], "left_anti")
             rows = held.unionByName(rows)
         held = rows
+    return held
+
+
+#: Fixed value: the weight of a chunk that holds a changed line.
+LINE_WEIGHT = 1.5
+
+
+def staged_retrieval(
+    keyword: DataFrame, vector: DataFrame, structural: DataFrame, chunks: DataFrame, modified: DataFrame, most: int = 20, budget: int = 16_000, by: str = "query_id", threshold: float = 0.9
+) -> DataFrame:
+    """(by, id, source, score, stage, rank): the keyword, vector and structural stage of each request one after the other, reranked and packed.
+
+    keyword and vector: ranked hits of a request's queries as `keyword_stage` and `vector_stage` take them; structural: rows of
+    `structural_stage` by request; chunks: (id, code); modified: (by, id) of chunks that hold a
+    changed line, or (id) where all requests are of one change. After the stages
+    such chunks weigh more, the best `most` stay, and of these as many as the tokens allow.
+    """
+    from textquarry.operators.windows import estimated_tokens, token_budget
+
+    first = cut(keyword_stage(keyword, by))
+    second = vector_stage(vector, first, by)
+    held = cut(held_rows([first, second, structural], by, threshold))  # read by the sums of each stage
+    on = [c for c in (by, "id") if c in modified.columns]
+    marked = held.join(modified.select(*on).distinct().withColumn("_m", F.lit(LINE_WEIGHT)), on, "left")
+    weighed = marked.withColumn("score", F.col("score") * F.coalesce("_m", F.lit(1.0))).drop("_m")
     w = Window.partitionBy(by).orderBy(F.desc("score"), "id")
-    return held.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= most)
+    ranked = weighed.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= most)
+    packed = token_budget(ranked.join(chunks.select("id", "code"), "id").withColumn("cost", estimated_tokens(F.col("code"))), F.col("cost"), [F.col("rank")], budget, by=[by])
+    return packed.select(by, "id", "source", "score", "stage", "rank")
 
 
 def relevance(score: Column, is_modified: Column, is_test: Column, in_description: Column) -> Column:

@@ -914,6 +914,64 @@ def staged_retrieval(spark, t):
     return RT.staged([e.where("source = 'view' and score > 0.8"), e.where("source = 'click'")]).select("query_id", "id", "source", number("score").alias("score"), "rank")
 
 
+#: Requests: the names that each asks for, and the vectors that it compares.
+ASKED_NAMES = {1: ("tion", "the"), 2: ("que", "elle"), 3: ("edonre",), 4: ("der",)}
+ASKED_VECTORS = {1: (0,), 2: (3, 8), 3: (5,)}
+
+
+def _staged_sql() -> str:
+    from textquarry.plans.search_queries import BM25, SQL_ASKED, SQL_SYMBOLS
+
+    names = [(r, i, x) for r, xs in ASKED_NAMES.items() for i, x in enumerate(xs)]
+    scores = BM25.replace(SQL_ASKED, " union all ".join(f"select {10 * r + i} as query_id, '{x}' as term" for r, i, x in names)).rsplit("ranked as", 1)[0].rstrip().rstrip(",")
+    cosine = "list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[]))"
+    stop = lambda rows: f"(select query_id from (select *, row_number() over (partition by query_id order by score desc, id) as r from {rows}) group by query_id having count(*) >= 5 and (count(*) filter (r <= 3 and score > 0.9) >= 3 or count(*) filter (is_exact) >= 5))"
+    return scores + f""", names(request, place, name) as (values {", ".join(f"({r}, {i}, '{x}')" for r, i, x in names)}), vectors(request, place, vec) as (values {", ".join(f"({r}, {i}, {v})" for r, vs in ASKED_VECTORS.items() for i, v in enumerate(vs))}),
+d as (select doc_id, {SQL_SYMBOLS} as symbols, source, n_chars, text from w join documents using (doc_id)),
+f as (select request, place, name, doc_id, score, symbols, row_number() over (partition by request, place order by score desc, doc_id) as r from scored join names on query_id = 10 * request + place join d using (doc_id)),
+b as (select *, score * case when list_contains(symbols, name) then 3.0 else 1.0 end as s, list_contains(symbols, name) as exact from f where r <= 30),
+h as (select *, row_number() over (partition by request, place order by s desc, doc_id) as k from b),
+o as (select *, row_number() over (partition by request, doc_id order by place) as n from h where k <= 15),
+kw as (select request as query_id, doc_id as id, 'keyword' as source, least(1.0, s / 10) * case when exact then 1.5 when s / 10 > 0.5 then 1.2 else 1.0 end as score, exact as is_exact, 0 as stage from o where n = 1),
+vh as (select request, place, e.vec_id as id, {cosine} as c, row_number() over (partition by request, place order by {cosine} desc, e.vec_id) as k from vectors join embeddings q on q.vec_id = vec, embeddings e where e.vec_id in (select doc_id from documents)),
+vo as (select *, row_number() over (partition by request, id order by place) as n from vh where k <= 20 and (request, id) not in (select (query_id, id) from kw) and request not in {stop('kw')}),
+one as (select * from kw union all select request, id, 'vector', c, false, 1 from vo where n = 1),
+places as (select doc_id, unnest(ws) as term, unnest(range(len(ws))) as pos from w), users as (select term, doc_id, min(pos) as line from places where term in (select name from names) group by all),
+hits as (select request, place, doc_id, source, list_position(symbols, name) as line, 0 as kind from names join d on list_contains(symbols, name) union all select request, place, users.doc_id, source, line, 1 from names join users on term = name join d on d.doc_id = users.doc_id),
+capped as (select *, row_number() over (partition by request, place, kind order by source, line, doc_id) as k from hits),
+so as (select *, row_number() over (partition by request, doc_id order by place, kind) as n from capped where k <= case kind when 0 then 10 else 15 end),
+two as (select * from one union all select request, doc_id, case kind when 0 then 'definition' else 'usage' end, case kind when 0 then 0.8 * 1.3 else 0.7 * 1.1 end, kind = 0, 2 from so where n = 1 and (request, doc_id) not in (select (query_id, id) from one) and request not in {stop('one')}),
+m as (select query_id, id, source, score * case when id % 4 = 0 then 1.5 else 1.0 end as score, stage from two),
+r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from m),
+t as (select r.*, sum(ceil(length(text) / 4.0) + 50) over (partition by query_id order by rank) as used from r join (select doc_id, text from documents) x on x.doc_id = r.id where rank <= 20)
+select query_id, id, source, round(score, 6) as score, stage, cast(rank as integer) as rank from t where used <= 16000"""
+
+
+@query(_staged_sql())
+def staged_search(spark, t):
+    """The three stages of several requests over documents, one after the other, reranked and packed."""
+    from textquarry.operators import search as S
+    from textquarry.plans.search_queries import stored_index, symbol_docs
+
+    names = [(r, i, x) for r, xs in ASKED_NAMES.items() for i, x in enumerate(xs)]
+    asked = spark.createDataFrame([(10 * r + i, r, i, x) for r, i, x in names], "query_id int, request int, position int, symbol string")
+    index, symbols = stored_index(t), symbol_docs(t)
+    found = S.keyword_search(S.index_scores(index, asked.select("query_id", F.array("symbol").alias("terms"))), symbols, asked.select("query_id", F.col("symbol").alias("query")), "doc_id", 15)
+    keyword = found.join(asked, "query_id").select(F.col("request").alias("query_id"), "position", F.col("doc_id").alias("id"), "score", "boost", "rank")
+    e = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    wanted = spark.createDataFrame([(10 * r + i, r, i, v) for r, vs in ASKED_VECTORS.items() for i, v in enumerate(vs)], "query_id int, request int, position int, vec long")
+    mine = e.join(t("documents").select("doc_id"), "doc_id", "left_semi")
+    near = S.top_k(S.vector_scores(mine, wanted.join(e, F.col("vec") == e.doc_id).select("query_id", F.col("embedding").alias("q")), "doc_id", "embedding"), 20)
+    vector = near.join(wanted, "query_id").select(F.col("request").alias("query_id"), "position", F.col("doc_id").alias("id"), F.col("score").alias("vector_score"), "rank")
+    place = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"), F.col("text").alias("code"))
+    defined = symbols.select(F.col("doc_id").alias("id"), F.posexplode("symbols").alias("line", "symbol")).join(place.select("id", "file"), "id")
+    used = index.of(asked.select(F.col("symbol").alias("term"))).select(F.col("term").alias("symbol"), F.col("doc_id").alias("id"), F.array_min("positions").alias("line")).join(place.select("id", "file"), "id")
+    structural = RT.structural_stage(asked.select(F.col("request").alias("query_id"), "symbol", "position"), defined, used, by="query_id")
+    modified = t("documents").where("doc_id % 4 = 0").select(F.col("doc_id").alias("id"))
+    out = RT.staged_retrieval(keyword, vector, structural, place, modified)
+    return out.select("query_id", "id", "source", number("score").alias("score"), "stage", "rank")
+
+
 @query("select doc_id, round(least(1.0, n_chars / 1000.0 / 10) * case when doc_id % 4 = 0 then 1.5 when least(1.0, n_chars / 1000.0 / 10) > 0.5 then 1.2 else 1.0 end, 6)::double as weight from documents")
 def keyword_stage_weights(spark, t):
     """Keyword scores as weights."""
