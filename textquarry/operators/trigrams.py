@@ -82,7 +82,7 @@ class TrigramIndex:
         placed = docs.where(F.col(text).isNotNull()).select(F.col(key), F.col(text), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
         placed.repartition("block").sortWithinPartitions("block", key).write.partitionBy("block").parquet(f"{path}/texts")
         low = F.lower(text)
-        gram = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, 3)))
+        gram = F.array_distinct(F.regexp_extract_all(low, F.lit("(?s)(?=(.{3}))"), F.lit(1)))  # in one walk over the text
         rows = placed.where(F.length(low) >= 3).select(F.explode(gram).alias("gram"), F.col(key), "block").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
         rows.repartitionByRange("bucket", "gram", key).sortWithinPartitions("bucket", "gram", key).write.partitionBy("bucket").parquet(f"{path}/grams")
         spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/figures")
