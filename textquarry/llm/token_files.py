@@ -98,7 +98,7 @@ class WordEncoder:
             return np.concatenate([*each, np.zeros(0, self.dtype)]), np.cumsum([len(x) for x in each], dtype=np.int64)
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
-        distinct, which = words.dictionary.to_pylist(), words.indices.to_numpy()
+        distinct, which = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
         if len(self.known) > REMEMBERED_WORDS or self.known_bytes > REMEMBERED_BYTES:
             self.known.clear()
             self.known_bytes = 0
