@@ -50,12 +50,17 @@ def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
     return base * i + F.greatest(F.lit(0), rest + (i - k)), base + F.when(rest >= k - i, 1).otherwise(0)
 
 
+def _characters(line: Column, n: Column, start: Column, size: Column) -> Column:
+    """Characters start (from 0) to start+size of a line of length n, as bytes. Of a line of one byte a character they are found without a walk."""
+    return F.when(F.octet_length(line) == n, F.substring(line.cast("binary"), start + 1, size)).otherwise(F.substring(line, start + 1, size).cast("binary"))
+
+
 def index_keys(line: Column, n: Column, edits: int) -> list[Column]:
     """Hashes of the segments of a line of length n, with length and number."""
     out = []
     for i in range(edits + 1):
         start, size = _segment(n, i, edits)
-        out.append(F.xxhash64(n, F.lit(i), F.substring(line, start + 1, size)))
+        out.append(F.xxhash64(n, F.lit(i), _characters(line, n, start, size)))
     return out
 
 
@@ -74,7 +79,7 @@ def probe_keys(line: Column, n: Column, edits: int) -> list[Column]:
     out = []
     for d, i, s in probe_shifts(edits):
         start, size = _segment(n - d, i, edits)
-        out.append(F.when((start + s >= 0) & (start + s + size <= n), F.xxhash64(n - d, F.lit(i), F.substring(line, start + s + 1, size))))
+        out.append(F.when((start + s >= 0) & (start + s + size <= n), F.xxhash64(n - d, F.lit(i), _characters(line, n, start + s, size))))
     return out
 
 
