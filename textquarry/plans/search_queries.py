@@ -227,10 +227,31 @@ def vector_knn_approx(spark, t):
 
 @query()
 def hashed_embeddings(spark, t):
-    """V3: lexical embeddings, padded."""
+    """V3: lexical embeddings."""
     return S.hashing_embedding(t("documents"), "text", 64).select("doc_id", F.transform("embedding", lambda x: F.round(x, 5)).alias("embedding"))
 
 
+@query()
+def svd_embeddings(spark, t):
+    """V3: 384 numbers by the strongest directions of the corpus, padded to 1,536; their length and the first ones."""
+    from textquarry.operators.embedding import SvdEmbedder
+
+    made = SvdEmbedder.fit(t("documents"), "text", rounds=8).embed(t("documents"), "text")
+    return made.select("doc_id", F.size("embedding").alias("size"), F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x).alias("length"))
+
+
+@query("""with c as (select distinct sha256(text) as h from documents where doc_id % 2 = 0), d as (select sha256(text) as h from documents where doc_id % 2 = 1)
+select h as content_hash, (select count(*) from d where d.h = c.h) as hit_count, false as is_new from c union all select distinct h, cast(0 as bigint), true from d where h not in (select h from c)""")
+def embedding_cache_store(spark, t):
+    """The cache after a lookup: hits counted up, each distinct miss embedded once and stored."""
+    d, now = t("documents"), F.lit("2024-01-02 00:00:00").cast("timestamp")
+    old = d.where("doc_id % 2 = 0").select(F.sha2("text", 256).alias("content_hash")).distinct()
+    cache = old.select("content_hash", F.lit("m").alias("model_name"), F.array(F.lit(0.0).cast("float")).alias("embedding"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("last_used_at"), F.lit(0).cast("long").alias("hit_count"))
+    looked_up = S.cache_lookup(d.where("doc_id % 2 = 1").select("doc_id", "text"), cache, "text", "m")
+    kept = S.cache_store(cache, looked_up, "m", lambda missed: S.hashing_embedding(missed.drop("embedding"), "text", 64), now)
+    return kept.join(old.withColumn("_o", F.lit(True)), "content_hash", "left").select("content_hash", "hit_count", F.col("_o").isNull().alias("is_new"))
+
+
 HYBRID = BM25 + f""",
 k as (select query_id, doc_id, score, rank from ranked where rank <= 20),
 vs as (select v.query_id, e.vec_id as doc_id, {COS.replace('q.embedding', 'v.embedding')} as score from embeddings e, (select cast(vec_id + 1 as integer) as query_id, embedding from embeddings where vec_id in (0, 1, 2, 4)) v),
