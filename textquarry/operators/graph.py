@@ -72,21 +72,27 @@ def components(edges: DataFrame) -> DataFrame:
         e = _trimmed(e)
         if not e.limit(1).count():
             break
-        colour = cut(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
-        front = colour
-        while front.limit(1).count():  # only nodes whose colour has just changed tell others
-            told = front.join(e, F.col("node") == e.src).groupBy("dst").agg(F.max("colour").alias("new"))
-            both = colour.join(told, colour.node == told.dst, "left").select("node", "colour", "new")
-            nxt = cut(both.select("node", F.greatest("colour", "new").alias("colour"), (F.col("new") > F.col("colour")).alias("changed")))
-            colour, front = nxt.select("node", "colour"), nxt.where("changed").select("node", "colour")
+        colour = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.col("node").alias("colour"), F.lit(True).alias("changed"))
+        while True:
+            before = colour.select("node", "colour", F.col("colour").alias("was"))
+            for _ in range(STEPS):
+                told = before.join(e, F.col("node") == e.src).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("new"))
+                before = before.join(told, "node", "left").select("node", F.greatest("colour", "new").alias("colour"), "was")
+            colour = cut(before.select("node", "colour", (F.col("colour") > F.col("was")).alias("changed")))
+            if not colour.where("changed").limit(1).count():
+                break
         own = e.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("d")), "dst").where("c = d").select("src", "dst", "c")
         own = cut(own)
-        reached = colour.where("node = colour").select("node", F.col("colour").alias("component"))
-        front = reached
-        while front.limit(1).count():
-            step = front.join(own, (F.col("node") == own.dst) & (F.col("component") == own.c)).select(F.col("src").alias("node"), "component").distinct()
-            front = cut(step.join(reached, "node", "left_anti"))
-            reached = cut(reached.unionByName(front))
+        reached, n = colour.where("node = colour").select("node", F.col("colour").alias("component")), 0
+        while True:
+            for _ in range(STEPS):
+                back = reached.join(own, (F.col("node") == own.dst) & (F.col("component") == own.c)).select(F.col("src").alias("node"), "component")
+                reached = reached.unionByName(back).distinct()
+            reached = cut(reached)
+            m = reached.count()
+            if m == n:
+                break
+            n = m
         sizes = reached.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
         new = cut(reached.join(sizes, "component", "left_semi").select("node", "component"))
         found = new if found is None else found.unionByName(new)
@@ -98,16 +104,15 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def _trimmed(e: DataFrame, rounds: int = 3) -> DataFrame:
+#: Edges that colours go along before what they have reached is written.
+STEPS = 3
+
+
+def _trimmed(e: DataFrame, rounds: int = 2) -> DataFrame:
     """Without edges of nodes that have none in or none out; a few rounds, as colours settle what is left."""
-    n = e.count()
     for _ in range(rounds):
-        e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        m = e.count()
-        if m == n:
-            break
-        n = m
-    return e
+        e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+    return cut(e)
 
 
 def cyclic_edges(edges: DataFrame) -> DataFrame:
