@@ -119,3 +119,10 @@ def test_components_of_nothing_and_of_names(spark):
     got = G.components(spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("a", "b")], "src string, dst string")).collect()
     assert {r.node: r.component for r in got} == {"a": "b", "b": "b"}
     assert {r.component for r in G.cyclic_edges(spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 3)], "src int, dst int")).collect()} == {2, 4}
+
+
+def test_cycles_with_and_without_components(spark):
+    rng = random.Random(9)
+    edges = spark.createDataFrame([(rng.randrange(14), rng.randrange(14)) for _ in range(30)] + [(a, a + 20) for a in range(14)], "src int, dst int")
+    rows = [sorted((tuple(r.cycle), r.cycle_type) for r in G.cycles(edges, 5, few=few).collect()) for few in (0, 50_000)]
+    assert rows[0] == rows[1] and rows[0]

@@ -123,12 +123,15 @@ def cyclic_edges(edges: DataFrame) -> DataFrame:
     return cut(inside.where("component = _c").select("src", "dst", "component"))
 
 
-def cycles(edges: DataFrame, most: int = 6) -> DataFrame:
+def cycles(edges: DataFrame, most: int = 6, few: int = 50_000) -> DataFrame:
     """(cycle, cycle_type): all simple cycles of up to `most` nodes, from their least node; direct: two nodes.
 
-    Paths stay inside a strongly connected component and only visit nodes above their start, so each cycle is found once.
+    Paths only visit nodes above their start, so each cycle is found once. Of more than `few` edges they stay inside strongly
+    connected components; for fewer the search for components costs more than the paths that it saves, and the cycles are the same.
     """
-    e = cyclic_edges(edges).select("src", "dst")
+    e = _trimmed(cut(edges.where("src <> dst").select("src", "dst").distinct()))
+    if e.count() > few:
+        e = cyclic_edges(e).select("src", "dst")
     paths = e.where("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
     found = None
     for length in range(2, most + 1):
