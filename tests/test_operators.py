@@ -328,3 +328,22 @@ def test_grep_column_of_a_match_at_the_start(spark):
     docs = spark.createDataFrame([(1, "token\na token\n\rtoken'd"), (2, None), (3, "tokentoken")], "k long, text string")
     assert [(r.k, r.line_no, r.column) for r in S.grep(docs, "k", "text", "token", fixed=True).collect()] == [(1, 1, 1), (1, 2, 3), (1, 3, 2), (3, 1, 1)]
     assert [(r.line_no, r.column) for r in S.grep(docs, "k", "text", r"^\w|n'", word=False).collect()] == [(1, 1), (2, 1), (3, 6), (1, 1)]
+
+
+def test_neighbours_of_one_group_are_dealt_out(spark):
+    rows = [(None if i % 50 == 0 else "g" if i % 10 else "h", i, i * i % 17) for i in range(3000)]
+    want, last = {}, {}
+    for g, i, x in rows:
+        want[i] = None if g not in last else 1000 * last[g] + 3 * x
+        last[g] = 3 * x
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "g string, i int, x int").repartition(5)
+        out = W.similarity_to_previous(df, "g", F.col("i"), lambda a, b: 1000 * a["x"] + b["x"], {"x": 3 * F.col("x")})
+        parts = out.select("i", "x", "similarity", F.spark_partition_id().alias("p")).collect()
+        back = W.similarity_to_previous(df, "g", [F.desc("i")], lambda a, b: a["i"] - b["i"]).where("similarity is not null").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {r.i: r.similarity for r in parts} == want and all(r.x == 3 * (r.i * r.i % 17) for r in parts)
+    assert max(sum(r.p == p for r in parts) for p in {r.p for r in parts}) < 2000  # g has 2,700 rows
+    assert len(back) == 2997 and all(r.similarity > 0 for r in back)

@@ -43,11 +43,23 @@ def coverage_gaps(ranges: DataFrame, group: str, start: str, end: str) -> DataFr
     return ranges.withColumn("_reach", reach).where(F.col(start) > F.col("_reach") + 1).select(group, (F.col("_reach") + 1).alias("gap_start"), (F.col(start) - 1).alias("gap_end"))
 
 
-def similarity_to_previous(df: DataFrame, group: str, order: Column | list[Column], similarity) -> DataFrame:
-    """similarity(previous row's struct, row's struct) along the order of each group; null for the first."""
-    row = F.struct(*df.columns)
-    w = Window.partitionBy(group).orderBy(*(order if isinstance(order, list) else [order]))
-    return df.withColumn("_row", row).withColumn("_before", F.lag("_row").over(w)).withColumn("similarity", F.when(F.col("_before").isNotNull(), similarity(F.col("_before"), F.col("_row")))).drop("_row", "_before")
+def similarity_to_previous(df: DataFrame, group: str, order: Column | list[Column], similarity, derived: dict[str, Column] | None = None) -> DataFrame:
+    """similarity(previous row's struct, row's struct) along the order of each group; null for the first.
+
+    A group may be most of the table: rows are dealt out by ranges of group and order, and the last row of a range is handed to the
+    group's next one. `derived` names columns that are computed where a range arrives, once a row; they stand in place of those that
+    they are computed from, where these have the same name, and in the result.
+    """
+    order = order if isinstance(order, list) else [order]
+    ranged = df.repartitionByRange(F.col(group), *order).withColumn("_place", F.struct(F.spark_partition_id().alias("part"), F.col(group).alias("group")))
+    placed = ranged.withColumns(derived or {})
+    w = Window.partitionBy("_place").orderBy(*order)
+    row = F.struct(*[c for c in placed.columns if c != "_place"])
+    marked = placed.withColumn("_row", row).withColumn("_before", F.lag("_row").over(w)).withColumn("_last", F.lead(F.lit(True)).over(w).isNull())
+    follows = F.lead("_place").over(Window.partitionBy("_place.group").orderBy("_place.part"))  # one row per range and group
+    handed = marked.where("_last").select(follows.alias("_place"), F.col("_row").alias("_handed")).where("_place is not null")
+    both = marked.join(handed, "_place", "left").withColumn("_before", F.coalesce("_before", "_handed"))
+    return both.withColumn("similarity", F.when(F.col("_before").isNotNull(), similarity(F.col("_before"), F.col("_row")))).drop("_place", "_row", "_before", "_last", "_handed")
 
 
 def first_wins(parts: list[DataFrame], keys: list[str], tie: list[str]) -> DataFrame:

@@ -257,9 +257,9 @@ select lang, count(*) as results, count(distinct file) as files, round(avg(case
 @query(_likeness_sql())
 def consecutive_similarity(spark, t):
     """Likeness of neighbours in a list by words, path and lines, and its mean."""
-    from textquarry.operators.similarity import likeness_of
+    from textquarry.operators.similarity import likeness_of, similarity_tokens
 
-    s = WN.similarity_to_previous(located(t), "lang", F.col("doc_id"), likeness_of)
+    s = WN.similarity_to_previous(located(t), "lang", F.col("doc_id"), likeness_of, {"code": similarity_tokens(F.col("code"))})
     return s.groupBy("lang").agg(F.count("*").alias("results"), F.count_distinct("file").alias("files"), number(F.avg("similarity")).alias("avg_similarity"))
 
 
