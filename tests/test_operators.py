@@ -347,3 +347,14 @@ def test_neighbours_of_one_group_are_dealt_out(spark):
     assert {r.i: r.similarity for r in parts} == want and all(r.x == 3 * (r.i * r.i % 17) for r in parts)
     assert max(sum(r.p == p for r in parts) for p in {r.p for r in parts}) < 2000  # g has 2,700 rows
     assert len(back) == 2997 and all(r.similarity > 0 for r in back)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_import_edges_broadcast_no_paths(spark):
+    known = spark.range(50).select(F.concat(F.lit("src/f"), F.col("id").cast("string"), F.lit(".ts")).alias("file"))
+    files = known.select("file", F.array(F.lit("./f1")).alias("imports"))
+    edges = G.import_edges(files, known)
+    assert "BroadcastHashJoin" not in plan_of(edges) and edges.count() == 49

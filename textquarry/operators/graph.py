@@ -12,7 +12,8 @@ from textquarry.storage import cut
 def import_edges(files: DataFrame, known: DataFrame, extensions: tuple[str, ...] = ("", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.js", "/__init__.py")) -> DataFrame:
     """(source_file, target_file, import_type) of files (file, imports array of specifiers) among known (file).
 
-    A relative specifier is resolved against its file's folder; the first candidate that exists is the target.
+    A relative specifier is resolved against its file's folder; the first candidate that exists is the target. Spark cannot tell how many
+    paths follow from a table of keys, so neither side is broadcast.
     """
     from textquarry.functions.text import normal_path, parent_path
 
@@ -20,7 +21,7 @@ def import_edges(files: DataFrame, known: DataFrame, extensions: tuple[str, ...]
     base = F.when(F.col("spec").startswith("."), normal_path(F.concat_ws("/", parent_path(F.col("source_file")), F.col("spec")))).otherwise(normal_path(F.col("spec")))
     candidates = F.array(*[F.concat(base, F.lit(e)) for e in extensions])
     each = spec.select("source_file", "spec", F.posexplode(candidates).alias("priority", "target_file"))
-    found = each.join(known.select(F.col("file").alias("target_file")).distinct(), "target_file")
+    found = each.join(known.select(F.col("file").alias("target_file")).distinct().hint("merge"), "target_file")
     best = found.groupBy("source_file", "spec").agg(F.min_by("target_file", "priority").alias("target_file"))
     kind = F.when(F.lower("spec").contains("dynamic") | F.col("spec").contains("import("), "dynamic").otherwise("static")
     return best.where("source_file <> target_file").groupBy("source_file", "target_file").agg(F.min(kind).alias("import_type"))
