@@ -358,3 +358,10 @@ def test_import_edges_broadcast_no_paths(spark):
     files = known.select("file", F.array(F.lit("./f1")).alias("imports"))
     edges = G.import_edges(files, known)
     assert "BroadcastHashJoin" not in plan_of(edges) and edges.count() == 49
+
+
+def test_test_chunks_broadcast_no_paths(spark):
+    sources = spark.range(20).select(F.concat(F.lit("src/m"), F.col("id").cast("string"), F.lit(".ts")).alias("file"))
+    chunks = spark.range(60).select("id", F.concat(F.lit("src/m"), (F.col("id") % 10).cast("string"), F.lit(".test.ts")).alias("file"), F.col("id").alias("start"), F.lit(1.0).alias("score"))
+    got = D.test_chunks(sources, chunks)
+    assert "BroadcastHashJoin" not in plan_of(got) and got.count() == 30

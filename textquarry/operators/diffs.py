@@ -289,9 +289,9 @@ def description_queries(parts: Column, most: int = 8) -> Column:
 
 def test_chunks(sources: DataFrame, chunks: DataFrame, most: int = 3) -> DataFrame:
     """(source_file, id, file, score) of chunks (id, file, start, score) in test files of source files (file): an equi-join on
-    the paths where a file's tests may be, the first paths and chunks first, `most` for each source."""
+    the paths where a file's tests may be, the first paths and chunks first, `most` for each source. A source has a dozen such paths, so neither side is broadcast."""
     places = sources.select(F.col("file").alias("source_file"), F.posexplode(test_paths(F.col("file"))).alias("place", "file"))
-    met = places.join(chunks.where(is_test_file(F.col("file"))), "file")
+    met = places.join(chunks.where(is_test_file(F.col("file"))).hint("merge"), "file")
     once = met.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("source_file", "place"))).where("_n = 1")
     ranked = once.withColumn("_r", F.row_number().over(Window.partitionBy("source_file").orderBy("place", "start", "id"))).where(F.col("_r") <= most)
     return ranked.select("source_file", "id", "file", (F.col("score") * 1.5).alias("score"))
