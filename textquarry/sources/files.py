@@ -9,6 +9,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from textquarry.functions.predicates import LANGUAGES, is_indexable, language_of
 
 MOST_BYTES = 10_000_000
+#: Lines of a report that are put together at once.
+PIECE_LINES = 50_000
 
 
 def source_files(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -113,6 +115,13 @@ def report_lines(findings: DataFrame, form: str) -> DataFrame:
         "json": F.to_json(F.struct("severity", "title", "file", "line")),
         "xml": F.concat(F.lit('<finding severity="'), "severity", F.lit('" at="'), escape_xml(place), F.lit('">'), escape_xml(F.col("title")), F.lit("</finding>")),
     }[form]
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(severity_order(F.col("severity")).alias("o"), F.col("title"), F.col("file"), F.col("line"), line.alias("s")))), lambda x: x["s"])
-    joined = F.array_join(ordered, "," if form == "json" else "\n")
-    return findings.groupBy("feature_id").agg((F.concat(F.lit("["), joined, F.lit("]")) if form == "json" else joined).alias("body"))
+    # Lines are put together in pieces of about PIECE_LINES, dealt out by ranges, so that only a report's text meets in one row.
+    n = max(1, -(-findings.count() // PIECE_LINES))
+    rows = findings.select("feature_id", severity_order(F.col("severity")).alias("o"), "title", "file", "line", line.alias("s"))
+    placed = rows.repartitionByRange(n, "feature_id", "o", "title", "file", "line").withColumn("piece", F.spark_partition_id())
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("o", "title", "file", "line", "s"))), lambda x: x["s"])
+    end = "," if form == "json" else "\n"
+    text = F.when(F.exists("lines", lambda x: x.isNotNull()), F.array_join("lines", end))
+    pieces = placed.groupBy("feature_id", "piece").agg(ordered.alias("lines")).select("feature_id", "piece", text.alias("s"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "s"))), lambda x: x["s"]), end)
+    return pieces.groupBy("feature_id").agg((F.concat(F.lit("["), joined, F.lit("]")) if form == "json" else joined).alias("body"))
