@@ -365,3 +365,24 @@ def test_test_chunks_broadcast_no_paths(spark):
     chunks = spark.range(60).select("id", F.concat(F.lit("src/m"), (F.col("id") % 10).cast("string"), F.lit(".test.ts")).alias("file"), F.col("id").alias("start"), F.lit(1.0).alias("score"))
     got = D.test_chunks(sources, chunks)
     assert "BroadcastHashJoin" not in plan_of(got) and got.count() == 30
+
+
+def test_reports_are_put_together_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(FS, "PIECE_LINES", 7)
+    rows = [(i % 2, ["HIGH", "LOW", None][i % 3], f"t{i % 5}", "a.ts", i) for i in range(100)] + [(9, None, "t", "a.ts", 1)]
+    df = spark.createDataFrame(rows, "feature_id int, severity string, title string, file string, line int")
+    got = {r.feature_id: r.body for r in FS.report_lines(df, "text").collect()}
+    rank = {"HIGH": 1, "LOW": 3}
+    for k in (0, 1):
+        mine = sorted((r for r in rows if r[0] == k and r[1]), key=lambda r: (rank[r[1]], *r[2:]))
+        assert got[k] == "\n".join(f"[{s}] {t} ({f}:{n})" for _, s, t, f, n in mine)
+    assert got[9] == "" and len(got) == 3
+
+
+def test_phrase_votes_are_no_rows(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b a b b a"), (2, "b a"), (3, "a a a b"), (4, None)], "doc_id long, text string")
+    S.Index.write(docs, "doc_id", "text", f"{tmp_path}/i")
+    phrases = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "a"]), (3, ["b", "a", "b"]), (4, ["b"])], "phrase_id int, words array<string>")
+    found = S.phrase_matches(S.Index(spark, f"{tmp_path}/i", "doc_id"), phrases)
+    assert {(r.phrase_id, r.doc_id): r.n for r in found.collect()} == {(1, 1): 2, (1, 3): 1, (2, 3): 2, (3, 1): 1, (4, 1): 3, (4, 2): 1, (4, 3): 1}
+    assert dict(found.dtypes)["n"] == "bigint" and "Generate explode(positions" not in plan_of(found)
