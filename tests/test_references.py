@@ -82,3 +82,10 @@ def test_chunks_of_changed_lines(spark):
     chunks = spark.createDataFrame([(1, "repo/src/a.ts", 1, 9), (2, "a.ts", 5, 20), (3, "b/src/xa.ts", 1, 50), (4, "c.py", 1, 5)], "id long, file string, start int, end int")
     lines = spark.createDataFrame([(7, "src/a.ts", 8), (7, "src/a.ts", 8), (8, "c.py", 6), (9, "ts", 30)], "query_id long, file string, line int")
     assert sorted(tuple(r) for r in RT.overlapping_chunks(chunks, lines).collect()) == [(7, 1), (7, 2), (9, 3)]
+
+
+def test_texts_of_a_batch_are_taken_in_slices(spark):
+    texts = spark.range(700).select("id", F.concat(F.lit("x name"), F.col("id").cast("string"), F.lit("(")).alias("text")).coalesce(1)
+    names = spark.range(0, 700, 2).select(F.concat(F.lit("name"), F.col("id").cast("string"), F.lit("(")).alias("string"))
+    assert AU.SLICE_ROWS < 700
+    assert sorted(r.id for r in AU.occurring(texts, "id", "text", names).collect()) == list(range(0, 700, 2))
