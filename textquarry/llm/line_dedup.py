@@ -12,7 +12,7 @@ that one is removed for an earlier one itself; so of a chain of links the first
 further than the threshold from it. kept_from names the documents of the earlier lines, whether those stay or not.
 
 Only hashes are dealt out: a distinct line travels as its id and the hashes of its segments, and texts are fetched for
-those lines alone that met another. Segments that very many lines share are found on a sample of line ids; their lines
+those lines alone that met another. Segments that several lines share are found on a sample of line ids; their lines
 are verified where they meet, so that a group with a common segment gives out its links and not its pairs. A group of more
 than `most_group` lines is dealt out again by the segments of what its lines are without the common one. Which way a
 segment goes changes no result.
@@ -193,42 +193,42 @@ def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def line_links(docs: DataFrame, key: str, text: str, edits: int = 2, least_chars: int = 12, hot_lines: int = 32, most_ids: int = 1_000_000, most_group: int = 1000) -> DataFrame:
+def line_links(docs: DataFrame, key: str, text: str, edits: int = 2, least_chars: int = 12, hot_lines: int = 8, most_ids: int = 1_000_000, most_group: int = 1000) -> DataFrame:
     """(a, a2, b, b2): distinct lines (both hashes of each) within `edits` edits, each pair once."""
     least_chars = max(least_chars, 3 * (edits + 1))
 
     def body() -> DataFrame:
         return lines_with_ids(document_lines(docs, key, text)).withColumn("n", F.length("line")).where(F.col("n") >= least_chars)
 
-    def sent(rows: DataFrame, keys: list[Column], name: str, placed: bool) -> DataFrame:
-        """A row per distinct line and hash, `placed` with its number; equal lines are combined before the shuffle, with hashes as columns."""
+    def sent(keys: list[Column], name: str) -> DataFrame:
+        """A row per distinct line and hash, with the hash's number; equal lines are combined before the shuffle, with hashes as columns."""
         # The higher-order function keeps this projection out of whole-stage code, of which one method would be too long to be compiled.
         never = F.exists(F.array("n"), lambda x: x < 0)
         hashes = [F.when(never, F.lit(None).cast("long")).otherwise(k) if i == 0 else k for i, k in enumerate(keys)]
         names = [f"h{i}" for i in range(len(keys))]
-        own = rows.select("id", *[h.alias(c) for h, c in zip(hashes, names)]).distinct()
-        each = F.posexplode(F.array(*names)).alias("pos", "h") if placed else F.explode(F.array(*names)).alias("h")
-        return own.select(F.col("id").alias(name), each).where("h is not null")
-
-    def both(rows: DataFrame, placed: bool = False) -> tuple[DataFrame, DataFrame]:
-        return sent(rows, index_keys(F.col("line"), F.col("n"), edits), "a", placed), sent(rows, probe_keys(F.col("line"), F.col("n"), edits), "b", placed)
+        own = body().select("id", *[h.alias(c) for h, c in zip(hashes, names)]).distinct()
+        return own.select(F.col("id").alias(name), F.posexplode(F.array(*names)).alias("pos", "h")).where("h is not null")
 
     share = 4
     some = body().where(F.pmod("id", F.lit(share)) == 0)
-    own_keys = [F.struct(k.alias("h"), F.col("n").alias("n")) for k in index_keys(F.col("line"), F.col("n"), edits)]
-    seen = some.select("id", F.inline(F.array(*own_keys))).groupBy("h", "n").agg(F.count_distinct("id").alias("c")).where(F.col("c") >= hot_lines // share).select("h", "n")
-    index, probe = both(body())
+    seen = some.select("id", F.explode(F.array(*index_keys(F.col("line"), F.col("n"), edits))).alias("h")).groupBy("h").agg(F.count_distinct("id").alias("c")).where(F.col("c") >= max(2, hot_lines // share)).select("h")
+    index, probe = sent(index_keys(F.col("line"), F.col("n"), edits), "a"), sent(probe_keys(F.col("line"), F.col("n"), edits), "b")
     hot = cut(seen)
     some_hot = hot.limit(1).count() > 0
-    on_all = _small(hot.select("h"), most_ids) if some_hot else None
+    on_all = _small(hot, most_ids) if some_hot else None
     common_index, common_probe = (index.join(on_all, "h", "left_anti"), probe.join(on_all, "h", "left_anti")) if some_hot else (index, probe)
-    met = common_probe.join(common_index.hint("shuffle_hash"), "h").where("a <> b")
-    pairs = cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    met = common_probe.select("h", "b").join(common_index.select("h", "a").hint("shuffle_hash"), "h").where("a <> b")
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if some_hot:
+        # One job for both, so that the lines' hashes are computed and dealt out once.
+        hot_index = index.join(on_all, "h", "left_semi").select("h", "pos", F.col("a").alias("id"), F.lit(True).alias("indexed"))
+        hot_probe = probe.join(on_all, "h", "left_semi").select("h", "pos", F.col("b").alias("id"), F.lit(False).alias("indexed"))
+        found = cut(pairs.unionByName(hot_index.unionByName(hot_probe), allowMissingColumns=True))
+        pairs, hot_rows = found.where("h is null").select("a", "b"), found.where("h is not null").select("h", "pos", "id", "indexed")
+    else:
+        pairs = cut(pairs)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     if some_hot:
-        sizes = hot.select(F.explode(F.array(*[F.col("n") + d for d in range(edits + 1)])).alias("n")).distinct()
-        index, probe = both(body().join(_small(sizes, most_ids), "n", "left_semi"), placed=True)  # no other line has such a segment
-        hot_rows = cut(index.join(on_all, "h", "left_semi").select("h", "pos", F.col("a").alias("id"), F.lit(True).alias("indexed")).unionByName(probe.join(on_all, "h", "left_semi").select("h", "pos", F.col("b").alias("id"), F.lit(False).alias("indexed"))))
         needed = needed.unionByName(hot_rows.select("id"))
     needed = cut(needed.distinct())
     texts = cut(body().join(_small(needed, most_ids), "id", "left_semi").groupBy("id", "id2").agg(F.first("line").alias("line")).select("id", "id2", code_points(F.col("line")).alias("code")))
