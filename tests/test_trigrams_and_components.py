@@ -126,3 +126,8 @@ def test_cycles_with_and_without_components(spark):
     edges = spark.createDataFrame([(rng.randrange(14), rng.randrange(14)) for _ in range(30)] + [(a, a + 20) for a in range(14)], "src int, dst int")
     rows = [sorted((tuple(r.cycle), r.cycle_type) for r in G.cycles(edges, 5, few=few).collect()) for few in (0, 50_000)]
     assert rows[0] == rows[1] and rows[0]
+
+
+def test_texts_that_share_a_trigram_are_listed_together(spark, index):
+    held = spark.read.parquet(f"{index.path}/grams")
+    assert held.count() < held.select(F.explode("keys")).count() / 2

@@ -9,8 +9,11 @@ blocks of the texts that have them. It finds what a scan finds: a pattern of whi
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from re import _parser
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +73,17 @@ def _ways(tree) -> list[frozenset[str]]:
     return ways
 
 
+def _lists(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[pa.RecordBatch]:
+    """(gram, block, keys) of texts (key, block, grams), `most` at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            key, block, grams = batch.slice(at, most).columns
+            text = pc.list_parent_indices(grams)
+            each = pa.table({"gram": grams.flatten(), "block": block.take(text), "keys": key.take(text)})
+            made = each.group_by(["gram", "block"], use_threads=False).aggregate([("keys", "list")])
+            yield from made.rename_columns({"keys_list": "keys"}).select(["gram", "block", "keys"]).to_batches(20_000)
+
+
 class TrigramIndex:
     def __init__(self, spark: SparkSession, path: str, key: str, text: str):
         self.spark, self.path, self.key, self.text = spark, path, key, text
@@ -77,14 +91,18 @@ class TrigramIndex:
 
     @staticmethod
     def write(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64, blocks: int = 64) -> TrigramIndex:
-        """Texts in `blocks` folders by key's hash, trigrams in `buckets`. A text's trigrams are made distinct where it is read."""
+        """Texts in `blocks` folders by key's hash, trigrams in `buckets`. A text's trigrams are made distinct where it is read, and
+        the texts that share one are listed there, so what is dealt out is a key for each, not a row."""
         spark = docs.sparkSession
         placed = docs.where(F.col(text).isNotNull()).select(F.col(key), F.col(text), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
         placed.repartition("block").sortWithinPartitions("block", key).write.partitionBy("block").parquet(f"{path}/texts")
         low = F.lower(text)
         gram = F.array_distinct(F.regexp_extract_all(low, F.lit("(?s)(?=(.{3}))"), F.lit(1)))  # in one walk over the text
-        rows = placed.where(F.length(low) >= 3).select(F.explode(gram).alias("gram"), F.col(key), "block").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
-        rows.repartitionByRange("bucket", "gram", key).sortWithinPartitions("bucket", "gram", key).write.partitionBy("bucket").parquet(f"{path}/grams")
+        held = spark.read.parquet(f"{path}/texts").where(F.length(low) >= 3).select(F.col(key), "block", gram.alias("grams"))
+        lists = held.mapInArrow(_lists, f"gram string, block int, keys array<{dict(docs.dtypes)[key]}>")
+        rows = lists.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
+        # By hash, as a range would be sampled first, for which all lists would be made twice; a frequent trigram goes to four tasks.
+        rows.repartition("bucket", F.col("block") % 4).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/grams")
         spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/figures")
         return TrigramIndex(spark, path, key, text)
 
@@ -99,7 +117,7 @@ class TrigramIndex:
         numbers = [r.b for r in asked.select(F.pmod(F.xxhash64("gram"), F.lit(self.buckets)).cast("int").alias("b")).distinct().collect()]  # of one pattern
         held = self.spark.read.parquet(f"{self.path}/grams").where(F.col("bucket").isin(numbers) & F.col("gram").isin(grams))
         # The alternatives of one pattern: a few hundred rows at most.
-        full = held.join(F.broadcast(asked), "gram").groupBy("way", self.key, "block").agg(F.count("*").alias("c"), F.max("n").alias("n")).where("c = n")
+        full = held.join(F.broadcast(asked), "gram").select("way", "n", "block", F.explode("keys").alias(self.key)).groupBy("way", self.key, "block").agg(F.count("*").alias("c"), F.max("n").alias("n")).where("c = n")
         found = full.select(self.key, "block").distinct()
         blocks = [r.block for r in found.select("block").distinct().limit(MOST_BLOCKS + 1).collect()]
         read = everything.where(F.col("block").isin(blocks)) if len(blocks) <= MOST_BLOCKS else everything
