@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textquarry.functions.predicates import is_sensitive
 from textquarry.functions.text import base_name, escape_xml, parent_path, suffix
 from textquarry.operators.automaton import occurring
+from textquarry.operators.search import few
 from textquarry.storage import cut
 
 #: Results that each stage may give, and the weight of what a stage finds.
@@ -314,7 +315,7 @@ def staged_retrieval(
     marked = held.join(modified.select(*on).distinct().withColumn("_m", F.lit(LINE_WEIGHT)), on, "left")
     weighed = marked.withColumn("score", F.col("score") * F.coalesce("_m", F.lit(1.0))).drop("_m")
     w = Window.partitionBy(by).orderBy(F.desc("score"), "id")
-    ranked = weighed.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= most)
+    ranked = few(cut(weighed.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= most)))  # texts come to the rows, unless these are many
     packed = token_budget(ranked.join(chunks.select("id", "code"), "id").withColumn("cost", estimated_tokens(F.col("code"))), F.col("cost"), [F.col("rank")], budget, by=[by])
     return packed.select(by, "id", "source", "score", "stage", "rank")
 

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import tokens
-from textquarry.operators.search import few, postings
-from textquarry.storage import cut
+from textquarry.operators.search import dealt, few, postings
+from textquarry.storage import cut, fresh_dir
 
 VERSION = "n long, total long, segments array<struct<id:int,docs:long>>, buckets int, layout string, kind string"
 
@@ -79,8 +79,14 @@ class SegmentedIndex:
     def apply(self, changes: DataFrame, text: str = "text") -> None:
         """Changes (change in A, M, D; seq; key; text): of a key the latest counts. A and M put the document in place of what is there, D
         removes it, so a batch that comes again changes nothing but the number of segments. Null texts are documents without terms."""
+        # Only changes of a key that has several are put in order; the texts of all others stay where they are.
+        mine = changes.where(F.col(self.key).isNotNull()).select("change", "seq", F.col(self.key).cast(self.kind).alias(self.key), text)
+        several = few(cut(mine.groupBy(self.key).agg(F.count("*").alias("_n")).where("_n > 1").select(self.key)))
         w = Window.partitionBy(self.key).orderBy(F.desc("seq"))
-        last = cut(changes.where(F.col(self.key).isNotNull()).withColumn("_r", F.row_number().over(w)).where("_r = 1").select("change", F.col(self.key).cast(self.kind).alias(self.key), text))
+        latest = mine.join(several, self.key, "left_semi").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+        batch = fresh_dir(self.spark, "changes")  # compressed, where a cut would hold rows as they are
+        mine.join(several, self.key, "left_anti").unionByName(latest).select("change", self.key, text).write.parquet(batch)
+        last = self.spark.read.schema(f"change string, `{self.key}` {self.kind}, `{text}` string").parquet(batch)
         segment = self.version + 1
         gone = cut(self.living().join(few(last.select(self.key)), self.key, "left_semi").select(F.col("segment").alias("of"), self.key, "doc_len"))
         fresh = last.where("change <> 'D'").select(self.key, text)
@@ -93,8 +99,7 @@ class SegmentedIndex:
         self.compact()
 
     def _write_postings(self, rows: DataFrame, segment: int) -> None:
-        p = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-        p.repartitionByRange("bucket", "term", self.key).sortWithinPartitions("bucket", "term", self.key).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
+        dealt(rows, self.key, self.buckets).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
 
     def _commit(self, version: int, n: int, total: int, segments: list[tuple[int, int]]) -> None:
         row = self.spark.createDataFrame([(n, total, segments, self.buckets, self.layout, self.kind)], VERSION)

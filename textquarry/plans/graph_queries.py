@@ -965,7 +965,7 @@ def staged_search(spark, t):
     near = S.top_k(S.vector_scores(mine, wanted.join(e, F.col("vec") == e.doc_id).select("query_id", F.col("embedding").alias("q")), "doc_id", "embedding"), 20)
     vector = near.join(wanted, "query_id").select(F.col("request").alias("query_id"), "position", F.col("doc_id").alias("id"), F.col("score").alias("vector_score"), "rank")
     place = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"), F.col("text").alias("code"))
-    defined = symbols.select(F.col("doc_id").alias("id"), F.posexplode("symbols").alias("line", "symbol")).join(place.select("id", "file"), "id")
+    defined = symbols.select(F.col("doc_id").alias("id"), F.posexplode("symbols").alias("line", "symbol")).join(S.few(asked.select("symbol").distinct()), "symbol", "left_semi").join(place.select("id", "file"), "id")
     used = index.of(asked.select(F.col("symbol").alias("term"))).select(F.col("term").alias("symbol"), F.col("doc_id").alias("id"), F.array_min("positions").alias("line")).join(place.select("id", "file"), "id")
     structural = RT.structural_stage(asked.select(F.col("request").alias("query_id"), "symbol", "position"), defined, used, by="query_id")
     modified = t("documents").where("doc_id % 4 = 0").select(F.col("doc_id").alias("id"))

@@ -107,7 +107,9 @@ def symbol_docs(t):
 
 
 def _symbol_docs(t):
-    return t("documents").select("doc_id", "lang", "source", F.array_distinct(F.slice(tokens(F.col("text")), 1, 12)).alias("symbols"))
+    # Each run of letters and digits gives a word or more; the one beyond the twelfth is there for lower case, which looks ahead.
+    head = F.regexp_extract("text", r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){0,13}", 0)
+    return t("documents").select("doc_id", "lang", "source", F.array_distinct(F.slice(tokens(head), 1, 12)).alias("symbols"))
 
 
 @query(BM25.replace(SQL_ASKED, " union all ".join(f"select {q} as query_id, '{x}' as term" for q, x in SEARCHED.items())).rsplit("ranked as", 1)[0].rstrip().rstrip(",") + f""",
