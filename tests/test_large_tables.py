@@ -58,3 +58,58 @@ def test_batches_put_only_repeated_keys_in_order(spark):
     asked = spark.createDataFrame([(x,) for x in ("old", "words", "new", "lone", "gone", "no")], "term string")
     assert sorted((r.doc_id, r.term) for r in index.of(asked).collect()) == [(1, "new"), (1, "words"), (2, "lone")]
     assert (index.n, index.total) == (3, 4)
+
+
+def test_similar_sets_share_a_first_token_also_where_hashes_are_equal():
+    import numpy as np
+    import pyarrow as pa
+
+    from textquarry.operators.similarity import COUNTERS, _first_tokens
+
+    draw = np.random.RandomState(3)
+    sets = [sorted(draw.choice(40, size=draw.randint(1, 14), replace=False).tolist()) for _ in range(150)]
+    hashed = [sorted(x // 2 for x in s) for s in sets]  # every two words have one hash
+    counters = np.zeros(COUNTERS, np.int64)
+    counters[:20] = draw.randint(0, 9, 20)
+    n = len(sets)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()), pa.array([5] * n, pa.int64()), pa.array(hashed, pa.list_(pa.int64()))], names=["x", "y", "g", "hs"])
+    out = next(_first_tokens(counters, 0.7)(iter([batch]))).to_pylist()
+    for a in range(n):
+        for b in range(n):
+            x, y = set(sets[a]), set(sets[b])
+            if a != b and (len(x), a) < (len(y), b) and len(x & y) / len(x | y) >= 0.7 - 1e-9:
+                met = [(r, q) for r in out if r["x"] == a and r["own"] for q in out if q["x"] == b and q["t"] == r["t"]]
+                bound = 0.7 / 1.7 * (len(x) + len(y)) - 1e-9
+                assert any(min(r["n"] - r["i"], q["n"] - q["i"]) >= bound for r, q in met), (x, y)
+
+
+def test_similar_pairs_are_those_of_brute_force_with_copies_and_no_words(spark):
+    import random
+
+    from textquarry.operators import similarity as SIM
+
+    random.seed(4)
+    texts = [" ".join(random.sample([f"word{i}" for i in range(30)], random.randint(1, 12))) for _ in range(120)] + ["same old text here"] * 40 + [None, "", "a b", "x"]
+    rows = [(i, x, f"g{i % 2}") for i, x in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "id long, text string, g string")
+    got = {(r.g, r.a, r.b): round(r.jaccard, 9) for r in SIM.similar_pairs(docs, "g", "id", SIM.similarity_tokens(F.col("text")), 0.7).collect()}
+    sets = {i: {w for w in (x or "").split() if len(w) > 2} for i, x, _ in rows}
+    want = {(f"g{i % 2}", i, j): round(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), 9) for i in sets for j in sets if i < j and i % 2 == j % 2 and sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.7 - 1e-9}
+    assert got == want
+
+
+def test_inverted_lists_score_blocks_as_rows(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(S, "VECTORS_AT_ONCE", 16)
+    monkeypatch.setattr(S, "QUERIES_AT_ONCE", 4)
+    draw = np.random.RandomState(2)
+    v = draw.normal(size=(90, 6)).round(3)
+    v[40:60] = v[3]  # ties go to the lesser key
+    rows = spark.createDataFrame([(i, i % 3, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, list int, embedding array<float>")
+    centres = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(3)], "list int, centre array<double>")
+    asked = rows.where("vec_id % 9 = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    got = S.ivf_search(rows, centres, asked, "vec_id", "embedding", k=5, probes=3)
+    assert "MapInArrow" in plan(got)
+    want = S.top_k(S.vector_scores(rows.drop("list"), asked, "vec_id", "embedding"), 5, key="vec_id")
+    assert sorted(map(tuple, got.select("query_id", "vec_id", "score", "rank").collect())) == sorted(map(tuple, want.select("query_id", "vec_id", "score", "rank").collect()))
