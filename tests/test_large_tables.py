@@ -113,3 +113,23 @@ def test_inverted_lists_score_blocks_as_rows(spark, monkeypatch):
     assert "MapInArrow" in plan(got)
     want = S.top_k(S.vector_scores(rows.drop("list"), asked, "vec_id", "embedding"), 5, key="vec_id")
     assert sorted(map(tuple, got.select("query_id", "vec_id", "score", "rank").collect())) == sorted(map(tuple, want.select("query_id", "vec_id", "score", "rank").collect()))
+
+
+def test_ways_of_two_edges_are_no_rows(spark):
+    import random
+
+    from textquarry.operators import graph as G
+
+    random.seed(6)
+    pairs = {(random.randint(1, 40), random.randint(1, 40)) for _ in range(220)}
+    tree = G.neighbourhood(spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs] + [("n1", "n1"), ("n90", None)], "src string, dst string"))
+    assert "FlatMapCoGroupsInArrow" in plan(tree)
+    out: dict = {}
+    into: dict = {}
+    for a, b in pairs:
+        if a != b:
+            out.setdefault(f"n{a}", set()).add(f"n{b}")
+            into.setdefault(f"n{b}", set()).add(f"n{a}")
+    far = lambda side, x: sorted({m for n in side.get(x, ()) for m in side.get(n, ())} - side.get(x, set()) - {x})
+    want = {x: (sorted(out.get(x, ())), sorted(into.get(x, ())), far(out, x), far(into, x)) for x in out.keys() | into.keys()}
+    assert {r.root: (r.direct_out, r.direct_in, r.indirect_out, r.indirect_in) for r in tree.collect()} == want

@@ -27,26 +27,71 @@ def import_edges(files: DataFrame, known: DataFrame, extensions: tuple[str, ...]
     return best.where("source_file <> target_file").groupBy("source_file", "target_file").agg(F.min(kind).alias("import_type"))
 
 
+#: Fixed value: roots whose neighbours' neighbours are put together in one group, on average at most.
+ROOTS_AT_ONCE = 512
+
+
 def neighbourhood(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(root, direct_out, direct_in, indirect_out, indirect_in): sorted arrays; two hops without one hop or the root.
 
-    All roots, or those given (root), in one plan.
+    All roots, or those given (root), in one plan. Ways of two edges are no rows: roots are dealt out in blocks, to each of which the list
+    of a neighbour that several of its roots have goes once, and a root's lists are put together there.
     """
-    e = edges.select("src", "dst").where("src <> dst").distinct()
-    nodes = roots or e.select(F.explode(F.array("src", "dst")).alias("root")).distinct()
+    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    nodes = cut(roots.select("root").distinct() if roots is not None else e.select(F.explode(F.array("src", "dst")).alias("root")).distinct())
+    kind = dict(e.dtypes)["src"]
+    blocks = max(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // ROOTS_AT_ONCE))
 
     def side(a: str, b: str, direct: str, indirect: str) -> DataFrame:
-        one = e.select(F.col(a).alias("root"), F.col(b).alias("n")).join(nodes, "root", "left_semi")
-        two = one.join(e.select(F.col(a).alias("n"), F.col(b).alias("m")), "n").select("root", F.col("m").alias("n")).where("root <> n").distinct()
-        far = two.join(one, ["root", "n"], "left_anti")
-        marked = one.withColumn("hop", F.lit(1)).unionByName(far.withColumn("hop", F.lit(2)))
-        return marked.groupBy("root").agg(F.array_sort(F.collect_list(F.when(F.col("hop") == 1, F.col("n")))).alias(direct), F.array_sort(F.collect_list(F.when(F.col("hop") == 2, F.col("n")))).alias(indirect))
+        lists = cut(e.groupBy(F.col(a).alias("n")).agg(F.array_sort(F.collect_list(b)).alias("ms")))
+        own = lists.join(nodes.select(F.col("root").alias("n")), "n", "left_semi").select(F.col("n").alias("root"), "ms", F.pmod(F.xxhash64("n"), F.lit(blocks)).alias("block"))
+        asked = own.select("block", F.explode("ms").alias("n")).distinct()
+        sent = asked.join(lists, "n").select(F.col("block").alias("to"), "n", "ms")
+        return own.groupBy("block").cogroup(sent.groupBy("to")).applyInArrow(_two_hops, f"root {kind}, one array<{kind}>, two array<{kind}>").select("root", F.col("one").alias(direct), F.col("two").alias(indirect))
 
-    empty = F.array().cast(f"array<{dict(e.dtypes)['src']}>")
+    empty = F.array().cast(f"array<{kind}>")
     out = nodes.join(side("src", "dst", "direct_out", "indirect_out"), "root", "left").join(side("dst", "src", "direct_in", "indirect_in"), "root", "left")
     return out.select("root", *[F.coalesce(c, empty).alias(c) for c in ("direct_out", "direct_in", "indirect_out", "indirect_in")])
 
 
+def _two_hops(own, sent):
+    """Rows (root, one, two) of own (root, ms) and the lists sent (n, ms) of all their neighbours that have one."""
+    import numpy as np
+    import pyarrow as pa
+
+    def names(column):
+        return column.combine_chunks().to_numpy(zero_copy_only=False) if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
+
+    def flat(lists):
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        return names(lists.flatten()), ends - ends[0]
+
+    ones, cuts = flat(own.column("ms"))
+    values, ends = flat(sent.column("ms"))
+    # Nodes by number, so that texts do as well as numbers.
+    roots, at = names(own.column("root")), names(sent.column("n"))
+    known, code = np.unique(np.concatenate([roots, ones, values, at]), return_inverse=True)
+    root_code, one_code, value_code, at_code = np.split(code, np.cumsum([len(roots), len(ones), len(values)]))
+    row_of = np.full(len(known), -1)
+    row_of[at_code] = np.arange(len(at_code))
+    mark = np.zeros(len(known), bool)
+    twos = []
+    for i, root in enumerate(root_code):
+        mine = one_code[cuts[i] : cuts[i + 1]]
+        for j in row_of[mine]:
+            if j >= 0:
+                mark[value_code[ends[j] : ends[j + 1]]] = True
+        mark[mine] = False
+        mark[root] = False
+        twos.append(known[np.flatnonzero(mark)])
+        mark[:] = False
+    kind = pa.list_(own.schema.field("ms").type.value_type)
+    sizes = np.r_[0, np.cumsum([len(x) for x in twos])].astype(np.int32)
+    two = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(twos) if twos else [], type=kind.value_type))
+    return pa.table({"root": own.column("root"), "one": own.column("ms").cast(kind), "two": two})
+
+
 def hubs(edges: DataFrame, threshold: int, limit: int, most_importers: int = 10) -> DataFrame:
     """(node, n, importers): nodes with at least `threshold` distinct sources, most first.
 
