@@ -89,3 +89,25 @@ def test_texts_of_a_batch_are_taken_in_slices(spark):
     names = spark.range(0, 700, 2).select(F.concat(F.lit("name"), F.col("id").cast("string"), F.lit("(")).alias("string"))
     assert AU.SLICE_ROWS < 700
     assert sorted(r.id for r in AU.occurring(texts, "id", "text", names).collect()) == list(range(0, 700, 2))
+
+
+def test_pairs_of_chunks_are_never_stored(spark, monkeypatch):
+    """Chunks that want and offer the same are classes; pairs are put out last, by parts of classes, also of ids with several rows."""
+    rows = [(i, f" a{i % 3}bc( x", [f"a{(i + 1) % 3}bc"], [f"a{i % 2}bc"], []) for i in range(150)] + [(7, " a0bc a2bc.", ["own"], ["a2bc", None], ["a1bc"]), (8, "own(", [], [], ["own"]), (200, None, ["own"], ["none"], [])]
+    merged = {}
+    for i, content, symbols, imports, exports in rows:
+        _, c, s, m, e = merged.get(i, (i, "", [], [], []))
+        merged[i] = (i, c + "\n" + (content or ""), s + symbols, [x for x in m + imports if x], e + exports)
+    want, stored, cut = plain(list(merged.values())), [], RT.cut
+
+    def counted(df):
+        df = cut(df)
+        stored.append(df.count())
+        return df
+
+    monkeypatch.setattr(RT, "cut", counted)
+    monkeypatch.setattr(RT, "PART_IDS", 20, raising=False)
+    out = RT.relations(spark.createDataFrame(rows, CHUNKS))
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(got) > 10_000
+    assert max(stored) < 4 * len(rows)
