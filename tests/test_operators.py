@@ -330,6 +330,13 @@ def test_grep_column_of_a_match_at_the_start(spark):
     assert [(r.line_no, r.column) for r in S.grep(docs, "k", "text", r"^\w|n'", word=False).collect()] == [(1, 1), (2, 1), (3, 6), (1, 1)]
 
 
+def test_grep_gives_all_lines_unless_a_limit_is_given(spark):
+    docs = spark.range(40).selectExpr("id as k", "repeat('a token\\n', 60) as text")
+    got = [(r.k, r.line_no) for r in S.grep(docs, "k", "text", "token", fixed=True).collect()]
+    assert got == [(k, i) for k in range(40) for i in range(1, 61)]
+    assert S.grep(docs, "k", "text", "token", 1500).count() == 1500 and S.grep(docs, "k", "text", "token", 7).count() == 7
+
+
 def test_neighbours_of_one_group_are_dealt_out(spark):
     rows = [(None if i % 50 == 0 else "g" if i % 10 else "h", i, i * i % 17) for i in range(3000)]
     want, last = {}, {}

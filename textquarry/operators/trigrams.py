@@ -123,7 +123,7 @@ class TrigramIndex:
         read = everything.where(F.col("block").isin(blocks)) if len(blocks) <= MOST_BLOCKS else everything
         return read.join(found, [self.key, "block"], "left_semi").select(self.key, self.text)
 
-    def grep(self, pattern: str, limit: int = 1000, *, fixed: bool = False, word: bool = False) -> DataFrame:
+    def grep(self, pattern: str, limit: int | None = None, *, fixed: bool = False, word: bool = False) -> DataFrame:
         from textquarry.operators.search import grep
 
         return grep(self.texts(pattern, fixed=fixed), self.key, self.text, pattern, limit, fixed=fixed, word=word)

@@ -310,7 +310,7 @@ def usages(spark, t):
 LINES = "(select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents)"
 
 
-@query(f"""select doc_id, cast(line_no as integer) as line_no, cast(length(regexp_extract(line, '^(.*?)token', 1)) + 1 as integer) as "column" from {LINES} where regexp_matches(line, 'token') order by doc_id, line_no limit 1000""")
+@query(f"""select doc_id, cast(line_no as integer) as line_no, cast(length(regexp_extract(line, '^(.*?)token', 1)) + 1 as integer) as "column" from {LINES} where regexp_matches(line, 'token')""")
 def grep_lines(spark, t):
     """H5: lines that match, with line and column."""
     return S.grep(t("documents"), "doc_id", "text", "token", fixed=True).select("doc_id", F.col("line_no").cast("int").alias("line_no"), F.col("column").cast("int").alias("column"))
@@ -333,7 +333,7 @@ PATTERN = "(worth|value)less [a-z]+|idiots? "
 @query(f"select doc_id, cast(line_no as integer) as line_no, line from {LINES} where regexp_matches(line, '{PATTERN}') order by doc_id, line_no limit 1000")
 def grep_indexed(spark, t):
     """H5 H6 H7: a pattern looked for in the texts that have its trigrams."""
-    return trigram_index(t).grep(PATTERN).select("doc_id", F.col("line_no").cast("int").alias("line_no"), "line")
+    return trigram_index(t).grep(PATTERN, 1000).select("doc_id", F.col("line_no").cast("int").alias("line_no"), "line")
 
 
 @query("select doc_id from documents where regexp_matches(text, 'token') union all select doc_id from documents where regexp_matches(text, ' (?:de la|of the) ')")
