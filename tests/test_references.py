@@ -111,3 +111,15 @@ def test_pairs_of_chunks_are_never_stored(spark, monkeypatch):
     got = [tuple(r) for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(got) > 10_000
     assert max(stored) < 4 * len(rows)
+
+
+def test_pairs_of_two_parts_are_not_held_at_once(spark):
+    """Two explodes in one compiled stage keep all rows that come of one input row: the square of a part."""
+    import re
+
+    rows = [(i, " abc( x", [], ["abc"], []) for i in range(30)] + [(30, "", ["abc"], [], [])]
+    out = RT.relations(spark.createDataFrame(rows, CHUNKS))
+    assert len(out.collect()) == 30
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    stage = {c: set(re.findall(rf"\*\((\d+)\) Generate explode\({c}", plan)) for c in ("srcs", "dsts")}
+    assert stage["srcs"] and stage["dsts"] and not stage["srcs"] & stage["dsts"]
