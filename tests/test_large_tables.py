@@ -133,3 +133,24 @@ def test_ways_of_two_edges_are_no_rows(spark):
     far = lambda side, x: sorted({m for n in side.get(x, ()) for m in side.get(n, ())} - side.get(x, set()) - {x})
     want = {x: (sorted(out.get(x, ())), sorted(into.get(x, ())), far(out, x), far(into, x)) for x in out.keys() | into.keys()}
     assert {r.root: (r.direct_out, r.direct_in, r.indirect_out, r.indirect_in) for r in tree.collect()} == want
+
+
+def test_lists_of_a_community_go_to_few_blocks(spark, monkeypatch):
+    """Twelve complete graphs whose keys alternate: a list goes to the blocks of its own graph, and no list that is done is shuffled."""
+    from textquarry.operators import graph as G
+
+    kept, cut = [], G.cut
+
+    def seen(df):
+        kept.append(cut(df))
+        return kept[-1]
+
+    monkeypatch.setattr(G, "cut", seen)
+    monkeypatch.setattr(G, "ROOTS_AT_ONCE", 20)
+    edges = spark.createDataFrame([(12 * a + k, 12 * b + k) for k in range(12) for a in range(20) for b in range(20) if a != b], "src long, dst long")
+    tree = G.neighbourhood(edges)
+    got = {r.root: r for r in tree.collect()}
+    assert len(got) == 240 and all(r.direct_out == r.direct_in == [12 * a + x % 12 for a in range(20) if 12 * a + x % 12 != x] and not r.indirect_out and not r.indirect_in for x, r in got.items())
+    assert "Join" not in plan(tree).split("FlatMapCoGroupsInArrow")[0]
+    blocks = next(df for df in kept if "block" in df.columns).selectExpr("n % 12 as k", "block").distinct().groupBy("k").count().collect()
+    assert len(blocks) == 12 and max(r["count"] for r in blocks) <= 4

@@ -34,28 +34,45 @@ ROOTS_AT_ONCE = 512
 def neighbourhood(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(root, direct_out, direct_in, indirect_out, indirect_in): sorted arrays; two hops without one hop or the root.
 
-    All roots, or those given (root), in one plan. Ways of two edges are no rows: roots are dealt out in blocks, to each of which the list
-    of a neighbour that several of its roots have goes once, and a root's lists are put together there.
+    All roots, or those given (root), in one plan. Ways of two edges are no rows: roots are dealt out in blocks, in the order of
+    their least neighbours, to each of which the list of a neighbour that several of its roots have goes once, and a root's lists are put together there, for both
+    directions at a time, so that no finished list is shuffled.
     """
     e = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    nodes = cut(roots.select("root").distinct() if roots is not None else e.select(F.explode(F.array("src", "dst")).alias("root")).distinct())
     kind = dict(e.dtypes)["src"]
-    blocks = max(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // ROOTS_AT_ONCE))
-
-    def side(a: str, b: str, direct: str, indirect: str) -> DataFrame:
-        lists = cut(e.groupBy(F.col(a).alias("n")).agg(F.array_sort(F.collect_list(b)).alias("ms")))
-        own = lists.join(nodes.select(F.col("root").alias("n")), "n", "left_semi").select(F.col("n").alias("root"), "ms", F.pmod(F.xxhash64("n"), F.lit(blocks)).alias("block"))
-        asked = own.select("block", F.explode("ms").alias("n")).distinct()
-        sent = asked.join(lists, "n").select(F.col("block").alias("to"), "n", "ms")
-        return own.groupBy("block").cogroup(sent.groupBy("to")).applyInArrow(_two_hops, f"root {kind}, one array<{kind}>, two array<{kind}>").select("root", F.col("one").alias(direct), F.col("two").alias(indirect))
+    end = lambda a, b, out: e.select(F.col(a).alias("n"), F.col(b).alias("m"), F.lit(out).alias("out"))
+    side = lambda out: F.array_sort(F.collect_list(F.when(F.col("out") == out, F.col("m"))))
+    lists = cut(end("src", "dst", True).unionByName(end("dst", "src", False)).groupBy("n").agg(side(True).alias("outs"), side(False).alias("ins")))
+    own, none = lists, F.array().cast(f"array<{kind}>")
+    if roots is not None:
+        own = roots.select(F.col("root").cast(kind).alias("n")).where("n is not null").distinct().join(lists, "n", "left").select("n", *[F.coalesce(c, none).alias(c) for c in ("outs", "ins")])
+    blocks = max(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-own.count() // ROOTS_AT_ONCE))
+    least = F.least(F.array_min("outs"), F.array_min("ins"))  # roots near to each other often share it
+    own = cut(own.repartitionByRange(blocks, least, "n").withColumn("block", F.spark_partition_id()))
+    asked = lambda c: own.select("block", F.explode(c).alias("n"), F.lit(c == "outs").alias("out")).distinct()
+    sent = asked("outs").unionByName(asked("ins")).join(lists, "n").select(F.col("block").alias("to"), "n", "out", F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins")).alias("ms"))
+    columns = ", ".join(f"{c} array<{kind}>" for c in ("direct_out", "direct_in", "indirect_out", "indirect_in"))
+    out = own.groupBy("block").cogroup(sent.where("size(ms) > 0").groupBy("to")).applyInArrow(_both_hops, f"root {kind}, {columns}")
+    if roots is None:
+        return out
+    unnamed = roots.where("root is null").select(F.col("root").cast(kind).alias("root")).distinct()  # a null root has no neighbours
+    return out.unionByName(unnamed.select("root", *[none.alias(c) for c in out.columns[1:]]))
+
+
+def _both_hops(own, sent):
+    """Rows (root, direct_out, direct_in, indirect_out, indirect_in) of own (n, outs, ins) and the lists sent (n, out, ms) of all their
+    neighbours that have one in that direction."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    empty = F.array().cast(f"array<{kind}>")
-    out = nodes.join(side("src", "dst", "direct_out", "indirect_out"), "root", "left").join(side("dst", "src", "direct_in", "indirect_in"), "root", "left")
-    return out.select("root", *[F.coalesce(c, empty).alias(c) for c in ("direct_out", "direct_in", "indirect_out", "indirect_in")])
+    kind = pa.list_(own.schema.field("outs").type.value_type)
+    two = [_two_hops(own.column("n"), own.column(c), sent.filter(of), kind) for c, of in (("outs", sent.column("out")), ("ins", pc.invert(sent.column("out"))))]
+    columns = [own.column("n"), own.column("outs").cast(kind), own.column("ins").cast(kind), *two]
+    return pa.table(columns, names=["root", "direct_out", "direct_in", "indirect_out", "indirect_in"])
 
 
-def _two_hops(own, sent):
-    """Rows (root, one, two) of own (root, ms) and the lists sent (n, ms) of all their neighbours that have one."""
+def _two_hops(nodes, ms, sent, kind):
+    """What lies two hops from each of nodes, whose lists of one hop are ms, by the lists sent (n, ms)."""
     import numpy as np
     import pyarrow as pa
 
@@ -67,10 +84,10 @@ def _two_hops(own, sent):
         ends = lists.offsets.to_numpy().astype(np.int64)
         return names(lists.flatten()), ends - ends[0]
 
-    ones, cuts = flat(own.column("ms"))
+    ones, cuts = flat(ms)
     values, ends = flat(sent.column("ms"))
     # Nodes by number, so that texts do as well as numbers.
-    roots, at = names(own.column("root")), names(sent.column("n"))
+    roots, at = names(nodes), names(sent.column("n"))
     known, code = np.unique(np.concatenate([roots, ones, values, at]), return_inverse=True)
     root_code, one_code, value_code, at_code = np.split(code, np.cumsum([len(roots), len(ones), len(values)]))
     row_of = np.full(len(known), -1)
@@ -86,10 +103,8 @@ def _two_hops(own, sent):
         mark[root] = False
         twos.append(known[np.flatnonzero(mark)])
         mark[:] = False
-    kind = pa.list_(own.schema.field("ms").type.value_type)
     sizes = np.r_[0, np.cumsum([len(x) for x in twos])].astype(np.int32)
-    two = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(twos) if twos else [], type=kind.value_type))
-    return pa.table({"root": own.column("root"), "one": own.column("ms").cast(kind), "two": two})
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(twos) if twos else [], type=kind.value_type))
 
 
 def hubs(edges: DataFrame, threshold: int, limit: int, most_importers: int = 10) -> DataFrame:
@@ -287,9 +302,14 @@ def impact_warnings(changed: DataFrame, edges: DataFrame, cycle_rows: DataFrame)
     return high.unionByName(hub).unionByName(cyc)
 
 
+def dependents_of(direct: str, indirect: str) -> Column:
+    """The number of direct and indirect importers, beside their lists."""
+    return (F.size(direct) + F.size(indirect)).cast("int")
+
+
 def dependents(tree: DataFrame, threshold: int = 5) -> DataFrame:
     """(root, dependents, high_impact) from `neighbourhood` rows: direct and indirect importers."""
-    n = (F.size("direct_in") + F.size("indirect_in")).cast("int")
+    n = dependents_of("direct_in", "indirect_in")
     return tree.select("root", n.alias("dependents"), (n >= threshold).alias("high_impact"))
 
 
