@@ -154,3 +154,15 @@ def test_lists_of_a_community_go_to_few_blocks(spark, monkeypatch):
     assert "Join" not in plan(tree).split("FlatMapCoGroupsInArrow")[0]
     blocks = next(df for df in kept if "block" in df.columns).selectExpr("n % 12 as k", "block").distinct().groupBy("k").count().collect()
     assert len(blocks) == 12 and max(r["count"] for r in blocks) <= 4
+
+
+def test_sets_of_a_family_are_not_sent_once_a_pair(spark, monkeypatch):
+    from textquarry.operators import similarity as SIM
+
+    monkeypatch.setattr(SIM, "SETS_AT_ONCE", 7, raising=False)
+    common = [f"word{i}" for i in range(40)]
+    rows = [("g", i, " ".join([*common, f"own{i}", f"third{i % 3}"])) for i in range(60)]
+    out = SIM.similar_pairs(spark.createDataFrame(rows, "g string, id long, text string"), "g", "id", SIM.similarity_tokens(F.col("text")), 0.7)
+    got = {(r.a, r.b): round(r.jaccard, 9) for r in out.collect()}
+    assert got == {(a, b): round((40 + (a % 3 == b % 3)) / (44 - (a % 3 == b % 3)), 9) for a in range(60) for b in range(a + 1, 60)}
+    assert "FlatMapCoGroupsInArrow" in plan(out)
