@@ -166,3 +166,27 @@ def test_sets_of_a_family_are_not_sent_once_a_pair(spark, monkeypatch):
     got = {(r.a, r.b): round(r.jaccard, 9) for r in out.collect()}
     assert got == {(a, b): round((40 + (a % 3 == b % 3)) / (44 - (a % 3 == b % 3)), 9) for a in range(60) for b in range(a + 1, 60)}
     assert "FlatMapCoGroupsInArrow" in plan(out)
+
+
+def test_sketches_lose_no_pair_and_keep_unlike_sets_apart(spark, monkeypatch):
+    import random
+
+    from textquarry.operators import similarity as SIM
+
+    random.seed(8)
+    common = [f"word{i}" for i in range(60)]
+    rows = [("g", i, " ".join(random.sample(common, random.randint(30, 50)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "g string, id long, text string")
+    words = {i: set(t.split()) for _, i, t in rows}
+    want = {(a, b) for a in words for b in words if a < b and len(words[a] & words[b]) >= 0.7 * len(words[a] | words[b]) - 1e-9}
+    kept, cut = [], SIM.cut
+
+    def seen(df):
+        kept.append(cut(df))
+        return kept[-1]
+
+    monkeypatch.setattr(SIM, "cut", seen)
+    out = SIM.similar_pairs(docs, "g", "id", SIM.similarity_tokens(F.col("text")), 0.7).collect()
+    assert {(r.a, r.b) for r in out} == want and len(want) > 20
+    counts = [df.count() for df in kept if df.columns == ["x", "y", "x2", "y2"]]
+    assert len(counts) == 2 and counts[1] < counts[0] / 2
